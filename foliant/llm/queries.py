@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from foliant.llm import chunks, decontam, licenses, mixing, quality, tokens, warc
+from foliant.llm import chunks, decontam, licenses, mixing, ngram_join, quality, tokens, toxicity, warc
 
 TOKENIZER = "byte_bpe_50k.json"
 
@@ -18,6 +18,14 @@ def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(table(spark, sf_dir, "pages"))
 
 
+def op2_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.jaccard_classes(table(spark, sf_dir, "documents")).drop("tkey")
+
+
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan_licenses(table(spark, sf_dir, "documents"))
 
@@ -47,6 +55,8 @@ QUERIES = {
     f.__name__: f
     for f in (
         op1_warc,
+        op2_ngram_join,
+        op3_toxicity,
         op5_license_scan,
         op6_quality_rules,
         op7_mixing,
