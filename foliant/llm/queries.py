@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from foliant.llm import chunks, decontam, licenses, mixing, ngram_join, quality, tokens, toxicity, warc
+from foliant.llm import chunks, decontam, html_text, licenses, mixing, ngram_join, quality, tokens, toxicity, warc
 
 TOKENIZER = "byte_bpe_50k.json"
 
@@ -26,6 +26,10 @@ def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op4_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.main_text(table(spark, sf_dir, "pages"))
+
+
 def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan_licenses(table(spark, sf_dir, "documents"))
 
@@ -57,6 +61,7 @@ QUERIES = {
         op1_warc,
         op2_ngram_join,
         op3_toxicity,
+        op4_html_text,
         op5_license_scan,
         op6_quality_rules,
         op7_mixing,
