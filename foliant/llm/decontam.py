@@ -144,6 +144,13 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -
     )
 
 
+def clean_documents(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
+    """The documents that are not contaminated, with their columns."""
+    bad = decontaminate(docs, benchmark, window).where("contaminated").select(F.col("doc_id").alias("__d"), F.col("key").alias("__k")).distinct()
+    keyed = docs.select("*", document_key().alias("__key"))
+    return keyed.join(bad.hint("merge"), (F.col("__key") == F.col("__k")) & F.col("doc_id").eqNullSafe(F.col("__d")), "left_anti").drop("__key")
+
+
 ORACLE = """
 with d as (
   select row_number() over () as r, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') as w from documents),

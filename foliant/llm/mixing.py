@@ -54,9 +54,10 @@ def mix(docs: DataFrame, seed: str = "mix", weight: Column | None = None) -> Dat
     size = F.coalesce(F.regexp_count("text", F.lit(WORDS)), F.lit(0)).cast("long")
     digest = F.md5(F.concat_ws("|", F.lit(seed), F.col("doc_id").cast("string"), F.col("text")))
     u = (F.conv(F.substring(digest, 1, 12), 16, 10).cast("double") + 0.5) / float(1 << 48)
-    sized = docs.select("doc_id", F.col("source").cast("string").alias("source"), size.alias("size"), u.alias("u"))
+    tkey = F.xxhash64("doc_id", "text").alias("tkey")
+    sized = docs.select("doc_id", F.col("source").cast("string").alias("source"), size.alias("size"), u.alias("u"), tkey)
     keyed = sized.select("*", (-F.log("u") / (quality_weight(F.col("size")) if weight is None else weight)).alias("key"))
-    base = stored(keyed.select("doc_id", "source", "size", "key", F.floor((1 - F.exp(-F.col("key"))) * BUCKETS).cast("int").alias("bucket")), "mix")
+    base = stored(keyed.select("doc_id", "source", "tkey", "size", "key", F.floor((1 - F.exp(-F.col("key"))) * BUCKETS).cast("int").alias("bucket")), "mix")
     targets = source_targets(base.groupBy("source").agg(F.sum("size").alias("source_size")))
     name = lambda: F.coalesce(F.concat(F.lit("="), F.col("source")), F.lit("")).alias("name")
     ahead = Window.partitionBy("name").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
@@ -68,7 +69,24 @@ def mix(docs: DataFrame, seed: str = "mix", weight: Column | None = None) -> Dat
     budget = F.col("target") - F.col("epochs") * F.col("source_size")
     chosen = (F.col("until") - F.col("size") / 2 <= budget) & (F.col("size") > 0)
     copies = (F.col("epochs") + F.when(chosen, 1).otherwise(0)).cast("int")
-    return placed.select("doc_id", "size", "source_size", "target", (copies * F.col("size")).alias("taken"), copies.alias("copies"))
+    return placed.select("doc_id", "size", "source_size", "target", (copies * F.col("size")).alias("taken"), copies.alias("copies"), "source", "tkey")
+
+
+def mixed_documents(docs: DataFrame, seed: str = "mix") -> DataFrame:
+    """Every document as many times as the mix takes it, with its columns."""
+    plan = mix(docs, seed).where("copies > 0").groupBy(F.col("tkey").alias("__k"), F.col("doc_id").alias("__d"), F.col("source").alias("__s"))
+    plan = plan.agg(F.sum("copies").alias("__n"))  # of rows with equal id, text and source together
+    keyed = docs.select("*", F.xxhash64("doc_id", "text").alias("__t"))
+    same = (F.col("__t") == F.col("__k")) & F.col("doc_id").eqNullSafe(F.col("__d")) & F.col("source").cast("string").eqNullSafe(F.col("__s"))
+    joined = keyed.join(plan.hint("merge"), same)
+    repeated = keyed.groupBy(F.col("__t").alias("__k"), F.col("doc_id").alias("__d"), F.col("source").cast("string").alias("__s")).count().where("count > 1")
+    if repeated.isEmpty():
+        return joined.select(*docs.columns, F.explode(F.sequence(F.lit(1), F.col("__n").cast("int"))).alias("__i")).drop("__i")
+    place = Window.partitionBy("__k", "__d", "__s").orderBy("__k")  # rows of one id and text: the first ones get one copy more
+    placed = joined.select("*", F.row_number().over(place).alias("__r"), F.count("*").over(place.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)).alias("__c"))
+    n = F.floor(F.col("__n") / F.col("__c")) + F.when(F.col("__r") <= F.col("__n") % F.col("__c"), 1).otherwise(0)
+    counted = placed.select("*", n.cast("int").alias("__m")).where("__m > 0")
+    return counted.select(*docs.columns, F.explode(F.sequence(F.lit(1), F.col("__m"))).alias("__i")).drop("__i")
 
 
 ORACLE = """
