@@ -69,7 +69,7 @@ def relation_distribution(spark: SparkSession, sf: str) -> DataFrame:
 
 
 PATHS = f"""{EDGES}, two as (select src as a, dst as b from g union select dst, src from g),
-ends as (select a.id as start, b.id as goal from nodes a join nodes b on a.type = 'supp' and b.type = 'supp' and a.name::bigint % 10 = 1 and b.name::bigint % 10 = 1 and a.id < b.id),
+ends as (select a.id as start, b.id as goal from nodes a join nodes b on a.type = 'supp' and b.type = 'supp' and a.name::bigint % 2 = 1 and b.name::bigint % 2 = 1 and a.id < b.id),
 p as (select start, goal, [start] as nodes from ends union all select start, goal, list_append(nodes, b) from p join two on nodes[-1] = a where not list_contains(nodes, b) and nodes[-1] <> goal and len(nodes) <= 4)"""
 
 
@@ -78,7 +78,7 @@ r as (select *, row_number() over (partition by start, goal order by length, pat
 def find_paths(spark: SparkSession, sf: str) -> DataFrame:
     e = edges(spark, sf)
     both = e.select("src", "dst").unionAll(e.select("dst", "src"))
-    supp = graph.nodes_of(e).where("type = 'supp' and cast(name as bigint) % 10 = 1")
+    supp = graph.nodes_of(e).where("type = 'supp' and cast(name as bigint) % 2 = 1")
     pairs = supp.select(F.col("id").alias("start"), F.lit(1).alias("k")).join(supp.select(F.col("id").alias("goal"), F.lit(1).alias("k")), "k").where("start < goal").drop("k")
     return graph.find_paths(both, pairs, max_length=4)
 
@@ -109,11 +109,11 @@ NEAR = f"""near as (select query_id, vec_id, sim from (select q.vec_id as query_
 ranked as (select *, row_number() over (partition by query_id order by score desc, id) as rank from (select query_id, 'part:' || (vec_id * 20) as id, max(sim) as score from near join nodes on nodes.id = 'part:' || (vec_id * 20) group by all))"""
 
 
-def _near_entities(spark: SparkSession, sf: str) -> DataFrame:
+def _near_entities(spark: SparkSession, sf: str, k: int = 20) -> DataFrame:
     """Chunks (vectors) near a query give the graph's parts that they are the source of."""
     e = corpus(spark, sf, "embeddings")
     q = e.where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query_vec"))
-    near = vectors.knn_l2(e, q, 20).select("query_id", F.col("vec_id").cast("string").alias("source"), F.round(1 - F.col("dist") / 2, 6).alias("score"))
+    near = vectors.knn_l2(e, q, k).select("query_id", F.col("vec_id").cast("string").alias("source"), F.round(1 - F.col("dist") / 2, 6).alias("score"))
     nodes = graph.nodes_of(edges(spark, sf)).where("type = 'part'").select("id", "name", "type", (F.col("name").cast("long") / 20).cast("long").cast("string").alias("source"))
     return graph.semantic_entities(near, nodes, "query_id")
 
@@ -126,7 +126,7 @@ def semantic_entities(spark: SparkSession, sf: str) -> DataFrame:
 @query()
 def semantic_paths(spark: SparkSession, sf: str) -> DataFrame:
     e = edges(spark, sf)
-    return graph.semantic_paths(_near_entities(spark, sf), e.select("src", "dst").unionAll(e.select("dst", "src")), "query_id")
+    return graph.semantic_paths(_near_entities(spark, sf, 500), e.select("src", "dst").unionAll(e.select("dst", "src")), "query_id")
 
 
 @query(f"with {EDGES} select count(*) as num_nodes, (select count(*) from g) as num_edges from nodes")
@@ -196,11 +196,11 @@ def resolve_paths(spark: SparkSession, sf: str) -> DataFrame:
     return reports.resolve_paths(wanted, f, ["/data/", "/rooms/"])
 
 
-@query("""with t as (select p_size, p_name, p_type from part where p_partkey % 10 = 0), s as (select p_size, string_agg('## ' || p_name || chr(10) || chr(10) || p_type, chr(10) || chr(10) order by p_name) as b from t group by p_size)
+@query("""with t as (select p_size, p_name, p_type, p_partkey from part where p_partkey % 10 = 0), s as (select p_size, string_agg('## ' || p_name || chr(10) || chr(10) || p_type, chr(10) || chr(10) order by p_partkey) as b from t group by p_size)
 select 'Company ' || p_size as company, 'company-' || p_size || '-report.md' as file, '# Company ' || p_size || chr(10) || chr(10) || b as markdown from s""")
 def export_reports(spark: SparkSession, sf: str) -> DataFrame:
     p = corpus(spark, sf, "part").where("p_partkey % 10 = 0")
-    return reports.export_reports(p.select(F.concat(F.lit("Company "), "p_size").alias("company"), F.col("p_name").alias("ord"), F.col("p_name").alias("title"), F.col("p_type").alias("body")))
+    return reports.export_reports(p.select(F.concat(F.lit("Company "), "p_size").alias("company"), F.col("p_partkey").alias("ord"), F.col("p_name").alias("title"), F.col("p_type").alias("body")))
 
 
 @query("""with c as (select word, ord, text, focus from (values ('strategic', 1, 'Strategy section'), ('checklist', 2, 'Checklist section'), ('project', 3, 'Project section')) s(word, ord, text),

@@ -11,7 +11,7 @@ from foliant.plans.corpora import corpus
 from foliant.plans.registry import query
 from foliant.plans.text_queries import BM25, first_words
 
-DOT = "round(list_sum(list_transform(list_zip({a}::double[], {b}::double[]), lambda z: z[1] * z[2])), 6)"
+DOT = "round(list_cosine_similarity({a}::double[], {b}::double[]), 6)"
 L2 = "round(list_sum(list_transform(list_zip({a}::double[], {b}::double[]), lambda z: (z[1] - z[2]) * (z[1] - z[2]))), 6)"
 PAIRS = f"""
 q as (select vec_id as query_id, embedding as qv from embeddings where vec_id % 50 = 0),
@@ -49,9 +49,9 @@ def semantic_search(spark: SparkSession, sf: str) -> DataFrame:
     return vectors.semantic_search(corpus(spark, sf, "embeddings"), _queries(spark, sf), rescore)
 
 
-@query(f"with q as (select vec_id as query_id, embedding as qv from embeddings where vec_id % 50 = 0) select query_id, vec_id, round({DOT.format(a='qv', b='embedding')}, 5) as score from q, embeddings")
+@query(f"with q as (select vec_id as query_id, embedding as qv from embeddings where vec_id % 50 = 0) select query_id, vec_id, {DOT.format(a='qv', b='embedding')} as score from q, embeddings")
 def cosine_matrix(spark: SparkSession, sf: str) -> DataFrame:
-    return vectors.cosine_matrix(corpus(spark, sf, "embeddings"), _queries(spark, sf)).withColumn("score", F.round("score", 5))
+    return vectors.cosine_matrix(corpus(spark, sf, "embeddings"), _queries(spark, sf))
 
 
 VARIANTS = f"""
