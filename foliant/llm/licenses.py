@@ -76,7 +76,7 @@ def _names() -> list[tuple[str, str, str]]:
     out = []
     for family, (short, abbreviated, name, word, versions) in _VERSIONED.items():
         for v in versions:
-            number = rf"(?:version |v )?{v}{'(?: 0)?' if ' ' not in v else ''}(?: or later| only)?"
+            number = rf"(?:version |v )?v?{v}{'(?: 0)?' if ' ' not in v else ''}(?: or later| only)?"
             label = f"{family}-{v.replace(' ', '.')}"
             out += [(label, word, f"{name} {number}"), (label, short, f"(?:{abbreviated}) {number}")]
             if family in ("gpl", "lgpl", "agpl", "mpl"):
