@@ -37,74 +37,119 @@ ESCAPE = 15
 
 
 class Encoder:
-    """Ids of whole texts from a tokenizer file.
+    """Ids of whole texts from a byte-level BPE file of the tokenizers library.
 
-    A byte-level tokenizer never joins what lies on both sides of a single blank between two non-blanks, so a text is
-    encoded piece by piece and the ids of frequent pieces are remembered (at most ``REMEMBERED``).
+    Such a tokenizer never joins what lies on both sides of a single blank between two non-blanks, so a text is encoded
+    piece by piece, and pieces by the tokenizer's own split pattern; the ids of both are remembered (at most
+    ``REMEMBERED`` pieces and as many tokens). New tokens go through the library's model many at a time, written as
+    its characters for bytes; the lengths of the vocabulary's tokens tell where each one ends.
     """
 
     def __init__(self, path: str) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
+        import public_tokenizers
+        import regex
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.model = Tokenizer(self.tokenizer.model)
+        self.model.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
+        self.split = regex.compile(public_tokenizers.PATTERN).findall
+        self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        vocabulary = self.tokenizer.get_vocab()
+        self.length = np.zeros(max(vocabulary.values()) + 1, np.int64)
+        for token, i in vocabulary.items():
+            self.length[i] = len(token)
+        # a byte's character: printable Latin-1 stands for itself, the other bytes follow from 256 on
+        plain = {*range(33, 127), *range(161, 173), *range(174, 256)}
+        others = iter(range(256, 512))
+        self.chars = [chr(b if b in plain else next(others)) for b in range(256)]
         self.inner: dict[str, bytes | None] = {}
-        self.first: dict[str, bytes] = {}
-
-    def _ids(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, dtype="<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def _learn(self, known: dict, pieces: set[str], lead: str) -> None:
-        if len(known) > REMEMBERED:
-            known.clear()
-        new = [p for p in pieces if p not in known]
-        known.update(zip(new, self._ids([lead + p for p in new]), strict=True))
+        self.tokens: dict[str, bytes] = {}
+
+    def whole(self, text: str) -> bytes:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
+
+    def _learn(self, pieces: list[str]) -> None:
+        """Remembers the ids of pieces with a blank before; None for those whose ends are white space."""
+        inner, tokens, cut = self.inner, self.tokens, {}
+        for p in pieces:
+            if not p or p[0].isspace() or p[-1].isspace():
+                inner[p] = None
+            elif any(s in p for s in self.special):
+                inner[p] = self.whole(" " + p)
+            else:
+                cut[p] = [" " + p] if p.isascii() and p.isalpha() else self.split(" " + p)
+        new = list({t for ts in cut.values() for t in ts if t not in tokens})
+        if new:
+            written = [t.encode("utf-8", "replace").decode("latin-1").translate(self.chars) for t in new]
+            ids = np.array(self.model.encode_batch_fast([" ".join(written)], add_special_tokens=False)[0].ids, dtype="<u4")
+            at = np.searchsorted(np.cumsum(self.length[ids]), np.cumsum([len(w) for w in written])) + 1
+            raw, begin = ids.tobytes(), 0
+            for t, end in zip(new, (4 * at).tolist(), strict=True):
+                tokens[t] = raw[begin:end]
+                begin = end
+        for p, ts in cut.items():
+            inner[p] = tokens[ts[0]] if len(ts) == 1 else b"".join([tokens[t] for t in ts])
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text."""
-        parts = []
-        for t in texts:
-            cut = t.split(" ")
-            if any(not p or p[0].isspace() or p[-1].isspace() for p in cut):
-                cut = re.split(r"(?<=\S) (?=\S)", t)
-            parts.append(cut)
-        if len(self.inner) > REMEMBERED:
-            self.inner.clear()
-        inner: set[str] = set()
+        for known in (self.inner, self.tokens):
+            if len(known) > REMEMBERED:
+                known.clear()
+        parts = [t.split(" ") for t in texts]
+        pieces: set[str] = set()
         for p in parts:
-            inner.update(p[1:])
-        self._learn(self.first, {p[0] for p in parts}, "")
-        self._learn(self.inner, inner, " ")
-        return [self.first[p[0]] + b"".join(map(self.inner.__getitem__, p[1:])) for p in parts]
-
-
-def pack(values: np.ndarray) -> np.ndarray:
-    """One block's 64-bit words."""
+            pieces.update(p[1:])
+        self._learn([p for p in pieces if p not in self.inner])
+        out = []
+        for t, p in zip(texts, parts, strict=True):
+            try:
+                rest = b"".join(map(self.inner.__getitem__, p[1:]))
+                if p[0][-1:].isspace() or (not p[0] and len(p) > 1):
+                    raise TypeError
+            except TypeError:  # white space beside a blank: only blanks between non-blanks part the text
+                p = re.split(r"(?<=\S) (?=\S)", t)
+                rest = b"".join(self.whole(" " + x) for x in p[1:])
+            out.append(self.whole(p[0]) + rest)
+        return out
+
+
+_BITS = np.array([max(1, i.bit_length()) for i in range(1 << 16)], dtype=np.uint8)
+
+
+def _bits(v: np.ndarray) -> np.ndarray:
+    if len(v) and v.max() < 1 << 16:
+        return _BITS[v]
+    out, rest = np.zeros(len(v), np.uint8), v.copy()
+    while rest.any():
+        out += np.where(rest >> np.uint64(16) != 0, 16, _BITS[rest & np.uint64(0xFFFF)] * (rest != 0)).astype(np.uint8)
+        rest >>= np.uint64(16)
+    return np.maximum(out, 1)
+
+
+def pack(values: np.ndarray, block: int = BLOCK_IDS) -> tuple[np.ndarray, np.ndarray]:
+    """The 64-bit words of the values, and the first word of each block of so many values."""
     v = values.astype(np.uint64)
     n = len(v)
     if not n:
-        return np.zeros(0, dtype=np.uint64)
-    bits = np.zeros(n, dtype=np.uint8)
-    for w in range(64):
-        np.add(bits, v >= np.uint64(1 << w), out=bits, casting="unsafe")
-        if not (v >> np.uint64(w)).any():
-            break
-    best = np.full(n, len(COUNTS), dtype=np.uint8)  # beyond the list: escape
-    top, span = bits, 1  # top[i]: most bits among span values from i
-    tops = {1: bits}
+        return np.zeros(0, dtype=np.uint64), np.zeros(0, dtype=np.int64)
+    tops, span = {1: _bits(v)}, 1  # tops[k][i]: most bits among k values from i
     while span * 2 <= min(60, n):
-        top = np.maximum(top[: len(top) - span], top[span:])
+        t = tops[span]
         span *= 2
-        tops[span] = top
+        tops[span] = np.maximum(t[: len(t) - span // 2], t[span // 2 :])
+    left = np.minimum(block - np.arange(n) % block, 60).astype(np.uint8)
+    best = np.full(n, len(COUNTS), dtype=np.uint8)  # beyond the list: escape
     for s in range(len(COUNTS) - 1, -1, -1):
         c = COUNTS[s]
         if c > n:
             break
         p = 1 << (c.bit_length() - 1)
-        t = tops[p]
-        most = np.maximum(t[: n - c + 1], t[c - p : c - p + n - c + 1])
-        best[: n - c + 1][most <= WIDTHS[s]] = s
-    step = np.array([*COUNTS, 1], dtype=np.int64)[best].tolist()
+        t, m = tops[p], n - c + 1
+        fits = (np.maximum(t[:m], t[c - p : c - p + m]) <= WIDTHS[s]) & (left[:m] >= c)
+        np.copyto(best[:m], np.uint8(s), where=fits)
+    step = np.array([*COUNTS, 1], dtype=np.uint8)[best].tobytes()
     starts, i = [], 0
     while i < n:
         starts.append(i)
@@ -123,7 +168,7 @@ def pack(values: np.ndarray) -> np.ndarray:
         for k in range(COUNTS[s]):
             word |= v[i + k] << np.uint64(4 + k * WIDTHS[s])
         out[o] = word
-    return out
+    return out, place[np.flatnonzero(at % block == 0)]
 
 
 def unpack(words: np.ndarray, n: int) -> np.ndarray:
@@ -162,26 +207,29 @@ class _File:
         self.out.write(MAGIC)
         self.docs: list[tuple[int, bool, int]] = []
         self.blocks: list[int] = []
-        self.words, self.ids, self.rest = 0, 0, np.zeros(0, dtype="<u4")
+        self.words, self.ids, self.rest, self.held = 0, 0, [], 0
 
     def add(self, doc_id: int | None, ids: np.ndarray) -> None:
         self.docs.append((doc_id or 0, doc_id is None, len(ids)))
         self.ids += len(ids)
-        self.rest = np.concatenate([self.rest, ids]) if len(self.rest) else ids
-        whole = len(self.rest) // BLOCK_IDS * BLOCK_IDS
-        for i in range(0, whole, BLOCK_IDS):
-            self._block(self.rest[i : i + BLOCK_IDS])
-        self.rest = self.rest[whole:].copy()
-
-    def _block(self, ids: np.ndarray) -> None:
-        words = pack(ids)
-        self.blocks.append(self.words)
+        self.rest.append(ids)
+        self.held += len(ids)
+        if self.held >= 64 * BLOCK_IDS:
+            ids = np.concatenate(self.rest)
+            whole = len(ids) // BLOCK_IDS * BLOCK_IDS
+            self._write(ids[:whole])
+            self.rest = [ids[whole:].copy()]
+            self.held = len(ids) - whole
+
+    def _write(self, ids: np.ndarray) -> None:
+        words, firsts = pack(ids)
+        self.blocks += (firsts + self.words).tolist()
         self.words += len(words)
         self.out.write(words.astype("<u8").tobytes())
 
     def close(self) -> tuple[int, int]:
-        if len(self.rest):
-            self._block(self.rest)
+        if self.held:
+            self._write(np.concatenate(self.rest))
         ids, null, n = zip(*self.docs, strict=True)
         self.out.write(np.array(ids, dtype="<i8").tobytes() + np.array(null, dtype="u1").tobytes() + np.array(n, dtype="<u8").tobytes())
         self.out.write(np.array(self.blocks, dtype="<u8").tobytes())
