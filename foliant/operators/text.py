@@ -114,11 +114,20 @@ def regex_spans(df: DataFrame, text: str, pattern: str, groups: int = 0) -> Data
     """A row per match with match, start, end (characters from 0) and groups g1..gn. The pattern must not match empty."""
     found, gaps = F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.split(F.col(text), pattern, -1)
     wide = df.where(F.col(text).rlike(pattern)).select("*", found.alias("__m"), F.transform(gaps, F.length).alias("__g"), *[F.regexp_extract_all(text, F.lit(pattern), F.lit(g)).alias(f"__{g}") for g in range(1, groups + 1)])
+    groups_ = [f"__{g}" for g in range(1, groups + 1)]
     none = F.array().cast("array<int>")
+    empty = F.struct(F.lit(0).alias("at"), none.alias("out"))
     step = lambda s, x: F.struct((s["at"] + x["g"] + x["n"]).alias("at"), F.concat(s["out"], F.array(s["at"] + x["g"])).alias("out"))
     pairs = F.zip_with(F.slice("__g", F.lit(1), F.size("__m")), F.transform("__m", F.length), lambda g, n: F.struct(g.alias("g"), n.alias("n")))
-    starts = F.aggregate(pairs, F.struct(F.lit(0).alias("at"), none.alias("out")), step, lambda s: s["out"])
-    placed = wide.select("*", starts.alias("__s")).select(*df.columns, F.posexplode("__s").alias("__i", "start"), "__m", *[f"__{g}" for g in range(1, groups + 1)])
+    paired = wide.select(*df.columns, "__m", *groups_, pairs.alias("__p"))
+    # running sums in blocks, then over the blocks: growing one array would copy it for every match
+    block = 256
+    numbers = F.sequence(F.lit(0), F.greatest(F.ceil(F.size("__p") / block).cast("int") - 1, F.lit(0)))
+    inside = F.transform(numbers, lambda b: F.aggregate(F.slice("__p", b * block + 1, F.lit(block)), empty, step))
+    blocked = paired.select(*df.columns, "__m", *groups_, inside.alias("__b"))
+    before = F.aggregate("__b", empty, lambda s, b: F.struct((s["at"] + b["at"]).alias("at"), F.concat(s["out"], F.array(s["at"])).alias("out")), lambda s: s["out"])
+    starts = F.flatten(F.zip_with("__b", before, lambda b, o: F.transform(b["out"], lambda x: x + o)))
+    placed = blocked.select(*df.columns, F.posexplode(starts).alias("__i", "start"), "__m", *groups_)
     match = F.get("__m", F.col("__i"))
     return placed.select(*df.columns, match.alias("match"), "start", (F.col("start") + F.length(match)).alias("end"), *[F.get(f"__{g}", F.col("__i")).alias(f"g{g}") for g in range(1, groups + 1)])
 
