@@ -123,6 +123,16 @@ def semantic_entities(near: DataFrame, nodes: DataFrame, query_key: str, limit:
     return best.withColumn("rank", F.row_number().over(Window.partitionBy(query_key).orderBy(F.desc("score"), "id"))).where(F.col("rank") <= limit)
 
 
+def related_by_context(near: DataFrame, nodes: DataFrame, reference: DataFrame, query_key: str, limit: int = 10) -> DataFrame:
+    """Entities met near the context of a reference node, without the node itself.
+
+    near: (query_key, source, score) of the chunks near each reference's context; reference: (query_key, id).
+    """
+    own = reference.select(query_key, "id")
+    met = near.join(nodes, "source").groupBy(query_key, "id").agg(F.max("score").alias("score")).join(own, [query_key, "id"], "left_anti")
+    return met.withColumn("rank", F.row_number().over(Window.partitionBy(query_key).orderBy(F.desc("score"), "id"))).where(F.col("rank") <= limit)
+
+
 def semantic_paths(ranked: DataFrame, edges: DataFrame, query_key: str, first: int = 5, pool: int = 10, per_pair: int = 2) -> DataFrame:
     """Paths between the first five of an entity ranking and later ones of the best ten; the score is the mean of both."""
     top = ranked.where(F.col("rank") <= pool)

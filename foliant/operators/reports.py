@@ -27,6 +27,12 @@ def context_focus(sections: DataFrame, focuses: DataFrame) -> DataFrame:
     return hit.groupBy("focus").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("ord", "text"))), lambda x: x["text"]), "\n").alias("context"))
 
 
+def prompt_table(docs: DataFrame, templates: DataFrame, name: str, text: str, n: int = 1000) -> DataFrame:
+    """A prompt per document and template; templates (kind, template) hold ``{name}`` and ``{text}``: a handful of rows."""
+    filled = F.replace(F.replace(F.col("template"), F.lit("{name}"), F.col(name)), F.lit("{text}"), truncate_text(F.col(text), n))
+    return docs.select(name, text).crossJoin(F.broadcast(templates)).select(name, "kind", filled.alias("prompt"))
+
+
 def citations(mentions: DataFrame, top: int = 2) -> DataFrame:
     """Per report and document one numbered citation in first-seen order: distinct excerpts (best two) and relevance.
 

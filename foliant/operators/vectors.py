@@ -91,7 +91,7 @@ def distance_to_similarity(dist: Column) -> Column:
 def semantic_search(vectors: DataFrame, queries: DataFrame, rescore: Callable[[DataFrame], DataFrame], top_k: int = 5, threshold: float = 0.2, key: str = "vec_id", query_key: str = "query_id") -> DataFrame:
     """Nearest max(20, 3k) by distance, those above the threshold, the best 15 rescored, the best k of these."""
     near = knn_l2(vectors, queries, max(20, 3 * top_k), key=key, query_key=query_key)
-    like = near.withColumn("similarity", F.round(distance_to_similarity(F.col("dist")), 6)).where(F.col("similarity") >= threshold)
+    like = near.withColumn("similarity", distance_to_similarity(F.col("dist"))).where(F.col("similarity") >= threshold)
     first = like.withColumn("r", F.row_number().over(Window.partitionBy(query_key).orderBy(F.desc("similarity"), key))).where("r <= 15")
     rank = F.row_number().over(Window.partitionBy(query_key).orderBy(F.desc("score"), F.desc("similarity"), key))
     return rescore(first).withColumn("rank", rank).where(F.col("rank") <= top_k).select(query_key, key, "similarity", "score", "rank")
@@ -107,6 +107,29 @@ def multi_query_search(vectors: DataFrame, variants: DataFrame, texts: DataFrame
     return kept.withColumn("rank", F.row_number().over(Window.partitionBy(focus).orderBy("dist", key))).select(focus, "rank", key, "text", "dist")
 
 
+def document_search(vectors: DataFrame, queries: DataFrame, texts: DataFrame, k: int = 8, limit: float = 1.5, key: str = "vec_id", query_key: str = "query_id", query_text: str = "query_text") -> DataFrame:
+    """The k nearest documents within the distance limit, with an excerpt around the query's words and a relevance."""
+    from foliant.operators.text import best_excerpt
+
+    near = knn_l2(vectors, queries, k, key=key, query_key=query_key, keep=limit)
+    named = near.join(texts.select(key, "text"), key).join(queries.select(query_key, query_text), query_key)
+    return named.select(query_key, "rank", key, best_excerpt(F.col("text"), F.col(query_text)).alias("excerpt"), distance_to_similarity(F.col("dist")).alias("relevance"))
+
+
+def focus_search(vectors: DataFrame, variants: DataFrame, texts: DataFrame, focus_text: Column, keywords: list[str], k: int, limit: float, top: int = 4, key: str = "vec_id", focus: str = "focus_id") -> DataFrame:
+    """Several query variants per focus, the nearest texts, with an excerpt around the focus and the first keyword."""
+    from foliant.operators.text import keyword_excerpt
+
+    found = multi_query_search(vectors, variants, texts, k, limit, key, focus).where(F.col("rank") <= top)
+    return found.select(focus, "rank", key, keyword_excerpt(F.col("text"), focus_text, keywords).alias("excerpt"))
+
+
+def analysis_search(rows: DataFrame, queries: DataFrame, k: int = 5, limit: float = 1.5, key: str = "vec_id", query_key: str = "query_id") -> DataFrame:
+    """The k nearest insight rows (key, type, name, embedding) within the limit."""
+    near = knn_l2(rows, queries, k, key=key, query_key=query_key, keep=limit)
+    return near.join(rows.select(key, "type", "name"), key).select(query_key, "rank", "type", "name", "dist")
+
+
 def claim_support(claims: DataFrame, found: DataFrame, focus: str = "focus_id") -> DataFrame:
     """SUPPORTED from two sources, PARTIALLY SUPPORTED from one, UNSUPPORTED without."""
     n = found.groupBy(focus).agg(F.count("*").alias("n_sources"))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from foliant.functions.shared import scratch_dir
 from foliant.operators import graph, reports, vectors
 from foliant.plans.corpora import corpus
 from foliant.plans.registry import query
@@ -104,7 +105,7 @@ def build_edges(spark: SparkSession, sf: str) -> DataFrame:
     return graph.build_edges(graph.build_nodes(nodes), rel).drop("confidence")
 
 
-NEAR = f"""near as (select query_id, vec_id, sim from (select q.vec_id as query_id, e.vec_id, round(1 - {L2.format(a="q.embedding", b="e.embedding")} / 2, 6) as sim,
+NEAR = f"""near as (select query_id, vec_id, sim from (select q.vec_id as query_id, e.vec_id, 1 - {L2.format(a="q.embedding", b="e.embedding")} / 2 as sim,
   row_number() over (partition by q.vec_id order by {L2.format(a="q.embedding", b="e.embedding")}, e.vec_id) as r from embeddings q, embeddings e where q.vec_id % 100 = 0) where r <= 20),
 ranked as (select *, row_number() over (partition by query_id order by score desc, id) as rank from (select query_id, 'part:' || (vec_id * 20) as id, max(sim) as score from near join nodes on nodes.id = 'part:' || (vec_id * 20) group by all))"""
 
@@ -113,7 +114,7 @@ def _near_entities(spark: SparkSession, sf: str, k: int = 20) -> DataFrame:
     """Chunks (vectors) near a query give the graph's parts that they are the source of."""
     e = corpus(spark, sf, "embeddings")
     q = e.where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query_vec"))
-    near = vectors.knn_l2(e, q, k).select("query_id", F.col("vec_id").cast("string").alias("source"), F.round(1 - F.col("dist") / 2, 6).alias("score"))
+    near = vectors.knn_l2(e, q, k).select("query_id", F.col("vec_id").cast("string").alias("source"), (1 - F.col("dist") / 2).alias("score"))
     nodes = graph.nodes_of(edges(spark, sf)).where("type = 'part'").select("id", "name", "type", (F.col("name").cast("long") / 20).cast("long").cast("string").alias("source"))
     return graph.semantic_entities(near, nodes, "query_id")
 
@@ -244,3 +245,30 @@ def expire_results(spark: SparkSession, sf: str) -> DataFrame:
 @query("select count(distinct letter) as n_categories, count(*) as n_questions from checklist")
 def report_counts(spark: SparkSession, sf: str) -> DataFrame:
     return corpus(spark, sf, "checklist").agg(F.count_distinct("letter").alias("n_categories"), F.count("*").alias("n_questions"))
+
+
+@query(f"with {EDGES}, {NEAR.replace('q.vec_id % 100 = 0', 'q.vec_id <= 100')} select query_id, id, score, row_number() over (partition by query_id order by score desc, id) as rank from ranked where id <> 'part:' || (query_id * 20)")
+def related_by_context(spark: SparkSession, sf: str) -> DataFrame:
+    """Each part's context is the vector that it stems from."""
+    e = corpus(spark, sf, "embeddings")
+    q = e.where("vec_id <= 100").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query_vec"))
+    near = vectors.knn_l2(e, q, 20).select("query_id", F.col("vec_id").cast("string").alias("source"), (1 - F.col("dist") / 2).alias("score"))
+    nodes = graph.nodes_of(edges(spark, sf)).where("type = 'part'").select("id", (F.col("name").cast("long") / 20).cast("long").cast("string").alias("source"))
+    return graph.related_by_context(near, nodes, q.select("query_id", F.concat(F.lit("part:"), F.col("query_id") * 20).alias("id")), "query_id", limit=100)
+
+
+@query(f"with {EDGES} select 'nodes' as part, count(*) as n from nodes union all select 'edges', count(*) from g union all select 'metadata', 1")
+def save_graph(spark: SparkSession, sf: str) -> DataFrame:
+    """Writes nodes, edges and metadata and counts what reading them gives."""
+    e, path = edges(spark, sf), scratch_dir(spark, "graph")
+    nodes = graph.nodes_of(e)
+    rooms.save_graph(nodes, e, graph.graph_metadata(nodes, e), path)
+    parts = [spark.read.parquet(f"{path}/{p}").agg(F.lit(p).alias("part"), F.count("*").alias("n")) for p in ("nodes", "edges", "metadata")]
+    return parts[0].unionAll(parts[1]).unionAll(parts[2])
+
+
+@query("""select name, kind, replace(replace(template, '{name}', name), '{text}', case when length(text) > 1000 then substr(text, 1, 1000) || '...' else text end) as prompt
+from files, (values ('overview', 'Describe {name}: {text}'), ('risks', 'List the risks in {text}')) t(kind, template)""")
+def prompt_table(spark: SparkSession, sf: str) -> DataFrame:
+    templates = spark.createDataFrame([("overview", "Describe {name}: {text}"), ("risks", "List the risks in {text}")], "kind string, template string")
+    return reports.prompt_table(corpus(spark, sf, "files"), templates, "name", "text")

@@ -29,10 +29,10 @@ def knn_l2(spark: SparkSession, sf: str) -> DataFrame:
     return vectors.knn_l2(corpus(spark, sf, "embeddings"), _queries(spark, sf), 10)
 
 
-@query(f"with {PAIRS} select query_id, vec_id, round(case when dist <= 2 then 1 - dist / 2 else 0 end, 5) as similarity from near where rank <= 20")
+@query(f"with {PAIRS} select query_id, vec_id, (case when dist <= 2 then 1 - dist / 2 else 0 end) as similarity from near where rank <= 20")
 def distance_to_similarity(spark: SparkSession, sf: str) -> DataFrame:
     near = vectors.knn_l2(corpus(spark, sf, "embeddings"), _queries(spark, sf), 20)
-    return near.select("query_id", "vec_id", F.round(vectors.distance_to_similarity(F.col("dist")), 5).alias("similarity"))
+    return near.select("query_id", "vec_id", vectors.distance_to_similarity(F.col("dist")).alias("similarity"))
 
 
 def _label_score(query_id: str = "query_id", vec_id: str = "vec_id") -> str:
@@ -40,7 +40,7 @@ def _label_score(query_id: str = "query_id", vec_id: str = "vec_id") -> str:
 
 
 @query(f"""with {PAIRS},
-l as (select query_id, vec_id, round(case when dist <= 2 then 1 - dist / 2 else 0 end, 6) as similarity from near where rank <= 20),
+l as (select query_id, vec_id, (case when dist <= 2 then 1 - dist / 2 else 0 end) as similarity from near where rank <= 20),
 f as (select *, row_number() over (partition by query_id order by similarity desc, vec_id) as r, {_label_score()} as score from l where similarity >= 0.2),
 g as (select *, row_number() over (partition by query_id order by score desc, similarity desc, vec_id) as rank from f where r <= 15)
 select query_id, vec_id, similarity, score, rank from g where rank <= 5""")
@@ -85,7 +85,7 @@ def claim_support(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(f"""with {BM25},
 s as (select * from (select *, row_number() over (partition by item_id order by score desc, doc_id) as r from scored where score > 0) where r <= 20),
-dn as (select item_id, vec_id as doc_id, sim from (select item_id, e.vec_id, round(1 - {L2.format(a="b.embedding", b="e.embedding")} / 2, 6) as sim, row_number() over (partition by item_id order by {L2.format(a="b.embedding", b="e.embedding")}, e.vec_id) as r
+dn as (select item_id, vec_id as doc_id, sim from (select item_id, e.vec_id, 1 - {L2.format(a="b.embedding", b="e.embedding")} / 2 as sim, row_number() over (partition by item_id order by {L2.format(a="b.embedding", b="e.embedding")}, e.vec_id) as r
    from benchmark join embeddings b on item_id = b.vec_id, embeddings e) where r <= 20),
 u as (select coalesce(s.item_id, dn.item_id) as item_id, coalesce(s.doc_id, dn.doc_id) as doc_id, coalesce(score, 0.0) as sparse_score, coalesce(sim, 0.0) as dense_score from s full join dn on s.item_id = dn.item_id and s.doc_id = dn.doc_id),
 h as (select *, round(0.3 * sparse_score + 0.7 * dense_score, 6) as score from u)
@@ -95,7 +95,7 @@ def hybrid_search(spark: SparkSession, sf: str) -> DataFrame:
     e = corpus(spark, sf, "embeddings")
     found = sparse.bm25_search(corpus(spark, sf, "documents"), first_words(spark, sf), "doc_id", "item_id", top_k=20)
     asked = corpus(spark, sf, "benchmark").join(e, F.col("item_id") == F.col("vec_id")).select("item_id", F.col("embedding").alias("query_vec"))
-    near = vectors.knn_l2(e, asked, 20, query_key="item_id").select("item_id", F.col("vec_id").alias("doc_id"), F.round(1 - F.col("dist") / 2, 6).alias("score"))
+    near = vectors.knn_l2(e, asked, 20, query_key="item_id").select("item_id", F.col("vec_id").alias("doc_id"), (1 - F.col("dist") / 2).alias("score"))
     return vectors.hybrid_search(found, near, "doc_id", "item_id")
 
 
@@ -239,12 +239,12 @@ def parse_questions(spark: SparkSession, sf: str) -> DataFrame:
     return ck.parse_questions(_markdown(spark, sf))
 
 
-HITS = f"""{PAIRS}, hits as (select query_id, rank, 'doc_' || vec_id || '.txt' as name, round(case when dist <= 2 then 1 - dist / 2 else 0 end, 6) as score, coalesce(d.text, '') as text from near left join documents d on d.doc_id = vec_id where rank <= 8)"""
+HITS = f"""{PAIRS}, hits as (select query_id, rank, 'doc_' || vec_id || '.txt' as name, (case when dist <= 2 then 1 - dist / 2 else 0 end) as score, coalesce(d.text, '') as text from near left join documents d on d.doc_id = vec_id where rank <= 8)"""
 
 
 def _hits(spark: SparkSession, sf: str) -> DataFrame:
     near = vectors.knn_l2(corpus(spark, sf, "embeddings"), _queries(spark, sf), 8)
-    score = F.round(vectors.distance_to_similarity(F.col("dist")), 6)
+    score = vectors.distance_to_similarity(F.col("dist"))
     texts = corpus(spark, sf, "documents").select(F.col("doc_id").alias("vec_id"), "text")
     return near.join(texts, "vec_id", "left").select("query_id", "rank", F.concat(F.lit("doc_"), "vec_id", F.lit(".txt")).alias("name"), score.alias("score"), F.coalesce("text", F.lit("")).alias("text"))
 
@@ -274,3 +274,40 @@ def answered_count(spark: SparkSession, sf: str) -> DataFrame:
     return a.agg(F.count("*").alias("questions"), F.count_if("has_answer").alias("answered"))
 
 
+
+
+TEXTS = "t as (select doc_id as vec_id, text from documents)"
+
+
+@query(f"""with {PAIRS}, {TEXTS}, n as (select query_id, vec_id, rank, dist, text from near join t using (vec_id) where rank <= 8 and dist <= 1.5),
+a as (select *, instr(lower(text), 'the that') as p from n), b as (select *, greatest(p - 101, 0) as f, least(p - 1 + 300, length(text)) as l from a)
+select query_id, rank, vec_id, case when p > 0 then case when f > 0 then '...' else '' end || substr(text, f + 1, l - f) || case when l < length(text) then '...' else '' end else substr(text, 1, 400) end as excerpt,
+  (case when dist <= 2 then 1 - dist / 2 else 0 end) as relevance from b""")
+def document_search(spark: SparkSession, sf: str) -> DataFrame:
+    texts = corpus(spark, sf, "documents").select(F.col("doc_id").alias("vec_id"), "text")
+    return vectors.document_search(corpus(spark, sf, "embeddings"), _queries(spark, sf).withColumn("query_text", F.lit("The that")), texts)
+
+
+FOCUS = VARIANTS.replace("b as (select *, row", "near_rows as (select *, row").replace("from b where k = 1", "from near_rows where k = 1").replace("select n.*, 'label ' || label as text from n join embeddings using (vec_id) where r <= 5", "select n.*, text from n join (select doc_id as vec_id, text from documents) using (vec_id) where r <= 5")
+
+
+@query(f"""with {FOCUS}, a as (select *, instr(lower(text), 'the') as h, case when instr(lower(text), 'ing') > 0 then instr(lower(text), 'ing') else instr(lower(text), 'tion') end as k from found where rank <= 4),
+b as (select *, least(h, k) - 1 as mid from a)
+select focus_id, rank, vec_id, case when h > 0 and k > 0 then substr(text, greatest(mid - 100, 0) + 1, mid + 350 - greatest(mid - 100, 0)) end as excerpt from b""")
+def focus_search(spark: SparkSession, sf: str) -> DataFrame:
+    e = corpus(spark, sf, "embeddings")
+    variants = e.where("vec_id % 50 < 3").select(F.expr("vec_id div 50").alias("focus_id"), (F.col("vec_id") % 3).alias("variant"), F.col("embedding").alias("query_vec"))
+    texts = corpus(spark, sf, "documents").select(F.col("doc_id").alias("vec_id"), "text")
+    return vectors.focus_search(e, variants, texts, F.lit("the"), ["ing", "tion"], 5, 1.9)
+
+
+@query(f"with {PAIRS} select query_id, rank, 'type ' || label as type, 'row ' || near.vec_id as name, dist from near join embeddings e on e.vec_id = near.vec_id where rank <= 5 and dist <= 1.5")
+def analysis_search(spark: SparkSession, sf: str) -> DataFrame:
+    rows = corpus(spark, sf, "embeddings").select("vec_id", "embedding", F.concat(F.lit("type "), "label").alias("type"), F.concat(F.lit("row "), "vec_id").alias("name"))
+    return vectors.analysis_search(rows, _queries(spark, sf))
+
+
+@query(f"""with {PAGES}, i as (select file, s, trim(a) as text, 1::int as item_no, '1. ' || trim(a) as original from md where trim(a) <> '' union all select file, s, 'SHORT', case when trim(a) <> '' then 2 else 1 end::int, '2. SHORT' from md)
+select file, substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ', (s % 26)::int + 1, 1) as letter, 'Section ' || s as category, item_no, text, original from i""")
+def parse_checklist(spark: SparkSession, sf: str) -> DataFrame:
+    return ck.parse_checklist(_markdown(spark, sf))

@@ -187,9 +187,9 @@ def scan_data_room(spark: SparkSession, sf: str) -> DataFrame:
     path = scratch_dir(spark, "room")
     rows = corpus(spark, sf, "files").where("ext = '.txt'").select("name", "text")
     rows.repartition(8).write.partitionBy("name").option("lineSep", "\u0004").text(path)
-    found = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "part-*").load(path)
-    name = F.regexp_extract("path", r"name=([^/]+)/", 1)
-    return found.select(name.alias("name"), F.regexp_replace(F.decode("content", "UTF-8"), "\u0004$", "").alias("text"))
+    found = rooms.scan_data_room(spark, path, "part-*")
+    name = F.regexp_extract("path", r"^name=([^/]+)/", 1)
+    return found.select(name.alias("name"), F.regexp_replace("text", "\u0004$", "").alias("text"))
 
 
 # sparse search

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -21,7 +23,7 @@ def scan_data_room(spark: SparkSession, root: str, glob: str = "*.{txt,md}") ->
     """source, path (below the root), name, text of all text files; a missing root fails."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", glob).load(root)
     base = files.select(F.regexp_replace("path", r"^file:/+", "/").alias("source"), F.decode("content", "UTF-8").alias("text"))
-    path = F.substring("source", len(root.rstrip("/")) + 2, 10_000)
+    path = F.substring("source", len(re.sub(r"^file:/+", "/", root).rstrip("/")) + 2, 10_000)
     return base.select("source", path.alias("path"), F.element_at(F.split("source", "/"), -1).alias("name"), "text")
 
 
