@@ -16,6 +16,7 @@ import struct
 import uuid
 import zlib
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -29,7 +30,7 @@ MAGIC = b"FOLTOK01"
 END_ID = 0
 BLOCK_IDS = 4096
 IDS_PER_FILE = 4_000_000
-REMEMBERED = 400_000  # pieces whose ids a worker keeps at most
+REMEMBERED = 350_000  # pieces (and as many tokens) in each of two generations that a worker keeps
 # Fixed values of the coding: how many ids a word holds, and their bits, by selector.
 COUNTS = (60, 30, 20, 15, 12, 10, 8, 7, 6, 5, 4, 3, 2, 1)
 WIDTHS = (1, 2, 3, 4, 5, 6, 7, 8, 10, 12, 15, 20, 30, 60)
@@ -40,8 +41,8 @@ class Encoder:
     """Ids of whole texts from a byte-level BPE file of the tokenizers library.
 
     Such a tokenizer never joins what lies on both sides of a single blank between two non-blanks, so a text is encoded
-    piece by piece, and pieces by the tokenizer's own split pattern; the ids of both are remembered (at most
-    ``REMEMBERED`` pieces and as many tokens). New tokens go through the library's model many at a time, written as
+    piece by piece, and pieces by the tokenizer's own split pattern; the ids of both are remembered (two
+    generations of ``REMEMBERED`` pieces and tokens). New tokens go through the library's model many at a time, written as
     its characters for bytes; the lengths of the vocabulary's tokens tell where each one ends.
     """
 
@@ -66,6 +67,8 @@ class Encoder:
         self.chars = [chr(b if b in plain else next(others)) for b in range(256)]
         self.inner: dict[str, bytes | None] = {}
         self.tokens: dict[str, bytes] = {}
+        self.old_inner: dict[str, bytes | None] = {}  # the generation before; what is met again moves on
+        self.old_tokens: dict[str, bytes] = {}
 
     def whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
@@ -74,15 +77,26 @@ class Encoder:
         """Remembers the ids of pieces with a blank before; None for those whose ends are white space."""
         inner, tokens, cut = self.inner, self.tokens, {}
         for p in pieces:
-            if not p or p[0].isspace() or p[-1].isspace():
+            if p in self.old_inner:
+                inner[p] = self.old_inner[p]
+                continue
+            if p.isalpha():
+                cut[p] = (" " + p,)
+            elif not p or p[0].isspace() or p[-1].isspace():
                 inner[p] = None
+            elif p[-1] in ".,;:!?" and p[:-1].isalpha():
+                cut[p] = (" " + p[:-1], p[-1])
             elif any(s in p for s in self.special):
                 inner[p] = self.whole(" " + p)
             else:
-                cut[p] = [" " + p] if p.isascii() and p.isalpha() else self.split(" " + p)
-        new = list({t for ts in cut.values() for t in ts if t not in tokens})
+                cut[p] = self.split(" " + p)
+        new = {t for ts in cut.values() for t in ts if t not in tokens}
+        again = [t for t in new if t in self.old_tokens]
+        tokens.update((t, self.old_tokens[t]) for t in again)
+        new = list(new.difference(again))
         if new:
-            written = [t.encode("utf-8", "replace").decode("latin-1").translate(self.chars) for t in new]
+            blank = self.chars[32]
+            written = [(blank + t[1:] if t[0] == " " else t) if t.isascii() and t[1:].isalnum() else t.encode("utf-8", "replace").decode("latin-1").translate(self.chars) for t in new]
             ids = np.array(self.model.encode_batch_fast([" ".join(written)], add_special_tokens=False)[0].ids, dtype="<u4")
             at = np.searchsorted(np.cumsum(self.length[ids]), np.cumsum([len(w) for w in written])) + 1
             raw, begin = ids.tobytes(), 0
@@ -94,9 +108,10 @@ class Encoder:
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text."""
-        for known in (self.inner, self.tokens):
-            if len(known) > REMEMBERED:
-                known.clear()
+        if len(self.inner) > REMEMBERED:
+            self.inner, self.old_inner = {}, self.inner
+        if len(self.tokens) > REMEMBERED:
+            self.tokens, self.old_tokens = {}, self.tokens
         parts = [t.split(" ") for t in texts]
         pieces: set[str] = set()
         for p in parts:
@@ -115,6 +130,12 @@ class Encoder:
         return out
 
 
+@lru_cache(2)
+def encoder(path: str) -> Encoder:
+    """A worker process's encoder: loaded once, and what it remembers serves all of its tasks."""
+    return Encoder(path)
+
+
 _BITS = np.array([max(1, i.bit_length()) for i in range(1 << 16)], dtype=np.uint8)
 
 
@@ -263,13 +284,13 @@ def write_token_files(docs: DataFrame, uri: str, tokenizer: str) -> DataFrame:
     """Writes (doc_id, text) in ascending doc_id order; returns the manifest (file, n_docs, n_ids), stored."""
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, out, name, rows, part = None, None, "", [], TaskContext.get().partitionId()
+        out, name, rows, part = None, "", [], TaskContext.get().partitionId()
         for batch in batches:
-            encoder = encoder or Encoder(tokenizer)
+            known = encoder(tokenizer)
             ids = batch.column(0).to_pylist()
             for i in range(0, len(ids), 256):
                 texts = [t or "" for t in batch.column(1).slice(i, 256).to_pylist()]
-                for d, b in zip(ids[i : i + 256], encoder.encode(texts), strict=True):
+                for d, b in zip(ids[i : i + 256], known.encode(texts), strict=True):
                     if out is None:
                         name = f"part-{part:06d}-{len(rows):04d}.tok"
                         out = _File(f"{uri}/{name}")
