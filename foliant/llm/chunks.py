@@ -138,13 +138,13 @@ def shared_passages(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
 
 def without_passages(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """The documents with removed spans cut from their texts; every column stays, text is replaced."""
-    spans = shared_passages(docs, min_words).select(F.col("doc_id").alias("d"), F.col("key").alias("k"), "removed").where(F.size("removed") > 0).distinct()
+    spans = shared_passages(docs, min_words).select(F.coalesce("doc_id", F.lit(NO_ID)).alias("__d"), F.col("key").alias("__k"), F.col("removed").alias("__r")).where(F.size("__r") > 0).distinct()
     raw = F.encode("text", "UTF-8")
     keep = F.aggregate(
-        "removed",
+        "__r",
         F.struct(F.lit(0).cast("long").alias("at"), F.lit("").cast("binary").alias("out")),
         lambda s, r: F.struct(r["end"].alias("at"), F.concat(s["out"], F.substring(raw, (s["at"] + 1).cast("int"), (r["start"] - s["at"]).cast("int"))).alias("out")),
         lambda s: F.concat(s["out"], F.substring(raw, (s["at"] + 1).cast("int"), F.length(raw))),
     )
-    joined = docs.join(spans.hint("merge"), (F.xxhash64("doc_id", "text") == F.col("k")) & (F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)) == F.col("d")), "left")
-    return joined.select(*[F.when(F.col("removed").isNotNull(), F.decode(keep, "UTF-8")).otherwise(F.col("text")).alias("text") if c == "text" else docs[c] for c in docs.columns])
+    joined = docs.join(spans.hint("merge"), (F.xxhash64("doc_id", "text") == F.col("__k")) & (F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)) == F.col("__d")), "left")
+    return joined.select(*[F.when(F.col("__r").isNotNull(), F.decode(keep, "UTF-8")).otherwise(F.col("text")).alias("text") if c == "text" else docs[c] for c in docs.columns])

@@ -224,7 +224,7 @@ def one_of_each(docs: DataFrame, n: int = N) -> DataFrame:
     """
     classes = jaccard_classes(docs, n)
     wordless = ~F.coalesce("text", F.lit("")).rlike(r"\S")
-    keep = classes.where(F.col("doc_id").eqNullSafe(F.col("class_id"))).groupBy(F.coalesce("class_id", F.lit(-(2**63))).alias("c")).agg(F.min("tkey").alias("k"))
+    keep = classes.where(F.col("doc_id").eqNullSafe(F.col("class_id"))).groupBy(F.coalesce("class_id", F.lit(-(2**63))).alias("__c")).agg(F.min("tkey").alias("__m"))
     keyed = docs.select("*", F.xxhash64("doc_id", "text").alias("__k"))
-    kept = keyed.where(~wordless).join(keep.hint("merge"), (F.col("__k") == F.col("k")) & (F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63))) == F.col("c")), "left_semi")
+    kept = keyed.where(~wordless).join(keep.hint("merge"), (F.col("__k") == F.col("__m")) & (F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63))) == F.col("__c")), "left_semi")
     return kept.dropDuplicates(["__k"]).drop("__k").unionByName(keyed.where(wordless).drop("__k"))

@@ -340,3 +340,16 @@ def test_recall_of_51_word_passages():
         both = set(found[0]) & set(found[1])
         hit += sum(len(c.split()) for c in both) >= chunks.MIN_WORDS
     assert hit >= 0.97 * 300
+
+
+def test_clashing_column_names(spark, docs):
+    """Filters carry every column of the documents, whatever its name."""
+    own = {"k": 1, "c": 2, "d": 3, "key": 4, "score": 5, "class_id": 6, "removed": 7, "n_words": 8, "contaminated": 9, "copies": 10, "tkey": 11, "size": 12, "first": 13, "c0": 14}
+    wide = docs.withColumns({n: F.lit(v) for n, v in own.items()})
+    benchmark = spark.createDataFrame([(1, "one two")], "item_id long, text string")
+    labels = spark.createDataFrame([], "doc_id long, toxic int")
+    for out in (ngram_join.one_of_each(wide), decontam.clean_documents(wide, benchmark), mixing.mixed_documents(wide), chunks.without_passages(wide), toxicity.clean_documents(wide, labels)):
+        assert out.columns == wide.columns
+        assert {tuple(r[n] for n in own) for r in out.collect()} == {tuple(own.values())}
+    for f in (ngram_join.jaccard_classes, licenses.scan_licenses, quality.quality_rules, mixing.mix, chunks.shared_passages):
+        assert f(wide).count() == docs.count()
