@@ -1,8 +1,10 @@
 """N-gram Jaccard join: MinHash bands find candidates, full n-gram sets verify them.
 
 1. Every text gets a digest of its words, MinHash bands and a small sketch; equal word sequences become one node.
-2. Nodes meet in band buckets. A bucket links each member to its smallest and largest member only, so a bucket of n
+2. Nodes meet in band buckets. A bucket first links each member to its smallest and largest member, so a bucket of n
    members gives under 2n candidate edges. Edges whose sketches agree in less than ``LOOSE`` of the places are dropped.
+   Where that leaves members apart, all that are not settled (``SETTLED``) meet each other, by size class and in blocks of
+   ``CELL``: no pair of a bucket that may be within the threshold is left unconnected.
 3. Components of the candidate edges are compared by whole n-gram sets, block by block: large components are cut into
    blocks of ``BLOCK`` nodes and every pair of blocks is one group. A group gives counts and a spanning forest, not pairs.
 
@@ -32,6 +34,11 @@ THRESHOLD = (4, 5)  # the fraction 0.8
 RECALL = 0.9995
 NOISE = (0.4, 0.06)  # a pair of this similarity may share a bucket with this probability
 LOOSE = 0.5
+# Disagreement of sketches is a metric. Whatever agrees in LOOSE + 1 - SETTLED = 0.65 of the places (over five deviations
+# below 0.8) with a node that agrees in SETTLED with a third agrees in LOOSE with the third, so all three are connected.
+SETTLED = 0.85
+CELL = 2048
+SIZE_CLASS = 1.26  # over 1 / 0.8: sizes of linked nodes are at most one class apart
 BLOCK = 256
 REMEMBERED = 1_000_000
 
@@ -108,21 +115,78 @@ def signatures(docs: DataFrame, n: int, bands: int, rows: int) -> DataFrame:
     return rows_.mapInArrow(sign, "doc_id long, tkey long, key binary, size long, bands array<long>, sketch binary")
 
 
+def _agreement(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """The part of the places in which the rows of two sketch tables, or of a table and one sketch, are equal."""
+    return np.count_nonzero(x == y, axis=1) / x.shape[1]
+
+
+def _connected(keys: list[bytes], sketches: np.ndarray, loose: float) -> Iterator[tuple[bytes, bytes]]:
+    """Edges that connect every two nodes of a group that may be within the threshold, fewer than nodes.
+
+    Each node in turn is compared with all that are not settled yet.
+    """
+    label, todo = np.arange(len(keys)), np.arange(len(keys))
+    while len(todo) > 1:
+        pivot, same = todo[0], _agreement(sketches[1:], sketches[0])
+        for other in np.unique(label[todo[1:][same >= loose]]):
+            if other != label[pivot]:
+                yield max(keys[pivot], keys[other]), min(keys[pivot], keys[other])
+                label[label == other] = label[pivot]
+        todo, sketches, stay = todo[1:], sketches[1:], same < SETTLED
+        if not stay.all():
+            todo, sketches = todo[stay], sketches[stay]
+
+
+def _unsettled_edges(nodes: DataFrame, met: DataFrame, compared: DataFrame, loose: float) -> DataFrame:
+    """(a, b) among the members of buckets that the star edges leave in pieces."""
+    inner = met.where("n > 3 and key != low and key != high").select("band", "key", "low", "high")
+    below = compared.select(F.col("a").alias("key"), F.col("b").alias("low"), F.col("same").alias("to_low"))
+    above = compared.select(F.col("a").alias("high"), F.col("b").alias("key"), F.col("same").alias("to_high"))
+    inner = stored(inner.join(below.hint("merge"), ["key", "low"]).join(above.hint("merge"), ["high", "key"]).select("band", "key", "to_low", "to_high"), "inner")
+    pieces = inner.groupBy("band").agg(F.min("to_low").alias("x"), F.min("to_high").alias("y")).where((F.col("x") < loose) & (F.col("y") < loose))
+    left = inner.where(F.greatest("to_low", "to_high") < SETTLED).select("band", "key").join(pieces.hint("merge"), "band", "left_semi")
+    size = F.floor(F.log("size") / F.lit(float(np.log(SIZE_CLASS))))
+    left = left.join(nodes.select("key", size.alias("c")).hint("merge"), "key").select("band", "key", F.explode(F.array("c", F.col("c") + 1)).alias("c"))
+    left = stored(left, "unsettled")
+    cells = left.groupBy("band", "c").agg(F.count("*").alias("n")).where("n > 1").select("band", "c", F.ceil(F.col("n") / CELL).cast("int").alias("g"))
+    left = left.join(cells.hint("merge"), ["band", "c"]).select("*", F.pmod(F.xxhash64("key"), F.col("g")).cast("int").alias("block"))
+    left = left.select("*", F.explode(F.sequence(F.lit(0), F.col("g") - 1)).alias("other")).where("g = 1 or block != other")
+    left = left.select("band", "c", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "key")
+    grouped = left.join(nodes.select("key", "sketch").hint("merge"), "key").select("band", "c", "i", "j", "key", "sketch")
+    grouped = grouped.repartition("band", "c", "i", "j").sortWithinPartitions("band", "c", "i", "j")
+
+    def connect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = (r for b in batches for r in zip(*[c.to_pylist() for c in b.columns], strict=True))
+        out = []
+        for _, group in groupby(rows, lambda r: r[:4]):
+            keys, sketches = zip(*[r[4:] for r in group], strict=True)
+            out += _connected(keys, np.frombuffer(b"".join(sketches), np.uint8).reshape(len(keys), -1), loose)
+            if len(out) > 10_000:
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.binary()) for c in zip(*out, strict=True)], ["a", "b"])
+                out = []
+        if out:
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.binary()) for c in zip(*out, strict=True)], ["a", "b"])
+
+    return grouped.mapInArrow(connect, "a binary, b binary")
+
+
 def candidate_edges(nodes: DataFrame, loose: float = LOOSE) -> DataFrame:
-    """(a, b): nodes of a bucket joined to the bucket's smallest and largest node, where the sketches agree."""
+    """(a, b): edges between nodes of a bucket whose sketches agree, which connect all that may be within the threshold."""
     placed = nodes.select("key", F.explode("bands").alias("band"))
-    buckets = placed.groupBy("band").agg(F.min("key").alias("low"), F.max("key").alias("high")).where("low < high")
-    met = placed.join(buckets.hint("merge"), "band").select(F.col("key").alias("a"), F.explode(F.array("low", "high")).alias("b")).where("a != b")
-    pairs = met.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
+    buckets = placed.groupBy("band").agg(F.min("key").alias("low"), F.max("key").alias("high"), F.count("*").alias("n")).where("low < high")
+    met = stored(placed.join(buckets.hint("merge"), "band").select("band", "key", "low", "high", "n"), "met")
+    ends = met.select(F.col("key").alias("a"), F.explode(F.array("low", "high")).alias("b")).where("a != b")
+    pairs = ends.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
     one, two = nodes.select(F.col("key").alias("a"), F.col("sketch").alias("x")), nodes.select(F.col("key").alias("b"), F.col("sketch").alias("y"))
 
     def agree(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             x, y = [np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8).reshape(batch.num_rows, -1) for c in (2, 3)]
-            yield batch.select([0, 1]).filter(pa.array((x == y).mean(axis=1) >= loose))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(_agreement(x, y))], ["a", "b", "same"])
 
     both = pairs.join(one.hint("merge"), "a").join(two.hint("merge"), "b").select("a", "b", "x", "y")
-    return both.mapInArrow(agree, "a binary, b binary")
+    compared = stored(both.mapInArrow(agree, "a binary, b binary, same double"), "compared")
+    return compared.where(F.col("same") >= loose).select("a", "b").unionAll(_unsettled_edges(nodes, met, compared, loose))
 
 
 def _verified(group: list[tuple], n: int, hashes: WordHashes) -> Iterator[tuple[bytes, int, bytes]]:
@@ -192,7 +256,7 @@ def jaccard_classes(docs: DataFrame, n: int = N) -> DataFrame:
     signed = stored(signatures(docs, n, bands, rows), "signatures")
     first = F.min(F.struct("doc_id", "tkey"))
     ids = signed.where("size > 0").groupBy("key").agg(F.count("*").alias("copies"), F.min("doc_id").alias("low_id"), first.alias("first"))
-    nodes = stored(signed.where("size > 0").select("key", "bands", "sketch").dropDuplicates(["key"]), "nodes")
+    nodes = stored(signed.where("size > 0").select("key", "size", "bands", "sketch").dropDuplicates(["key"]), "nodes")
     parts = stored(connected_components(candidate_edges(nodes)), "parts")
     sizes = parts.groupBy("component").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("g"))
     member = parts.withColumnRenamed("id", "key").join(sizes.hint("merge"), "component").join(ids.hint("merge"), "key")

@@ -90,6 +90,25 @@ def test_ngram_join_of_a_large_group(spark):
     assert all(got[i] == (0, len(links[i])) for i in range(300))
 
 
+def test_near_copies_in_buckets_of_unlike_documents(spark):
+    """A hot passage puts unlike documents into one bucket, also as its ends: near copies between them still meet."""
+    from foliant.functions.components import connected_components
+
+    r = np.random.default_rng(3)
+    texts = r.integers(0, 256, (120, 231), np.uint8)
+    sketches = np.concatenate([texts, texts[10:60]])
+    copies = sketches[120:]
+    copies[:, :46] += r.integers(1, 256, (50, 46)).astype(np.uint8)  # they agree in 0.8 of the places
+    keys = [bytes([i // 256, i % 256]) for i in range(len(sketches))]
+    sizes = [100 + 40 * (i % 2) for i in range(120)] + [int(1.25 * (100 + 40 * (i % 2))) for i in range(10, 60)]
+    nodes = spark.createDataFrame([(k, s, [5], x.tobytes()) for k, s, x in zip(keys, sizes, sketches, strict=True)], "key binary, size long, bands array<long>, sketch binary")
+    for cell in (ngram_join.CELL, 16):
+        ngram_join.CELL, kept = cell, ngram_join.CELL
+        found = {bytes(x.id): bytes(x.component) for x in connected_components(ngram_join.candidate_edges(nodes)).collect()}
+        ngram_join.CELL = kept
+        assert found == {k: keys[i] for i in range(10, 60) for k in (keys[i], keys[110 + i])}
+
+
 def test_bands_reach_the_recall():
     b, r = ngram_join.bands_and_rows(0.8)
     assert 1 - (1 - 0.8**r) ** b >= ngram_join.RECALL
