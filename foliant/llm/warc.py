@@ -2,7 +2,8 @@
 
 Reading: tasks search their files for record magic and emit, for every place that parses, the offset and the offset of
 its successor. Pointer jumping from the start of each file (the jump table doubles its stride each round) keeps the
-records that the chain reaches; magic inside a payload is not on the chain and is rejected.
+records that the chain reaches; magic inside a payload is not on the chain and is rejected. A chain that does not end at
+the last byte of its file raises an error. Headers may have any length.
 
 Records are written by Spark's text writer with the record terminator as line separator, so files are committed by
 Spark's own protocol on any file system.
@@ -29,8 +30,9 @@ RECORDS_PER_FILE = 1000
 DATE = "2000-01-01T00:00:00Z"
 PROFILE = "http://netpreserve.org/warc/1.0/revisit/identical-payload-digest"
 HTTP_HEAD = "HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: "
-MAGIC = re.compile(rb"WARC/1\.[01]\r\n")
-MOST_HEADER = 1 << 16
+# Magic at the start of a file or behind the end of a record: so each byte belongs to the header of one candidate at most.
+MAGIC = re.compile(rb"(?:\A|(?<=\r\n\r\n))WARC/1\.[01]\r\n")
+BLANK_LINE = re.compile(rb"\r\n\r\n")
 READ_SCHEMA = "file string, at long, next long, record_type string, page_id long, refers_to long, payload_bytes long, payload_digest string"
 
 
@@ -73,39 +75,37 @@ def write_archives(pages: DataFrame, path: str, min_bytes: int = 0, records_per_
 
 def _record(data: memoryview, at: int) -> tuple | None:
     """What the record at an offset says, if its header parses."""
-    head = bytes(data[at : at + MOST_HEADER])
-    end = head.find(b"\r\n\r\n")
-    if end < 0:
+    end = BLANK_LINE.search(data, at)
+    if not end:
         return None
     fields = {}
-    for line in head[:end].split(b"\r\n")[1:]:
+    for line in bytes(data[at : end.start()]).split(b"\r\n")[1:]:
         name, _, value = line.partition(b":")
         fields[name.strip().lower()] = value.strip()
     length = fields.get(b"content-length", b"")
     if not length.isdigit():
         return None
-    start = at + end + 4
+    start = end.end()
     stop = start + int(length)
     if stop > len(data):
         return None
     kind = fields.get(b"warc-type", b"").decode("utf-8", "replace")
     ids = [re.search(rb"urn:page:(-?\d+)", fields.get(k, b"")) for k in (b"warc-record-id", b"warc-refers-to")]
     block = data[start:stop]
-    http = bytes(block[:MOST_HEADER])
-    cut = http.find(b"\r\n\r\n")
+    cut = BLANK_LINE.search(block)
     size = digest = None
-    if kind == "response" and cut >= 0:
-        payload = block[cut + 4 :]
+    if kind == "response" and cut:
+        payload = block[cut.end() :]
         size, digest = len(payload), base64.b32encode(hashlib.sha1(payload).digest()).decode()
     elif kind == "revisit":
-        said = re.search(rb"(?i)\r\ncontent-length:\s*(\d+)", http[: cut + 2])
+        said = re.search(rb"(?i)\r\ncontent-length:\s*(\d+)", block[: cut.start() + 2] if cut else block)
         size = int(said[1]) if said else None
         digest = fields.get(b"warc-payload-digest", b"").removeprefix(b"sha1:").decode("ascii", "replace")
     return at, stop + 4, kind, *[int(m[1]) if m else None for m in ids], size, digest
 
 
 def candidates(spark: SparkSession, path: str) -> DataFrame:
-    """Every place with record magic that parses, with its successor's offset."""
+    """Every place with record magic that parses, with its successor's offset, and a row "end" for the end of each file."""
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         schema = pa.schema([("file", pa.string()), ("at", pa.int64()), ("next", pa.int64()), ("record_type", pa.string()), ("page_id", pa.int64()), ("refers_to", pa.int64()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string())])
@@ -113,8 +113,8 @@ def candidates(spark: SparkSession, path: str) -> DataFrame:
             for name, content in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 data = memoryview(content.as_buffer())
                 rows = [(name, *r) for m in MAGIC.finditer(data) if (r := _record(data, m.start()))]
-                if rows:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
+                rows.append((name, len(data), None, "end", None, None, None, None))
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
 
     files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path)
     return files.select("path", "content").mapInArrow(find, READ_SCHEMA)
@@ -141,7 +141,11 @@ def reachable(records: DataFrame) -> DataFrame:
 def read_archives(spark: SparkSession, path: str) -> DataFrame:
     """page_id, payload_bytes, payload_digest, record_type, refers_to of the verified response and revisit records."""
     found = stored(candidates(spark, path), "candidates")
-    live = found.join(reachable(found).hint("merge"), ["file", "at"], "left_semi")
+    reached = stored(reachable(found), "reached")
+    broken = found.where("record_type = 'end'").join(reached.hint("merge"), ["file", "at"], "left_anti").first()
+    if broken:
+        raise ValueError(f"the records of {broken['file']} do not lead to its end at byte {broken['at']}")
+    live = found.join(reached.hint("merge"), ["file", "at"], "left_semi")
     return live.where(F.col("record_type").isin("response", "revisit")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 

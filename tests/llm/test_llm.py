@@ -59,6 +59,24 @@ def test_warc_round_trip_and_magic_in_payloads(spark):
     assert warc.round_trip(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
 
 
+def test_warc_headers_of_any_length(spark):
+    pages = [(1, "u1", "one"), (2, "data:text/plain," + "x" * 100_000, "two"), (3, "u3/WARC/1.0", "three"), (4, "u4", "WARC/1.0\r\n" * 1000)]
+    got = warc.round_trip(spark.createDataFrame(pages, "page_id long, url string, html string").coalesce(1)).collect()
+    assert {r.page_id: r.payload_bytes for r in got} == {1: 3, 2: 3, 3: 5, 4: 10_000}
+
+
+def test_broken_warc_chain_raises(spark, tmp_path):
+    warc.write_archives(spark.createDataFrame([(i, "u", f"page {i}") for i in range(5)], "page_id long, url string, html string").coalesce(1), str(tmp_path / "w"))
+    part = next((tmp_path / "w").glob("part-*"))
+    data = part.read_bytes()
+    assert warc.read_archives(spark, str(tmp_path / "w")).count() == 5
+    for cut in (data[:-20], data.replace(b"msgtype=response\r\nContent-Length: ", b"msgtype=response\r\nContent-Length: 1", 1), data + b"x"):
+        (tmp_path / str(len(cut))).mkdir(exist_ok=True)
+        (tmp_path / str(len(cut)) / "part-0").write_bytes(cut)
+        with pytest.raises(ValueError, match="do not lead"):
+            warc.read_archives(spark, str(tmp_path / str(len(cut))))
+
+
 def brute_links(texts):
     sets = []
     for t in texts:
