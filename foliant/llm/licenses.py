@@ -1,7 +1,7 @@
 """License scans: ordered signature rules behind a keyword prefilter, in DataFrame functions only.
 
-A text is scanned as its lower-case words joined by single blanks. A cheap pattern on the raw text lets few documents
-through; of the rules (each license name in each kind of notice), only those whose keyword occurs are matched. Of
+A text is scanned as its lower-case words joined by single blanks. A cheap gate on the raw text, made from the keywords
+of the rules, lets few documents through, and all that a rule can match; of the rules (each license name in each kind of notice), only those whose keyword occurs are matched. Of
 overlapping detections the longer encloses the shorter, equal ones are settled by priority, and of two that overlap in
 part the one of higher priority stays.
 
@@ -11,6 +11,8 @@ row; other columns are ignored.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -18,7 +20,7 @@ WORD_ANY_CASE = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 # Fixed values of the contract: base phrases and their labels.
 BASE = {"under the mit license": "mit", "apache license version 2": "apache-2", "cc by nc": "cc-by-nc"}
-PREFILTER = r"(?i)licen[sc]|[cC][cC][\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+[bB][yY]|copyleft|spdx|creative commons|public domain|gpl"
+BASE_KEYWORDS = ("cc",)  # of the base phrases without the word license
 # License names as they stand between single blanks, by label: (keyword, pattern).
 _VERSIONED = {
     "gpl": ("gpl", "gnu gpl|gpl", "(?:gnu )?general public licen[sc]e", "general", ("1", "2", "3")),
@@ -102,6 +104,27 @@ def rules() -> list[tuple[str, str, str, int, float]]:
     return out
 
 
+def gate(text: Column) -> Column:
+    """Whether a raw text may match a rule or a base phrase: all words that one needs occur in it.
+
+    A pattern needs "licen[sc]" or its keyword; with the keyword it needs "under", or all of itself if it has no variants.
+    """
+    alone, under = set(BASE_KEYWORDS), set()
+    for _, keyword, pattern, *_ in rules():
+        body = needed = pattern.removeprefix("(?<= )").removesuffix("(?= )")
+        while (shorter := re.sub(r"\(\?:[^()]*\)\?", "", needed)) != needed:
+            needed = shorter
+        if "licen[sc]" in needed:
+            continue
+        if "under " in needed:
+            under.add(keyword)
+        else:
+            alone.add(body if re.fullmatch("[a-z0-9 ]+", body) else keyword)
+    between = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]"
+    has = lambda phrases: F.rlike(text, F.lit(rf"(?i)(?:^|{between})(?:{'|'.join(sorted(phrases)).replace(' ', between + '+')})(?:{between}|$)"))
+    return F.rlike(text, F.lit("(?i)licen[sc]")) | has(alone) | (has({"under"}) & has(under - alone))
+
+
 def _rule_blocks(table: list[tuple[str, str, str, int, float]]) -> Column:
     """One string per keyword: the keyword, then a line per rule (pattern, label, minus its rank, confidence)."""
     blocks: dict[str, list[str]] = {}
@@ -153,7 +176,7 @@ def scan_licenses(docs: DataFrame) -> DataFrame:
     keywords = "|".join(sorted({k for _, k, *_ in table}, key=lambda k: (-len(k), k)))
     gated = docs.select("doc_id", text.alias("text"), F.regexp_count(text, F.lit(WORD_ANY_CASE)).cast("long").alias("n_words"))
     joined = F.concat(F.lit(" "), F.array_join(F.regexp_extract_all(F.translate("text", UPPER, LOWER), F.lit(f"({WORD_ANY_CASE})"), F.lit(1)), " "), F.lit(" "))
-    lined = gated.select("doc_id", "n_words", F.when(F.col("text").rlike(PREFILTER), joined).alias("line"))
+    lined = gated.select("doc_id", "n_words", F.when(gate(F.col("text")), joined).alias("line"))
     seen = lined.select("doc_id", "n_words", "line", F.array_distinct(F.regexp_extract_all("line", F.lit(f"(?<= )({keywords})(?= )"), F.lit(1))).alias("seen"))
     due = F.filter(F.flatten(F.transform(F.filter(_rule_blocks(table), lambda b: F.array_contains(F.col("seen"), _field(b, "\n", 1))), lambda b: F.slice(F.split(b, "\n"), 2, len(table)))), lambda r: F.rlike("line", _field(r, "\t", 1)))
     spans = lambda r: F.transform(

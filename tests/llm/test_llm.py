@@ -223,6 +223,25 @@ def test_license_overlaps(spark):
     assert len(licenses.rules()) > 300
 
 
+def test_license_gate_lets_every_rule_through(spark, monkeypatch):
+    """Texts for every rule, and the same with other characters between words, give what they give without the gate."""
+    fill = lambda p: re.sub(r"\(\?:([^()|]*)[^()]*\)", r"\1", re.sub(r"\(\?:[^()]*\)\?", "", p))
+    texts = []
+    for *_, pattern, _, _ in licenses.rules():
+        t = pattern.removeprefix("(?<= )").removesuffix("(?= )")
+        while (shorter := fill(t)) != t:
+            t = shorter
+        t = re.sub(r".\?", "", t.replace("[sc]", "c")).split("|")[0]
+        texts += [t, f"({t.upper()})", "Text. " + t.replace(" ", "\n-") + ", as is"]
+    texts += ["Released under the Apache 2.0", "distributed under MPL 2.0", "available under the MIT", "WTFPL", "CC0 1.0", "ODbL", "EPL 2.0", "public-domain", "public\ndomain", "Creative\nCommons Attribution 4.0"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
+    found = lambda: {r.doc_id: (r.labels, r.score) for r in licenses.scan_licenses(docs).collect()}
+    gated = found()
+    assert all(gated[len(texts) - k][0] for k in range(1, 11))
+    monkeypatch.setattr(licenses, "gate", lambda text: F.lit(True))
+    assert gated == found() and sum(bool(x) for x, _ in gated.values()) > 0.8 * len(texts)
+
+
 def test_quality(docs, rows, none):
     got = Counter((r.doc_id, r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words, r.base_failed) for r in quality.quality_rules(docs).collect())
     want = Counter()
