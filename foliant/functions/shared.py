@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -29,22 +29,32 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def _range_sorted(df: DataFrame, order: list[Column]) -> DataFrame:
+    """The rows in range partitions, stored, with each one's partition (__part) and position in it (__pos)."""
+    placed = df.repartitionByRange(*order).sortWithinPartitions(*order).select("*", F.monotonically_increasing_id().alias("__id"))
+    return stored(placed, "rank").select("*", F.shiftright("__id", 33).alias("__part"), F.col("__id").bitwiseAND(F.lit((1 << 33) - 1)).alias("__pos"))
+
+
+def _offsets(parts: DataFrame, amount: Column) -> DataFrame:
+    """(__part, __before): the total of the amount in all partitions before each one; as many rows as partitions."""
+    counts = parts.groupBy("__part").agg(amount.alias("__n"))
+    before = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+    return counts.select("__part", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__before"))
+
+
 def global_rank(df: DataFrame, order: list[Column], name: str = "rank") -> DataFrame:
     """Adds a dense 0-based position over a total order without one task seeing all rows.
 
     Range partitions are sorted and numbered on their own; the offsets come from one count per partition.
     """
-    spark = df.sparkSession
-    cols = df.columns
-    parts = stored(
-        df.repartitionByRange(*order).sortWithinPartitions(*order).select("*", F.monotonically_increasing_id().alias("__id")),
-        "rank",
-    ).select("*", F.shiftright("__id", 33).alias("__part"), F.col("__id").bitwiseAND(F.lit((1 << 33) - 1)).alias("__pos"))
-    counts = parts.groupBy("__part").agg(F.count("*").alias("__n"))
-    a, b = counts.alias("a"), counts.alias("b")  # as many rows as partitions
-    offsets = (
-        a.join(F.broadcast(b), F.col("b.__part") < F.col("a.__part"), "left")
-        .groupBy(F.col("a.__part").alias("__part"))
-        .agg(F.coalesce(F.sum("b.__n"), F.lit(0)).alias("__before"))
-    )
-    return parts.join(F.broadcast(offsets), "__part").select(*cols, (F.col("__before") + F.col("__pos")).alias(name))
+    parts = _range_sorted(df, order)
+    offsets = _offsets(parts, F.count("*"))
+    return parts.join(F.broadcast(offsets), "__part").select(*df.columns, (F.col("__before") + F.col("__pos")).alias(name))
+
+
+def running_total(df: DataFrame, order: list[Column], value: str, name: str) -> DataFrame:
+    """Adds the total of a column over all rows before each one in a total order, summed by range partitions."""
+    parts = _range_sorted(df, order)
+    offsets = _offsets(parts, F.sum(value))
+    inside = Window.partitionBy("__part").orderBy("__pos").rowsBetween(Window.unboundedPreceding, -1)
+    return parts.join(F.broadcast(offsets), "__part").select(*df.columns, (F.col("__before") + F.coalesce(F.sum(value).over(inside), F.lit(0))).alias(name))
