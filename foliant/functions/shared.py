@@ -29,6 +29,11 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def boxed(df: DataFrame) -> Column:
+    """All columns of a table as one struct, so that columns of any name can stand beside it (``select("doc.*")`` opens it)."""
+    return F.struct(*[F.col("`" + c.replace("`", "``") + "`") for c in df.columns]).alias("doc")
+
+
 def _range_sorted(df: DataFrame, order: list[Column]) -> DataFrame:
     """The rows in range partitions, stored, with each one's partition (__part) and position in it (__pos)."""
     placed = df.repartitionByRange(*order).sortWithinPartitions(*order).select("*", F.monotonically_increasing_id().alias("__id"))
