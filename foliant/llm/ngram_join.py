@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from foliant.functions.components import connected_components
-from foliant.functions.shared import stored
+from foliant.functions.shared import boxed, stored
 
 N = 5
 THRESHOLD = (4, 5)  # the fraction 0.8
@@ -40,7 +40,7 @@ SETTLED = 0.85
 CELL = 2048
 SIZE_CLASS = 1.26  # over 1 / 0.8: sizes of linked nodes are at most one class apart
 BLOCK = 256
-REMEMBERED = 1_000_000
+REMEMBERED = 200_000  # words, by each worker
 
 
 def bands_and_rows(threshold: float, recall: float = RECALL, noise: tuple[float, float] = NOISE) -> tuple[int, int]:
@@ -59,6 +59,8 @@ class WordHashes(dict):
     def __missing__(self, word: str) -> int:
         import xxhash
 
+        if len(self) > REMEMBERED:
+            self.clear()
         self[word] = h = xxhash.xxh3_64_intdigest(word.encode("utf-8", "surrogatepass"))
         return h
 
@@ -90,9 +92,7 @@ def signatures(docs: DataFrame, n: int, bands: int, rows: int) -> DataFrame:
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
-        for batch in batches:
-            if len(hashes) > REMEMBERED:
-                hashes.clear()
+        for batch in (whole.slice(i, 512) for whole in batches for i in range(0, whole.num_rows, 512)):
             keys, sizes, banded, sketches = [], [], [], []
             for t in batch.column(2).to_pylist():
                 h, digest = shingles(t or "", hashes, n)
@@ -238,8 +238,6 @@ def verified_links(grouped: DataFrame, n: int) -> DataFrame:
         rows = (r for b in batches for r in zip(*[c.to_pylist() for c in b.columns], strict=True))
         out = []
         for _, group in groupby(rows, lambda r: r[:3]):
-            if len(hashes) > REMEMBERED:
-                hashes.clear()
             out += _verified([r[3:] for r in group], n, hashes)
             if len(out) > 10_000:
                 yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*out, strict=True)], ["key", "links", "root"])
@@ -263,7 +261,7 @@ def jaccard_classes(docs: DataFrame, n: int = N) -> DataFrame:
     block = F.pmod(F.xxhash64("key"), F.col("g")).cast("int")
     member = member.select("key", "component", "g", block.alias("block"), "copies", F.col("first.tkey").alias("tkey"), F.col("first.doc_id").alias("d"))
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("doc_id", "text").alias("tkey"), "text")
-    full = texts.join(member.hint("merge"), "tkey").where(F.col("doc_id").eqNullSafe(F.col("d"))).dropDuplicates(["tkey"])
+    full = texts.join(member.hint("merge"), "tkey").where(F.col("doc_id").eqNullSafe(F.col("d"))).dropDuplicates(["key"])
     spread = full.select("*", F.explode(F.sequence(F.lit(0), F.col("g") - 1)).alias("other"))
     i, j = F.least("block", "other"), F.greatest("block", "other")
     side = F.when(i == j, 0).otherwise(F.when(F.col("block") == i, 1).otherwise(2))
@@ -287,8 +285,10 @@ def one_of_each(docs: DataFrame, n: int = N) -> DataFrame:
     Of repeated rows and of rows that share the smallest id, one stays.
     """
     classes = jaccard_classes(docs, n)
-    wordless = ~F.coalesce("text", F.lit("")).rlike(r"\S")
-    keep = classes.where(F.col("doc_id").eqNullSafe(F.col("class_id"))).groupBy(F.coalesce("class_id", F.lit(-(2**63))).alias("__c")).agg(F.min("tkey").alias("__m"))
-    keyed = docs.select("*", F.xxhash64("doc_id", "text").alias("__k"))
-    kept = keyed.where(~wordless).join(keep.hint("merge"), (F.col("__k") == F.col("__m")) & (F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63))) == F.col("__c")), "left_semi")
-    return kept.dropDuplicates(["__k"]).drop("__k").unionByName(keyed.where(wordless).drop("__k"))
+    null = F.lit(-(2**63))
+    keep = classes.where(F.col("doc_id").eqNullSafe(F.col("class_id"))).groupBy(F.coalesce("class_id", null).alias("kept_id")).agg(F.min("tkey").alias("kept_key"))
+    own = docs.select(
+        boxed(docs), F.xxhash64("doc_id", "text").alias("key"), F.coalesce(F.col("doc_id").cast("long"), null).alias("id"), (~F.coalesce("text", F.lit("")).rlike(r"\S")).alias("wordless")
+    )
+    kept = own.where("not wordless").join(keep.hint("merge"), (F.col("key") == F.col("kept_key")) & (F.col("id") == F.col("kept_id")), "left_semi")
+    return kept.dropDuplicates(["key", "id"]).select("doc.*").unionByName(own.where("wordless").select("doc.*"))
