@@ -15,16 +15,19 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from foliant.functions.shared import global_rank, stored
+from foliant.functions.shared import boxed, global_rank, stored
 
-WORDS = r"[^\x20\x09-\x0D]+"
+WORDS = r"[!-\x{10FFFF}\x00-\x08\x0E-\x1F]+"  # all but blanks and \x09-\x0D; the usual range first, as Java tests them in turn
 SOURCE_WEIGHTS = (5, 2, 1)
 BUCKETS = 1024
 
 
-def quality_weight(size: Column) -> Column:
-    """Default document weight: longer documents up to 100 words count more."""
-    return F.lit(0.25) + F.lit(0.75) * F.least(F.lit(1.0), size / F.lit(100.0))
+def quality_weight(size: Column, text: Column) -> Column:
+    """Default document weight from quality rules: less for few words, many symbols and repeated lines."""
+    lines = F.split(F.coalesce(text, F.lit("")), "\n", -1)
+    symbols = F.coalesce(F.regexp_count(text, F.lit(r"[#*$%&|<>]")), F.lit(0)).cast("double") / F.greatest(size, F.lit(1))
+    repeated = (F.size(lines) - F.size(F.array_distinct(lines))).cast("double") / F.size(lines)
+    return (F.lit(0.25) + F.lit(0.75) * F.least(F.lit(1.0), size / F.lit(100.0))) * (F.lit(1.0) - F.lit(0.5) * F.least(F.lit(1.0), F.lit(10.0) * symbols)) * (F.lit(1.0) - F.lit(0.5) * repeated)
 
 
 def source_targets(sizes: DataFrame, share: float = 1.5, most: float = 2.0, weights: tuple[int, ...] = SOURCE_WEIGHTS) -> DataFrame:
@@ -55,8 +58,9 @@ def mix(docs: DataFrame, seed: str = "mix", weight: Column | None = None) -> Dat
     digest = F.md5(F.concat_ws("|", F.lit(seed), F.col("doc_id").cast("string"), F.col("text")))
     u = (F.conv(F.substring(digest, 1, 12), 16, 10).cast("double") + 0.5) / float(1 << 48)
     tkey = F.xxhash64("doc_id", "text").alias("tkey")
-    sized = docs.select("doc_id", F.col("source").cast("string").alias("source"), size.alias("size"), u.alias("u"), tkey)
-    keyed = sized.select("*", (-F.log("u") / (quality_weight(F.col("size")) if weight is None else weight)).alias("key"))
+    weighed = (quality_weight(size, F.col("text")) if weight is None else weight).alias("weight")
+    sized = docs.select("doc_id", F.col("source").cast("string").alias("source"), size.alias("size"), u.alias("u"), tkey, weighed)
+    keyed = sized.select("*", (-F.log("u") / F.col("weight")).alias("key"))
     base = stored(keyed.select("doc_id", "source", "tkey", "size", "key", F.floor((1 - F.exp(-F.col("key"))) * BUCKETS).cast("int").alias("bucket")), "mix")
     targets = source_targets(base.groupBy("source").agg(F.sum("size").alias("source_size")))
     name = lambda: F.coalesce(F.concat(F.lit("="), F.col("source")), F.lit("")).alias("name")
@@ -73,28 +77,32 @@ def mix(docs: DataFrame, seed: str = "mix", weight: Column | None = None) -> Dat
 
 
 def mixed_documents(docs: DataFrame, seed: str = "mix") -> DataFrame:
-    """Every document as many times as the mix takes it, with its columns."""
-    plan = mix(docs, seed).where("copies > 0").groupBy(F.col("tkey").alias("__k"), F.col("doc_id").alias("__d"), F.col("source").alias("__s"))
-    plan = plan.agg(F.sum("copies").alias("__n"))  # of rows with equal id, text and source together
-    keyed = docs.select("*", F.xxhash64("doc_id", "text").alias("__t"))
-    same = (F.col("__t") == F.col("__k")) & F.col("doc_id").eqNullSafe(F.col("__d")) & F.col("source").cast("string").eqNullSafe(F.col("__s"))
-    joined = keyed.join(plan.hint("merge"), same)
-    repeated = keyed.groupBy(F.col("__t").alias("__k"), F.col("doc_id").alias("__d"), F.col("source").cast("string").alias("__s")).count().where("count > 1")
-    if repeated.isEmpty():
-        return joined.select(*docs.columns, F.explode(F.sequence(F.lit(1), F.col("__n").cast("int"))).alias("__i")).drop("__i")
-    place = Window.partitionBy("__k", "__d", "__s").orderBy("__k")  # rows of one id and text: the first ones get one copy more
-    placed = joined.select("*", F.row_number().over(place).alias("__r"), F.count("*").over(place.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)).alias("__c"))
-    n = F.floor(F.col("__n") / F.col("__c")) + F.when(F.col("__r") <= F.col("__n") % F.col("__c"), 1).otherwise(0)
-    counted = placed.select("*", n.cast("int").alias("__m")).where("__m > 0")
-    return counted.select(*docs.columns, F.explode(F.sequence(F.lit(1), F.col("__m"))).alias("__i")).drop("__i")
+    """Every document as many times as the mix takes it, with its columns.
+
+    Rows of equal id, text and source share the copies of all of them: each has as many, the first ones one more.
+    """
+    plan = mix(docs, seed).where("copies > 0").groupBy(F.col("tkey").alias("k"), F.col("doc_id").alias("d"), F.col("source").alias("s")).agg(F.sum("copies").alias("n"))
+    own = docs.select(boxed(docs), F.xxhash64("doc_id", "text").alias("key"), F.col("doc_id").alias("id"), F.col("source").cast("string").alias("src"))
+    same = (F.col("key") == F.col("k")) & F.col("id").eqNullSafe(F.col("d")) & F.col("src").eqNullSafe(F.col("s"))
+    times = lambda rows, n: rows.select("doc", F.explode(F.sequence(F.lit(1), n.cast("int"))).alias("i")).select("doc.*")
+    if own.groupBy("key", "id", "src").count().where("count > 1").isEmpty():
+        return times(own.join(plan.hint("merge"), same), F.col("n"))
+    own = stored(own.withColumn("row", F.monotonically_increasing_id()), "rows")
+    alike = Window.partitionBy("key", "id", "src")  # of numbers alone; the texts are not moved for it
+    light = own.select("row", "key", "id", "src").withColumn("r", F.row_number().over(alike.orderBy("row"))).withColumn("c", F.count("*").over(alike))
+    copies = light.join(plan.hint("merge"), same).select("row", (F.floor(F.col("n") / F.col("c")) + F.when(F.col("r") <= F.col("n") % F.col("c"), 1).otherwise(0)).alias("m"))
+    return times(own.join(copies.where("m > 0").hint("merge"), "row"), F.col("m"))
 
 
 ORACLE = """
 with d as (
   select doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+'))::bigint as size,
+    len(regexp_extract_all(coalesce(text, ''), '[#*$%&|<>]'))::double as symbols, string_split(coalesce(text, ''), chr(10)) as ls,
     (('0x' || substr(md5(concat_ws('|', 'mix', doc_id::varchar, text)), 1, 12))::bigint::double + 0.5) / 281474976710656.0 as u
   from documents),
-k as (select *, -ln(u) / (0.25 + 0.75 * least(1.0, size / 100.0)) as key from d),
+k as (select * exclude (ls, symbols), -ln(u) / ((0.25::double + 0.75::double * least(1.0::double, size / 100.0::double))
+    * (1.0::double - 0.5::double * least(1.0::double, 10.0::double * (symbols / greatest(size, 1))))
+    * (1.0::double - 0.5::double * ((len(ls) - len(list_distinct(ls)))::double / len(ls)))) as key from d),
 s as (select source, sum(size)::bigint as source_size, row_number() over (order by source nulls last) - 1 as rk from k group by source),
 w as (select *, case rk % 3 when 0 then 5.0 when 1 then 2.0 else 1.0 end::double as weight, 2.0::double * source_size as cap from s),
 o as (select *, sum(cap) over (order by cap / weight, rk) as held, sum(weight) over () - sum(weight) over (order by cap / weight, rk) as rest,
