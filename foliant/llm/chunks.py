@@ -1,11 +1,14 @@
 """Substring deduplication by content-defined chunking with a gear rolling hash.
 
 The rolling hash runs over the bytes of a text and depends on the last 16; a chunk ends at white space where the hash
-says so (or at ``MOST`` bytes), so the cuts follow the content and come back into step soon after an insertion. Chunks
+says so, and in stretches of over ``MOST`` bytes without such a place at the end of any character where a stricter
+condition on the hash holds, so the cuts follow the content and come back into step soon after an insertion. Chunks
 are keyed by a 128-bit digest. A chunk that two documents hold is shared; runs of shared chunks of at least ``min_words``
 words are repeated passages. The document with the smallest id keeps a passage, the others lose it.
 
-A passage of at least 51 words keeps over 12 words in whole chunks with a probability of about 0.99.
+A passage of at least 51 words keeps over 12 words in whole chunks with a probability of about 0.99. Words stand between
+white space; in a longer word every further ``LONG_STEP`` bytes behind the first ``LONG_WORD`` count as one, so text
+without blanks has words too.
 
 Defined cases: null and empty texts have no chunk; a null doc_id is kept and comes first; rows with equal id and text are
 one document, repeats inside one document are kept; an empty table gives no row; other columns are ignored.
@@ -20,8 +23,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from foliant.functions.shared import boxed, stored
+
 LEAST, MOST = 16, 512
 CUT = 3  # of 16 values of the hash's top bits
+INNER_CUT = 2048  # of 65,536 values of the hash, away from white space
+LONG_WORD, LONG_STEP = 64, 8
 MIN_WORDS = 12
 NO_ID = -(2**63)
 SCHEMA = "hi long, lo long, doc_id long, key long, loc long"
@@ -37,15 +44,26 @@ def gear_table() -> np.ndarray:
 GEAR = gear_table()
 
 
+def _spaces(b: np.ndarray) -> np.ndarray:
+    return (b == 32) | ((b >= 9) & (b <= 13))
+
+
 def cuts(data: bytes) -> list[int]:
     """Ends of the chunks of a text's bytes."""
     b = np.frombuffer(data, np.uint8)
     h = GEAR[b]
     for s in (1, 2, 4, 8):  # sum of the last 2, 4, 8, 16 table values, each shifted by its age
         h[s:] = h[s:] + (h[:-s] << np.uint16(s))
-    space = (b == 32) | ((b >= 9) & (b <= 13))
     ends, last, n = [], 0, len(b)
-    for e in (np.flatnonzero(space & (h < CUT << 12)) + 1).tolist() + [n]:
+    wanted = (np.flatnonzero(_spaces(b) & (h < CUT << 12)) + 1).tolist() + [n]
+    gaps = np.diff(wanted, prepend=0)
+    if gaps.max(initial=0) > MOST:
+        final = np.append((b[1:] & 0xC0) != 0x80, True)  # the last byte of a character
+        inner = np.flatnonzero(final & (h < INNER_CUT)) + 1
+        for i in np.flatnonzero(gaps > MOST):
+            wanted += inner[slice(*np.searchsorted(inner, [wanted[i] - gaps[i] + 1, wanted[i]]))].tolist()
+        wanted.sort()
+    for e in wanted:
         while e - last > MOST:
             cut = last + MOST
             while (b[cut] & 0xC0) == 0x80:  # not inside a character
@@ -59,6 +77,17 @@ def cuts(data: bytes) -> list[int]:
     return ends
 
 
+def word_starts(data: bytes) -> np.ndarray:
+    """For each byte, whether a word starts there."""
+    space = _spaces(np.frombuffer(data, np.uint8))
+    starts = ~space
+    starts[1:] &= space[:-1]
+    begins, stops = np.flatnonzero(starts), np.flatnonzero(np.append(~space[:-1] & space[1:], not space[-1])) + 1
+    for i in np.flatnonzero(stops - begins > LONG_WORD):
+        starts[begins[i] + LONG_WORD : stops[i] : LONG_STEP] = True
+    return starts
+
+
 def chunk_rows(docs: DataFrame) -> DataFrame:
     """(hi, lo, doc_id, key, loc) per chunk; loc packs the start byte (42 bits), the length and the words (11 bits each)."""
 
@@ -84,11 +113,7 @@ def chunk_rows(docs: DataFrame) -> DataFrame:
                 starts = [0, *ends[:-1]]
                 for s, e in zip(starts, ends, strict=True):
                     digests.append(xxhash.xxh3_128_digest(data[s:e]))
-                b = np.frombuffer(data, np.uint8)
-                space = (b == 32) | ((b >= 9) & (b <= 13))
-                begins = ~space
-                begins[1:] &= space[:-1]
-                total = np.append(0, np.cumsum(begins))
+                total = np.append(0, np.cumsum(word_starts(data)))
                 s, e = np.array(starts, np.int64), np.array(ends, np.int64)
                 locs.append((s << 22) | ((e - s) << 11) | (total[e] - total[s]))
                 docs_.append(np.full(len(s), NO_ID if i is None else i, np.int64))
@@ -103,7 +128,7 @@ def chunk_rows(docs: DataFrame) -> DataFrame:
 
 def shared_passages(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """Per document: doc_id, key, n_shared_words, n_removed_words, first_docs, shared and removed spans (bytes, words)."""
-    rows = chunk_rows(docs)
+    rows = stored(chunk_rows(docs), "chunks")
     held = rows.groupBy("hi", "lo").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last").select("hi", "lo", "first")
     met = rows.join(held.hint("merge"), ["hi", "lo"]).groupBy("doc_id", "key").agg(F.sort_array(F.collect_set(F.struct("loc", "first"))).alias("at"))
     span = "struct<start:bigint,end:bigint,words:bigint>"
@@ -138,13 +163,15 @@ def shared_passages(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
 
 def without_passages(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """The documents with removed spans cut from their texts; every column stays, text is replaced."""
-    spans = shared_passages(docs, min_words).select(F.coalesce("doc_id", F.lit(NO_ID)).alias("__d"), F.col("key").alias("__k"), F.col("removed").alias("__r")).where(F.size("__r") > 0).distinct()
-    raw = F.encode("text", "UTF-8")
+    spans = shared_passages(docs, min_words).where(F.size("removed") > 0).select(F.coalesce("doc_id", F.lit(NO_ID)).alias("d"), F.col("key").alias("k"), "removed").distinct()
+    own = docs.select(boxed(docs), F.xxhash64("doc_id", "text").alias("key"), F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("id"))
+    joined = own.join(spans.hint("merge"), (F.col("key") == F.col("k")) & (F.col("id") == F.col("d")), "left")
+    raw = F.encode("doc.text", "UTF-8")
     keep = F.aggregate(
-        "__r",
+        "removed",
         F.struct(F.lit(0).cast("long").alias("at"), F.lit("").cast("binary").alias("out")),
         lambda s, r: F.struct(r["end"].alias("at"), F.concat(s["out"], F.substring(raw, (s["at"] + 1).cast("int"), (r["start"] - s["at"]).cast("int"))).alias("out")),
         lambda s: F.concat(s["out"], F.substring(raw, (s["at"] + 1).cast("int"), F.length(raw))),
     )
-    joined = docs.join(spans.hint("merge"), (F.xxhash64("doc_id", "text") == F.col("__k")) & (F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)) == F.col("__d")), "left")
-    return joined.select(*[F.when(F.col("__r").isNotNull(), F.decode(keep, "UTF-8")).otherwise(F.col("text")).alias("text") if c == "text" else docs[c] for c in docs.columns])
+    text = F.when(F.col("removed").isNotNull(), F.decode(keep, "UTF-8")).otherwise(F.col("doc.text"))
+    return joined.select(F.col("doc").withField("text", text).alias("doc")).select("doc.*")
