@@ -16,7 +16,7 @@ import re
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-WORD_ANY_CASE = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+WORD_ANY_CASE = r"[a-zA-Z0-9\x80-\x{10FFFF}]+"  # the most frequent range first, as Java tests them in turn
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 # Fixed values of the contract: base phrases and their labels.
 BASE = {"under the mit license": "mit", "apache license version 2": "apache-2", "cc by nc": "cc-by-nc"}
@@ -175,7 +175,7 @@ def scan_licenses(docs: DataFrame) -> DataFrame:
     table = rules()
     keywords = "|".join(sorted({k for _, k, *_ in table}, key=lambda k: (-len(k), k)))
     gated = docs.select("doc_id", text.alias("text"), F.regexp_count(text, F.lit(WORD_ANY_CASE)).cast("long").alias("n_words"))
-    joined = F.concat(F.lit(" "), F.array_join(F.regexp_extract_all(F.translate("text", UPPER, LOWER), F.lit(f"({WORD_ANY_CASE})"), F.lit(1)), " "), F.lit(" "))
+    joined = F.concat(F.lit(" "), F.array_join(F.regexp_extract_all(F.translate("text", UPPER, LOWER), F.lit(WORD_ANY_CASE), F.lit(0)), " "), F.lit(" "))
     lined = gated.select("doc_id", "n_words", F.when(gate(F.col("text")), joined).alias("line"))
     seen = lined.select("doc_id", "n_words", "line", F.array_distinct(F.regexp_extract_all("line", F.lit(f"(?<= )({keywords})(?= )"), F.lit(1))).alias("seen"))
     due = F.filter(F.flatten(F.transform(F.filter(_rule_blocks(table), lambda b: F.array_contains(F.col("seen"), _field(b, "\n", 1))), lambda b: F.slice(F.split(b, "\n"), 2, len(table)))), lambda r: F.rlike("line", _field(r, "\t", 1)))

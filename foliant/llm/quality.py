@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from foliant.functions.shared import stored
 
-WORDS = r"[^\x20\x09-\x0D]+"
+WORDS = r"[!-\x{10FFFF}\x00-\x08\x0E-\x1F]+"  # all but blanks and \x09-\x0D; the usual range first, as Java tests them in turn
 HOST_LIMIT = 0.5
 SALTS = 64
 RULES = ("few_words", "repeated_words", "many_symbols", "dup_lines", "word_length")
@@ -25,7 +25,7 @@ def document_counts(docs: DataFrame) -> DataFrame:
     """doc_id, source, n_words, word_chars, n_symbols, n_dup_lines and n_repeat_words of whole texts."""
     has_word = lambda line: line.rlike(r"[^\x20\x09-\x0D]")
     text = F.coalesce("text", F.lit(""))
-    split = docs.select("doc_id", "source", text.alias("text"), F.regexp_extract_all(text, F.lit(f"({WORDS})"), F.lit(1)).alias("words"))
+    split = docs.select("doc_id", "source", text.alias("text"), F.regexp_extract_all(text, F.lit(WORDS), F.lit(0)).alias("words"))
     lines = F.filter(F.split("text", "\n", -1), has_word)
 
     def window(w: Column, i: Column) -> Column:
