@@ -10,6 +10,7 @@ written; an empty table gives no file and no row; other columns are ignored.
 
 from __future__ import annotations
 
+import json
 import os
 import re
 import struct
@@ -20,43 +21,55 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foliant.functions.shared import scratch_dir, stored
+from foliant.functions.shared import running_total, scratch_dir, stored
 
 MAGIC = b"FOLTOK01"
 END_ID = 0
 BLOCK_IDS = 4096
 IDS_PER_FILE = 4_000_000
-REMEMBERED = 300_000  # pieces (and as many tokens) in each of two generations that a worker keeps
+REMEMBERED = 300_000  # pieces in each of two generations that a worker keeps
+BATCH_BYTES = 12 << 20  # of texts that are encoded together
 # Fixed values of the coding: how many ids a word holds, and their bits, by selector.
 COUNTS = (60, 30, 20, 15, 12, 10, 8, 7, 6, 5, 4, 3, 2, 1)
 WIDTHS = (1, 2, 3, 4, 5, 6, 7, 8, 10, 12, 15, 20, 30, 60)
 ESCAPE = 15
 
 
+def _strings(texts: pa.Array) -> list[str]:
+    """The texts as Python strings; by way of numpy, which is several times faster than ``to_pylist``."""
+    return texts.to_numpy(zero_copy_only=False).tolist()
+
+
 class Encoder:
     """Ids of whole texts from a byte-level BPE file of the tokenizers library.
 
-    Such a tokenizer never joins what lies on both sides of a single blank between two non-blanks, so a text is encoded
-    piece by piece, and pieces by the tokenizer's own split pattern; the ids of both are remembered (two
-    generations of ``REMEMBERED`` pieces and tokens). New tokens go through the library's model many at a time, written as
-    its characters for bytes; the lengths of the vocabulary's tokens tell where each one ends.
+    Such a tokenizer never joins what lies on both sides of a single blank or line end between two non-blanks, so texts are
+    cut there, the distinct pieces of a batch are looked up or encoded once, and the ids are gathered by piece. Pieces are
+    cut by the tokenizer's own split pattern; ids are remembered (two generations of ``REMEMBERED``). New tokens go through
+    the library's model many at a time, written as its characters for bytes; the lengths of the vocabulary's tokens tell
+    where each one ends.
     """
 
     def __init__(self, path: str) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         import public_tokenizers
         import regex
-        from tokenizers import Tokenizer, pre_tokenizers
+        from tokenizers import Tokenizer, models, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.model = Tokenizer(self.tokenizer.model)
+        with open(path, encoding="utf-8") as f:
+            model = json.load(f)["model"]
+        merges = [tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in model["merges"]]
+        self.model = Tokenizer(models.BPE(vocab=model["vocab"], merges=merges, cache_capacity=0))  # it sees no token twice
         self.model.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
         self.split = regex.compile(public_tokenizers.PATTERN).findall
-        self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        special = [re.escape(t.content) for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.special = re.compile("|".join(special) or "(?!)").search
         vocabulary = self.tokenizer.get_vocab()
         self.length = np.zeros(max(vocabulary.values()) + 1, np.int64)
         for token, i in vocabulary.items():
@@ -65,70 +78,123 @@ class Encoder:
         plain = {*range(33, 127), *range(161, 173), *range(174, 256)}
         others = iter(range(256, 512))
         self.chars = [chr(b if b in plain else next(others)) for b in range(256)]
-        self.inner: dict[str, bytes | None] = {}
-        self.tokens: dict[str, bytes] = {}
-        self.old_inner: dict[str, bytes | None] = {}  # the generation before; what is met again moves on
-        self.old_tokens: dict[str, bytes] = {}
-
-    def whole(self, text: str) -> bytes:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
-
-    def _learn(self, pieces: list[str]) -> None:
-        """Remembers the ids of pieces with a blank before; None for those whose ends are white space."""
-        inner, tokens, cut = self.inner, self.tokens, {}
-        for p in pieces:
-            if p in self.old_inner:
-                inner[p] = self.old_inner[p]
+        self.line_end = self.whole(["\n"])[0]
+        self.led: dict[str, bytes] = {}  # pieces and tokens with a blank before
+        self.bare: dict[str, bytes] = {}  # tokens without one
+        self.old_led: dict[str, bytes] = {}  # the generation before; what is met again moves on
+        self.old_bare: dict[str, bytes] = {}
+
+    def whole(self, texts: list[str]) -> list[bytes]:
+        """Ids of texts by the library alone."""
+        return [np.array(e.ids, dtype="<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _learn(self, led: list[str], bare: list[str]) -> None:
+        """Remembers the ids of tokens with and without a blank before."""
+        blank, chars = self.chars[32], self.chars
+        plain = lambda t: t.isascii() and t.isalnum()
+        written = [blank + t if plain(t) else (" " + t).encode().decode("latin-1").translate(chars) for t in led]
+        written += [t if plain(t) else t.encode().decode("latin-1").translate(chars) for t in bare]
+        ids = np.array(self.model.encode_batch_fast([" ".join(written)], add_special_tokens=False)[0].ids, dtype="<u4")
+        ends = (4 * np.searchsorted(np.cumsum(self.length[ids]), np.cumsum(list(map(len, written)))) + 4).tolist()
+        raw = ids.tobytes()
+        found = [raw[i:j] for i, j in zip([0, *ends], ends)]  # noqa: B905
+        self.led.update(zip(led, found))  # noqa: B905
+        self.bare.update(zip(bare, found[len(led) :], strict=True))
+
+    def _found(self, pieces: list[str]) -> list[bytes | None]:
+        """Ids of distinct pieces with a blank before, or those that begin with a line end; None beside more white space."""
+        if len(self.led) > REMEMBERED:
+            self.led, self.old_led = {}, self.led
+        if len(self.bare) > REMEMBERED:
+            self.bare, self.old_bare = {}, self.bare
+        led, bare, old = self.led, self.bare, self.old_led
+        out = list(map(led.get, pieces))
+        alone, parts, whole = [], [], []
+        for i in [i for i, ids in enumerate(out) if ids is None]:
+            p = pieces[i]
+            if p in old:
+                out[i] = led[p] = old[p]
+            elif p.isalpha():
+                alone.append(i)
+            elif not p or p[-1].isspace():
+                continue
+            elif p[0] == "\n":
+                if p[1].isspace():
+                    continue
+                if p[1:].isalpha():
+                    parts.append((i, None, (p[1:],)))
+                elif self.special(p):
+                    whole.append((i, p))
+                else:
+                    parts.append((i, None, self.split(p[1:])))
+            elif p[0].isspace():
                 continue
-            if p.isalpha():
-                cut[p] = (" " + p,)
-            elif not p or p[0].isspace() or p[-1].isspace():
-                inner[p] = None
             elif p[-1] in ".,;:!?" and p[:-1].isalpha():
-                cut[p] = (" " + p[:-1], p[-1])
-            elif any(s in p for s in self.special):
-                inner[p] = self.whole(" " + p)
+                parts.append((i, p[:-1], (p[-1],)))
+            elif self.special(p):
+                whole.append((i, " " + p))
             else:
-                cut[p] = self.split(" " + p)
-        new = {t for ts in cut.values() for t in ts if t not in tokens}
-        again = [t for t in new if t in self.old_tokens]
-        tokens.update((t, self.old_tokens[t]) for t in again)
-        new = list(new.difference(again))
-        if new:
-            blank = self.chars[32]
-            written = [(blank + t[1:] if t[0] == " " else t) if t.isascii() and t[1:].isalnum() else t.encode("utf-8", "replace").decode("latin-1").translate(self.chars) for t in new]
-            ids = np.array(self.model.encode_batch_fast([" ".join(written)], add_special_tokens=False)[0].ids, dtype="<u4")
-            at = np.searchsorted(np.cumsum(self.length[ids]), np.cumsum([len(w) for w in written])) + 1
-            raw, begin = ids.tobytes(), 0
-            for t, end in zip(new, (4 * at).tolist(), strict=True):
-                tokens[t] = raw[begin:end]
-                begin = end
-        for p, ts in cut.items():
-            inner[p] = tokens[ts[0]] if len(ts) == 1 else b"".join([tokens[t] for t in ts])
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """Little-endian unsigned 32-bit ids of each text."""
-        if len(self.inner) > REMEMBERED:
-            self.inner, self.old_inner = {}, self.inner
-        if len(self.tokens) > REMEMBERED:
-            self.tokens, self.old_tokens = {}, self.tokens
-        parts = [t.split(" ") for t in texts]
-        pieces: set[str] = set()
-        for p in parts:
-            pieces.update(p[1:])
-        self._learn([p for p in pieces if p not in self.inner])
-        out = []
-        for t, p in zip(texts, parts, strict=True):
-            try:
-                rest = b"".join(map(self.inner.__getitem__, p[1:]))
-                if p[0][-1:].isspace() or (not p[0] and len(p) > 1):
-                    raise TypeError
-            except TypeError:  # white space beside a blank: only blanks between non-blanks part the text
-                p = re.split(r"(?<=\S) (?=\S)", t)
-                rest = b"".join(self.whole(" " + x) for x in p[1:])
-            out.append(self.whole(p[0]) + rest)
+                first, *rest = self.split(" " + p)
+                parts.append((i, first[1:], rest))
+        new = {t for _, t, _ in parts if t and t not in led}
+        moved = [t for t in new if t in old]
+        led.update((t, old[t]) for t in moved)
+        new.difference_update(moved)
+        new.update([pieces[i] for i in alone])
+        loose = {t for *_, ts in parts for t in ts if t not in bare}
+        moved = [t for t in loose if t in self.old_bare]
+        bare.update((t, self.old_bare[t]) for t in moved)
+        loose.difference_update(moved)
+        if new or loose:
+            self._learn(list(new), list(loose))
+        for i in alone:
+            out[i] = led[pieces[i]]
+        end = self.line_end
+        for i, t, ts in parts:
+            out[i] = led[pieces[i]] = (end if t is None else led[t]) + (bare[ts[0]] if len(ts) == 1 else b"".join([bare[x] for x in ts]))
+        for (i, _), ids in zip(whole, self.whole([t for _, t in whole]), strict=True):
+            out[i] = ids
         return out
 
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts one after the other, each text's followed by the end id; and each text's number of ids."""
+        n = len(texts)
+        cut = pc.split_pattern(pc.replace_substring(texts, "\n", " \n"), " ")
+        offsets, pieces = cut.offsets.to_numpy().astype(np.int64), cut.flatten()
+        begins, held = offsets[:-1], pieces.dictionary_encode()
+        firsts = pieces.take(pa.array(begins)).dictionary_encode()
+        found, heads = self._found(_strings(held.dictionary)), _strings(firsts.dictionary)
+        code = held.indices.to_numpy().copy()
+        odd = np.array([f is None for f in found], bool)[code]
+        odd[begins] = np.array([not h or h[-1].isspace() for h in heads], bool)[firsts.indices.to_numpy()] & (np.diff(offsets) > 1)
+        table = [f or b"" for f in found]
+        code[begins] = firsts.indices.to_numpy() + len(table)
+        table += self.whole(heads)
+        none, end = len(table), len(table) + 1
+        table += [b"", struct.pack("<I", END_ID)]
+        for i in np.flatnonzero(np.logical_or.reduceat(odd, begins)):  # white space beside a blank or line end
+            code[offsets[i] : offsets[i + 1]] = none
+            code[offsets[i]] = len(table)
+            parts = re.split(r"(?<=\S) (?=\S)", texts[i].as_py())  # only blanks between non-blanks part such a text
+            table.append(b"".join(self.whole([parts[0], *(" " + p for p in parts[1:])])))
+        code = np.insert(code, offsets[1:], end)
+        lengths = np.fromiter(map(len, table), np.int64, len(table)) // 4
+        flat, starts = np.frombuffer(b"".join(table), "<u4"), np.cumsum(lengths) - lengths
+        taken = lengths[code]
+        place = np.repeat((starts[code] - (np.cumsum(taken) - taken)).astype(np.int32), taken)
+        place += np.arange(len(place), dtype=np.int32)
+        return flat[place], np.add.reduceat(taken, begins + np.arange(n))
+
+
+def parts_of(texts: pa.Array, most_bytes: int = BATCH_BYTES) -> Iterator[pa.Array]:
+    """The texts in slices of about so many bytes, at least one text each."""
+    sizes = np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False))
+    at = 0
+    while at < len(texts):
+        end = max(at + 1, int(np.searchsorted(sizes, (sizes[at - 1] if at else 0) + most_bytes, "right")))
+        yield texts.slice(at, end - at)
+        at = end
+
 
 @lru_cache(2)
 def encoder(path: str) -> Encoder:
@@ -221,24 +287,26 @@ class _File:
     def __init__(self, uri: str) -> None:
         from pyarrow import fs
 
-        self.fs, self.path = fs.FileSystem.from_uri(uri)
+        self.fs, self.path = fs.FileSystem.from_uri(re.sub("^s3[an]:", "s3:", uri))
         self.temp = f"{self.path}.{uuid.uuid4().hex}.part"
         self.fs.create_dir(self.path.rsplit("/", 1)[0], recursive=True)
         self.out = self.fs.open_output_stream(self.temp)
         self.out.write(MAGIC)
-        self.docs: list[tuple[int, bool, int]] = []
+        self.docs: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
         self.blocks: list[int] = []
         self.words, self.ids, self.rest, self.held = 0, 0, [], 0
 
-    def add(self, doc_id: int | None, ids: np.ndarray) -> None:
-        self.docs.append((doc_id or 0, doc_id is None, len(ids)))
+    def add(self, doc_ids: pa.Array, ids: np.ndarray, lengths: np.ndarray) -> None:
+        """Some documents, their ids one after the other, and each one's number of ids."""
+        self.docs.append((doc_ids.fill_null(0).to_numpy(), doc_ids.is_null().to_numpy(zero_copy_only=False), lengths))
         self.ids += len(ids)
         self.rest.append(ids)
         self.held += len(ids)
         if self.held >= 64 * BLOCK_IDS:
             ids = np.concatenate(self.rest)
             whole = len(ids) // BLOCK_IDS * BLOCK_IDS
-            self._write(ids[:whole])
+            for i in range(0, whole, 64 * BLOCK_IDS):
+                self._write(ids[i : min(whole, i + 64 * BLOCK_IDS)])
             self.rest = [ids[whole:].copy()]
             self.held = len(ids) - whole
 
@@ -251,8 +319,8 @@ class _File:
     def close(self) -> tuple[int, int]:
         if self.held:
             self._write(np.concatenate(self.rest))
-        ids, null, n = zip(*self.docs, strict=True)
-        self.out.write(np.array(ids, dtype="<i8").tobytes() + np.array(null, dtype="u1").tobytes() + np.array(n, dtype="<u8").tobytes())
+        ids, null, n = map(np.concatenate, zip(*self.docs, strict=True))
+        self.out.write(ids.astype("<i8").tobytes() + null.astype("u1").tobytes() + n.astype("<u8").tobytes())
         self.out.write(np.array(self.blocks, dtype="<u8").tobytes())
         self.out.write(struct.pack("<5Q", len(ids), self.ids, len(self.blocks), self.words, BLOCK_IDS) + MAGIC)
         self.out.close()
@@ -281,30 +349,28 @@ def parse(content: bytes) -> tuple[list[int | None], np.ndarray, Iterator[np.nda
 
 
 def write_token_files(docs: DataFrame, uri: str, tokenizer: str) -> DataFrame:
-    """Writes (doc_id, text) in ascending doc_id order; returns the manifest (file, n_docs, n_ids), stored."""
+    """Writes (doc_id, text) in ascending doc_id order; returns the manifest (part, no, file, n_docs, n_ids), stored."""
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out, name, rows, part = None, "", [], TaskContext.get().partitionId()
         for batch in batches:
-            known = encoder(tokenizer)
-            ids = batch.column(0).to_pylist()
-            for i in range(0, len(ids), 256):
-                texts = [t or "" for t in batch.column(1).slice(i, 256).to_pylist()]
-                for d, b in zip(ids[i : i + 256], known.encode(texts), strict=True):
-                    if out is None:
-                        name = f"part-{part:06d}-{len(rows):04d}.tok"
-                        out = _File(f"{uri}/{name}")
-                    out.add(d, np.frombuffer(b + struct.pack("<I", END_ID), "<u4"))
-                    if out.ids >= IDS_PER_FILE:
-                        rows.append((name, *out.close()))
-                        out = None
+            known, at = encoder(tokenizer), 0
+            for texts in parts_of(batch.column(1).fill_null("")):
+                if out is None:
+                    name = f"part-{part:06d}-{len(rows):04d}.tok"
+                    out = _File(f"{uri}/{name}")
+                out.add(batch.column(0).slice(at, len(texts)), *known.encode(texts))
+                at += len(texts)
+                if out.ids >= IDS_PER_FILE:
+                    rows.append((part, len(rows), name, *out.close()))
+                    out = None
         if out is not None:
-            rows.append((name, *out.close()))
+            rows.append((part, len(rows), name, *out.close()))
         if rows:
-            yield pa.RecordBatch.from_arrays([pa.array(x) for x in zip(*rows, strict=True)], ["file", "n_docs", "n_ids"])
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in zip(*rows, strict=True)], ["part", "no", "file", "n_docs", "n_ids"])
 
     ordered = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").repartitionByRange(F.col("doc_id")).sortWithinPartitions("doc_id", "text")
-    return stored(ordered.mapInArrow(write, "file string, n_docs long, n_ids long"), "token-manifest")
+    return stored(ordered.mapInArrow(write, "part long, no long, file string, n_docs long, n_ids long"), "token-manifest")
 
 
 def read_token_files(spark: SparkSession, uri: str) -> DataFrame:
@@ -350,8 +416,7 @@ def token_output(docs: DataFrame, tokenizer: str) -> DataFrame:
     manifest = write_token_files(docs, uri, tokenizer)
     if manifest.isEmpty():
         return spark.createDataFrame([], "doc_id long, start long, n_tokens long, ids_crc32 long")
-    before = Window.orderBy("file").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = manifest.select("file", F.coalesce(F.sum("n_ids").over(before), F.lit(0)).alias("before"))
+    offsets = running_total(manifest, [F.col("part"), F.col("no")], "n_ids", "before").select("file", "before")
     return (
         read_token_files(spark, uri)
         .join(offsets.hint("merge"), "file")
