@@ -44,7 +44,7 @@ def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, benchmark = table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")
-    return decontam.decontaminate(docs, benchmark).select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
+    return decontam.decontaminate(docs, benchmark).drop("key")
 
 
 def op9_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
