@@ -4,12 +4,13 @@ The score is a logistic function of ``b + sum(w_i) + sum over pairs <v_i, v_j>``
 so a pair of terms (an insult with a group mention) can count more or less than both alone. Terms are words and word
 starts, hashed; the terms most associated with the label in the training rows have weights, others have none.
 
-Training is one task over a bounded sample: at most ``MOST_ROWS`` labelled rows (those with the smallest hash of their id),
-never rows whose crc32(doc_id) mod 3 is 1. Only the label and the text are read. The model is some 100 KB.
+Training is one task over a bounded sample: at most ``MOST_ROWS`` labelled ids (those with the smallest hash of their id)
+with texts of ``MOST_BYTES`` in all, never ids whose crc32 mod 3 is 1. Only the label and the text are read. The model is
+some 100 KB.
 
 Defined cases: a null or empty text has no term and scores the model's bias; a null doc_id is not held out and cannot be
-labelled; contradicting labels of one id count as toxic; without labels every score is 0; repeated rows get equal
-scores; other columns are ignored or, in ``clean_documents``, kept.
+labelled; contradicting labels of one id count as toxic, of several texts of one id the one with the smallest hash trains;
+without labels every score is 0; repeated rows get equal scores; other columns are ignored or, in ``clean_documents``, kept.
 """
 
 from __future__ import annotations
@@ -21,7 +22,7 @@ from itertools import chain
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 HASH_BITS = 22
@@ -30,9 +31,11 @@ FEATURES = 2048
 FACTORS = 4
 LEAST_Z = 3.0  # of a term's association with the label
 MOST_ROWS = 5000
+MOST_BYTES = 64 << 20
 STEPS = 250
 LIMIT = 0.7
-REMEMBERED = 500_000
+REMEMBERED = 100_000  # words and word starts
+BATCH_ROWS = 256
 WORD = re.compile(r"[^\W_]+")
 
 
@@ -54,6 +57,9 @@ class Terms(dict):
         return (h,) if self.only is None or h in self.only else ()
 
     def __missing__(self, word: str) -> tuple[int, ...]:
+        if len(self) + len(self.starts) > REMEMBERED:
+            self.clear()
+            self.starts.clear()
         out = self._hash(f"={word}")
         for n in STARTS:
             if len(word) >= n:
@@ -68,7 +74,7 @@ class Terms(dict):
 def text_terms(text: str, terms: Terms) -> np.ndarray:
     """The distinct hashed terms of a text."""
     words = set(WORD.findall(text.lower()))
-    return np.sort(np.fromiter(set(chain.from_iterable(map(terms.__getitem__, words))), np.int64))
+    return np.sort(np.fromiter(set(chain.from_iterable(map(terms.__getitem__, words))), np.int32))
 
 
 def fit(texts: list[np.ndarray], labels: np.ndarray) -> bytes:
@@ -76,19 +82,22 @@ def fit(texts: list[np.ndarray], labels: np.ndarray) -> bytes:
     n, pos = len(labels), max(1, int(labels.sum()))
     if n == 0 or labels.sum() == 0 or labels.sum() == n:
         return np.array([-30.0 if labels.sum() == 0 else 30.0]).tobytes()
-    flat = np.concatenate(texts)
-    y_flat = np.repeat(labels, [len(t) for t in texts])
-    ids, inverse, df = np.unique(flat, return_inverse=True, return_counts=True)
-    toxic = np.bincount(inverse, weights=y_flat, minlength=len(ids))
+    df, toxic = np.zeros(1 << HASH_BITS, np.int32), np.zeros(1 << HASH_BITS, np.int32)  # a text has each term once
+    for t, y in zip(texts, labels, strict=True):
+        df[t] += 1
+        if y:
+            toxic[t] += 1
+    ids = np.flatnonzero(df >= 3)
+    df, toxic = df[ids].astype(np.float64), toxic[ids].astype(np.float64)
     rate = pos / n
     z = np.abs(toxic - df * rate) / np.sqrt(df * rate * (1 - rate) + 1)
-    z[df < 3] = -1
     chosen = np.sort(np.argsort(-z, kind="stable")[: min(FEATURES, int((z >= LEAST_Z).sum()))])
-    place = np.full(len(ids), -1)
-    place[chosen] = np.arange(len(chosen))
+    place = np.full(1 << HASH_BITS, -1, np.int32)
+    place[ids[chosen]] = np.arange(len(chosen))
     x = np.zeros((n, len(chosen)), np.float32)
-    row, col = np.repeat(np.arange(n), [len(t) for t in texts]), place[inverse]
-    x[row[col >= 0], col[col >= 0]] = 1
+    for i, t in enumerate(texts):
+        at = place[t]
+        x[i, at[at >= 0]] = 1
     rng = np.random.default_rng(3)
     params = [np.array([np.log(rate / (1 - rate))], np.float32), np.zeros(len(chosen), np.float32), (rng.standard_normal((len(chosen), FACTORS)) * 0.01).astype(np.float32)]
     weight = np.where(labels == 1, 0.5 / rate, 0.5 / (1 - rate)).astype(np.float32)
@@ -138,46 +147,45 @@ def train(docs: DataFrame, labels: DataFrame, most_rows: int = MOST_ROWS) -> byt
     known = known.groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg((F.max("toxic") > 0).cast("int").alias("y"))
     sample = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most_rows)
     # at most most_rows rows of two numbers
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(sample), "doc_id").select("doc_id", "text", "y")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(sample), "doc_id")
+    rows = rows.where(F.octet_length("text") <= MOST_BYTES).groupBy("doc_id").agg(F.min("y").alias("y"), F.min_by("text", F.xxhash64("text")).alias("text"))
+    until = F.sum(F.octet_length("text")).over(Window.orderBy(F.xxhash64("doc_id"), "doc_id").rowsBetween(Window.unboundedPreceding, 0))
+    bounded = rows.select("doc_id", "text", "y", until.alias("until")).where(F.col("until") <= MOST_BYTES)  # one task: most_rows rows
 
     def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        terms, found = Terms(), []
+        terms, found, labelled = Terms(), [], []
         for batch in batches:
-            found += [(i, y, text_terms(t or "", terms)) for i, t, y in zip(*[c.to_pylist() for c in batch.columns], strict=True)]
-        found.sort(key=lambda r: (r[0], r[2].tobytes()))
-        data = fit([r[2] for r in found], np.array([r[1] for r in found], np.float32))
-        yield pa.RecordBatch.from_arrays([pa.array([data], pa.binary())], ["model"])
-
-    trained = rows.repartition(1).mapInArrow(learn, "model binary").first()
+            for at in range(0, batch.num_rows, BATCH_ROWS):
+                part = batch.slice(at, BATCH_ROWS)
+                found += [text_terms(t, terms) for t in part.column(1).to_pylist()]
+                labelled += part.column(2).to_pylist()
+        terms.clear()
+        yield pa.RecordBatch.from_arrays([pa.array([fit(found, np.array(labelled, np.float32))], pa.binary())], ["model"])
+
+    trained = bounded.coalesce(1).mapInArrow(learn, "model binary").first()
     return bytes(trained[0]) if trained else fit([], np.zeros(0, np.float32))
 
 
-def score_documents(docs: DataFrame, model: bytes, limit: float = LIMIT) -> DataFrame:
-    """Adds score and predicted to every column of the documents."""
-    schema = docs.withColumn("score", F.lit(0.0)).withColumn("predicted", F.lit(0)).schema
-    at = docs.columns.index("text")
+def score_of(text: Column, model: bytes) -> Column:
+    """The score of whole texts; only the texts go through Python, a few at a time."""
 
-    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    @F.arrow_udf("double")
+    def score(parts: Iterator[pa.Array]) -> Iterator[pa.Array]:
         known = Model(model)
         terms = Terms(known.ids)
-        for batch in batches:
-            if len(terms) > REMEMBERED:
-                terms = Terms(known.ids)
-            s = np.array([known.score(text_terms(t or "", terms)) for t in batch.column(at).to_pylist()])
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(s), pa.array((s >= limit).astype(np.int32))], [*batch.schema.names, "score", "predicted"])
+        for part in parts:
+            yield pa.array([known.score(text_terms(t or "", terms)) for at in range(0, len(part), BATCH_ROWS) for t in part.slice(at, BATCH_ROWS).to_pylist()], pa.float64())
 
-    return docs.mapInArrow(score, schema)
+    return score(text)
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, limit: float = LIMIT) -> DataFrame:
     """doc_id, held_out, score, predicted for every document."""
     model = train(docs, labels)
-    scored = score_documents(docs.select("doc_id", "text"), model, limit)
-    return scored.select("doc_id", held_out().alias("held_out"), "score", "predicted")
+    scored = docs.select("doc_id", score_of(F.col("text"), model).alias("score"))
+    return scored.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= limit).cast("int").alias("predicted"))
 
 
 def clean_documents(docs: DataFrame, labels: DataFrame, limit: float = LIMIT) -> DataFrame:
     """The documents that are not predicted toxic, with their columns."""
-    own = docs.select(*[F.col(c).alias(c if c == "text" else f"c{i}") for i, c in enumerate(docs.columns)])
-    kept = score_documents(own, train(docs, labels), limit).where("predicted = 0")
-    return kept.select(*[F.col(c if c == "text" else f"c{i}").alias(c) for i, c in enumerate(docs.columns)])
+    return docs.where(score_of(F.col("text"), train(docs, labels)) < limit)
