@@ -27,6 +27,7 @@ from pyspark.sql import functions as F
 from foliant.functions.shared import scratch_dir, stored
 
 RECORDS_PER_FILE = 1000
+LARGE = 1 << 20  # bytes of a payload that has a file of its own
 DATE = "2000-01-01T00:00:00Z"
 PROFILE = "http://netpreserve.org/warc/1.0/revisit/identical-payload-digest"
 HTTP_HEAD = "HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: "
@@ -70,11 +71,20 @@ def write_archives(pages: DataFrame, path: str, min_bytes: int = 0, records_per_
         F.lit("\r\n\r\n"),
         block,
     ]
-    joined.select(F.concat(*lines).alias("value")).write.option("lineSep", "\r\n\r\n").option("maxRecordsPerFile", records_per_file).text(path)
+    parts = [("small", F.col("n") <= LARGE, records_per_file)]
+    if not base.where(F.col("n") > LARGE).isEmpty():
+        parts.append(("large", F.col("n") > LARGE, 1))
+    for name, those, most in parts:
+        joined.where(those).select(F.concat(*lines).alias("value")).write.option("lineSep", "\r\n\r\n").option("maxRecordsPerFile", most).text(f"{path}/{name}")
 
 
-def _record(data: memoryview, at: int) -> tuple | None:
-    """What the record at an offset says, if its header parses."""
+def _number(digits: bytes) -> int | None:
+    """A long, if the digits are one."""
+    return int(digits) if len(digits) < 20 and -(2**63) <= int(digits) < 2**63 else None
+
+
+def _record(data: memoryview, at: int) -> tuple[int, int, dict[bytes, bytes]] | None:
+    """Start and end of the block of the record at an offset, and its header's fields, if the header parses."""
     end = BLANK_LINE.search(data, at)
     if not end:
         return None
@@ -83,12 +93,14 @@ def _record(data: memoryview, at: int) -> tuple | None:
         name, _, value = line.partition(b":")
         fields[name.strip().lower()] = value.strip()
     length = fields.get(b"content-length", b"")
-    if not length.isdigit():
-        return None
-    start = end.end()
-    stop = start + int(length)
-    if stop > len(data):
+    size = _number(length) if length.isdigit() else None
+    if size is None or end.end() + size > len(data):
         return None
+    return end.end(), end.end() + size, fields
+
+
+def _content(data: memoryview, start: int, stop: int, fields: dict[bytes, bytes]) -> tuple:
+    """Type, page, page referred to, payload bytes and payload digest of a record."""
     kind = fields.get(b"warc-type", b"").decode("utf-8", "replace")
     ids = [re.search(rb"urn:page:(-?\d+)", fields.get(k, b"")) for k in (b"warc-record-id", b"warc-refers-to")]
     block = data[start:stop]
@@ -99,24 +111,34 @@ def _record(data: memoryview, at: int) -> tuple | None:
         size, digest = len(payload), base64.b32encode(hashlib.sha1(payload).digest()).decode()
     elif kind == "revisit":
         said = re.search(rb"(?i)\r\ncontent-length:\s*(\d+)", block[: cut.start() + 2] if cut else block)
-        size = int(said[1]) if said else None
+        size = _number(said[1]) if said else None
         digest = fields.get(b"warc-payload-digest", b"").removeprefix(b"sha1:").decode("ascii", "replace")
-    return at, stop + 4, kind, *[int(m[1]) if m else None for m in ids], size, digest
+    return kind, *[_number(m[1]) if m else None for m in ids], size, digest
 
 
 def candidates(spark: SparkSession, path: str) -> DataFrame:
-    """Every place with record magic that parses, with its successor's offset, and a row "end" for the end of each file."""
+    """Every place with record magic that parses, with its successor's offset, and a row "end" for the end of each file.
+
+    Contents are read (and hashed) of candidates that do not begin inside one read before, so each byte is hashed once at
+    most; a chain from the file's start has no others.
+    """
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         schema = pa.schema([("file", pa.string()), ("at", pa.int64()), ("next", pa.int64()), ("record_type", pa.string()), ("page_id", pa.int64()), ("refers_to", pa.int64()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string())])
         for batch in batches:
             for name, content in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 data = memoryview(content.as_buffer())
-                rows = [(name, *r) for m in MAGIC.finditer(data) if (r := _record(data, m.start()))]
+                rows, free = [], 0
+                for m in MAGIC.finditer(data):
+                    found, content = _record(data, m.start()), (None,) * 5
+                    if found:
+                        if m.start() >= free:
+                            content, free = _content(data, *found), found[1]
+                        rows.append((name, m.start(), found[1] + 4, *content))
                 rows.append((name, len(data), None, "end", None, None, None, None))
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
 
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path)
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").option("recursiveFileLookup", "true").load(path)
     return files.select("path", "content").mapInArrow(find, READ_SCHEMA)
 
 
