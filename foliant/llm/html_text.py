@@ -32,12 +32,14 @@ TRAIN_PAGES = 500
 TAGS, WORDS = 512, 512  # hash buckets
 TAG_DIM, WORD_DIM, COUNTS, HIDDEN = 12, 6, 9, 12
 EPOCHS = 14
+CELLS = 20_000
 # Elements whose content is never shown as text, and elements that part blocks.
 UNSEEN = "script|style|noscript|template|title|svg|iframe|textarea|select|object|canvas|head"
 PARTING = frozenset(
     "address article aside blockquote body br button caption center dd details dialog div dl dt fieldset figcaption figure footer form"
     " h1 h2 h3 h4 h5 h6 header hr html label legend li main menu nav ol option p pre section summary table tbody td tfoot th thead tr ul".split()
 )
+IN_HEAD = frozenset("head meta link base title style script noscript template".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 TOKEN = re.compile(
     rf"<!--.*?(?:-->|\Z)|<(?P<skip>{UNSEEN.replace('|head', '')})\b(?>[^>\"']+|\"[^\"]*\"|'[^']*')*+>.*?(?:</(?P=skip)\s*>|\Z)"
@@ -105,7 +107,7 @@ def blocks(html: str) -> list[Block]:
         if tag == "head":
             hidden = 0 if m["close"] else 1
             continue
-        if tag == "body":
+        if tag not in IN_HEAD:  # the first element of the body ends a head that is not closed
             hidden = 0
         if tag == "a":
             in_link = max(0, in_link - 1) if m["close"] else 1
@@ -132,7 +134,7 @@ def inputs(page: list[Block]) -> tuple[list[list[int]], list[list[int]], np.ndar
     paths, words = [], []
     for i, b in enumerate(page):
         ws = WORD.findall(b.text.lower())
-        words.append([_bucket(w, WORDS) for w in ws[:200]])  # a vote of words, not a cut of the text
+        words.append([_bucket(w, WORDS) for w in ws])
         paths.append(b.path)
         n = len(b.text)
         counts[i] = (
@@ -289,8 +291,9 @@ def label(model: dict, pages: list[list[Block]]) -> list[np.ndarray]:
     """For each page, which of its blocks are article text; pages of like length go through the network together."""
     out: list[np.ndarray] = [np.zeros(0, bool)] * len(pages)
     order = sorted((i for i, p in enumerate(pages) if p), key=lambda i: len(pages[i]))
-    for at in range(0, len(order), 64):
-        some = order[at : at + 64]
+    while order:  # pages of like length, of CELLS blocks in all with their padding, or one page
+        n = next((n for n in range(min(64, len(order)), 1, -1) if n * len(pages[order[n - 1]]) <= CELLS), 1)
+        some, order = order[:n], order[n:]
         paths, words, counts = zip(*[inputs(pages[i]) for i in some], strict=True)
         means = [_means(model["tags"], list(chain.from_iterable(paths))), _means(model["words"], list(chain.from_iterable(words)))]
         vectors = np.concatenate([*means, np.concatenate(counts)], axis=1)
@@ -390,7 +393,7 @@ def train(pages: DataFrame, most_pages: int = MOST_PAGES) -> dict:
 
     def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = sorted((t for b in batches for t in b.column(1).to_pylist()))
-        words = sorted({w for t in rows for b in blocks(t) for w in b.text.split(" ") if w.isalpha()})[:200_000] or ["word"]
+        words = sorted({w for t in rows for b in blocks(t) for w in b.text.split(" ") if w.isalpha()}, key=lambda w: (zlib.crc32(w.encode()), w))[:200_000] or ["word"]
         rng = np.random.default_rng(11)
         model = fit([blocks(written_page(rng, words)) for _ in range(TRAIN_PAGES)])
         yield pa.RecordBatch.from_arrays([pa.array([np.concatenate([model[k].ravel() for k in SHAPES]).astype("<f4").tobytes()], pa.binary())], ["model"])
