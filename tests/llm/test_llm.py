@@ -7,8 +7,11 @@ import re
 import zlib
 from collections import Counter
 
+import hypothesis
+import hypothesis.strategies
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -65,9 +68,17 @@ def test_warc_headers_of_any_length(spark):
     assert {r.page_id: r.payload_bytes for r in got} == {1: 3, 2: 3, 3: 5, 4: 10_000}
 
 
+def test_hostile_payloads_are_no_records(spark):
+    head = "\r\n\r\nWARC/1.0\r\nWARC-Type: response\r\nWARC-Record-ID: <urn:page:{}>\r\nContent-Length: {}\r\n\r\n"
+    many = "".join(head.format(i, 100_000) for i in range(3000)) + "x" * 100_000
+    pages = [(1, "u1", head.format("9" * 20, 0)), (2, "u2", head.format(7, "1" * 5000)), (3, "u" * 1_000_000, many), (4, "u4", "y" * (warc.LARGE + 1)), (5, "u5", head.format(8, "9" * 19) + head.format(9, 1))]
+    got = warc.round_trip(spark.createDataFrame(pages, "page_id long, url string, html string").coalesce(1)).collect()
+    assert {r.page_id: (r.payload_bytes, r.record_type) for r in got} == {i: (len(h), "response") for i, _, h in pages} and len(got) == 5
+
+
 def test_broken_warc_chain_raises(spark, tmp_path):
     warc.write_archives(spark.createDataFrame([(i, "u", f"page {i}") for i in range(5)], "page_id long, url string, html string").coalesce(1), str(tmp_path / "w"))
-    part = next((tmp_path / "w").glob("part-*"))
+    part = next((tmp_path / "w").rglob("part-*"))
     data = part.read_bytes()
     assert warc.read_archives(spark, str(tmp_path / "w")).count() == 5
     for cut in (data[:-20], data.replace(b"msgtype=response\r\nContent-Length: ", b"msgtype=response\r\nContent-Length: 1", 1), data + b"x"):
@@ -99,6 +110,16 @@ def test_ngram_join(spark, docs, rows, none):
     assert ngram_join.jaccard_classes(none).count() == 0
 
 
+def test_recall_on_a_given_table(spark, sf):
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    rows = docs.select("doc_id", "text").collect()
+    links = brute_links([r.text for r in rows])
+    got = {r.doc_id: (r.class_id, r.n_links) for r in ngram_join.jaccard_classes(docs).collect()}
+    pairs = [(rows[i].doc_id, rows[j].doc_id) for i, x in enumerate(links) for j in x]
+    assert pairs and sum(got[i][0] == got[j][0] for i, j in pairs) >= 0.9 * len(pairs)
+    assert sum(got[r.doc_id][1] == len(x) for r, x in zip(rows, links, strict=True)) >= 0.99 * len(rows)
+
+
 def test_ngram_join_of_a_large_group(spark):
     """Over one block of near copies that are all different texts."""
     base = words(150, 5)
@@ -158,6 +179,16 @@ def test_factorization_machine_learns_pairs():
     y = np.array([float(1 in s and 2 in s) for s in x], np.float32)
     m = toxicity.Model(toxicity.fit(x, y))
     assert m.score(np.array([1, 2])) > 0.7 > m.score(np.array([1])) and m.score(np.array([2])) < 0.7
+    for s in x[:50]:  # the score is the sum over all pairs
+        known = [int(np.flatnonzero(m.ids == t)[0]) for t in s if t in m.ids]
+        f = m.bias + sum(m.w[i] for i in known) + sum(float(m.v[i] @ m.v[j]) for i in known for j in known if i < j)
+        assert m.score(s) == pytest.approx(1 / (1 + np.exp(-f)))
+
+
+def test_remembered_words_are_bounded(monkeypatch):
+    monkeypatch.setattr(toxicity, "REMEMBERED", 50)
+    few, many, text = toxicity.Terms(), toxicity.Terms(), " ".join(f"word{i}x{i}" for i in range(500))
+    assert (toxicity.text_terms(text, few) == toxicity.text_terms(text, many)).all() and len(few) + len(few.starts) < 60
 
 
 def test_html_main_text_on_pages(spark, sf):
@@ -173,7 +204,30 @@ def test_html_main_text_on_pages(spark, sf):
         assert r.text == want and r.n_chars == len(want)
     odd = spark.createDataFrame([(1, "u", None), (2, None, ""), (3, "u", "<article>&lt;b&gt; caf&eacute;" + " word" * 30_000)], "page_id long, url string, html string")
     texts = {r.page_id: r.text for r in html_text.main_text(odd).collect()}
-    assert texts[1] == texts[2] == "" and len(texts[3].split()) in (0, 30_002)
+    assert texts[1] == texts[2] == "" and len(texts[3].split()) == 30_002
+
+
+def test_blocks_of_odd_pages():
+    texts = lambda h: [b.text for b in html_text.blocks(h)]
+    assert texts("<head><meta charset=x><title>no</title><article><p>Hello") == ["Hello"]
+    assert texts("<head>no<title>no</title></head><body><p>a<br>b") == ["a", "b"] and texts("<p>" * 3) == texts("") == []
+    page = html_text.blocks("<p>" + "a " * 150 + "b " * 5000)
+    assert len(html_text.inputs(page)[1][0]) == 5150
+
+
+def test_pages_of_any_length_are_labelled_alike():
+    r = np.random.default_rng(5)
+    vocabulary = [f"w{i}" for i in range(500)]
+    pages = [html_text.blocks(html_text.written_page(r, vocabulary)) for _ in range(30)]
+    model = html_text.fit(pages, epochs=2)
+    longest = html_text.blocks("".join(f"<p>{i} words here</p>" for i in range(3000)))
+    together = html_text.label(model, [*pages, longest, []])
+    assert all((html_text.label(model, [p])[0] == y).all() for p, y in zip(pages, together, strict=False)) and len(together[-2]) == 3000
+
+
+def test_html_text_of_no_pages(spark):
+    wide = spark.createDataFrame([(1, "u", "<article><p>one two three four five six</p></article>", "own", 3)], "page_id long, url string, html string, text string, n_chars long")
+    assert html_text.main_text(wide.limit(0)).count() == 0 and html_text.main_text(wide).columns == ["page_id", "url", "text", "n_chars"]
 
 
 def test_html_labeller_on_unseen_layouts():
@@ -326,6 +380,36 @@ def test_proximity(spark):
     assert got == {1: (0, 1), 2: (1, 1), 3: (0, 0)}
 
 
+def test_proximity_of_long_items(spark):
+    """Every window counts, also those whose rarest word stands at an end."""
+    r, items, rows = random.Random(4), [], []
+    for i in range(12):
+        items.append((i, " ".join(words(r.randrange(8, 30), i, 60))))
+    for i in range(40):
+        part = items[i % 12][1].split(" ")
+        at = r.randrange(max(1, len(part) - 13))
+        moved = part[at : at + 13]
+        r.shuffle(moved)
+        moved = [x for w in moved for x in (w, *(words(1, r.random(), 50) if r.random() < i / 40 else []))]
+        rows.append((i, " ".join(words(15, 99 + i, 60) + moved + words(15, 199 + i, 60))))
+    texts = [lower_words(t) for _, t in rows]
+    df = Counter(w for t in texts for w in t)
+    want = {}
+    for i, t in enumerate(texts):
+        near = set()
+        for k, item in items:
+            w = lower_words(item)
+            for s in range(max(1, len(w) - 12)):
+                win = w[s : s + 13]
+                rare = min(range(len(win)), key=lambda q: (df[win[q]], q))
+                if any(x == win[rare] and set(win) <= set(t[max(0, p - 20) : p + 21]) for p, x in enumerate(t)):
+                    near.add(k)
+        want[i] = len(near)
+    docs, benchmark = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    got = {x.doc_id: x.n_near for x in decontam.decontaminate(docs, benchmark).collect()}
+    assert got == want and len(set(want.values())) > 1
+
+
 def test_simple8b_round_trip():
     r = np.random.default_rng(0)
     for n in (0, 1, 59, 60, 61, 4095, 4096, 4097, 20_000):
@@ -354,8 +438,20 @@ def test_token_output(docs, rows, none):
 
 @pytest.mark.parametrize("text", ["", " ", "  a  b ", "a\n b", "é  ñ x y", "x <|endoftext|> y z<|endoftext|>", "tab\t tab", "it's we'll  'd 12½ x²", "ﬁ 漢字 テスト 🙂 a🙂b", "a" * 5000])
 def test_pieces_give_whole_text_ids(text):
-    e = tokens.Encoder(TOKENIZER)
-    assert e.encode([text])[0] == e.whole(text)
+    from tokenizers import Tokenizer
+
+    t, texts = Tokenizer.from_file(TOKENIZER), ["Two words.\nMore", text, "end"]
+    ids, lengths = tokens.encoder(TOKENIZER).encode(pa.array(texts))
+    want = [[*t.encode(x, add_special_tokens=False).ids, 0] for x in texts]
+    assert ids.tolist() == sum(want, []) and lengths.tolist() == list(map(len, want))
+
+
+@hypothesis.given(hypothesis.strategies.text(alphabet=" \n\t\u00a0ab.,'é漢1<|>", max_size=60))
+@hypothesis.settings(max_examples=150, deadline=None)
+def test_any_text_gives_whole_text_ids(text):
+    e = tokens.encoder(TOKENIZER)
+    ids, _ = e.encode(pa.array([text]))
+    assert ids[:-1].astype("<u4").tobytes() == e.whole([text])[0]
 
 
 def test_repeated_passages(spark, docs, rows, none):
@@ -383,6 +479,59 @@ def test_chunks_cover_and_resist_insertions():
     assert sum(p in other for p in parts) >= len(parts) - 5
 
 
+@pytest.mark.parametrize("letters", ["漢字仮名交文章試験用長", "abcdefghij0123456789+/"])
+def test_chunks_of_text_without_blanks_resist_insertions(letters):
+    r = random.Random(2)
+    text = "".join(r.choice(letters) for _ in range(6000))
+    parts = []
+    for t in (text, letters[:2] + text):
+        data = t.encode()
+        ends = chunks.cuts(data)
+        parts.append([data[a:b] for a, b in zip([0, *ends], ends, strict=False)])
+        assert all(p.decode() and len(p) <= chunks.MOST for p in parts[-1])
+    assert len(parts[0]) > 20 and sum(p in set(parts[1]) for p in parts[0]) >= 0.9 * len(parts[0])
+
+
+def test_passages_without_blanks_are_found(spark):
+    r = random.Random(3)
+    new = lambda n: "".join(r.choice("漢字仮名交文章試験用長") for _ in range(n))
+    passage = new(600)
+    docs = spark.createDataFrame([(1, new(400) + passage + new(300)), (2, new(333) + passage), (3, new(900))], "doc_id long, text string")
+    got = {x.doc_id: x for x in chunks.shared_passages(docs).collect()}
+    assert got[1].n_shared_words > 100 and got[2].n_removed_words > 100 and got[3].n_shared_words == 0
+    assert len({x.doc_id: x.text for x in chunks.without_passages(docs).collect()}[2]) < 600
+
+
+def brute_passages(rows):
+    """(shared words, removed words) by row, from the chunks of all texts in one dictionary."""
+    texts = {}
+    for i, t in rows:
+        data = (t or "").encode()
+        ends = chunks.cuts(data) if data else []
+        texts[(i, t)] = [(a, b, data[a:b], int(chunks.word_starts(data)[a:b].sum())) for a, b in zip([0, *ends], ends, strict=False)]
+    low = lambda i: -(2**63) if i is None else i
+    holders = {}
+    for (i, _), parts in texts.items():
+        for *_, piece, _ in parts:
+            holders.setdefault(piece, set()).add(low(i))
+
+    def runs(parts, good):
+        total, run, last = 0, 0, None
+        for a, b, piece, n in [*parts, (-1, -1, None, 0)]:
+            if piece is not None and good(piece):
+                total, run = (total, run + n) if last == a else (total + (run if run >= chunks.MIN_WORDS else 0), n)
+                last = b
+        return total + (run if run >= chunks.MIN_WORDS else 0)
+
+    return Counter((i, runs(texts[i, t], lambda x: len(holders[x]) > 1), runs(texts[i, t], lambda x, i=i: len(holders[x]) > 1 and min(holders[x]) < low(i))) for i, t in rows)
+
+
+def test_passages_against_brute_force(spark, docs, rows, sf):
+    for table in (docs, spark.read.parquet(f"{sf}/documents.parquet")):
+        data = [(r.doc_id, r.text) for r in table.select("doc_id", "text").collect()]
+        assert Counter((r.doc_id, r.n_shared_words, r.n_removed_words) for r in chunks.shared_passages(table).collect()) == brute_passages(data)
+
+
 def test_recall_of_51_word_passages():
     """Whole chunks inside a shared passage of 51 words cover MIN_WORDS words nearly always."""
     hit = 0
@@ -400,7 +549,7 @@ def test_recall_of_51_word_passages():
 
 def test_clashing_column_names(spark, docs):
     """Filters carry every column of the documents, whatever its name."""
-    own = {"k": 1, "c": 2, "d": 3, "key": 4, "score": 5, "class_id": 6, "removed": 7, "n_words": 8, "contaminated": 9, "copies": 10, "tkey": 11, "size": 12, "first": 13, "c0": 14}
+    own = {"k": 1, "c": 2, "d": 3, "key": 4, "score": 5, "class_id": 6, "removed": 7, "n_words": 8, "contaminated": 9, "copies": 10, "tkey": 11, "size": 12, "first": 13, "c0": 14, "__t": 15, "__k": 16, "__r": 17, "__d": 18, "__key": 19, "doc": 20, "id": 21, "kept_id": 22, "row": 23, "n": 24, "r": 25, "wordless": 26}
     wide = docs.withColumns({n: F.lit(v) for n, v in own.items()})
     benchmark = spark.createDataFrame([(1, "one two")], "item_id long, text string")
     labels = spark.createDataFrame([], "doc_id long, toxic int")
