@@ -1,8 +1,8 @@
 """N-gram Jaccard join: MinHash bands find candidates, full n-gram sets verify them.
 
 1. Every text gets a digest of its words, MinHash bands and a small sketch; equal word sequences become one node.
-2. Nodes meet in band buckets. A bucket first links each member to its smallest and largest member, so a bucket of n
-   members gives under 2n candidate edges. Edges whose sketches agree in less than ``LOOSE`` of the places are dropped.
+2. Nodes meet in band buckets. A bucket first links each member to its smallest or, where not all are like that one, its
+   largest member or both. Edges whose sketches agree in less than ``LOOSE`` of the places are dropped.
    Where that leaves members apart, all that are not settled (``SETTLED``) meet each other, by size class and in blocks of
    ``CELL``: no pair of a bucket that may be within the threshold is left unconnected.
 3. Components of the candidate edges are compared by whole n-gram sets, block by block: large components are cut into
@@ -137,14 +137,10 @@ def _connected(keys: list[bytes], sketches: np.ndarray, loose: float) -> Iterato
             todo, sketches = todo[stay], sketches[stay]
 
 
-def _unsettled_edges(nodes: DataFrame, met: DataFrame, compared: DataFrame, loose: float) -> DataFrame:
+def _unsettled_edges(nodes: DataFrame, judged: DataFrame, loose: float) -> DataFrame:
     """(a, b) among the members of buckets that the star edges leave in pieces."""
-    inner = met.where("n > 3 and key != low and key != high").select("band", "key", "low", "high")
-    below = compared.select(F.col("a").alias("key"), F.col("b").alias("low"), F.col("same").alias("to_low"))
-    above = compared.select(F.col("a").alias("high"), F.col("b").alias("key"), F.col("same").alias("to_high"))
-    inner = stored(inner.join(below.hint("merge"), ["key", "low"]).join(above.hint("merge"), ["high", "key"]).select("band", "key", "to_low", "to_high"), "inner")
-    pieces = inner.groupBy("band").agg(F.min("to_low").alias("x"), F.min("to_high").alias("y")).where((F.col("x") < loose) & (F.col("y") < loose))
-    left = inner.where(F.greatest("to_low", "to_high") < SETTLED).select("band", "key").join(pieces.hint("merge"), "band", "left_semi")
+    inner = judged.where("inside and n > 3").where((F.col("inner_low") < loose) & (F.col("inner_high") < loose))
+    left = inner.groupBy("band", "key").agg(F.max("same").alias("same")).where(F.col("same") < SETTLED).select("band", "key")
     size = F.floor(F.log("size") / F.lit(float(np.log(SIZE_CLASS))))
     left = left.join(nodes.select("key", size.alias("c")).hint("merge"), "key").select("band", "key", F.explode(F.array("c", F.col("c") + 1)).alias("c"))
     left = stored(left, "unsettled")
@@ -174,9 +170,8 @@ def candidate_edges(nodes: DataFrame, loose: float = LOOSE) -> DataFrame:
     """(a, b): edges between nodes of a bucket whose sketches agree, which connect all that may be within the threshold."""
     placed = nodes.select("key", F.explode("bands").alias("band"))
     buckets = placed.groupBy("band").agg(F.min("key").alias("low"), F.max("key").alias("high"), F.count("*").alias("n")).where("low < high")
-    met = stored(placed.join(buckets.hint("merge"), "band").select("band", "key", "low", "high", "n"), "met")
-    ends = met.select(F.col("key").alias("a"), F.explode(F.array("low", "high")).alias("b")).where("a != b")
-    pairs = ends.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
+    met = placed.join(buckets.hint("merge"), "band").select("band", "key", "n", ((F.col("key") != F.col("low")) & (F.col("key") != F.col("high"))).alias("inside"), F.posexplode(F.array("low", "high")).alias("side", "end"))
+    met = stored(met.where("key != end").select("band", "key", "n", "inside", "side", F.greatest("key", "end").alias("a"), F.least("key", "end").alias("b")), "met")
     one, two = nodes.select(F.col("key").alias("a"), F.col("sketch").alias("x")), nodes.select(F.col("key").alias("b"), F.col("sketch").alias("y"))
 
     def agree(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -184,9 +179,15 @@ def candidate_edges(nodes: DataFrame, loose: float = LOOSE) -> DataFrame:
             x, y = [np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8).reshape(batch.num_rows, -1) for c in (2, 3)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(_agreement(x, y))], ["a", "b", "same"])
 
-    both = pairs.join(one.hint("merge"), "a").join(two.hint("merge"), "b").select("a", "b", "x", "y")
+    both = met.select("a", "b").distinct().join(one.hint("merge"), "a").join(two.hint("merge"), "b").select("a", "b", "x", "y")
     compared = stored(both.mapInArrow(agree, "a binary, b binary, same double"), "compared")
-    return compared.where(F.col("same") >= loose).select("a", "b").unionAll(_unsettled_edges(nodes, met, compared, loose))
+    met = stored(met.join(compared.hint("merge"), ["a", "b"]), "ends")
+    least = lambda side, inside: F.min(F.when((F.col("side") == side) & (F.col("inside") | (not inside)), F.col("same")))
+    worst = met.groupBy("band").agg(least(0, False).alias("low"), least(1, False).alias("high"), least(0, True).alias("inner_low"), least(1, True).alias("inner_high"))
+    judged = stored(met.join(worst.hint("merge"), "band"), "judged")
+    # where all agree with one end, its star connects the bucket
+    star = F.when(F.col("low") >= loose, F.col("side") == 0).when(F.col("high") >= loose, F.col("side") == 1).otherwise(F.col("same") >= loose)
+    return judged.where(star).select("a", "b").distinct().unionAll(_unsettled_edges(nodes, judged, loose))
 
 
 def _verified(group: list[tuple], n: int, hashes: WordHashes) -> Iterator[tuple[bytes, int, bytes]]:
