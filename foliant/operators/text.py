@@ -12,7 +12,7 @@ from foliant.functions.shared import global_rank
 
 CHUNK_SIZE, CHUNK_OVERLAP = 1000, 200
 # The separators of the recursive splitter, in order.
-SEPARATORS = ("\n\n\n", "\n\n", "\n# ", "\n## ", "\n### ", "\n", ". ", "; ", ", ", " ", "")
+SEPARATORS = ("\n\n\n", "\n\n", "\n", ". ", ".\n", "! ", "? ", "; ", ", ", " ", "")
 _ACCENTS = "àáâãäåçèéêëìíîïñòóôõöùúûüýÿœ", "aaaaaaceeeeiiiinooooouuuuyyo"
 _MARKS = "‘’‚‛“”„–—−‐‑‒", "''''\"\"\"------"
 
