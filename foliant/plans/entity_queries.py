@@ -49,7 +49,7 @@ PEOPLE = f"""{CHUNKS}, {spans(P1, "e")}, {spans(P2, "f")}, found as (select * fr
 -- this engine's word boundary knows ASCII letters only
 names as (select * from found where not regexp_matches(substr(text, start + length(match) + 1, 1), '[\\p{{L}}\\p{{N}}_]') and not (start > 0 and regexp_matches(substr(text, start, 1), '[\\p{{L}}\\p{{N}}_]'))),
 people as (select source, regexp_replace(match, '{entities.FORM_OF_ADDRESS}', '') as name, start, round(start / length(text), 6) as position, {CONTEXT.format(n=200)} as context from names),
-parted as (select *, string_split_regex(name, '\s+') as p from people)"""
+parted as (select *, string_split_regex(name, '\\s+') as p from people)"""
 
 
 @query(f"with {PEOPLE} select source, name, start, position, context, " + ", ".join(f"{first_hit('context', p)} as {a}" for a, p in entities.ATTRIBUTES["person"].items()) + ", p[1] as first_name, nullif(array_to_string(p[2:-2], ' '), '') as middle_name, p[-1] as last_name from parted")

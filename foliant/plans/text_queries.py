@@ -103,11 +103,11 @@ def context_window(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query("""
-with a as (select doc_id, text, instr(lower(text), 'the that') as p from documents where lang = 'en'),
+with a as (select doc_id, text, instr(lower(text), 'the that') as p from documents),
 b as (select *, greatest(p - 101, 0) as f, least(p - 1 + 300, length(text)) as l from a)
 select doc_id, case when p > 0 then case when f > 0 then '...' else '' end || substr(text, f + 1, l - f) || case when l < length(text) then '...' else '' end else substr(text, 1, 400) end as excerpt from b""")
 def best_excerpt(spark: SparkSession, sf: str) -> DataFrame:
-    docs = corpus(spark, sf, "documents").where("lang = 'en'")
+    docs = corpus(spark, sf, "documents")
     return docs.select("doc_id", text.best_excerpt(F.col("text"), F.lit("The that")).alias("excerpt"))
 
 
