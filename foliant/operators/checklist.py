@@ -65,7 +65,7 @@ def question_document(questions: DataFrame) -> DataFrame:
 
 def distinct_keys(texts: DataFrame, text: str, known: DataFrame, key: str = "key") -> DataFrame:
     """Normalised keys that have no stored vector yet, each once."""
-    return texts.select(normalise_key(F.col(text)).alias(key)).where(F.col(key) != "").distinct().join(known.select(key), key, "left_anti")
+    return texts.select(normalise_key(F.col(text)).alias(key)).where(F.col(key) != "").distinct().join(known.select(key).hint("merge"), key, "left_anti")
 
 
 def significant_matches(matches: DataFrame, item: str = "item_no", multiplier: float = MULTIPLIER) -> DataFrame:
@@ -94,20 +94,20 @@ def match_checklist(scores: DataFrame, pool: int = POOL, item: str = "item_no",
 def category_rollup(checklist: DataFrame, matches: DataFrame, item: str = "item_no") -> DataFrame:
     """letter, category, total_items, matched_items."""
     n = matches.groupBy(item).agg(F.count("*").alias("n"))
-    return checklist.join(n, item, "left").groupBy("letter", "category").agg(F.count("*").alias("total_items"), F.count_if(F.col("n") > 0).alias("matched_items"))
+    return checklist.join(n.hint("merge"), item, "left").groupBy("letter", "category").agg(F.count("*").alias("total_items"), F.count_if(F.col("n") > 0).alias("matched_items"))
 
 
 def display_filter(checklist: DataFrame, matches: DataFrame, relevancy: float = RELEVANCY, item: str = "item_no") -> DataFrame:
     shown = matches.where(F.col("score") >= relevancy).groupBy(item).agg(F.count("*").alias("n"))
     n = F.coalesce("n", F.lit(0))
-    return checklist.join(shown, item, "left").select(item, "text", n.alias("n_shown"), F.when(n > 0, "✅").otherwise("❌").alias("mark"), F.concat(n, F.when(n == 1, F.lit(" document")).otherwise(" documents")).alias("label"))
+    return checklist.join(shown.hint("merge"), item, "left").select(item, "text", n.alias("n_shown"), F.when(n > 0, "✅").otherwise("❌").alias("mark"), F.concat(n, F.when(n == 1, F.lit(" document")).otherwise(" documents")).alias("label"))
 
 
 def answer_questions(questions: DataFrame, hits: DataFrame, threshold: float, key: str, top: int = 5) -> DataFrame:
     """Sources (best first, joined) and has_answer for every question."""
     good = hits.where((F.col("rank") <= top) & (F.col("score") >= threshold))
     listed = good.groupBy(key).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", "name"))), lambda x: x["name"]), "; ").alias("sources"), F.count("*").alias("n_sources"))
-    return questions.join(listed, key, "left").select(key, F.coalesce("sources", F.lit("")).alias("sources"), F.coalesce("n_sources", F.lit(0)).alias("n_sources"), F.col("n_sources").isNotNull().alias("has_answer"))
+    return questions.join(listed.hint("merge"), key, "left").select(key, F.coalesce("sources", F.lit("")).alias("sources"), F.coalesce("n_sources", F.lit(0)).alias("n_sources"), F.col("n_sources").isNotNull().alias("has_answer"))
 
 
 def rag_context(hits: DataFrame, key: str, threshold: float, top: int = 5, n: int = 200) -> DataFrame:

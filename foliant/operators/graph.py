@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from foliant.functions.components import connected_components
 
+GRAM = 3
+
 
 def build_nodes(entities: DataFrame) -> DataFrame:
     """id ``type:name`` per named entity; of rows with equal id the last one (by ``ord``) stays."""
@@ -16,17 +18,32 @@ def build_nodes(entities: DataFrame) -> DataFrame:
 
 
 def build_edges(nodes: DataFrame, relations: DataFrame, match: str = "exact") -> DataFrame:
-    """Edges between nodes whose names are (``exact``) or contain (``contains``) the ends of a relation; no loops.
-
-    The substring form compares distinct names of both sides only; it is meant for small graphs.
-    """
+    """Edges between nodes whose names are (``exact``) or contain (``contains``) the ends of a relation; no loops."""
     n = nodes.select("id", F.lower("name").alias("n"))
     ends = relations.select(F.lower("source_entity").alias("e")).union(relations.select(F.lower("target_entity"))).distinct()
-    cond = F.col("n") == F.col("e") if match == "exact" else F.contains(F.col("n"), F.col("e"))
-    found = ends.join(n, cond).select("e", "id")
+    if match == "exact":
+        found = ends.join(n.hint("merge"), F.col("n") == F.col("e")).select("e", "id")
+    else:
+        found = containing(n.select("n"), ends).join(n.hint("merge"), "n").select("e", "id")
     a, b = found.select(F.col("e").alias("s"), F.col("id").alias("src")), found.select(F.col("e").alias("t"), F.col("id").alias("dst"))
     keyed = relations.withColumn("s", F.lower("source_entity")).withColumn("t", F.lower("target_entity"))
-    return keyed.join(a, "s").join(b, "t").where("src != dst").select("src", "dst", F.col("relationship_type").alias("relationship"), "source_document", "confidence")
+    return keyed.join(a.hint("merge"), "s").join(b.hint("merge"), "t").where("src != dst").select("src", "dst", F.col("relationship_type").alias("relationship"), "source_document", "confidence")
+
+
+def containing(names: DataFrame, parts: DataFrame) -> DataFrame:
+    """(n, e): every distinct name ``n`` with every distinct text ``e`` that it contains.
+
+    An index of the names' pieces of up to ``GRAM`` characters is met by the rarest piece of each text, then checked whole;
+    an empty text is in no name.
+    """
+    names, parts = names.select("n").distinct(), parts.where("length(e) > 0").select("e").distinct()
+    piece = lambda c, size: F.transform(F.sequence(F.lit(1), F.greatest(F.length(c) - size + 1, F.lit(1))), lambda i: F.substring(c, i, size))
+    sizes = [piece("n", F.lit(k)) for k in range(1, GRAM + 1)]
+    index = names.select("n", F.explode(F.array_distinct(F.concat(*sizes))).alias("gram"))
+    asked = parts.select("e", F.explode(F.array_distinct(piece("e", F.least(F.length("e"), F.lit(GRAM))))).alias("gram"))
+    often = index.groupBy("gram").agg(F.count("*").alias("n_names"))
+    rare = asked.join(often.hint("merge"), "gram", "left").groupBy("e").agg(F.min(F.struct(F.coalesce("n_names", F.lit(0)).alias("n_names"), "gram"))["gram"].alias("gram"))
+    return index.join(rare.hint("merge"), "gram").where(F.contains("n", "e")).select("n", "e")
 
 
 def nodes_of(edges: DataFrame) -> DataFrame:
@@ -68,7 +85,9 @@ def graph_summary(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 
 def search_entities(nodes: DataFrame, queries: DataFrame, limit: int = 10) -> DataFrame:
     """(query, id, score, rank): nodes whose name contains the query; 1.0 if equal, else 0.8."""
-    hit = nodes.join(F.broadcast(queries.select("query")), F.contains(F.lower("name"), F.lower("query")))  # queries: a few rows
+    low = nodes.select("id", "name", F.lower("name").alias("n"))
+    asked = queries.select("query", F.lower("query").alias("e"))
+    hit = containing(low, asked).join(low.hint("merge"), "n").join(asked.hint("merge"), "e")
     scored = hit.select("query", "id", F.when(F.lower("name") == F.lower("query"), 1.0).otherwise(0.8).alias("score"))
     rank = F.row_number().over(Window.partitionBy("query").orderBy(F.desc("score"), "id"))
     return scored.withColumn("rank", rank).where(F.col("rank") <= limit)
@@ -95,11 +114,15 @@ def find_paths(edges: DataFrame, pairs: DataFrame, max_length: int = 3, per_pair
     step = step if multi else step.distinct()
     now = pairs.select("start", "goal", F.array("start").alias("nodes"))
     found = None
-    for _ in range(max_length):
-        now = now.join(step, F.element_at("nodes", -1) == F.col("at")).where(~F.array_contains("nodes", F.col("to"))).select("start", "goal", F.array_append("nodes", F.col("to")).alias("nodes"))
-        done = now.where(F.element_at("nodes", -1) == F.col("goal"))
+    end = F.element_at("nodes", -1)
+    for length in range(1, max_length + 1):
+        # the edge to the goal is looked up, only the others grow
+        done = now.join(step.hint("merge"), (end == F.col("at")) & (F.col("goal") == F.col("to"))).where(~F.array_contains("nodes", F.col("to")))
+        done = done.select("start", "goal", F.array_append("nodes", F.col("to")).alias("nodes"))
         found = done if found is None else found.unionAll(done)
-        now = now.where(F.element_at("nodes", -1) != F.col("goal"))
+        if length < max_length:
+            now = now.join(step.hint("merge"), end == F.col("at")).where((F.col("to") != F.col("goal")) & ~F.array_contains("nodes", F.col("to")))
+            now = now.select("start", "goal", F.array_append("nodes", F.col("to")).alias("nodes"))
     out = found.select("start", "goal", (F.size("nodes") - 1).alias("length"), F.array_join("nodes", " > ").alias("path"))
     if per_pair is not None:
         w = Window.partitionBy("start", "goal").orderBy("length", "path")
@@ -118,7 +141,7 @@ def semantic_entities(near: DataFrame, nodes: DataFrame, query_key: str, limit:
 
     near: (query_key, source, score); nodes: (id, name, type, source), one row per source.
     """
-    met = near.join(nodes, "source")
+    met = near.join(nodes.hint("merge"), "source")
     best = met.groupBy(query_key, "id").agg(F.max("score").alias("score"))
     return best.withColumn("rank", F.row_number().over(Window.partitionBy(query_key).orderBy(F.desc("score"), "id"))).where(F.col("rank") <= limit)
 
@@ -129,7 +152,7 @@ def related_by_context(near: DataFrame, nodes: DataFrame, reference: DataFrame,
     near: (query_key, source, score) of the chunks near each reference's context; reference: (query_key, id).
     """
     own = reference.select(query_key, "id")
-    met = near.join(nodes, "source").groupBy(query_key, "id").agg(F.max("score").alias("score")).join(own, [query_key, "id"], "left_anti")
+    met = near.join(nodes.hint("merge"), "source").groupBy(query_key, "id").agg(F.max("score").alias("score")).join(own.hint("merge"), [query_key, "id"], "left_anti")
     return met.withColumn("rank", F.row_number().over(Window.partitionBy(query_key).orderBy(F.desc("score"), "id"))).where(F.col("rank") <= limit)
 
 
@@ -140,7 +163,7 @@ def semantic_paths(ranked: DataFrame, edges: DataFrame, query_key: str, first: i
     b = top.select(query_key, F.col("id").alias("goal"), F.col("rank").alias("rb"), F.col("score").alias("sb"))
     pairs = a.join(b, query_key).where("ra < rb")
     paths = find_paths(edges, pairs.select("start", "goal").distinct(), per_pair=per_pair)
-    return pairs.join(paths, ["start", "goal"]).select(query_key, "start", "goal", "length", "path", F.round((F.col("sa") + F.col("sb")) / 2, 6).alias("score"))
+    return pairs.join(paths.hint("merge"), ["start", "goal"]).select(query_key, "start", "goal", "length", "path", F.round((F.col("sa") + F.col("sb")) / 2, 6).alias("score"))
 
 
 def graph_metadata(nodes: DataFrame, edges: DataFrame) -> DataFrame:

@@ -56,14 +56,14 @@ def inline_citations(reports: DataFrame, names: DataFrame) -> DataFrame:
     clean = F.initcap(F.translate(F.regexp_replace("name", r"\.[^.]*$", ""), "_-", "  "))
     listed = names.select("report", "name", clean.alias("clean")).groupBy("report").agg(F.array_sort(F.collect_set(F.struct((-F.length("name")).alias("n"), "name", "clean"))).alias("__n"))
     put = lambda t, d: F.replace(t, F.concat(F.lit("{"), d["name"], F.lit("}")), F.concat(F.lit("according to **"), d["clean"], F.lit("**")))
-    joined = reports.join(listed, "report", "left")
+    joined = reports.join(listed.hint("merge"), "report", "left")
     return joined.select("report", F.coalesce(F.aggregate("__n", F.col("text"), put), F.col("text")).alias("text"))
 
 
 def paragraph_mentions(reports: DataFrame, names: DataFrame) -> DataFrame:
     """report, paragraph, name: the names of the report's own list that a paragraph holds."""
     parts = reports.select("report", F.posexplode(F.split("text", "\n\n", -1)).alias("paragraph", "part"))
-    return parts.join(names.select("report", "name").distinct(), "report").where(F.contains(F.lower("part"), F.lower("name"))).select("report", "paragraph", "name")
+    return parts.join(names.select("report", "name").distinct().hint("merge"), "report").where(F.contains(F.lower("part"), F.lower("name"))).select("report", "paragraph", "name")
 
 
 def citation_counts(cited: DataFrame, tool: str) -> DataFrame:
@@ -78,11 +78,11 @@ def resolve_paths(wanted: DataFrame, files: DataFrame, roots: list[str]) -> Data
     Both tries are equi-joins; the choice is by priority.
     """
     tries = wanted.select("wanted", F.posexplode(F.array(*[F.concat(F.lit(r), F.col("wanted")) for r in roots])).alias("priority", "path"))
-    found = tries.join(files.select("path"), "path", "left_semi").select("wanted", "priority", "path")
+    found = tries.join(files.select("path").hint("merge"), "path", "left_semi").select("wanted", "priority", "path")
     base = F.element_at(F.split("wanted", "/"), -1)
-    named = wanted.select("wanted", base.alias("name")).join(files.select("name", "path"), "name").select("wanted", F.lit(len(roots)).alias("priority"), "path")
+    named = wanted.select("wanted", base.alias("name")).join(files.select("name", "path").hint("merge"), "name").select("wanted", F.lit(len(roots)).alias("priority"), "path")
     best = found.unionByName(named).groupBy("wanted").agg(F.min_by("path", F.struct("priority", "path")).alias("path"))
-    return wanted.select("wanted").distinct().join(best, "wanted", "left")
+    return wanted.select("wanted").distinct().join(best.hint("merge"), "wanted", "left")
 
 
 def export_reports(sections: DataFrame) -> DataFrame:

@@ -14,6 +14,7 @@ from foliant.functions.components import connected_components
 THRESHOLDS = {"companies": 0.85, "people": 0.80, "financial_metrics": 0.90, "documents": 0.75, "legal_keywords": 0.95}
 DEFAULT_THRESHOLD = 0.8
 MOST_IN_COMPONENT = 5000
+CELL = 4096
 
 
 def entity_text(name: Column, context: Column, weight: Column) -> Column:
@@ -37,25 +38,30 @@ def threshold_of(kind: Column) -> Column:
 
 
 def similar_pairs(entities: DataFrame, blocks: list[str], threshold: Column) -> DataFrame:
-    """(a, b, score) with a < b inside blocks (type and a blocking key): cosine of ``vec`` at least the threshold.
+    """(a, b, score) with a < b inside blocks (type and a blocking key): cosine of ``vec`` at least the threshold of ``a``.
 
-    Vectors are compared by numpy inside a block; a block of n rows gives only the pairs that pass.
+    A large block is cut into cells of about ``CELL`` rows; every two cells are one group, which gives only pairs that pass.
     """
 
     def compare(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("id").reset_index(drop=True)
+        cell, one = pdf["cell"].to_numpy(), pdf["i"].iloc[0] == pdf["j"].iloc[0]
         x = np.stack(pdf["vec"].to_numpy()).astype(float)
         x /= np.maximum(np.linalg.norm(x, axis=1), 1e-12)[:, None]
         out = []
         for i in range(0, len(x), 1024):
             c = np.round(x[i : i + 1024] @ x.T, 6)
             r, s = np.nonzero(c >= pdf["t"].to_numpy()[i : i + 1024, None])
-            keep = s > r + i
+            keep = (s > r + i) & (one | (cell[r + i] != cell[s]))  # pairs inside a cell are its own group's
             out.append(pd.DataFrame({"a": pdf["id"].to_numpy()[r[keep] + i], "b": pdf["id"].to_numpy()[s[keep]], "score": c[r[keep], s[keep]]}))
         return pd.concat(out)
 
-    rows = entities.where("vec is not null").select("id", "vec", threshold.alias("t"), *blocks)
-    return rows.groupBy(*blocks).applyInPandas(compare, f"a {dict(entities.dtypes)['id']}, b {dict(entities.dtypes)['id']}, score double")
+    rows = entities.where("vec is not null").select("id", "vec", threshold.alias("t"), F.to_json(F.struct(*blocks)).alias("block"))
+    sizes = rows.groupBy("block").agg(F.ceil(F.count("*") / CELL).cast("int").alias("n"))
+    placed = rows.join(sizes.hint("merge"), "block").select("*", F.pmod(F.xxhash64("id"), F.col("n")).cast("int").alias("cell"))
+    spread = placed.select("*", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("other"))
+    cells = spread.select("block", F.least("cell", "other").alias("i"), F.greatest("cell", "other").alias("j"), "cell", "id", "vec", "t")
+    return cells.groupBy("block", "i", "j").applyInPandas(compare, f"a {dict(entities.dtypes)['id']}, b {dict(entities.dtypes)['id']}, score double")
 
 
 def average_linkage(x: np.ndarray, threshold: float) -> np.ndarray:

@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from foliant.functions.shared import stored
+
 K1, B, EPSILON = 1.5, 0.75, 0.25
 
 
@@ -14,9 +18,9 @@ def legal_tokenize(text: Column) -> Column:
     return F.filter(F.transform(words, lambda t: F.replace(t, F.lit("_"), F.lit(""))), lambda t: F.length(t) > 1)
 
 
-def postings(docs: DataFrame, key: str, text: str = "text") -> DataFrame:
+def postings(docs: DataFrame, key: str, text: str = "text", tokenize: Callable[[Column], Column] = legal_tokenize) -> DataFrame:
     """(key, term, tf, dl): a document's terms with its length."""
-    words = docs.select(key, legal_tokenize(F.col(text)).alias("__w")).select(key, F.size("__w").alias("dl"), F.explode("__w").alias("term"))
+    words = docs.select(key, tokenize(F.col(text)).alias("__w")).select(key, F.size("__w").alias("dl"), F.explode("__w").alias("term"))
     return words.groupBy(key, "term").agg(F.count("*").alias("tf"), F.first("dl").alias("dl"))
 
 
@@ -33,13 +37,19 @@ def term_stats(index: DataFrame, stats: DataFrame) -> DataFrame:
     return raw.crossJoin(F.broadcast(mean)).select("term", "df", F.when(F.col("raw") < 0, F.col("floor")).otherwise(F.col("raw")).alias("idf"))
 
 
-def bm25_search(docs: DataFrame, queries: DataFrame, key: str, query_key: str, query_text: str = "text", text: str = "text", top_k: int = 10) -> DataFrame:
-    """(query_key, key, score, rank): scores above 0, the best ``top_k`` per query; repeated query words count again."""
-    index = postings(docs, key, text)
-    stats = corpus_stats(docs, key, text)
+def bm25_search(
+    docs: DataFrame, queries: DataFrame, key: str, query_key: str, query_text: str = "text", text: str = "text", top_k: int = 10, tokenize: Callable[[Column], Column] = legal_tokenize
+) -> DataFrame:
+    """(query_key, key, score, rank): scores above 0, the best ``top_k`` per query; repeated query words count again.
+
+    The documents are tokenised once, into a stored index.
+    """
+    index = stored(postings(docs, key, text, tokenize), "postings")
+    known = docs.agg(F.count("*").alias("n_docs"), F.count(text).alias("n_texts"))
+    stats = known.crossJoin(index.agg(F.sum("tf").alias("total"))).select("n_docs", (F.col("total") / F.col("n_texts")).alias("avgdl"))  # one row each
     terms = term_stats(index, stats)
-    asked = queries.select(query_key, F.explode(legal_tokenize(F.col(query_text))).alias("term")).groupBy(query_key, "term").agg(F.count("*").alias("times"))
-    weighed = asked.join(terms.hint("merge"), "term")
+    asked = queries.select(query_key, F.explode(tokenize(F.col(query_text))).alias("term")).groupBy(query_key, "term").agg(F.count("*").alias("times"))
+    weighed = stored(asked.join(terms.hint("merge"), "term"), "weighed")
     met = index.join(weighed.hint("merge"), "term").crossJoin(F.broadcast(stats.select("avgdl")))
     gain = F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
     scored = met.groupBy(query_key, key).agg(F.round(F.sum(F.col("times") * gain), 6).alias("score")).where("score > 0")

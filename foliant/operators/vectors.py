@@ -100,8 +100,8 @@ def semantic_search(vectors: DataFrame, queries: DataFrame, rescore: Callable[[D
 def multi_query_search(vectors: DataFrame, variants: DataFrame, texts: DataFrame, k: int, limit: float, key: str = "vec_id", focus: str = "focus_id") -> DataFrame:
     """Several vectors per focus: k nearest each within the limit, one row per focus and text (the nearest), by distance."""
     asked = variants.withColumn("query_id", F.concat_ws("#", focus, "variant"))
-    near = knn_l2(vectors, asked, k, key=key, keep=limit).join(asked.select("query_id", focus), "query_id")
-    named = near.join(texts, key)
+    near = knn_l2(vectors, asked, k, key=key, keep=limit).join(asked.select("query_id", focus).hint("merge"), "query_id")
+    named = near.join(texts.hint("merge"), key)
     best = F.row_number().over(Window.partitionBy(focus, "text").orderBy("dist", key))
     kept = named.withColumn("b", best).where("b = 1")
     return kept.withColumn("rank", F.row_number().over(Window.partitionBy(focus).orderBy("dist", key))).select(focus, "rank", key, "text", "dist")
@@ -112,7 +112,7 @@ def document_search(vectors: DataFrame, queries: DataFrame, texts: DataFrame, k:
     from foliant.operators.text import best_excerpt
 
     near = knn_l2(vectors, queries, k, key=key, query_key=query_key, keep=limit)
-    named = near.join(texts.select(key, "text"), key).join(queries.select(query_key, query_text), query_key)
+    named = near.join(texts.select(key, "text").hint("merge"), key).join(queries.select(query_key, query_text).hint("merge"), query_key)
     return named.select(query_key, "rank", key, best_excerpt(F.col("text"), F.col(query_text)).alias("excerpt"), distance_to_similarity(F.col("dist")).alias("relevance"))
 
 
@@ -127,7 +127,7 @@ def focus_search(vectors: DataFrame, variants: DataFrame, texts: DataFrame, focu
 def analysis_search(rows: DataFrame, queries: DataFrame, k: int = 5, limit: float = 1.5, key: str = "vec_id", query_key: str = "query_id") -> DataFrame:
     """The k nearest insight rows (key, type, name, embedding) within the limit."""
     near = knn_l2(rows, queries, k, key=key, query_key=query_key, keep=limit)
-    return near.join(rows.select(key, "type", "name"), key).select(query_key, "rank", "type", "name", "dist")
+    return near.join(rows.select(key, "type", "name").hint("merge"), key).select(query_key, "rank", "type", "name", "dist")
 
 
 def claim_support(claims: DataFrame, found: DataFrame, focus: str = "focus_id") -> DataFrame:
@@ -141,7 +141,7 @@ def claim_support(claims: DataFrame, found: DataFrame, focus: str = "focus_id")
 def hybrid_search(sparse: DataFrame, dense: DataFrame, key: str, query_key: str, top_k: int = 10, sparse_weight: float = 0.3, dense_weight: float = 0.7) -> DataFrame:
     """Weighted sum of both scores over the union of candidates; a side that lacks a row counts 0."""
     s, d = sparse.select(query_key, key, F.col("score").alias("s")), dense.select(query_key, key, F.col("score").alias("d"))
-    both = s.join(d, [query_key, key], "full_outer").select(query_key, key, F.coalesce("s", F.lit(0.0)).alias("sparse_score"), F.coalesce("d", F.lit(0.0)).alias("dense_score"))
+    both = s.join(d.hint("merge"), [query_key, key], "full_outer").select(query_key, key, F.coalesce("s", F.lit(0.0)).alias("sparse_score"), F.coalesce("d", F.lit(0.0)).alias("dense_score"))
     scored = both.withColumn("score", F.round(sparse_weight * F.col("sparse_score") + dense_weight * F.col("dense_score"), 6))
     return scored.withColumn("rank", F.row_number().over(Window.partitionBy(query_key).orderBy(F.desc("score"), key))).where(F.col("rank") <= top_k)
 

@@ -32,7 +32,7 @@ from conversations
 
 GRAPH = """
 select concat('part:', l_partkey) as src, concat('supp:', l_suppkey) as dst, l_returnflag as relationship, concat('order_', l_orderkey) as source_document, l_linestatus as context
-from lineitem where l_quantity >= 50 and l_partkey % 20 = 0
+from lineitem
 """
 
 FILES = """

@@ -219,15 +219,17 @@ def entity_text(spark: SparkSession, sf: str) -> DataFrame:
 
 def vector_entities(spark: SparkSession, sf: str) -> DataFrame:
     """The vectors and slightly moved copies as entities: id, entity_type, name, source, context, confidence, vec."""
-    e = corpus(spark, sf, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("vec"), "label")
-    near = e.select((F.col("vec_id") + 10000).alias("vec_id"), F.transform("vec", lambda x, i: x + F.when(i == 0, 0.05).otherwise(0.0)).alias("vec"), "label")
+    given = corpus(spark, sf, "embeddings")
+    beyond = given.agg((F.max("vec_id") + 1).alias("beyond"))  # one row
+    e = given.select(F.col("vec_id").alias("id"), "vec_id", F.col("embedding").cast("array<double>").alias("vec"), "label")
+    near = e.crossJoin(F.broadcast(beyond)).select((F.col("vec_id") + F.col("beyond")).alias("id"), "vec_id", F.transform("vec", lambda x, i: x + F.when(i == 0, 0.05).otherwise(0.0)).alias("vec"), "label")
     kind = F.element_at(F.array(*map(F.lit, ("companies", "people"))), (F.col("label") % 2 + 1).cast("int"))
     rows = e.unionByName(near)
-    return rows.select(F.col("vec_id").alias("id"), kind.alias("entity_type"), F.concat(F.lit("Entity "), F.col("vec_id") % 10000).alias("name"), F.concat(F.lit("doc_"), F.col("vec_id") % 97, F.lit(".txt")).alias("source"), F.concat(F.lit("context "), F.col("vec_id") % 10000).alias("context"), ((F.col("vec_id") % 5) / 5).alias("confidence"), F.lit("rich_pattern").alias("extraction_method"), "vec")
+    return rows.select("id", kind.alias("entity_type"), F.concat(F.lit("Entity "), "vec_id").alias("name"), F.concat(F.lit("doc_"), F.col("id") % 97, F.lit(".txt")).alias("source"), F.concat(F.lit("context "), "vec_id").alias("context"), ((F.col("id") % 5) / 5).alias("confidence"), F.lit("rich_pattern").alias("extraction_method"), "vec")
 
 
 ENTITIES = """
-e as (select vec_id as id, embedding::double[] as v, label from embeddings union all select vec_id + 10000, list_transform(embedding::double[], lambda x, i: x + case when i = 1 then 0.05 else 0 end), label from embeddings),
+e as (select vec_id as id, embedding::double[] as v, label from embeddings union all select vec_id + (select max(vec_id) + 1 from embeddings), list_transform(embedding::double[], lambda x, i: x + case when i = 1 then 0.05 else 0 end), label from embeddings),
 en as (select id, case when label % 2 = 0 then 'companies' else 'people' end as entity_type, v, case when label % 2 = 0 then 0.85 else 0.8 end as t from e)
 """
 
@@ -245,14 +247,14 @@ def clusters_of(rows: DataFrame) -> DataFrame:
     return resolve.cluster_entities(rows, pairs_of(rows), resolve.threshold_of(F.col("entity_type")))
 
 
-@query(f"with {ENTITIES} select id, id % 10000 as cluster from en")
+@query(f"with {ENTITIES} select id, id % (select max(vec_id) + 1 from embeddings) as cluster from en")
 def cluster_entities(spark: SparkSession, sf: str) -> DataFrame:
     """Every vector and its moved copy are one cluster in this table (others are far apart)."""
     return clusters_of(vector_entities(spark, sf))
 
 
-@query("""with e as (select vec_id as id, label from embeddings union all select vec_id + 10000, label from embeddings),
-r as (select id % 10000 as cluster, case when label % 2 = 0 then 'companies' else 'people' end as entity_type, 'Entity ' || id % 10000 as name, 'doc_' || id % 97 || '.txt' as source, (id % 5) / 5.0 as confidence, 'context ' || id % 10000 as context from e)
+@query("""with e as (select vec_id as id, vec_id, label from embeddings union all select vec_id + (select max(vec_id) + 1 from embeddings), vec_id, label from embeddings),
+r as (select vec_id as cluster, case when label % 2 = 0 then 'companies' else 'people' end as entity_type, 'Entity ' || vec_id as name, 'doc_' || id % 97 || '.txt' as source, (id % 5) / 5.0 as confidence, 'context ' || vec_id as context from e)
 select entity_type, cluster, min(name) as name, array_to_string(list_sort(list(distinct source)), '; ') as sources, count(*) as cluster_size, round(avg(nullif(confidence, 0.0)), 6) as confidence, array_to_string(list_sort(list(distinct context))[1:3], ' | ') as contexts from r group by entity_type, cluster""")
 def merge_clusters(spark: SparkSession, sf: str) -> DataFrame:
     rows = vector_entities(spark, sf)

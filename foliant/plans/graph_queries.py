@@ -19,9 +19,12 @@ def edges(spark: SparkSession, sf: str) -> DataFrame:
     return corpus(spark, sf, "graph_rows").groupBy("src", "dst", "relationship").agg(F.min("source_document").alias("source_document"), F.min("context").alias("context"))
 
 
-COMP = f"""recursive_edges as (select src as a, dst as b from g union select dst, src from g),
-walk as (select id, id as r from nodes union select walk.id, e.b from walk join recursive_edges e on walk.r = e.a),
-comp as (select id, min(r) as component from walk group by id)"""
+# the graph has two sides: suppliers meet in shared parts, and the smallest node of a component is a part
+COMP = """pairs as (select distinct src, dst from g), low as (select dst, min(src) as low from pairs group by dst),
+meet as (select distinct a.dst as a, b.dst as b from pairs a join pairs b using (src)),
+walk as (select dst as id, dst as r from low union select walk.id, meet.b from walk join meet on walk.r = meet.a),
+supp as (select id, min(low) as component from walk join low on r = dst group by id),
+comp as (select id, component from supp union all select src, min(component) from pairs join supp on dst = id group by src)"""
 
 
 @query(f"with recursive {EDGES}, {COMP} select id, component from comp")
@@ -49,11 +52,11 @@ def graph_summary(spark: SparkSession, sf: str) -> DataFrame:
     return graph.graph_summary(graph.nodes_of(e), e)
 
 
-@query(f"""with {EDGES}, q as (select distinct p_partkey::varchar as query from part where p_partkey % 40 = 20 and p_partkey < 200),
+@query(f"""with {EDGES}, q as (select distinct p_partkey::varchar as query from part where p_partkey % 50 = 0),
 s as (select query, id, case when name = query then 1.0 else 0.8 end as score from nodes join q on contains(name, query))
 select query, id, score, rank from (select *, row_number() over (partition by query order by score desc, id) as rank from s) where rank <= 10""")
 def search_entities(spark: SparkSession, sf: str) -> DataFrame:
-    q = corpus(spark, sf, "part").where("p_partkey % 40 = 20 and p_partkey < 200").select(F.col("p_partkey").cast("string").alias("query")).distinct()
+    q = corpus(spark, sf, "part").where("p_partkey % 50 = 0").select(F.col("p_partkey").cast("string").alias("query")).distinct()
     return graph.search_entities(graph.nodes_of(edges(spark, sf)), q)
 
 
@@ -69,19 +72,20 @@ def relation_distribution(spark: SparkSession, sf: str) -> DataFrame:
     return graph.relation_distribution(e, graph.nodes_of(e))
 
 
-PATHS = f"""{EDGES}, two as (select src as a, dst as b from g union select dst, src from g),
-ends as (select a.id as start, b.id as goal from nodes a join nodes b on a.type = 'supp' and b.type = 'supp' and a.name::bigint % 2 = 1 and b.name::bigint % 2 = 1 and a.id < b.id),
-p as (select start, goal, [start] as nodes from ends union all select start, goal, list_append(nodes, b) from p join two on nodes[-1] = a where not list_contains(nodes, b) and nodes[-1] <> goal and len(nodes) <= 4)"""
-
-
-@query(f"""with recursive {PATHS}, f as (select start, goal, len(nodes) - 1 as length, array_to_string(nodes, ' > ') as path from p where nodes[-1] = goal),
-r as (select *, row_number() over (partition by start, goal order by length, path) as r from f) select start, goal, length, path from r where r <= 5""")
+@query("""with home as (select n_nationkey, 'nation:' || n_nationkey || ' > region:' || n_regionkey as tail, 'region:' || n_regionkey as goal from nation),
+pairs as (select distinct 'part:' || l_partkey as start, goal from lineitem join orders on l_orderkey = o_orderkey join customer on o_custkey = c_custkey join home on c_nationkey = n_nationkey),
+p as (select distinct 'part:' || l_partkey as start, goal, 'part:' || l_partkey || ' > supp:' || l_suppkey || ' > ' || tail as path from lineitem join supplier on l_suppkey = s_suppkey join home on s_nationkey = n_nationkey),
+r as (select *, row_number() over (partition by start, goal order by path) as r from p join pairs using (start, goal)) select start, goal, 3 as length, path from r where r <= 5""")
 def find_paths(spark: SparkSession, sf: str) -> DataFrame:
-    e = edges(spark, sf)
-    both = e.select("src", "dst").unionAll(e.select("dst", "src"))
-    supp = graph.nodes_of(e).where("type = 'supp' and cast(name as bigint) % 2 = 1")
-    pairs = supp.select(F.col("id").alias("start"), F.lit(1).alias("k")).join(supp.select(F.col("id").alias("goal"), F.lit(1).alias("k")), "k").where("start < goal").drop("k")
-    return graph.find_paths(both, pairs, max_length=4)
+    """How parts come from the regions that they are ordered in: part, supplier, nation, region."""
+    node = lambda kind, c: F.concat(F.lit(f"{kind}:"), c)
+    lines, nation = corpus(spark, sf, "lineitem"), corpus(spark, sf, "nation")
+    supplied = corpus(spark, sf, "supplier").select(node("supp", "s_suppkey").alias("src"), node("nation", "s_nationkey").alias("dst"))
+    e = lines.select(node("part", "l_partkey").alias("src"), node("supp", "l_suppkey").alias("dst")).distinct()
+    e = e.unionAll(supplied).unionAll(nation.select(node("nation", "n_nationkey"), node("region", "n_regionkey")))
+    asked = lines.join(corpus(spark, sf, "orders"), F.col("l_orderkey") == F.col("o_orderkey")).join(corpus(spark, sf, "customer"), F.col("o_custkey") == F.col("c_custkey"))
+    asked = asked.join(nation, F.col("c_nationkey") == F.col("n_nationkey")).select(node("part", "l_partkey").alias("start"), node("region", "n_regionkey").alias("goal"))
+    return graph.find_paths(e, asked.distinct())
 
 
 @query(f"with recursive {EDGES}, {COMP} select component, count(*) as size from comp group by component having count(*) > 1 order by size desc, component limit 5")
@@ -106,16 +110,16 @@ def build_edges(spark: SparkSession, sf: str) -> DataFrame:
 
 
 NEAR = f"""near as (select query_id, vec_id, sim from (select q.vec_id as query_id, e.vec_id, 1 - {L2.format(a="q.embedding", b="e.embedding")} / 2 as sim,
-  row_number() over (partition by q.vec_id order by {L2.format(a="q.embedding", b="e.embedding")}, e.vec_id) as r from embeddings q, embeddings e where q.vec_id % 100 = 0) where r <= 20),
-ranked as (select *, row_number() over (partition by query_id order by score desc, id) as rank from (select query_id, 'part:' || (vec_id * 20) as id, max(sim) as score from near join nodes on nodes.id = 'part:' || (vec_id * 20) group by all))"""
+  row_number() over (partition by q.vec_id order by {L2.format(a="q.embedding", b="e.embedding")}, e.vec_id) as r from embeddings q, embeddings e where q.vec_id % 50 = 0) where r <= 20),
+ranked as (select *, row_number() over (partition by query_id order by score desc, id) as rank from (select query_id, id, max(sim) as score from near join nodes on type = 'part' and name::bigint // 10 = vec_id group by all))"""
 
 
 def _near_entities(spark: SparkSession, sf: str, k: int = 20) -> DataFrame:
     """Chunks (vectors) near a query give the graph's parts that they are the source of."""
     e = corpus(spark, sf, "embeddings")
-    q = e.where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query_vec"))
+    q = e.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query_vec"))
     near = vectors.knn_l2(e, q, k).select("query_id", F.col("vec_id").cast("string").alias("source"), (1 - F.col("dist") / 2).alias("score"))
-    nodes = graph.nodes_of(edges(spark, sf)).where("type = 'part'").select("id", "name", "type", (F.col("name").cast("long") / 20).cast("long").cast("string").alias("source"))
+    nodes = graph.nodes_of(edges(spark, sf)).where("type = 'part'").select("id", "name", "type", (F.col("name").cast("long") / 10).cast("long").cast("string").alias("source"))
     return graph.semantic_entities(near, nodes, "query_id")
 
 
@@ -197,10 +201,10 @@ def resolve_paths(spark: SparkSession, sf: str) -> DataFrame:
     return reports.resolve_paths(wanted, f, ["/data/", "/rooms/"])
 
 
-@query("""with t as (select p_size, p_name, p_type, p_partkey from part where p_partkey % 10 = 0), s as (select p_size, string_agg('## ' || p_name || chr(10) || chr(10) || p_type, chr(10) || chr(10) order by p_partkey) as b from t group by p_size)
+@query("""with t as (select p_size, p_name, p_type, p_partkey from part), s as (select p_size, string_agg('## ' || p_name || chr(10) || chr(10) || p_type, chr(10) || chr(10) order by p_partkey) as b from t group by p_size)
 select 'Company ' || p_size as company, 'company-' || p_size || '-report.md' as file, '# Company ' || p_size || chr(10) || chr(10) || b as markdown from s""")
 def export_reports(spark: SparkSession, sf: str) -> DataFrame:
-    p = corpus(spark, sf, "part").where("p_partkey % 10 = 0")
+    p = corpus(spark, sf, "part")
     return reports.export_reports(p.select(F.concat(F.lit("Company "), "p_size").alias("company"), F.col("p_partkey").alias("ord"), F.col("p_name").alias("title"), F.col("p_type").alias("body")))
 
 
@@ -247,14 +251,15 @@ def report_counts(spark: SparkSession, sf: str) -> DataFrame:
     return corpus(spark, sf, "checklist").agg(F.count_distinct("letter").alias("n_categories"), F.count("*").alias("n_questions"))
 
 
-@query(f"with {EDGES}, {NEAR.replace('q.vec_id % 100 = 0', 'q.vec_id <= 100')} select query_id, id, score, row_number() over (partition by query_id order by score desc, id) as rank from ranked where id <> 'part:' || (query_id * 20)")
+@query(f"""with {EDGES}, {NEAR}, r as (select query_id, id, score, row_number() over (partition by query_id order by score desc, id) as rank from ranked where id <> 'part:' || (query_id * 10))
+select query_id, id, score, rank from r where rank <= 100""")
 def related_by_context(spark: SparkSession, sf: str) -> DataFrame:
     """Each part's context is the vector that it stems from."""
     e = corpus(spark, sf, "embeddings")
-    q = e.where("vec_id <= 100").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query_vec"))
+    q = e.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query_vec"))
     near = vectors.knn_l2(e, q, 20).select("query_id", F.col("vec_id").cast("string").alias("source"), (1 - F.col("dist") / 2).alias("score"))
-    nodes = graph.nodes_of(edges(spark, sf)).where("type = 'part'").select("id", (F.col("name").cast("long") / 20).cast("long").cast("string").alias("source"))
-    return graph.related_by_context(near, nodes, q.select("query_id", F.concat(F.lit("part:"), F.col("query_id") * 20).alias("id")), "query_id", limit=100)
+    nodes = graph.nodes_of(edges(spark, sf)).where("type = 'part'").select("id", (F.col("name").cast("long") / 10).cast("long").cast("string").alias("source"))
+    return graph.related_by_context(near, nodes, q.select("query_id", F.concat(F.lit("part:"), F.col("query_id") * 10).alias("id")), "query_id", limit=100)
 
 
 @query(f"with {EDGES} select 'nodes' as part, count(*) as n from nodes union all select 'edges', count(*) from g union all select 'metadata', 1")

@@ -9,7 +9,7 @@ from foliant.operators import checklist as ck
 from foliant.operators import sparse, vectors
 from foliant.plans.corpora import corpus
 from foliant.plans.registry import query
-from foliant.plans.text_queries import BM25, first_words
+from foliant.plans.text_queries import BM25
 
 DOT = "round(list_cosine_similarity({a}::double[], {b}::double[]), 6)"
 L2 = "round(list_sum(list_transform(list_zip({a}::double[], {b}::double[]), lambda z: (z[1] - z[2]) * (z[1] - z[2]))), 6)"
@@ -55,7 +55,8 @@ def cosine_matrix(spark: SparkSession, sf: str) -> DataFrame:
 
 
 VARIANTS = f"""
-v as (select vec_id // 50 as focus_id, vec_id % 3 as variant, embedding as qv from embeddings where vec_id % 50 < 3),
+asked as (select vec_id // 50 as focus_id, embedding::double[] as x from embeddings where vec_id % 50 = 0),
+v as (select focus_id, 0 as variant, x as qv from asked union all select focus_id, 1, list_reverse(x) from asked union all select focus_id, 2, list_transform(x, lambda y: -y) from asked),
 p as (select focus_id, variant, vec_id, {L2.format(a="qv", b="embedding")} as dist from v, embeddings),
 n as (select *, row_number() over (partition by focus_id, variant order by dist, vec_id) as r from p where dist <= 1.9),
 t as (select n.*, 'label ' || label as text from n join embeddings using (vec_id) where r <= 5),
@@ -64,9 +65,16 @@ found as (select focus_id, vec_id, text, dist, row_number() over (partition by f
 """
 
 
+def _variants(spark: SparkSession, sf: str) -> DataFrame:
+    """Three vectors per query row: its own, reversed and negated."""
+    x = F.col("embedding").cast("array<double>")
+    asked = corpus(spark, sf, "embeddings").where("vec_id % 50 = 0")
+    return asked.select(F.expr("vec_id div 50").alias("focus_id"), F.posexplode(F.array(x, F.reverse(x), F.transform(x, lambda y: -y))).alias("variant", "query_vec"))
+
+
 def _found(spark: SparkSession, sf: str) -> DataFrame:
     e = corpus(spark, sf, "embeddings")
-    variants = e.where("vec_id % 50 < 3").select(F.expr("vec_id div 50").alias("focus_id"), (F.col("vec_id") % 3).alias("variant"), F.col("embedding").alias("query_vec"))
+    variants = _variants(spark, sf)
     texts = e.select("vec_id", F.concat(F.lit("label "), "label").alias("text"))
     return vectors.multi_query_search(e, variants, texts, 5, 1.9)
 
@@ -91,9 +99,9 @@ u as (select coalesce(s.item_id, dn.item_id) as item_id, coalesce(s.doc_id, dn.d
 h as (select *, round(0.3 * sparse_score + 0.7 * dense_score, 6) as score from u)
 select item_id, doc_id, sparse_score, dense_score, score, rank from (select *, row_number() over (partition by item_id order by score desc, doc_id) as rank from h) where rank <= 10""")
 def hybrid_search(spark: SparkSession, sf: str) -> DataFrame:
-    """BM25 by the item's first words and vectors by the item's id, fused on the document id."""
+    """BM25 by the item's words and vectors by the item's id, fused on the document id."""
     e = corpus(spark, sf, "embeddings")
-    found = sparse.bm25_search(corpus(spark, sf, "documents"), first_words(spark, sf), "doc_id", "item_id", top_k=20)
+    found = sparse.bm25_search(corpus(spark, sf, "documents"), corpus(spark, sf, "benchmark"), "doc_id", "item_id", top_k=20)
     asked = corpus(spark, sf, "benchmark").join(e, F.col("item_id") == F.col("vec_id")).select("item_id", F.col("embedding").alias("query_vec"))
     near = vectors.knn_l2(e, asked, 20, query_key="item_id").select("item_id", F.col("vec_id").alias("doc_id"), (1 - F.col("dist") / 2).alias("score"))
     return vectors.hybrid_search(found, near, "doc_id", "item_id")
@@ -102,11 +110,14 @@ def hybrid_search(spark: SparkSession, sf: str) -> DataFrame:
 WORDS = "list_distinct(list_filter(string_split_regex(lower({t}), '\\s+'), lambda w: w <> ''))"
 
 
-@query(f"""select item_id, doc_id, round(len(list_intersect({WORDS.format(t="b.text")}, {WORDS.format(t="d.text")})) / greatest(len({WORDS.format(t="b.text")}), 1), 6) as score
-from benchmark b join documents d on doc_id % 40 = item_id % 40""")
+@query(f"""with {BM25}, hits as (select * from (select *, row_number() over (partition by item_id order by score desc, doc_id) as r from scored where score > 0) where r <= 10)
+select item_id, doc_id, round(len(list_intersect({WORDS.format(t="b.text")}, {WORDS.format(t="d.text")})) / greatest(len({WORDS.format(t="b.text")}), 1), 6) as score
+from hits join benchmark b using (item_id) join documents d using (doc_id)""")
 def rerank(spark: SparkSession, sf: str) -> DataFrame:
+    """The ten best hits of every item, rescored."""
     b, d = corpus(spark, sf, "benchmark"), corpus(spark, sf, "documents")
-    pairs = b.select("item_id", F.col("text").alias("q"), (F.col("item_id") % 40).alias("k")).join(d.select("doc_id", F.col("text").alias("t"), (F.col("doc_id") % 40).alias("k")), "k")
+    hits = sparse.bm25_search(d, b, "doc_id", "item_id").select("item_id", "doc_id")
+    pairs = hits.join(b.select("item_id", F.col("text").alias("q")).hint("merge"), "item_id").join(d.select("doc_id", F.col("text").alias("t")).hint("merge"), "doc_id")
     return vectors.rerank(pairs, "q", "t").select("item_id", "doc_id", "score")
 
 
@@ -122,7 +133,7 @@ def type_vectors(spark: SparkSession, sf: str) -> DataFrame:
 
     types = corpus(spark, sf, "embeddings").select("vec_id", normalise_key(F.concat(F.lit("Type "), "label")).alias("type_key")).where("type_key <> 'not classified'")
     embedded = vectors.embed_texts(types.select("type_key").distinct(), "type_key", vectors.hashed_embedder())
-    return types.join(embedded, "type_key").agg(F.count("*").alias("n"), F.count_distinct("type_key").alias("n_types"))
+    return types.join(embedded.hint("merge"), "type_key").agg(F.count("*").alias("n"), F.count_distinct("type_key").alias("n_types"))
 
 
 # checklists
@@ -296,7 +307,7 @@ b as (select *, least(h, k) - 1 as mid from a)
 select focus_id, rank, vec_id, case when h > 0 and k > 0 then substr(text, greatest(mid - 100, 0) + 1, mid + 350 - greatest(mid - 100, 0)) end as excerpt from b""")
 def focus_search(spark: SparkSession, sf: str) -> DataFrame:
     e = corpus(spark, sf, "embeddings")
-    variants = e.where("vec_id % 50 < 3").select(F.expr("vec_id div 50").alias("focus_id"), (F.col("vec_id") % 3).alias("variant"), F.col("embedding").alias("query_vec"))
+    variants = _variants(spark, sf)
     texts = corpus(spark, sf, "documents").select(F.col("doc_id").alias("vec_id"), "text")
     return vectors.focus_search(e, variants, texts, F.lit("the"), ["ing", "tion"], 5, 1.9)
 

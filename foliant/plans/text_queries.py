@@ -202,15 +202,11 @@ tf as (select doc_id, dl, term, count(*) as tf from (select doc_id, len(w) as dl
 df as (select term, count(*) as df from tf group by term),
 raw as (select term, df, ln(n - df + 0.5) - ln(df + 0.5) as raw from df, stats),
 terms as (select term, df, case when raw < 0 then 0.25 * (select avg(raw) from raw) else raw end as idf from raw),
-q as (select item_id, term, count(*) as times from (select item_id, unnest({TOKENS.format(t="array_to_string(string_split(text, ' ')[1:6], ' ')")}) as term from benchmark) group by all),
+q as (select item_id, term, count(*) as times from (select item_id, unnest({TOKENS.format(t="text")}) as term from benchmark) group by all),
 scored as (select item_id, doc_id, round(sum(times * idf * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * dl / avgdl))), 6) as score from q join terms using (term) join tf using (term), stats group by all)
 """
 
 
-def first_words(spark: SparkSession, sf: str) -> DataFrame:
-    return corpus(spark, sf, "benchmark").select("item_id", F.array_join(F.slice(F.split("text", " "), 1, 6), " ").alias("text"))
-
-
 @query(f"select doc_id, array_to_string({TOKENS.format(t='text')}, ' ') as tokens from documents")
 def legal_tokenize(spark: SparkSession, sf: str) -> DataFrame:
     return corpus(spark, sf, "documents").select("doc_id", F.array_join(sparse.legal_tokenize(F.col("text")), " ").alias("tokens"))
@@ -224,7 +220,7 @@ def bm25_index(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(f"with {BM25} select item_id, doc_id, score, rank from (select *, row_number() over (partition by item_id order by score desc, doc_id) as rank from scored where score > 0) where rank <= 10")
 def bm25_search(spark: SparkSession, sf: str) -> DataFrame:
-    return sparse.bm25_search(corpus(spark, sf, "documents"), first_words(spark, sf), "doc_id", "item_id")
+    return sparse.bm25_search(corpus(spark, sf, "documents"), corpus(spark, sf, "benchmark"), "doc_id", "item_id")
 
 
 @query(f"with {BM25} select n as n_docs, total::bigint as total_tokens, round(avgdl, 6) as avgdl from stats")

@@ -256,3 +256,30 @@ def test_plans_prune_and_stay_in_the_jvm(spark, sf, capsys):
     text.mark_first_chunk(text.chunk_fixed(docs.where("lang = 'en'").select("doc_id", "text"), "doc_id"), "doc_id").explain("formatted")
     plan = capsys.readouterr().out
     assert "Python" not in plan and "EqualTo(lang,en)" in plan and "n_chars" not in plan
+
+
+def test_containing_against_brute_force(spark):
+    names = ["abcabc", "bca", "a", "", "zz", "ab", "supplier#1", "supplier#12", "\u00e9t\u00e9", None]
+    parts = ["abc", "a", "", "supplier#1", "r#1", "\u00e9", "zzz", "bc", None]
+    got = graph.containing(spark.createDataFrame([(n,) for n in names], "n string"), spark.createDataFrame([(p,) for p in parts + parts], "e string"))
+    want = {(n, p) for n in names if n for p in parts if p and p in n}
+    assert sorted((r.n, r.e) for r in got.collect()) == sorted(want)
+
+
+def test_similar_pairs_in_cells_are_those_of_the_whole_block(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(60, 4))
+    rows = [(i, None if i % 7 == 0 else "ab"[i % 2], x[i].tolist()) for i in range(60)]
+    df = spark.createDataFrame(rows, "id long, entity_type string, vec array<double>")
+    unit = x / np.linalg.norm(x, axis=1)[:, None]
+    want = {(i, j) for i in range(60) for j in range(i + 1, 60) if rows[i][1] == rows[j][1] and round(float(unit[i] @ unit[j]), 6) >= 0.7}
+    monkeypatch.setattr(resolve, "CELL", 7)
+    got = [(r.a, r.b) for r in resolve.similar_pairs(df, ["entity_type"], F.lit(0.7)).collect()]
+    assert sorted(got) == sorted(want)
+
+
+def test_paths_look_up_the_last_edge(spark):
+    edges = spark.createDataFrame([("a", "b"), ("b", "c"), ("c", "d"), ("a", "c"), ("b", "a"), ("d", "a")], "src string, dst string")
+    pairs = spark.createDataFrame([("a", "d"), ("d", "c"), ("b", "b")], "start string, goal string")
+    got = graph.find_paths(edges, pairs, max_length=3).collect()
+    assert sorted(r.path for r in got) == ["a > b > c > d", "a > c > d", "d > a > b > c", "d > a > c"]

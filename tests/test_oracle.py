@@ -8,7 +8,7 @@ from foliant.plans import entity_queries, graph_queries, registry, search_querie
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 #: May be empty on the smallest tables.
-SMALL = {"find_paths", "semantic_paths", "semantic_entities", "search_entities", "similar_pairs"}
+SMALL = {"similar_pairs"}
 
 
 @pytest.fixture(scope="module")
