@@ -142,7 +142,7 @@ def hybrid_search(sparse: DataFrame, dense: DataFrame, key: str, query_key: str,
     """Weighted sum of both scores over the union of candidates; a side that lacks a row counts 0."""
     s, d = sparse.select(query_key, key, F.col("score").alias("s")), dense.select(query_key, key, F.col("score").alias("d"))
     both = s.join(d.hint("merge"), [query_key, key], "full_outer").select(query_key, key, F.coalesce("s", F.lit(0.0)).alias("sparse_score"), F.coalesce("d", F.lit(0.0)).alias("dense_score"))
-    scored = both.withColumn("score", F.round(sparse_weight * F.col("sparse_score") + dense_weight * F.col("dense_score"), 6))
+    scored = both.withColumn("score", F.round(sparse_weight * F.col("sparse_score") + dense_weight * F.col("dense_score"), 8))
     return scored.withColumn("rank", F.row_number().over(Window.partitionBy(query_key).orderBy(F.desc("score"), key))).where(F.col("rank") <= top_k)
 
 

@@ -96,7 +96,7 @@ s as (select * from (select *, row_number() over (partition by item_id order by
 dn as (select item_id, vec_id as doc_id, sim from (select item_id, e.vec_id, 1 - {L2.format(a="b.embedding", b="e.embedding")} / 2 as sim, row_number() over (partition by item_id order by {L2.format(a="b.embedding", b="e.embedding")}, e.vec_id) as r
    from benchmark join embeddings b on item_id = b.vec_id, embeddings e) where r <= 20),
 u as (select coalesce(s.item_id, dn.item_id) as item_id, coalesce(s.doc_id, dn.doc_id) as doc_id, coalesce(score, 0.0) as sparse_score, coalesce(sim, 0.0) as dense_score from s full join dn on s.item_id = dn.item_id and s.doc_id = dn.doc_id),
-h as (select *, round(0.3 * sparse_score + 0.7 * dense_score, 6) as score from u)
+h as (select *, round(0.3 * sparse_score + 0.7 * dense_score, 8) as score from u)
 select item_id, doc_id, sparse_score, dense_score, score, rank from (select *, row_number() over (partition by item_id order by score desc, doc_id) as rank from h) where rank <= 10""")
 def hybrid_search(spark: SparkSession, sf: str) -> DataFrame:
     """BM25 by the item's words and vectors by the item's id, fused on the document id."""
