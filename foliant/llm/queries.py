@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from foliant.llm import chunks, decontam, html_text, licenses, mixing, ngram_join, quality, tokens, toxicity, warc
+from foliant.llm import chunks, decontam, html_text, languages, licenses, mixing, negatives, ngram_join, quality, spelling, tokens, toxicity, warc
 
 TOKENIZER = "byte_bpe_50k.json"
 
@@ -55,6 +55,21 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chunks.shared_passages(table(spark, sf_dir, "documents")).drop("key")
 
 
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hard negatives of every 50th vector among all of them."""
+    return negatives.mined(table(spark, sf_dir, "embeddings"))
+
+
+def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near words, forms and roots of all words of all documents."""
+    return spelling.spelling_groups(table(spark, sf_dir, "documents"))
+
+
+def op13_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language of every document, its share, and the set of languages found."""
+    return languages.languages(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -68,6 +83,9 @@ QUERIES = {
         op8_decontamination,
         op9_token_output,
         op10_substring_dedup,
+        op11_hard_negatives,
+        op12_spelling_variants,
+        op13_language_id,
     )
 }
 ORACLES = {
@@ -75,4 +93,6 @@ ORACLES = {
     "op6_quality_rules": quality.ORACLE,
     "op7_mixing": mixing.ORACLE,
     "op8_decontamination": decontam.ORACLE,
+    "op11_hard_negatives": negatives.ORACLE,
+    "op12_spelling_variants": spelling.ORACLE,
 }
