@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from foliant.functions.shared import global_rank
 from foliant.operators.text import normalise_key, truncate_text
 
 RELEVANCY, POOL, MULTIPLIER, LEAST_CANDIDATES, LEAST_STD = 0.25, 30, 1.5, 5, 0.05
@@ -110,6 +111,11 @@ def answer_questions(questions: DataFrame, hits: DataFrame, threshold: float, ke
     return questions.join(listed.hint("merge"), key, "left").select(key, F.coalesce("sources", F.lit("")).alias("sources"), F.coalesce("n_sources", F.lit(0)).alias("n_sources"), F.col("n_sources").isNotNull().alias("has_answer"))
 
 
+def keyed_results(rows: DataFrame, order: list[str], prefix: str = "result") -> DataFrame:
+    """Adds ``key``: the prefix and a row's number from 0 in the order, without one task seeing all rows."""
+    return global_rank(rows, [F.col(c) for c in order], "__n").withColumn("key", F.concat(F.lit(f"{prefix}_"), "__n")).drop("__n")
+
+
 def rag_context(hits: DataFrame, key: str, threshold: float, top: int = 5, n: int = 200) -> DataFrame:
     """The lines ``- name: text...`` of the best hits, in order, and the prompt they go into."""
     good = hits.where((F.col("rank") <= top) & (F.col("score") >= threshold))

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -24,6 +27,19 @@ def nearest_centroid(vectors: DataFrame, labelled: DataFrame, key: str, vec: str
     return scores.withColumn("r", F.row_number().over(w)).where("r = 1").select(key, F.col(label).alias("predicted"), "score")
 
 
+def classify_with(docs: DataFrame, key: str, text: str, classifier: Callable[[], Callable[[list[str]], list[str]]]) -> DataFrame:
+    """(key, predicted): labels of a caller's classifier, which is made once per Python worker; a null text has none."""
+
+    @F.pandas_udf("string")
+    def label(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        model = classifier()
+        for p in parts:
+            yield pd.Series(model(p.tolist()), dtype=object)
+
+    known = docs.where(F.col(text).isNotNull()).select(key, clean_type_label(label(text)).alias("predicted"))
+    return known.unionAll(docs.where(F.col(text).isNull()).select(key, F.lit(None).cast("string")))
+
+
 def skip_classified(docs: DataFrame, stored: DataFrame, key: str) -> DataFrame:
     """Documents without a stored result."""
     return docs.join(stored.select(key).distinct(), key, "left_anti")

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from foliant.functions.components import connected_components
+from foliant.functions.shared import stored
 
 GRAM = 3
 
@@ -83,8 +84,9 @@ def graph_summary(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return a.unionAll(edges.groupBy("relationship").count().select(F.lit("relationship"), "relationship", "count"))
 
 
-def search_entities(nodes: DataFrame, queries: DataFrame, limit: int = 10) -> DataFrame:
-    """(query, id, score, rank): nodes whose name contains the query; 1.0 if equal, else 0.8."""
+def search_entities(nodes: DataFrame, queries: DataFrame, limit: int = 10, types: list[str] | None = None) -> DataFrame:
+    """(query, id, score, rank): nodes, of the given types if any, whose name contains the query; 1.0 if equal, else 0.8."""
+    nodes = nodes if types is None else nodes.where(F.col("type").isin(types))
     low = nodes.select("id", "name", F.lower("name").alias("n"))
     asked = queries.select("query", F.lower("query").alias("e"))
     hit = containing(low, asked).join(low.hint("merge"), "n").join(asked.hint("merge"), "e")
@@ -130,6 +132,54 @@ def find_paths(edges: DataFrame, pairs: DataFrame, max_length: int = 3, per_pair
     return out if total is None else out.orderBy("length", "path").limit(total)
 
 
+def meeting_paths(edges: DataFrame, pairs: DataFrame, max_length: int = 3) -> DataFrame:
+    """All simple paths of at most ``max_length`` edges between pairs (start, goal): start, goal, nodes.
+
+    Frontiers grow from the starts and, against the edges, from the goals, each half as far, and meet in the middle; a hub
+    behind the middle is only met where the other frontier reached it. Parallel edges count once.
+    """
+    step = stored(edges.select(F.col("src").alias("at"), F.col("dst").alias("to")).where("at is not null and to is not null and at <> to").distinct(), "steps")
+    ahead = [pairs.select("start", F.array("start").alias("nodes")).distinct()]
+    behind = [pairs.select("goal", F.array("goal").alias("tail")).distinct()]
+    for _ in range((max_length + 1) // 2):
+        grown = ahead[-1].join(step.hint("merge"), F.element_at("nodes", -1) == F.col("at")).where(~F.array_contains("nodes", F.col("to")))
+        ahead.append(stored(grown.select("start", F.array_append("nodes", F.col("to")).alias("nodes")), "ahead"))
+    for _ in range(max_length // 2):
+        grown = behind[-1].join(step.hint("merge"), F.get("tail", F.lit(0)) == F.col("to")).where(~F.array_contains("tail", F.col("at")))
+        behind.append(stored(grown.select("goal", F.array_prepend("tail", F.col("at")).alias("tail")), "behind"))
+    out = None
+    for length in range(1, max_length + 1):
+        a, b = ahead[(length + 1) // 2], behind[length // 2]
+        asked = pairs.select("start", "goal").distinct().join(a.hint("merge"), "start").select("*", F.element_at("nodes", -1).alias("mid"))
+        met = asked.join(b.select("goal", "tail", F.get("tail", F.lit(0)).alias("mid")).hint("merge"), ["goal", "mid"]).where(F.size(F.array_intersect("nodes", "tail")) == 1)
+        found = met.select("start", "goal", F.concat("nodes", F.slice("tail", F.lit(2), F.size("tail"))).alias("nodes"))
+        out = found if out is None else out.unionAll(found)
+    return out
+
+
+def named_paths(nodes: DataFrame, edges: DataFrame, names: DataFrame, max_length: int = 3, per_pair: int = 5, total: int = 10) -> DataFrame:
+    """Paths between entities whose names contain a start and a goal text: start_name, goal_name, rank, length, path.
+
+    The shortest ``per_pair`` of each two nodes, and of those ``total`` for each row of names; ties by the path. Null and
+    empty texts match nothing, and no path leads from a node to itself.
+    """
+    low = nodes.select("id", F.lower("name").alias("n"))
+    asked = names.select("start_name", "goal_name").distinct()
+
+    def matches(text: str, out: str) -> DataFrame:
+        found = containing(low, asked.select(F.lower(text).alias("e"))).join(low.hint("merge"), "n")
+        return found.select(F.col("e").alias(f"__{out}"), F.col("id").alias(out))
+
+    starts = asked.join(matches("start_name", "start").hint("merge"), F.lower("start_name") == F.col("__start"))
+    pairs = starts.join(matches("goal_name", "goal").hint("merge"), F.lower("goal_name") == F.col("__goal")).where("start <> goal").select("start_name", "goal_name", "start", "goal")
+    pairs = stored(pairs, "pairs")
+    paths = meeting_paths(edges, pairs, max_length).select("start", "goal", (F.size("nodes") - 1).alias("length"), F.array_join("nodes", " > ").alias("path"))
+    first = F.row_number().over(Window.partitionBy("start", "goal").orderBy("length", "path"))
+    best = paths.withColumn("r", first).where(F.col("r") <= per_pair).drop("r")
+    rank = F.row_number().over(Window.partitionBy("start_name", "goal_name").orderBy("length", "path"))
+    return pairs.join(best.hint("merge"), ["start", "goal"]).withColumn("rank", rank).where(F.col("rank") <= total).select("start_name", "goal_name", "rank", "length", "path")
+
+
 def entity_clusters(edges: DataFrame, top: int = 5) -> DataFrame:
     """The largest components of more than one node: component, size."""
     sizes = components(edges).groupBy("component").agg(F.count("*").alias("size")).where("size > 1")

@@ -102,12 +102,18 @@ def document_text(chunks: DataFrame) -> DataFrame:
 
 
 def replace_keywords(chunks: DataFrame, definitions: DataFrame) -> DataFrame:
-    """Whole-word terms of the entity kind become their canonical names, longest term first; adds ``replaced``."""
-    pairs = definitions.where("keyword_type = 'entity'").groupBy("source").agg(F.collect_list(F.struct((-F.length("keyword")).alias("n"), "keyword", F.regexp_replace("canonical_name", r"([\\$])", r"\\$1").alias("canon"))).alias("__d"))
-    joined = chunks.join(pairs.hint("merge"), "source", "left")
-    pattern = lambda k: F.concat(F.lit(r"(?i)\b\Q"), k, F.lit(r"\E\b"))
-    text = F.aggregate(F.array_sort("__d"), F.col("text"), lambda t, d: F.regexp_replace(t, pattern(d["keyword"]), d["canon"]))
-    new = F.coalesce(text, F.col("text"))
+    """Whole-word terms of the entity kind become their canonical names, longest term first; adds ``replaced``.
+
+    All terms of a source are one pattern, so a text is read once and a name that was put in is not replaced again.
+    """
+    from foliant.operators.text import literal, replaced_once
+
+    terms = definitions.where("keyword_type = 'entity'").groupBy("source", F.lower("keyword").alias("k")).agg(F.min("canonical_name").alias("canon"))
+    listed = terms.groupBy("source").agg(F.array_sort(F.collect_list(F.struct((-F.length("k")).alias("n"), "k", "canon"))).alias("__d"))
+    pattern = F.concat(F.lit(r"(?i)\b(?:"), F.array_join(F.transform("__d", lambda d: literal(d["k"])), "|"), F.lit(r")\b"))
+    known = listed.select("source", pattern.alias("__p"), F.map_from_entries(F.transform("__d", lambda d: F.struct(d["k"], d["canon"]))).alias("__m"))
+    joined = chunks.join(known.hint("merge"), "source", "left")
+    new = F.when(F.col("__p").isNull(), F.col("text")).otherwise(replaced_once(F.col("text"), F.col("__p"), lambda m: F.try_element_at("__m", F.lower(m))))
     return joined.select(*[c for c in chunks.columns if c != "text"], new.alias("text"), (new != F.col("text")).alias("replaced"))
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from foliant.operators.text import truncate_text
+from foliant.operators.text import literal, replaced_once, truncate_text
 
 
 def qa_insights(answers: DataFrame) -> DataFrame:
@@ -49,15 +49,17 @@ def citation_id(path: Column) -> Column:
 
 
 def inline_citations(reports: DataFrame, names: DataFrame) -> DataFrame:
-    """``{name}`` in a report becomes ``according to **Clean Name**``; longer names first.
+    """``{name}`` in a report becomes ``according to **Clean Name**``, in one pass.
 
     names: (report, name); the clean name has no extension and blanks for underscores.
     """
-    clean = F.initcap(F.translate(F.regexp_replace("name", r"\.[^.]*$", ""), "_-", "  "))
-    listed = names.select("report", "name", clean.alias("clean")).groupBy("report").agg(F.array_sort(F.collect_set(F.struct((-F.length("name")).alias("n"), "name", "clean"))).alias("__n"))
-    put = lambda t, d: F.replace(t, F.concat(F.lit("{"), d["name"], F.lit("}")), F.concat(F.lit("according to **"), d["clean"], F.lit("**")))
-    joined = reports.join(listed.hint("merge"), "report", "left")
-    return joined.select("report", F.coalesce(F.aggregate("__n", F.col("text"), put), F.col("text")).alias("text"))
+    clean = F.concat(F.lit("according to **"), F.initcap(F.translate(F.regexp_replace("name", r"\.[^.]*$", ""), "_-", "  ")), F.lit("**"))
+    listed = names.where("name is not null").select("report", F.struct("name", clean.alias("put")).alias("n")).groupBy("report").agg(F.array_sort(F.collect_set("n")).alias("__n"))
+    pattern = F.concat(F.lit(r"\{(?:"), F.array_join(F.transform("__n", lambda n: literal(n["name"])), "|"), F.lit(r")\}"))
+    known = listed.select("report", pattern.alias("__p"), F.map_from_entries("__n").alias("__m"))
+    joined = reports.join(known.hint("merge"), "report", "left")
+    put = replaced_once(F.col("text"), F.col("__p"), lambda m: F.try_element_at("__m", F.substring(m, F.lit(2), F.length(m) - 2)))
+    return joined.select("report", F.when(F.col("__p").isNull(), F.col("text")).otherwise(put).alias("text"))
 
 
 def paragraph_mentions(reports: DataFrame, names: DataFrame) -> DataFrame:

@@ -2,19 +2,27 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from foliant.functions.components import connected_components
+from foliant.functions.shared import stored
 
-THRESHOLDS = {"companies": 0.85, "people": 0.80, "financial_metrics": 0.90, "documents": 0.75, "legal_keywords": 0.95}
-DEFAULT_THRESHOLD = 0.8
+# Similarity that makes two rows of a type one entity, and how much the context counts.
+THRESHOLDS = {"people": 0.85, "companies": 0.80, "financial_metrics": 0.90, "documents": 0.75, "legal_keywords": 0.95}
+CONTEXT_WEIGHTS = {"people": 0.7, "companies": 0.6, "financial_metrics": 0.9, "documents": 0.5, "legal_keywords": 0.8}
+DEFAULT_THRESHOLD, DEFAULT_WEIGHT = 0.8, 0.6
 MOST_IN_COMPONENT = 5000
-CELL = 4096
+PIVOTED = 4096  # rows of a block that is cut by pivots
+CELL = 1 << 16  # rows that a task holds while others pass by
+PASSING = 1 << 20  # rows that pass by one task
+PRODUCT = 1 << 22  # cosines that are computed at once
+MOST_PIVOTS = 1 << 15  # of all blocks together; the tasks hold them
 
 
 def entity_text(name: Column, context: Column, weight: Column) -> Column:
@@ -30,38 +38,151 @@ def normalise_entity_name(kind: Column, name: Column) -> Column:
     return F.when(kind == "companies", company).when(kind == "people", person).when(kind == "financial_metrics", money).otherwise(low)
 
 
+def by_type(kind: Column, values: dict[str, float], default: float) -> Column:
+    out = F.lit(None).cast("double")
+    for k, v in values.items():
+        out = F.when(kind == k, v).otherwise(out)
+    return F.coalesce(out, F.lit(default))
+
+
 def threshold_of(kind: Column) -> Column:
-    out = None
-    for k, t in THRESHOLDS.items():
-        out = F.when(kind == k, t) if out is None else out.when(kind == k, t)
-    return out.otherwise(DEFAULT_THRESHOLD)
+    return by_type(kind, THRESHOLDS, DEFAULT_THRESHOLD)
+
+
+def _pivots(rows: DataFrame, sizes: DataFrame) -> dict[str, np.ndarray]:
+    """About a quarter of the root of a block's size of its rows as pivots, for blocks of over ``PIVOTED`` rows.
+
+    Taken by hash; all blocks together have ``MOST_PIVOTS`` at most, which the driver passes to the tasks.
+    """
+    wanted = F.ceil(F.sqrt("n") / 4)
+    large = stored(sizes.where(F.col("n") > PIVOTED).select(F.col("block").alias("b"), "n", wanted.alias("k")), "large")
+    total = large.agg(F.sum("k")).first()[0] or 0
+    if not total:
+        return {}
+    k = F.floor(F.col("k") * min(1.0, MOST_PIVOTS / total))
+    share = F.pmod(F.xxhash64("id", F.lit("pivot")), F.lit(1 << 30)) / (1 << 30)
+    candidates = rows.join(large.hint("merge"), F.col("block") == F.col("b")).where(share < 4 * k / F.col("n")).select("block", "vec", k.alias("k"), share.alias("share"), "id")
+    first = F.row_number().over(Window.partitionBy("block").orderBy("share", "id"))
+    found: dict[str, list] = {}
+    for r in candidates.withColumn("r", first).where("r <= k").select("block", "vec").collect():
+        found.setdefault(r[0], []).append(r[1])
+    return {b: unit_rows(np.array(v, float)) for b, v in found.items()}
+
+
+def unit_rows(x: np.ndarray) -> np.ndarray:
+    return x / np.maximum(np.linalg.norm(x, axis=1), 1e-12)[:, None]
+
+
+def placements(x: np.ndarray, pivots: np.ndarray, limit: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The home cell (nearest pivot) of every unit row, and (row, cell) of the other cells that it has to pass by.
+
+    A row that is within the angle of ``limit`` of another cell's member is that near to the great circle half-way between
+    both pivots; farther ones need not pass. Of two cells one sends its rows to the other: the lower one if the numbers
+    differ in parity, else the higher one.
+    """
+    near = x @ pivots.T
+    home = near.argmax(axis=1)
+    own = near[np.arange(len(x)), home]
+    between = np.sqrt(np.maximum(2 - 2 * (pivots[home] @ pivots.T), 0))
+    reach = np.sin(np.arccos(min(1.0, limit - 2e-6))) if limit > 0 else np.inf
+    cell = np.arange(len(pivots))[None, :]
+    sends = np.where((home[:, None] + cell) % 2 == 1, home[:, None] < cell, home[:, None] > cell)
+    row, to = np.nonzero(sends & (own[:, None] - near <= reach * (between + 1e-7)))
+    return home, row, to
+
+
+def placed_rows(entities: DataFrame, blocks: list[str], threshold: Column) -> DataFrame:
+    """Where every row meets others: (place, stream, passing, id, vec, t); see ``similar_pairs``."""
+    kind = dict(entities.dtypes)["id"]
+    rows = stored(entities.where("vec is not null").select("id", F.col("vec").cast("array<double>").alias("vec"), threshold.alias("t"), F.to_json(F.struct(*blocks)).alias("block")), "rows")
+    sizes = stored(rows.groupBy("block").agg(F.count("*").alias("n"), F.min("t").alias("least")), "sizes")
+    pivots = _pivots(rows, sizes)
+
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            block = np.array(batch.column(2).to_pylist(), object)
+            home, froms, tos = np.zeros(batch.num_rows, np.int64), [], []
+            for b in set(block.tolist()) & pivots.keys():
+                at = np.flatnonzero(block == b)
+                x = unit_rows(np.array(batch.column(1).take(pa.array(at)).to_pylist(), float))
+                for s in range(0, len(x), 256):
+                    home[at[s : s + 256]], row, to = placements(x[s : s + 256], pivots[b], batch.column(3)[int(at[0])].as_py())
+                    froms.append(at[s + row])
+                    tos.append(to)
+            row = pa.array(np.concatenate([np.arange(batch.num_rows), *froms]))
+            passing = np.arange(len(row)) >= batch.num_rows
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(row), batch.column(2).take(row), pa.array(np.concatenate([home, *tos])), pa.array(passing)], ["id", "block", "cell", "passing"])
+
+    asked = rows.join(sizes.hint("merge"), "block").select("id", "vec", "block", "least")
+    cells = stored(asked.mapInArrow(place, f"id {kind}, block string, cell long, passing boolean"), "cells")
+    n_parts, n_streams = F.ceil(F.count_if(~F.col("passing")) / CELL), F.ceil(F.count("*") / PASSING)
+    plan = cells.groupBy("block", "cell").agg(n_parts.cast("int").alias("n_parts"), n_streams.cast("int").alias("n_streams")).where("n_parts > 0")
+    met = cells.join(plan.hint("merge"), ["block", "cell"]).join(rows.select("id", "vec", "t").hint("merge"), "id")
+    part, stream = (F.pmod(F.xxhash64("id", F.lit(name)), F.col(n)).cast("int") for name, n in (("part", "n_parts"), ("stream", "n_streams")))
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    # a row is held by its part, in every stream; those of later parts of its own cell, and of other cells, pass in one stream
+    holds = met.where("not passing").select("*", part.alias("part"), every("n_streams").alias("stream"))
+    later = met.where("not passing").select("*", every("n_parts").alias("part"), stream.alias("stream")).where(F.col("part") > part).withColumn("passing", F.lit(True))
+    passes = met.where("passing").select("*", every("n_parts").alias("part"), stream.alias("stream"))
+    place_ = F.concat_ws("|", "block", "cell", "part", "stream").alias("place")
+    return holds.unionAll(later).unionAll(passes).select(place_, "stream", "passing", "id", "vec", "t")
 
 
 def similar_pairs(entities: DataFrame, blocks: list[str], threshold: Column) -> DataFrame:
     """(a, b, score) with a < b inside blocks (type and a blocking key): cosine of ``vec`` at least the threshold of ``a``.
 
-    A large block is cut into cells of about ``CELL`` rows; every two cells are one group, which gives only pairs that pass.
+    A block of over ``PIVOTED`` rows is cut into the cells of its pivots. A row lives in the cell of its nearest pivot and
+    passes by those other cells that may have a member within the block's least threshold, by the triangle inequality;
+    everything met is verified. Cells are held in parts of ``CELL`` rows while other rows stream by, so a row is sent at
+    most once per pivot, of which there are a quarter of the root of the block's size, and if near its pivot to few.
     """
+    kind = dict(entities.dtypes)["id"]
+    placed = placed_rows(entities, blocks, threshold).repartition("place").sortWithinPartitions("place", "passing")
 
-    def compare(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("id").reset_index(drop=True)
-        cell, one = pdf["cell"].to_numpy(), pdf["i"].iloc[0] == pdf["j"].iloc[0]
-        x = np.stack(pdf["vec"].to_numpy()).astype(float)
-        x /= np.maximum(np.linalg.norm(x, axis=1), 1e-12)[:, None]
-        out = []
-        for i in range(0, len(x), 1024):
-            c = np.round(x[i : i + 1024] @ x.T, 6)
-            r, s = np.nonzero(c >= pdf["t"].to_numpy()[i : i + 1024, None])
-            keep = (s > r + i) & (one | (cell[r + i] != cell[s]))  # pairs inside a cell are its own group's
-            out.append(pd.DataFrame({"a": pdf["id"].to_numpy()[r[keep] + i], "b": pdf["id"].to_numpy()[s[keep]], "score": c[r[keep], s[keep]]}))
-        return pd.concat(out)
-
-    rows = entities.where("vec is not null").select("id", "vec", threshold.alias("t"), F.to_json(F.struct(*blocks)).alias("block"))
-    sizes = rows.groupBy("block").agg(F.ceil(F.count("*") / CELL).cast("int").alias("n"))
-    placed = rows.join(sizes.hint("merge"), "block").select("*", F.pmod(F.xxhash64("id"), F.col("n")).cast("int").alias("cell"))
-    spread = placed.select("*", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("other"))
-    cells = spread.select("block", F.least("cell", "other").alias("i"), F.greatest("cell", "other").alias("j"), "cell", "id", "vec", "t")
-    return cells.groupBy("block", "i", "j").applyInPandas(compare, f"a {dict(entities.dtypes)['id']}, b {dict(entities.dtypes)['id']}, score double")
+    def pairs(one: tuple, other: tuple, inside: bool, ids: pa.DataType) -> Iterator[pa.RecordBatch]:
+        """Pairs of a row that is held and one that passes, or inside the held ones."""
+        size = max(1, PRODUCT // len(one[0]))
+        for s in range(0, len(other[0]), size):
+            c = np.round(other[1][s : s + size] @ one[1].T, 6)
+            r, q = np.nonzero(c >= np.minimum(other[2][s : s + size, None], one[2][None, :]))
+            if inside:
+                r, q = r[s + r < q], q[s + r < q]
+            a, b, score = other[0][s + r], one[0][q], c[r, q]
+            swap = np.array(a > b, bool)
+            keep = score >= np.where(swap, one[2][q], other[2][s + r])
+            yield pa.RecordBatch.from_arrays([pa.array(np.where(swap, b, a)[keep], ids), pa.array(np.where(swap, a, b)[keep], ids), pa.array(score[keep])], ["a", "b", "score"])
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        place, first, parts, held = None, False, [], None
+
+        def whole() -> tuple:
+            out = tuple(np.concatenate([p[i] for p in parts]) for i in range(3))
+            parts.clear()
+            return out
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            ids = batch.schema.field("id").type
+            mark = np.array([f"{passing}{p}" for p, passing in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), strict=True)], object)
+            bounds = [0, *(np.flatnonzero(mark[1:] != mark[:-1]) + 1).tolist(), len(mark)]
+            name, x, t = batch.column(3).to_numpy(zero_copy_only=False), unit_rows(np.array(batch.column(4).to_pylist(), float)), batch.column(5).to_numpy()
+            for i, j in zip(bounds, bounds[1:], strict=False):
+                here, passing = batch.column(0)[i].as_py(), batch.column(2)[i].as_py()
+                if (here != place or passing) and parts:  # all that is held of a place is there
+                    held = whole()
+                    if first:
+                        yield from pairs(held, held, True, ids)
+                place, first = here, batch.column(1)[i].as_py() == 0
+                if passing:
+                    yield from pairs(held, (name[i:j], x[i:j], t[i:j]), False, ids)
+                else:
+                    parts.append((name[i:j], x[i:j], t[i:j]))
+        if parts and first:
+            held = whole()
+            yield from pairs(held, held, True, ids)
+
+    return placed.mapInArrow(compare, f"a {kind}, b {kind}, score double")
 
 
 def average_linkage(x: np.ndarray, threshold: float) -> np.ndarray:
@@ -122,6 +243,28 @@ def merge_clusters(entities: DataFrame, clusters: DataFrame) -> DataFrame:
     )
 
 
+def resolve_entities(
+    entities: DataFrame, embed: Callable[[DataFrame, str, str], DataFrame] | None = None, threshold: Column | None = None, blocks: tuple[str, ...] = ()
+) -> DataFrame:
+    """Entities of all types with duplicates merged, in one job: entity_type, cluster, name, sources, cluster_size, confidence, contexts.
+
+    ``entities``: id, entity_type, name, source, context, confidence, extraction_method, and ``vec`` unless ``embed``
+    (rows, column of texts, column for vectors) is given, which then reads each entity's name and context once per
+    distinct text. ``blocks`` are further columns that rows must share to be compared. Rows without a vector, and types
+    with one row, come out as they are, as clusters of one; a null type is a type.
+    """
+    rows = entities
+    if embed is not None:
+        text = entity_text(F.trim("name"), F.trim("context"), by_type(F.col("entity_type"), CONTEXT_WEIGHTS, DEFAULT_WEIGHT))
+        read = entities.drop("vec").withColumn("__text", text)
+        vectors = embed(read.select("__text").distinct(), "__text", "vec").select("__text", "vec")
+        rows = read.join(vectors.hint("merge"), "__text").drop("__text")
+    rows = stored(rows, "entities")
+    limit = threshold_of(F.col("entity_type")) if threshold is None else threshold
+    pairs = stored(similar_pairs(rows, ["entity_type", *blocks], limit), "pairs")
+    return merge_clusters(rows, cluster_entities(rows, pairs, limit))
+
+
 def resolution_stats(before: DataFrame, after: DataFrame) -> DataFrame:
     """before, after, removed and percent per type and in total."""
     b = before.rollup("entity_type").agg(F.count("*").alias("n_before")).select(F.coalesce("entity_type", F.lit("total")).alias("entity_type"), "n_before")

@@ -18,25 +18,47 @@ def legal_tokenize(text: Column) -> Column:
     return F.filter(F.transform(words, lambda t: F.replace(t, F.lit("_"), F.lit(""))), lambda t: F.length(t) > 1)
 
 
+def word_postings(docs: DataFrame, key: str, words: str = "words") -> DataFrame:
+    """(key, term, tf, dl) of documents with their words and length ``dl``."""
+    return docs.select(key, "dl", F.explode(words).alias("term")).groupBy(key, "term").agg(F.count("*").alias("tf"), F.first("dl").cast("long").alias("dl"))
+
+
 def postings(docs: DataFrame, key: str, text: str = "text", tokenize: Callable[[Column], Column] = legal_tokenize) -> DataFrame:
     """(key, term, tf, dl): a document's terms with its length."""
-    words = docs.select(key, tokenize(F.col(text)).alias("__w")).select(key, F.size("__w").alias("dl"), F.explode("__w").alias("term"))
-    return words.groupBy(key, "term").agg(F.count("*").alias("tf"), F.first("dl").alias("dl"))
+    return word_postings(docs.select(key, tokenize(F.col(text)).alias("words")).select(key, F.size("words").alias("dl"), "words"), key)
 
 
-def corpus_stats(docs: DataFrame, key: str, text: str = "text") -> DataFrame:
+def corpus_stats(docs: DataFrame, key: str, text: str = "text", tokenize: Callable[[Column], Column] = legal_tokenize) -> DataFrame:
     """One row: n_docs, total_tokens, avgdl."""
-    return docs.select(F.size(legal_tokenize(F.col(text))).alias("dl")).agg(F.count("*").alias("n_docs"), F.sum("dl").alias("total_tokens"), F.avg("dl").alias("avgdl"))
+    return docs.select(F.size(tokenize(F.col(text))).alias("dl")).agg(F.count("*").alias("n_docs"), F.sum("dl").alias("total_tokens"), F.avg("dl").alias("avgdl"))
 
 
-def term_stats(index: DataFrame, stats: DataFrame) -> DataFrame:
-    """(term, df, idf): a negative idf becomes a quarter of the mean idf."""
-    df = index.groupBy("term").agg(F.count("*").alias("df")).crossJoin(F.broadcast(stats.select("n_docs")))
+def weighed_terms(counts: DataFrame, stats: DataFrame) -> DataFrame:
+    """(term, df, idf) from (term, df) and a row with n_docs: a negative idf becomes a quarter of the mean idf."""
+    df = counts.crossJoin(F.broadcast(stats.select("n_docs")))
     raw = df.select("term", "df", (F.log(F.col("n_docs") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)).alias("raw"))
     mean = raw.agg((F.avg("raw") * EPSILON).alias("floor"))  # one row
     return raw.crossJoin(F.broadcast(mean)).select("term", "df", F.when(F.col("raw") < 0, F.col("floor")).otherwise(F.col("raw")).alias("idf"))
 
 
+def term_stats(index: DataFrame, stats: DataFrame) -> DataFrame:
+    """(term, df, idf) of postings."""
+    return weighed_terms(index.groupBy("term").agg(F.count("*").alias("df")), stats)
+
+
+def score_postings(
+    index: DataFrame, terms: DataFrame, stats: DataFrame, queries: DataFrame, key: str, query_key: str, query_text: str = "text", top_k: int = 10, tokenize: Callable[[Column], Column] = legal_tokenize
+) -> DataFrame:
+    """(query_key, key, score, rank) from postings, weighed terms and a row with avgdl: scores above 0, the best ``top_k``."""
+    asked = queries.select(query_key, F.explode(tokenize(F.col(query_text))).alias("term")).groupBy(query_key, "term").agg(F.count("*").alias("times"))
+    weighed = stored(asked.join(terms.hint("merge"), "term"), "weighed")
+    met = index.join(weighed.hint("merge"), "term").crossJoin(F.broadcast(stats.select("avgdl")))
+    gain = F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
+    scored = met.groupBy(query_key, key).agg(F.round(F.sum(F.col("times") * gain), 6).alias("score")).where("score > 0")
+    rank = F.row_number().over(Window.partitionBy(query_key).orderBy(F.desc("score"), key))
+    return scored.withColumn("rank", rank).where(F.col("rank") <= top_k)
+
+
 def bm25_search(
     docs: DataFrame, queries: DataFrame, key: str, query_key: str, query_text: str = "text", text: str = "text", top_k: int = 10, tokenize: Callable[[Column], Column] = legal_tokenize
 ) -> DataFrame:
@@ -47,11 +69,4 @@ def bm25_search(
     index = stored(postings(docs, key, text, tokenize), "postings")
     known = docs.agg(F.count("*").alias("n_docs"), F.count(text).alias("n_texts"))
     stats = known.crossJoin(index.agg(F.sum("tf").alias("total"))).select("n_docs", (F.col("total") / F.col("n_texts")).alias("avgdl"))  # one row each
-    terms = term_stats(index, stats)
-    asked = queries.select(query_key, F.explode(tokenize(F.col(query_text))).alias("term")).groupBy(query_key, "term").agg(F.count("*").alias("times"))
-    weighed = stored(asked.join(terms.hint("merge"), "term"), "weighed")
-    met = index.join(weighed.hint("merge"), "term").crossJoin(F.broadcast(stats.select("avgdl")))
-    gain = F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
-    scored = met.groupBy(query_key, key).agg(F.round(F.sum(F.col("times") * gain), 6).alias("score")).where("score > 0")
-    rank = F.row_number().over(Window.partitionBy(query_key).orderBy(F.desc("score"), key))
-    return scored.withColumn("rank", rank).where(F.col("rank") <= top_k)
+    return score_postings(index, term_stats(index, stats), stats, queries, key, query_key, query_text, top_k, tokenize)

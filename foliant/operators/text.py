@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import time
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from foliant.functions.shared import global_rank
@@ -69,6 +70,34 @@ def chunk_recursive(df: DataFrame, key: str, text: str = "text", size: int = CHU
     return df.select(key, text).mapInArrow(split, f"{key} {dict(df.dtypes)[key]}, pos int, chunk string")
 
 
+@F.udtf(returnType="pos int, chunk string")
+class RecursiveChunks:
+    """The recursive splitter as a table function: rows of (pos, chunk) for a text; none for a null or empty one."""
+
+    def eval(self, text: str, size: int, overlap: int):
+        for pos, chunk in enumerate(split_recursive(text or "", size, overlap)):
+            yield pos, chunk
+
+
+def chunks_of(df: DataFrame, text: str = "text", size: int = CHUNK_SIZE, overlap: int = CHUNK_OVERLAP) -> DataFrame:
+    """Every column of the rows beside each chunk of their text (pos, chunk), by a lateral join with the table function."""
+    return df.lateralJoin(RecursiveChunks(F.col(text).outer(), F.lit(size), F.lit(overlap)))
+
+
+def chunk_stats(chunks: DataFrame, source: str = "source", key: str = "doc_id", pos: str = "pos") -> DataFrame:
+    """Documents, chunks and first chunks per source."""
+    return chunks.groupBy(source).agg(F.count_distinct(key).alias("documents"), F.count("*").alias("chunks"), F.count_if(F.col(pos) == 0).alias("first_chunks"))
+
+
+def written_with_stats(chunks: DataFrame, path: str, key: str = "doc_id", pos: str = "pos", text: str = "chunk") -> dict:
+    """Writes chunks and gives figures observed in that same pass: chunks, first_chunks, n_chars, empty, and chunks_per_second."""
+    seen = Observation("chunks")
+    figures = [F.count("*").alias("chunks"), F.count_if(F.col(pos) == 0).alias("first_chunks"), F.coalesce(F.sum(F.length(text)), F.lit(0)).alias("n_chars"), F.count_if(F.coalesce(F.length(text), F.lit(0)) == 0).alias("empty")]
+    began = time.monotonic()
+    chunks.observe(seen, *figures).write.parquet(path)
+    return {**seen.get, "chunks_per_second": seen.get["chunks"] / max(1e-9, time.monotonic() - began)}
+
+
 def number_chunks(chunks: DataFrame, order: list[str], store: str | None = None) -> DataFrame:
     """Adds chunk_id ``chunk_{i}``: per store, or over all rows by distributed ranks."""
     if store is None:
@@ -132,6 +161,18 @@ def regex_spans(df: DataFrame, text: str, pattern: str, groups: int = 0) -> Data
     return placed.select(*df.columns, match.alias("match"), "start", (F.col("start") + F.length(match)).alias("end"), *[F.get(f"__{g}", F.col("__i")).alias(f"g{g}") for g in range(1, groups + 1)])
 
 
+def literal(text: Column) -> Column:
+    """A pattern that matches just the text."""
+    return F.regexp_replace(text, r"([^\p{L}\p{N}\s])", r"\\$1")
+
+
+def replaced_once(text: Column, pattern: Column, found: Callable[[Column], Column]) -> Column:
+    """Every match of a pattern replaced by ``found(match)``, in one pass: what is put in is not looked at again."""
+    matches, gaps = F.regexp_extract_all(text, pattern, F.lit(0)), F.split(text, pattern, -1)
+    put = F.zip_with(gaps, F.transform(matches, lambda m: F.coalesce(found(m), m)), lambda g, m: F.concat(g, F.coalesce(m, F.lit(""))))
+    return F.array_join(put, "")
+
+
 def context_window(text: Column, start: Column, end: Column, n: int) -> Column:
     """The text from n characters before a span to n after it, clamped."""
     first = F.greatest(start - n, F.lit(0))

@@ -97,6 +97,24 @@ def semantic_search(vectors: DataFrame, queries: DataFrame, rescore: Callable[[D
     return rescore(first).withColumn("rank", rank).where(F.col("rank") <= top_k).select(query_key, key, "similarity", "score", "rank")
 
 
+def search_documents(vectors: DataFrame | None, queries: DataFrame, rescore: Callable[[DataFrame], DataFrame], top_k: int = 5, threshold: float = 0.2, score_mode: str = "similarity", key: str = "vec_id", query_key: str = "query_id") -> DataFrame:
+    """Semantic search that gives no rows, with the right columns, where there is no index.
+
+    ``score_mode="distance"`` compares the distance itself with the threshold, larger ones being kept, and ranks by it, as
+    a literal reading of the score would; the default converts distances to similarities first.
+    """
+    kinds = {**{f"?{k}": v for k, v in queries.dtypes}, key: "long"} | ({} if vectors is None else {k: v for k, v in vectors.dtypes if k == key})
+    if vectors is None:
+        return queries.sparkSession.createDataFrame([], f"{query_key} {kinds[f'?{query_key}']}, {key} {kinds[key]}, similarity double, score double, rank int")
+    if score_mode == "similarity":
+        return semantic_search(vectors, queries, rescore, top_k, threshold, key, query_key)
+    if score_mode != "distance":
+        raise ValueError(f"no score mode {score_mode}")
+    near = knn_l2(vectors, queries, max(20, 3 * top_k), key=key, query_key=query_key).where(F.col("dist") >= threshold)
+    rank = F.row_number().over(Window.partitionBy(query_key).orderBy("dist", key))
+    return near.select(query_key, key, (1 - F.col("dist")).alias("similarity"), F.col("dist").alias("score"), rank.alias("rank")).where(F.col("rank") <= top_k)
+
+
 def multi_query_search(vectors: DataFrame, variants: DataFrame, texts: DataFrame, k: int, limit: float, key: str = "vec_id", focus: str = "focus_id") -> DataFrame:
     """Several vectors per focus: k nearest each within the limit, one row per focus and text (the nearest), by distance."""
     asked = variants.withColumn("query_id", F.concat_ws("#", focus, "variant"))

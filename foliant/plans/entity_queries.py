@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foliant.operators import classify, entities, legal, resolve
+from foliant.operators import classify, entities, features, legal, resolve
 from foliant.plans.corpora import corpus
 from foliant.plans.registry import query
 from foliant.plans.text_queries import SPANS
@@ -57,12 +57,14 @@ def extract_people(spark: SparkSession, sf: str) -> DataFrame:
     return entities.extract_people(chunks(spark, sf))
 
 
+AMOUNT = f"""replace(regexp_extract(name, '({entities.NUMBER})', 1), ',', '')::double * coalesce(map_extract_value(map {{'thousand': 1e3, 'million': 1e6, 'billion': 1e9, 'k': 1e3, 'm': 1e6, 'b': 1e9}},
+  lower(regexp_extract(name, '(?i){entities.NUMBER}\\s*(thousand|million|billion|k|m|b)\\b', 1))), 1.0)"""
 MONEYS = f"""{CHUNKS}, {spans(M1, "c")}, {spans(M2, "d")}, money as (select * from spansc union all select * from spansd)"""
 
 
 @query(f"""with {MONEYS}, f as (select source, match as name, start, round(start / length(text), 6) as position, {CONTEXT.format(n=100)} as context from money)
 select source, name, start, position, context,
-  replace(regexp_extract(name, '(\\d[\\d,]*(?:\\.\\d+)?)', 1), ',', '')::double * case when lower(name) like '%billion%' then 1e9 when lower(name) like '%million%' then 1e6 when lower(name) like '%thousand%' then 1e3 else 1.0 end as amount,
+  {AMOUNT} as amount,
   coalesce({first_hit("context", entities.ATTRIBUTES["financial"]["currency"])}, 'USD') as currency, coalesce({first_hit("context", entities.ATTRIBUTES["financial"]["metric"])}, 'amount') as metric,
   coalesce({first_hit("context", entities.ATTRIBUTES["financial"]["period"])}, 'unspecified') as period from f""")
 def extract_financials(spark: SparkSession, sf: str) -> DataFrame:
@@ -84,6 +86,19 @@ def to_linkage_columns(spark: SparkSession, sf: str) -> DataFrame:
     return entities.to_linkage_columns(entities.extract_companies(chunks(spark, sf)))
 
 
+@query(f"with {PEOPLE} select substr(sha256(concat_ws('|', source, name, start)), 1, 16) as unique_id, lower(name) as full_name, p[1] as first_name, nullif(array_to_string(p[2:-2], ' '), '') as middle_name, p[-1] as last_name, " + ", ".join(f"{first_hit('context', p)} as {a}" for a, p in entities.ATTRIBUTES["person"].items()) + ", length(name)::int as name_length, source from parted")
+def people_linkage_columns(spark: SparkSession, sf: str) -> DataFrame:
+    return entities.people_linkage_columns(entities.extract_people(chunks(spark, sf)))
+
+
+@query(f"""with {MONEYS}, f as (select source, match as name, start, round(start / length(text), 6) as position, {CONTEXT.format(n=100)} as context from money)
+select substr(sha256(concat_ws('|', source, name, start)), 1, 16) as unique_id, name as amount_text, {AMOUNT} as normalized_amount,
+  coalesce({first_hit("context", entities.ATTRIBUTES["financial"]["currency"])}, 'USD') as currency, coalesce({first_hit("context", entities.ATTRIBUTES["financial"]["metric"])}, 'amount') as metric_type,
+  coalesce({first_hit("context", entities.ATTRIBUTES["financial"]["period"])}, 'unspecified') as period, position, source from f""")
+def financial_linkage_columns(spark: SparkSession, sf: str) -> DataFrame:
+    return entities.financial_linkage_columns(entities.extract_financials(chunks(spark, sf)))
+
+
 @query(f"""with {CHUNKS}, t as (select source, string_agg(text, ' ' order by pos) as t from chunks group by source)
 select t.source, split_part(t.source, '_', 1) as name, """ + ", ".join(f"{first_hit('t', p)} as {a}" for a, p in entities.ATTRIBUTES["company"].items()) + " from t")
 def enrich_entities(spark: SparkSession, sf: str) -> DataFrame:
@@ -230,7 +245,7 @@ def vector_entities(spark: SparkSession, sf: str) -> DataFrame:
 
 ENTITIES = """
 e as (select vec_id as id, embedding::double[] as v, label from embeddings union all select vec_id + (select max(vec_id) + 1 from embeddings), list_transform(embedding::double[], lambda x, i: x + case when i = 1 then 0.05 else 0 end), label from embeddings),
-en as (select id, case when label % 2 = 0 then 'companies' else 'people' end as entity_type, v, case when label % 2 = 0 then 0.85 else 0.8 end as t from e)
+en as (select id, case when label % 2 = 0 then 'companies' else 'people' end as entity_type, v, case when label % 2 = 0 then 0.8 else 0.85 end as t from e)
 """
 
 
@@ -261,6 +276,18 @@ def merge_clusters(spark: SparkSession, sf: str) -> DataFrame:
     return resolve.merge_clusters(rows, clusters_of(rows))
 
 
+@query("""with e as (select vec_id as id, vec_id, label from embeddings union all select vec_id + (select max(vec_id) + 1 from embeddings), vec_id, label from embeddings),
+r as (select vec_id as cluster, case when label % 2 = 0 then 'companies' else 'people' end as entity_type, 'Entity ' || vec_id as name, 'doc_' || id % 97 || '.txt' as source, (id % 5) / 5.0 as confidence, 'context ' || vec_id as context from e
+  union all select -1, 'documents', 'Only one', 'one.txt', 0.5, 'its context' union all select -2, 'legal_keywords', 'No vector', 'two.txt', 0.0, null)
+select entity_type, cluster, min(name) as name, array_to_string(list_sort(list(distinct source)), '; ') as sources, count(*) as cluster_size, round(avg(nullif(confidence, 0.0)), 6) as confidence,
+  coalesce(array_to_string(list_sort(list(distinct context) filter (context is not null))[1:3], ' | '), '') as contexts from r group by entity_type, cluster""")
+def resolve_entities(spark: SparkSession, sf: str) -> DataFrame:
+    """All types in one job; a type of one row and a row without a vector pass."""
+    rows = vector_entities(spark, sf)
+    single = spark.createDataFrame([(-1, "documents", "Only one", "one.txt", "its context", 0.5, "ner", [1.0] * 64), (-2, "legal_keywords", "No vector", "two.txt", None, 0.0, "ner", None)], rows.schema)
+    return resolve.resolve_entities(rows.unionByName(single))
+
+
 @query("""with e as (select case when label % 2 = 0 then 'companies' else 'people' end as t from embeddings), c as (select coalesce(t, 'total') as entity_type, count(*) as n from e group by rollup (t))
 select entity_type, 2 * n as n_before, n as n_after, n as removed, 50.0::double as percent from c""")
 def resolution_stats(spark: SparkSession, sf: str) -> DataFrame:
@@ -285,6 +312,26 @@ def classify_documents(spark: SparkSession, sf: str) -> DataFrame:
     return classify.nearest_centroid(e, e.where("vec_id % 2 = 0"), "vec_id", "embedding", "label")
 
 
+@query()
+def classify_texts(spark: SparkSession, sf: str) -> DataFrame:
+    """Quality labels by naive Bayes, learned from two thirds of the labelled documents; the tests re-compute it."""
+    docs, labels = corpus(spark, sf, "documents"), corpus(spark, sf, "labels")
+    held = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 1
+    known = labels.where("quality is not null").select("doc_id", "quality").where(~held)
+    model = features.fit_text_classifier(docs.join(known.hint("merge"), "doc_id"), label="quality")
+    return features.classify_texts(docs, model, "doc_id").select("doc_id", held.alias("held_out"), "predicted", "probability")
+
+
+@query("select doc_id, case when length(text) > 1000 then 'long' else 'short' end as predicted from documents")
+def classify_with(spark: SparkSession, sf: str) -> DataFrame:
+    """A caller's classifier, made once per worker."""
+
+    def by_length():
+        return lambda texts: [" The document type is " + ("Long" if len(t) > 1000 else "Short") for t in texts]
+
+    return classify.classify_with(corpus(spark, sf, "documents"), "doc_id", "text", by_length)
+
+
 @query("select doc_id from documents where doc_id not in (select doc_id from labels)")
 def skip_classified(spark: SparkSession, sf: str) -> DataFrame:
     return classify.skip_classified(corpus(spark, sf, "documents").select("doc_id"), corpus(spark, sf, "labels"), "doc_id")

@@ -60,6 +60,14 @@ def search_entities(spark: SparkSession, sf: str) -> DataFrame:
     return graph.search_entities(graph.nodes_of(edges(spark, sf)), q)
 
 
+@query(f"""with {EDGES}, q as (select distinct p_partkey::varchar as query from part where p_partkey % 50 = 0),
+s as (select query, id, case when name = query then 1.0 else 0.8 end as score from nodes join q on contains(name, query) where type = 'supp')
+select query, id, score, rank from (select *, row_number() over (partition by query order by score desc, id) as rank from s) where rank <= 10""")
+def search_entities_of_type(spark: SparkSession, sf: str) -> DataFrame:
+    q = corpus(spark, sf, "part").where("p_partkey % 50 = 0").select(F.col("p_partkey").cast("string").alias("query")).distinct()
+    return graph.search_entities(graph.nodes_of(edges(spark, sf)), q, types=["supp"])
+
+
 @query(f"with {EDGES} select src as id, dst as other, relationship, 'outgoing' as direction from g union all select dst, src, relationship, 'incoming' from g")
 def entity_relationships(spark: SparkSession, sf: str) -> DataFrame:
     e = edges(spark, sf)
@@ -88,6 +96,32 @@ def find_paths(spark: SparkSession, sf: str) -> DataFrame:
     return graph.find_paths(e, asked.distinct())
 
 
+HOME = """parts as (select distinct l_partkey, l_suppkey from lineitem),
+e as (select 'part:' || l_partkey as src, 'supp:' || l_suppkey as dst from parts union all select 'supp:' || s_suppkey, 'nation:' || s_nationkey from supplier union all select 'nation:' || n_nationkey, 'region:' || n_regionkey from nation),
+named as (select distinct 'part:' || l_partkey as id, 'part ' || l_partkey as name from lineitem union all select 'supp:' || s_suppkey, lower(s_name) from supplier union all select 'nation:' || n_nationkey, lower(n_name) from nation union all select 'region:' || r_regionkey, lower(r_name) from region),
+q as (select 'part ' || (r_regionkey + 7) as start_name, lower(r_name) as goal_name from region union all select 'supplier#00000000' || (n_nationkey % 10), lower(n_name) from nation)"""
+
+
+@query(f"""with recursive {HOME},
+asked as (select start_name, goal_name, a.id as s, b.id as g from q join named a on contains(a.name, start_name) join named b on contains(b.name, goal_name) where a.id <> b.id),
+walk(s, tip, nodes) as (select distinct s, s, [s] from asked union all select s, dst, list_append(nodes, dst) from walk join e on src = tip where len(nodes) <= 3 and not list_contains(nodes, dst)),
+p as (select s, g, len(nodes) - 1 as length, array_to_string(nodes, ' > ') as path from walk join (select distinct s, g from asked) using (s) where tip = g),
+b as (select * from (select *, row_number() over (partition by s, g order by length, path) as r from p) where r <= 5)
+select start_name, goal_name, rank, length::int as length, path from (select start_name, goal_name, length, path, row_number() over (partition by start_name, goal_name order by length, path) as rank from asked join b using (s, g)) where rank <= 10""")
+def named_paths(spark: SparkSession, sf: str) -> DataFrame:
+    """From parts and suppliers to regions and nations, all by what their names contain."""
+    node = lambda kind, c: F.concat(F.lit(f"{kind}:"), c)
+    lines, supplier, nation, region = (corpus(spark, sf, t) for t in ("lineitem", "supplier", "nation", "region"))
+    parts = lines.select("l_partkey").distinct()
+    nodes = parts.select(node("part", "l_partkey").alias("id"), F.concat(F.lit("Part "), "l_partkey").alias("name"))
+    nodes = nodes.unionAll(supplier.select(node("supp", "s_suppkey"), "s_name")).unionAll(nation.select(node("nation", "n_nationkey"), "n_name")).unionAll(region.select(node("region", "r_regionkey"), "r_name"))
+    e = lines.select(node("part", "l_partkey").alias("src"), node("supp", "l_suppkey").alias("dst")).distinct()
+    e = e.unionAll(supplier.select(node("supp", "s_suppkey"), node("nation", "s_nationkey"))).unionAll(nation.select(node("nation", "n_nationkey"), node("region", "n_regionkey")))
+    names = region.select(F.concat(F.lit("part "), F.col("r_regionkey") + 7).alias("start_name"), F.lower("r_name").alias("goal_name"))
+    names = names.unionAll(nation.select(F.concat(F.lit("supplier#00000000"), F.col("n_nationkey") % 10), F.lower("n_name")))
+    return graph.named_paths(nodes, e, names)
+
+
 @query(f"with recursive {EDGES}, {COMP} select component, count(*) as size from comp group by component having count(*) > 1 order by size desc, component limit 5")
 def entity_clusters(spark: SparkSession, sf: str) -> DataFrame:
     return graph.entity_clusters(edges(spark, sf))
@@ -208,6 +242,16 @@ def export_reports(spark: SparkSession, sf: str) -> DataFrame:
     return reports.export_reports(p.select(F.concat(F.lit("Company "), "p_size").alias("company"), F.col("p_partkey").alias("ord"), F.col("p_name").alias("title"), F.col("p_type").alias("body")))
 
 
+@query("""with t as (select p_size, p_name, p_type, p_partkey from part), s as (select p_size, string_agg('## ' || p_name || chr(10) || chr(10) || p_type, chr(10) || chr(10) order by p_partkey) as b from t group by p_size)
+select 'company-' || p_size || '-report.md' as file, '# Company ' || p_size || chr(10) || chr(10) || b as text from s""")
+def written_reports(spark: SparkSession, sf: str) -> DataFrame:
+    """The reports as one committed file per company, read back."""
+    p, path = corpus(spark, sf, "part"), scratch_dir(spark, "reports")
+    found = reports.export_reports(p.select(F.concat(F.lit("Company "), "p_size").alias("company"), F.col("p_partkey").alias("ord"), F.col("p_name").alias("title"), F.col("p_type").alias("body")))
+    rooms.write_texts(found.select("file", F.col("markdown").alias("text")), path)
+    return rooms.read_texts(spark, path)
+
+
 @query("""with c as (select word, ord, text, focus from (values ('strategic', 1, 'Strategy section'), ('checklist', 2, 'Checklist section'), ('project', 3, 'Project section')) s(word, ord, text),
   (select distinct case event_id % 4 when 0 then 'Strategic project ' when 1 then 'checklist ' when 2 then 'Project and strategic ' else 'other ' end || user_id as focus from events) where contains(lower(focus), word))
 select focus, string_agg(text, chr(10) order by ord) as context from c group by focus""")

@@ -5,11 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from foliant.functions.shared import scratch_dir
 from foliant.operators import checklist as ck
-from foliant.operators import sparse, vectors
+from foliant.operators import features, sparse, vectors
 from foliant.plans.corpora import corpus
 from foliant.plans.registry import query
 from foliant.plans.text_queries import BM25
+from foliant.sources import files as rooms
 
 DOT = "round(list_cosine_similarity({a}::double[], {b}::double[]), 6)"
 L2 = "round(list_sum(list_transform(list_zip({a}::double[], {b}::double[]), lambda z: (z[1] - z[2]) * (z[1] - z[2]))), 6)"
@@ -123,9 +125,36 @@ def rerank(spark: SparkSession, sf: str) -> DataFrame:
 
 @query()
 def embed_texts(spark: SparkSession, sf: str) -> DataFrame:
+    """The default vectors of all documents; the tests hold them against the formulas."""
+    docs = corpus(spark, sf, "documents").select("doc_id", "text")
+    return features.fit_text_vectors(docs)(docs, "text", "embedding").drop("text")
+
+
+@query()
+def embed_with(spark: SparkSession, sf: str) -> DataFrame:
+    """Vectors by a caller's model."""
     return vectors.embed_texts(corpus(spark, sf, "documents").select("doc_id", "text"), "text", vectors.hashed_embedder()).drop("text")
 
 
+@query(f"""with e as (select vec_id, embedding::double[] as v from embeddings), q as (select vec_id as query_id, list_transform(v, lambda x, i: x + case when i = 1 then 0.05 else 0 end) as qv from e),
+s as (select query_id, vec_id, {DOT.format(a='qv', b='v')} as score from q, e) select query_id, vec_id, score from s where score >= 0.9""")
+def lsh_cosine_pairs(spark: SparkSession, sf: str) -> DataFrame:
+    """Moved copies of all vectors find their origins by random projections; the tests measure recall at the limit."""
+    e = corpus(spark, sf, "embeddings")
+    moved = e.select(F.col("vec_id").alias("query_id"), F.transform(F.col("embedding").cast("array<double>"), lambda x, i: x + F.when(i == 0, 0.05).otherwise(0.0)).alias("query_vec"))
+    return features.lsh_cosine_pairs(e, moved, 0.9, 64)
+
+
+@query(f"""with {PAIRS}, l as (select query_id, vec_id, 1 - dist as similarity, dist as score from near where rank <= 20 and dist >= 0.2)
+select * from (select *, row_number() over (partition by query_id order by score, vec_id) as rank from l) where rank <= 5""")
+def search_documents(spark: SparkSession, sf: str) -> DataFrame:
+    """The literal score mode; a missing index gives no rows."""
+    rescore = lambda df: df.withColumn("score", F.expr(_label_score()))
+    q = _queries(spark, sf)
+    none = vectors.search_documents(None, q, rescore).select("query_id", "vec_id", "similarity", "score", "rank")
+    return vectors.search_documents(corpus(spark, sf, "embeddings"), q, rescore, score_mode="distance").unionByName(none)
+
+
 @query("select count(*) as n, count(distinct label) as n_types from embeddings where 'type ' || label <> 'not classified'")
 def type_vectors(spark: SparkSession, sf: str) -> DataFrame:
     """Each distinct normalised document type is embedded once."""
@@ -287,6 +316,20 @@ def answered_count(spark: SparkSession, sf: str) -> DataFrame:
 
 
 
+@query("select doc_id, source, 'answer_' || (row_number() over (order by source, doc_id) - 1) as key from documents")
+def keyed_results(spark: SparkSession, sf: str) -> DataFrame:
+    return ck.keyed_results(corpus(spark, sf, "documents").select("doc_id", "source"), ["source", "doc_id"], "answer")
+
+
+@query("select category as file, letter, category, row_number() over (partition by category, letter order by item_no)::int as item_no, text, coalesce(original, text) as original from checklist")
+def nested_checklists(spark: SparkSession, sf: str) -> DataFrame:
+    """Checklists as nested JSON, one committed file per checklist, read back and flattened."""
+    path = scratch_dir(spark, "checklists")
+    nested = rooms.nested_checklists(corpus(spark, sf, "checklist").withColumn("file", F.col("category")))
+    rooms.write_texts(nested.select("file", F.col("json").alias("text")), path)
+    return rooms.flat_checklists(rooms.read_texts(spark, path).withColumnRenamed("text", "json"))
+
+
 TEXTS = "t as (select doc_id as vec_id, text from documents)"
 
 

@@ -10,6 +10,7 @@ from foliant.operators import sparse, text
 from foliant.plans.corpora import corpus
 from foliant.plans.registry import query
 from foliant.sources import files as rooms
+from foliant.streaming.index import SparseIndex, updated_index
 from foliant.streaming.ingest import ingest_and_read
 
 CHUNKS = """
@@ -32,6 +33,19 @@ def chunk_recursive(spark: SparkSession, sf: str) -> DataFrame:
     return text.chunk_recursive(corpus(spark, sf, "documents"), "doc_id")
 
 
+@query()
+def chunks_of(spark: SparkSession, sf: str) -> DataFrame:
+    """The recursive splitter as a table function in a lateral join; the tests re-compute it."""
+    return text.chunks_of(corpus(spark, sf, "documents").select("doc_id", "text")).select("doc_id", "pos", "chunk")
+
+
+@query(f"with {CHUNKS} select count(*) as chunks, count(*) filter (pos = 0) as first_chunks, sum(length(chunk))::bigint as n_chars, count(*) filter (length(chunk) = 0) as empty from chunks")
+def written_with_stats(spark: SparkSession, sf: str) -> DataFrame:
+    """Figures observed while the chunks are written."""
+    seen = text.written_with_stats(_chunks(spark, sf), scratch_dir(spark, "chunks"))
+    return spark.createDataFrame([[seen[c] for c in ("chunks", "first_chunks", "n_chars", "empty")]], "chunks long, first_chunks long, n_chars long, empty long")
+
+
 @query(f"with {CHUNKS} select doc_id, pos::int as pos, 'chunk_' || (row_number() over (order by doc_id, pos) - 1) as chunk_id from chunks")
 def number_chunks(spark: SparkSession, sf: str) -> DataFrame:
     return text.number_chunks(_chunks(spark, sf).select("doc_id", "pos"), ["doc_id", "pos"])
@@ -55,7 +69,7 @@ def citation_label(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(f"with {CHUNKS} select source, count(distinct doc_id) as documents, count(*) as chunks, count(*) filter (pos = 0) as first_chunks from chunks group by source")
 def chunk_stats(spark: SparkSession, sf: str) -> DataFrame:
-    return _chunks(spark, sf).groupBy("source").agg(F.count_distinct("doc_id").alias("documents"), F.count("*").alias("chunks"), F.count_if(F.col("pos") == 0).alias("first_chunks"))
+    return text.chunk_stats(_chunks(spark, sf))
 
 
 @query(f"select doc_id, trim(translate(translate(lower(text), '{text._ACCENTS[0]}', '{text._ACCENTS[1]}'), '{text._MARKS[0]}', '{text._MARKS[1].replace(chr(39), chr(39) * 2)}'), ' ') as key from documents")
@@ -201,7 +215,8 @@ stats as (select count(*) as n, avg(len(w)) as avgdl, sum(len(w)) as total from
 tf as (select doc_id, dl, term, count(*) as tf from (select doc_id, len(w) as dl, unnest(w) as term from d) group by all),
 df as (select term, count(*) as df from tf group by term),
 raw as (select term, df, ln(n - df + 0.5) - ln(df + 0.5) as raw from df, stats),
-terms as (select term, df, case when raw < 0 then 0.25 * (select avg(raw) from raw) else raw end as idf from raw),
+mean as (select 0.25 * avg(raw) as floor from raw),
+terms as (select term, df, case when raw < 0 then floor else raw end as idf from raw, mean),
 q as (select item_id, term, count(*) as times from (select item_id, unnest({TOKENS.format(t="text")}) as term from benchmark) group by all),
 scored as (select item_id, doc_id, round(sum(times * idf * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * dl / avgdl))), 6) as score from q join terms using (term) join tf using (term), stats group by all)
 """
@@ -231,13 +246,40 @@ def index_stats(spark: SparkSession, sf: str) -> DataFrame:
 # streaming
 
 
-@query(f"with {CHUNKS.replace('from documents', 'from (select min(doc_id) as doc_id, null as source, text from documents group by text)')} select count(*) as n_chunks, count(distinct chunk) as n_texts from chunks")
+@query(f"with {CHUNKS.replace('from documents', 'from (select min(doc_id) as doc_id, null as source, text from documents group by text)')}, t as (select doc_id, text from documents) select sha256(t.text) as content_hash, pos::int as pos, chunk from chunks join t using (doc_id)")
 def incremental_ingest(spark: SparkSession, sf: str) -> DataFrame:
-    """Two runs over a growing folder; which of equal texts is kept is open, so the store is counted."""
+    """Two runs over a growing folder; which of equal texts is kept is open, so chunks are named by their content."""
     folder, out, mark = (scratch_dir(spark, n) for n in ("inbox", "store", "progress"))
     docs = corpus(spark, sf, "documents").select("doc_id", "text")
     docs.where("doc_id % 2 = 0").write.parquet(folder)
     ingest_and_read(spark, folder, "doc_id long, text string", out, mark)
     docs.where("doc_id % 2 = 1").write.mode("append").parquet(folder)
     store = ingest_and_read(spark, folder, "doc_id long, text string", out, mark)
-    return store.agg(F.count("*").alias("n_chunks"), F.count_distinct("chunk").alias("n_texts"))
+    return store.select("content_hash", "pos", "chunk")
+
+
+def changing_index(spark: SparkSession, sf: str) -> SparseIndex:
+    """Three runs: half of the documents; the others, with every fifth changed and the first files repeated; every fifteenth
+    changed again and every seventh deleted."""
+    folder, out, mark = (scratch_dir(spark, n) for n in ("inbox", "index", "progress"))
+    docs = corpus(spark, sf, "documents").select("doc_id", "text")
+    docs.where("doc_id % 2 = 0").write.parquet(folder)
+    updated_index(spark, folder, out, mark)
+    docs.where("doc_id % 2 = 0 and doc_id % 5 <> 0").unionAll(docs.where("doc_id % 2 = 1 and doc_id % 5 <> 0")).write.mode("append").parquet(folder)
+    docs.where("doc_id % 5 = 0").select("doc_id", F.concat("text", F.lit(" amended closing terms"))).toDF("doc_id", "text").write.mode("append").parquet(folder)
+    updated_index(spark, folder, out, mark)
+    docs.where("doc_id % 15 = 0").select("doc_id", F.concat(F.lit("restated "), "text")).toDF("doc_id", "text").write.mode("append").parquet(folder)
+    docs.where("doc_id % 7 = 0 and doc_id % 15 <> 0").select("doc_id", F.lit(None).cast("string").alias("text")).write.mode("append").parquet(folder)
+    return updated_index(spark, folder, out, mark)
+
+
+CHANGED = BM25.replace(
+    "from documents",
+    "from (select doc_id, case when doc_id % 15 = 0 then 'restated ' || text when doc_id % 5 = 0 then text || ' amended closing terms' else text end as text from documents where doc_id % 7 <> 0 or doc_id % 15 = 0)",
+)
+
+
+@query(f"with {CHANGED} select item_id, doc_id, score, rank from (select *, row_number() over (partition by item_id order by score desc, doc_id) as rank from scored where score > 0) where rank <= 10")
+def incremental_index(spark: SparkSession, sf: str) -> DataFrame:
+    """BM25 hits from the index of three runs: those of the documents as they stand at the end."""
+    return changing_index(spark, sf).search(corpus(spark, sf, "benchmark"), "item_id")

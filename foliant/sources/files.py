@@ -92,6 +92,46 @@ def read_markdown(spark: SparkSession, path: str) -> DataFrame:
     return text.select(F.element_at(F.split(F.col("_metadata.file_path"), "/"), -1).alias("file"), F.col("value").alias("text"))
 
 
+CHECKLIST_JSON = "map<string, struct<name: string, items: array<struct<text: string, original: string>>>>"
+QUESTIONS_JSON = "map<string, array<struct<category: string, question: string, id: string>>>"
+
+
+def nested_checklists(checklist: DataFrame) -> DataFrame:
+    """(file, json): flat rows (file, letter, category, item_no, text, original) as one nested map per file."""
+    items = F.transform(F.array_sort(F.collect_list(F.struct("item_no", "text", "original"))), lambda i: F.struct(i["text"].alias("text"), i["original"].alias("original")))
+    letters = checklist.groupBy("file", "letter").agg(F.min("category").alias("name"), items.alias("items"))
+    whole = letters.groupBy("file").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("letter", F.struct("name", "items"))))).alias("m"))
+    return whole.select("file", F.to_json("m").alias("json"))
+
+
+def flat_checklists(nested: DataFrame) -> DataFrame:
+    """(file, json) -> file, letter, category, item_no (from 1), text, original; json that is none gives no row."""
+    letters = nested.select("file", F.explode(F.from_json("json", CHECKLIST_JSON)).alias("letter", "c"))
+    items = letters.select("file", "letter", F.col("c.name").alias("category"), F.posexplode("c.items").alias("i", "item"))
+    return items.select("file", "letter", "category", (F.col("i") + 1).alias("item_no"), "item.text", F.coalesce("item.original", "item.text").alias("original"))
+
+
+def flat_questions(nested: DataFrame) -> DataFrame:
+    """(json) of questions by file -> file, id, category, question."""
+    files = nested.select(F.explode(F.from_json("json", QUESTIONS_JSON)).alias("file", "q"))
+    return files.select("file", F.explode("q").alias("q")).select("file", "q.id", "q.category", "q.question")
+
+
+def write_texts(files: DataFrame, path: str) -> None:
+    """A sink of one committed text file per row of (file, text): ``{path}/file={file}/part-…``; a null text is an empty file.
+
+    Rows are dealt by file name, so a name is written by one task; repeated names become one file, texts in order.
+    """
+    one = files.groupBy("file").agg(F.array_join(F.array_sort(F.collect_list(F.coalesce("text", F.lit("")))), "\n").alias("text"))
+    one.repartition("file").write.partitionBy("file").text(path)
+
+
+def read_texts(spark: SparkSession, path: str) -> DataFrame:
+    """(file, text) of what ``write_texts`` wrote."""
+    rows = spark.read.schema("value string, file string").text(path, wholetext=True)
+    return rows.select("file", F.when(F.endswith("value", F.lit("\n")), F.expr("left(value, length(value) - 1)")).otherwise(F.col("value")).alias("text"))
+
+
 def save_store(df: DataFrame, path: str) -> None:
     """Writes index rows by store; stores that the rows do not name stay as they are."""
     df.write.partitionBy("store").option("partitionOverwriteMode", "dynamic").mode("overwrite").parquet(path)
@@ -116,4 +156,4 @@ def list_graphs(edges: DataFrame) -> DataFrame:
 
 
 #: Readers by content type: name -> (spark, path) -> rows; callers may add their own.
-READERS = {"rooms": scan_data_room, "markdown": read_markdown, "parquet": lambda spark, path: spark.read.parquet(path)}
+READERS = {"rooms": scan_data_room, "markdown": read_markdown, "texts": read_texts, "parquet": lambda spark, path: spark.read.parquet(path)}
