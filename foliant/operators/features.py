@@ -64,7 +64,7 @@ def lsh_cosine_pairs(
 
     def unit(df: DataFrame, k: str, v: str) -> DataFrame:
         rows = df.where(F.col(v).isNotNull()).select(k, F.col(v).cast("array<double>").alias("v")).withColumn("n", norm(F.col("v"))).where("n > 0")
-        return rows.select(k, F.transform("v", lambda x: x / F.col("n")).alias("v")).withColumn("__unit", array_to_vector(F.coalesce("v", F.array_repeat(F.lit(0.0), dim))))
+        return rows.select(k, F.transform("v", lambda x: x / F.greatest(F.col("n"), F.lit(1e-300))).alias("v")).withColumn("__unit", array_to_vector(F.coalesce("v", F.array_repeat(F.lit(0.0), dim))))
 
     length, tables = projections(least, recall, dim)
     a, b = unit(queries, query_key, query_vec), unit(vectors, key, vec)

@@ -10,7 +10,6 @@ from foliant.plans.corpora import corpus
 from foliant.plans.registry import query
 from foliant.plans.text_queries import SPANS
 
-C1, C2 = (p.replace("(?:Inc", "(?:Inc") for p in entities.COMPANY)
 M1, M2 = entities.MONEY
 
 
@@ -34,9 +33,10 @@ def first_hit(context: str, patterns: tuple[str, ...]) -> str:
 
 
 CONTEXT = "substr(text, greatest(start - {n}, 0) + 1, (start + length(match) + {n} - greatest(start - {n}, 0))::bigint)"
-COMPANIES = f"""{CHUNKS}, {spans(C1, "a")}, {spans(C2, "b")},
-allspans as (select * from spansa union all select * from spansb),
-comp as (select source, trim(match) as name, start, round(start / length(text), 6) as position, {CONTEXT.format(n=200)} as context from allspans where length(trim(match)) between 5 and 80)"""
+COMPANIES = f"""{CHUNKS}, {spans(entities.CLOSING, "a")},
+led as (select source, text, match, start, regexp_extract(substr(text, greatest(start - {entities.NAME_BEFORE}, 0) + 1, least(start, {entities.NAME_BEFORE})::bigint), '{entities.NAME_RUN}', 1) as lead from spansa),
+whole as (select source, text, trim(lead || match) as name, (start - length(lead))::int as start, lead || match as match from led where lead <> ''),
+comp as (select source, name, start, round(start / length(text), 6) as position, {CONTEXT.format(n=200)} as context from whole where length(name) between 5 and 80)"""
 
 
 @query(f"with {COMPANIES} select source, name, start, position, context, " + ", ".join(f"{first_hit('context', p)} as {a}" for a, p in entities.ATTRIBUTES["company"].items()) + " from comp")
@@ -48,7 +48,7 @@ P1, P2 = entities.PERSON
 PEOPLE = f"""{CHUNKS}, {spans(P1, "e")}, {spans(P2, "f")}, found as (select * from spanse union all select * from spansf),
 -- this engine's word boundary knows ASCII letters only
 names as (select * from found where not regexp_matches(substr(text, start + length(match) + 1, 1), '[\\p{{L}}\\p{{N}}_]') and not (start > 0 and regexp_matches(substr(text, start, 1), '[\\p{{L}}\\p{{N}}_]'))),
-people as (select source, regexp_replace(match, '{entities.FORM_OF_ADDRESS}', '') as name, start, round(start / length(text), 6) as position, {CONTEXT.format(n=200)} as context from names),
+people as (select source, regexp_replace(match, '{entities.FORM}', '') as name, start, round(start / length(text), 6) as position, {CONTEXT.format(n=200)} as context from names),
 parted as (select *, string_split_regex(name, '\\s+') as p from people)"""
 
 
@@ -171,24 +171,63 @@ def company_names(spark: SparkSession, sf: str) -> DataFrame:
 # legal terms
 
 
-@query()
+def quote(pattern: str) -> str:
+    return "'" + pattern.replace("'", "''") + "'"
+
+
+def stands(number: int, end: str, verbs: str) -> str:
+    """SQL of a term right before a verb, with its meaning behind it."""
+    e, m = quote(end), quote(legal.MEANING)
+    return f"""select source, start, {number} as pattern_idx, regexp_extract(before, {e}, 1) as term, regexp_extract(behind, {m}, 1) as canonical, regexp_extract(before, {e}) || match || regexp_extract(behind, {m}) as context
+from said where {verbs} and regexp_matches(before, {e}) and regexp_extract(behind, {m}, 1) <> ''"""
+
+
+DEFINITIONS = f"""{CHUNKS}, {spans(legal.ANCHOR, "k")},
+around as (select source, match, start, substr(text, greatest(start - {legal.BEFORE}, 0) + 1, least(start, {legal.BEFORE})::bigint) as before, substr(text, start + length(match) + 1, {legal.BEHIND}) as behind from spansk),
+parts as (select *, list_filter(string_split_regex(before, '[,"()]+'), lambda p: trim(p) <> '') as ps, string_split_regex(before, '["(]')[-1] as tail, regexp_extract(match, '"([^"]+)"', 1) as quoted,
+  regexp_replace(lower(match), '\\s+', ' ', 'g') as verb from around),
+lasts as (select *, trim(case when regexp_matches(coalesce(ps[-1], ''), '^\\s*an? ') then coalesce(ps[-2], ps[-1]) else coalesce(ps[-1], '') end) as part from parts),
+named as (select *, coalesce(nullif(trim(regexp_extract(part, '(?:^| )((?:[A-Z][A-Za-z0-9_&]* ?)+)$', 1)), ''), part) as who, match[1] = '(' and contains(match, '"') as bracket, match[1] = '(' and not contains(match, '"') as section, match[1] = ',' as firm, starts_with(match, 'between') as party from lasts),
+said as (select *, regexp_matches(verb, '^(shall )?means?$') as means, regexp_matches(verb, '^refers? to$') as refers, regexp_matches(verb, '^includes?$') as includes from named where not (bracket or section or firm or party)),
+every as (
+select source, start, case when starts_with(match, '(the') then 1 else 0 end as pattern_idx, quoted as term, who as canonical, tail || match as context from named where bracket
+union all {stands(2, legal.QUOTED_END, "true")} union all {stands(3, legal.TITLE_END, "means")} union all {stands(4, legal.TITLE_END, "(refers or includes)")}
+union all {stands(5, legal.INTRODUCED_END, "(means or refers)").replace(", 1) as term", ", 1) as term")} union all {stands(10, legal.CAPITALS_END, "(means or refers or includes)")}
+union all select source, start, 6, regexp_extract(match, '({legal.NAME}\\s+\\w+)$', 1), who, tail || match from named where firm
+union all select source, start, 7, quoted, regexp_extract(before, '{legal.DOCUMENT_END}', 1), regexp_extract(before, '{legal.DOCUMENT_END}') || match from named where bracket and regexp_matches(before, '{legal.DOCUMENT_END}')
+union all select source, start, 8, regexp_extract(match, 'between\\s+({legal.NAME})', 1), regexp_extract(match, 'between\\s+({legal.NAME})', 1), match from named where party
+union all select source, start, 9, regexp_extract(before, '{legal.TITLE_END}', 1), regexp_extract(before, '{legal.TITLE_END}', 1), regexp_extract(before, '{legal.TITLE_END}') || match from named where section and regexp_extract(before, '{legal.TITLE_END}', 1) <> ''),
+cleaned as (select source, start, pattern_idx, lower(trim(term)) as keyword, regexp_replace(trim(regexp_replace(canonical, '\\s+', ' ', 'g')), '[.,;:]+$', '') as canonical_name, context, lower(regexp_replace(context, '\\s+', ' ', 'g')) as low from every),
+sure as (select *, round(least(1.0, [{", ".join(str(b) for _, b in legal.KINDS)}][pattern_idx + 1] + case when length(context) > {legal.LONG} then {legal.TOO_LONG} else 0 end
+  + {" + ".join(f"case when contains(low, '{p}') then {v} else 0 end" for p, v in legal.PHRASES)} + case when regexp_matches(low, 'this \\w+ ?\\(') then {legal.THIS_BRACKET} else 0 end
+  + case when regexp_matches(low, 'a \\w+ corporation') then {legal.A_CORPORATION} else 0 end + case when list_has_any(string_split_regex(low, '\\W+'), {list(legal.CONNECTIVES)}) then {legal.CONNECTED} else 0 end), 6)::double as confidence
+  from cleaned where length(keyword) > 1 and length(canonical_name) > 2 and keyword not in {legal.NOISE}),
+defined as (select source, keyword, canonical_name, case when keyword in {legal.ENTITY_TERMS} then 'entity' when keyword in {legal.DOCUMENT_TERMS} then 'document' else 'other' end as keyword_type, context, confidence, pattern_idx::int as pattern_idx,
+  {[name for name, _ in legal.KINDS]}[pattern_idx + 1] as pattern_type, start, row_number() over (partition by source, keyword order by confidence desc, pattern_idx, start) as r from sure)"""
+
+
+@query(f"with {DEFINITIONS} select * exclude (r) from defined where r = 1")
 def extract_definitions(spark: SparkSession, sf: str) -> DataFrame:
-    """No oracle: context rules run on spans of eleven patterns; see the tests."""
     return legal.extract_definitions(chunks(spark, sf))
 
 
-@query("""with t as (select source, unnest(['agreement', 'company', split_part('client,supplier,lender', ',', cast(doc_no % 3 as int) + 1), 'closing date', 'delaware corporation']) as keyword from legal)
-select source, keyword, case when keyword = 'agreement' then 'document' when keyword in ('closing date', 'delaware corporation') then 'other' else 'entity' end as keyword_type from t""")
+@query(f"with {DEFINITIONS} select source, keyword, pattern_idx, pattern_type, confidence, start from defined")
+def all_definitions(spark: SparkSession, sf: str) -> DataFrame:
+    """Every definition before the best of each term is chosen."""
+    return legal.all_definitions(chunks(spark, sf)).select("source", "keyword", "pattern_idx", "pattern_type", "confidence", "start")
+
+
+@query(f"with {DEFINITIONS} select source, keyword, keyword_type from defined where r = 1")
 def classify_keywords(spark: SparkSession, sf: str) -> DataFrame:
     found = legal.extract_definitions(chunks(spark, sf))
     return found.select("source", "keyword", "keyword_type")
 
 
-@query("with t as (select source, 5 + case when true then 0 end as n from legal) select source, n::bigint as n_terms from t")
+@query(f"with {DEFINITIONS} select source, count(*) as n_terms, max(confidence) as surest, arg_max(keyword, (confidence, keyword)) as keyword from defined where r = 1 group by source")
 def best_definition(spark: SparkSession, sf: str) -> DataFrame:
-    """One row per source and term: five terms in each contract."""
+    """Per source the number of defined terms and the surest of them."""
     found = legal.extract_definitions(chunks(spark, sf))
-    return found.groupBy("source").agg(F.count("*").alias("n_terms"))
+    return found.groupBy("source").agg(F.count("*").alias("n_terms"), F.max("confidence").alias("surest"), F.max_by("keyword", F.struct("confidence", "keyword")).alias("keyword"))
 
 
 @query(f"with {CHUNKS} select source, string_agg(text, ' ' order by pos) as text from chunks group by source")
@@ -208,13 +247,15 @@ def process_chunks(spark: SparkSession, sf: str) -> DataFrame:
     return legal.process_chunks(chunks(spark, sf))
 
 
-@query("select source, count(*) * 5 as n_entities, count(*) * 7 as n_relations from legal group by source")
+@query(f"""with {DEFINITIONS}, best as (select * from defined where r = 1)
+select 'entity' as kind, source, upper(keyword) as name, canonical_name as other, 'legal_keywords' as type, confidence from best
+union all select 'relation', source, upper(keyword), source, 'defined_in', confidence from best union all select 'relation', source, upper(keyword), canonical_name, 'refers_to', confidence from best where keyword_type = 'entity'""")
 def keyword_entities_and_relations(spark: SparkSession, sf: str) -> DataFrame:
-    """Five terms per contract: each is defined in it, and the two of the entity kind refer to a party."""
+    """Each term as an entity, that it is defined in its source, and the parties that those of the entity kind refer to."""
     found = legal.extract_definitions(chunks(spark, sf))
-    e = legal.keyword_entities(found).groupBy("source").agg(F.count("*").alias("n_entities"))
-    r = legal.keyword_relations(found).groupBy(F.col("source_document").alias("source")).agg(F.count("*").alias("n_relations"))
-    return e.join(r, "source")
+    e = legal.keyword_entities(found).select(F.lit("entity").alias("kind"), "source", "name", F.col("canonical_name").alias("other"), F.col("entity_type").alias("type"), "confidence")
+    r = legal.keyword_relations(found).select(F.lit("relation").alias("kind"), F.col("source_document").alias("source"), F.col("source_entity").alias("name"), F.col("target_entity").alias("other"), F.col("relationship_type").alias("type"), "confidence")
+    return e.unionByName(r)
 
 
 # resolution
