@@ -2,12 +2,13 @@
 
 The rolling hash runs over the bytes of a text and depends on the last 16; a chunk ends at white space where the hash
 says so, and in stretches of over ``MOST`` bytes without such a place at the end of any character where a stricter
-condition on the hash holds, so the cuts follow the content and come back into step soon after an insertion. Chunks
-are keyed by a 128-bit digest. A chunk that two documents hold is shared; runs of shared chunks of at least ``min_words``
-words are repeated passages. The document with the smallest id keeps a passage, the others lose it.
+condition on the hash holds, so the cuts follow the content and come back into step soon after an insertion. From every
+chunk on, the shortest run of chunks with at least ``min_words`` words is keyed by a 128-bit digest of its text; such a run
+that two documents hold is a repeated passage, so chunks from several other documents never make one. The document with the
+smallest id keeps a passage, the others lose it; passages that touch or overlap are one span.
 
 Of passages of 51 words, about 0.98 keep 20 words in whole chunks, longer ones more; repeats of fewer words than that
-never count. Words stand between white space; in a longer word every further ``LONG_STEP`` bytes behind the first ``LONG_WORD`` count as one, so text
+never count, nor do fewer words than that in 256 KiB. Words stand between white space; in a longer word every further ``LONG_STEP`` bytes behind the first ``LONG_WORD`` count as one, so text
 without blanks has words too.
 
 Defined cases: null and empty texts have no chunk; a null doc_id is kept and comes first; rows with equal id and text are
@@ -31,7 +32,8 @@ INNER_CUT = 2048  # of 65,536 values of the hash, away from white space
 LONG_WORD, LONG_STEP = 64, 8
 MIN_WORDS = 20
 NO_ID = -(2**63)
-SCHEMA = "hi long, lo long, doc_id long, key long, loc long"
+LENGTH_BITS, WORD_BITS = 18, 12
+SCHEMA = "hi long, lo long, doc_id long, key long, loc long, wloc long"
 
 
 def gear_table() -> np.ndarray:
@@ -88,20 +90,24 @@ def word_starts(data: bytes) -> np.ndarray:
     return starts
 
 
-def chunk_rows(docs: DataFrame) -> DataFrame:
-    """(hi, lo, doc_id, key, loc) per chunk; loc packs the start byte (42 bits), the length and the words (11 bits each)."""
+def passage_rows(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
+    """(hi, lo, doc_id, key, loc, wloc): the shortest run of chunks with ``min_words`` words from every chunk on, by digest.
+
+    loc packs the start byte and the length (18 bits), wloc the first word's number and the words (12 bits).
+    """
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
 
-        names = ["hi", "lo", "doc_id", "key", "loc"]
+        names = ["hi", "lo", "doc_id", "key", "loc", "wloc"]
         for batch in batches:
-            digests, docs_, keys, locs = [], [], [], []
+            digests, columns = [], [[] for _ in names[2:]]
 
             def flush() -> pa.RecordBatch:
                 d = np.frombuffer(b"".join(digests), ">i8").reshape(-1, 2).astype(np.int64)
-                out = [np.ascontiguousarray(d[:, 0]), np.ascontiguousarray(d[:, 1]), *[np.concatenate(x) if x else np.zeros(0, np.int64) for x in (docs_, keys, locs)]]
-                for x in (digests, docs_, keys, locs):
+                out = [np.ascontiguousarray(d[:, 0]), np.ascontiguousarray(d[:, 1]), *[np.concatenate(x) for x in columns]]
+                digests.clear()
+                for x in columns:
                     x.clear()
                 return pa.RecordBatch.from_arrays([pa.array(x) for x in out], names)
 
@@ -109,15 +115,20 @@ def chunk_rows(docs: DataFrame) -> DataFrame:
                 data = (t or "").encode("utf-8", "surrogatepass")
                 if not data:
                     continue
-                ends = cuts(data)
-                starts = [0, *ends[:-1]]
-                for s, e in zip(starts, ends, strict=True):
-                    digests.append(xxhash.xxh3_128_digest(data[s:e]))
+                e = np.array(cuts(data), np.int64)
+                s = np.append(0, e[:-1])
                 total = np.append(0, np.cumsum(word_starts(data)))
-                s, e = np.array(starts, np.int64), np.array(ends, np.int64)
-                locs.append((s << 22) | ((e - s) << 11) | (total[e] - total[s]))
-                docs_.append(np.full(len(s), NO_ID if i is None else i, np.int64))
-                keys.append(np.full(len(s), k, np.int64))
+                last = np.searchsorted(total[e], total[s] + min_words)
+                fits = np.flatnonzero(last < len(e))
+                fits = fits[e[last[fits]] - s[fits] < 1 << LENGTH_BITS]
+                if not len(fits):
+                    continue
+                begin, end = s[fits], e[last[fits]]
+                digests += [xxhash.xxh3_128_digest(data[a:b]) for a, b in zip(begin.tolist(), end.tolist(), strict=True)]
+                words = np.minimum(total[end] - total[begin], (1 << WORD_BITS) - 1)
+                found = (np.full(len(begin), NO_ID if i is None else i, np.int64), np.full(len(begin), k, np.int64), (begin << LENGTH_BITS) | (end - begin), (total[begin] << WORD_BITS) | words)
+                for column, values in zip(columns, found, strict=True):
+                    column.append(values)
                 if len(digests) > 50_000:
                     yield flush()
             if digests:
@@ -128,31 +139,32 @@ def chunk_rows(docs: DataFrame) -> DataFrame:
 
 def shared_passages(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """Per document: doc_id, key, n_shared_words, n_removed_words, first_docs, shared and removed spans (bytes, words)."""
-    rows = stored(chunk_rows(docs), "chunks")
+    rows = stored(passage_rows(docs, min_words), "passages")
     held = rows.groupBy("hi", "lo").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last").select("hi", "lo", "first")
-    met = rows.join(held.hint("merge"), ["hi", "lo"]).groupBy("doc_id", "key").agg(F.sort_array(F.collect_set(F.struct("loc", "first"))).alias("at"))
-    span = "struct<start:bigint,end:bigint,words:bigint>"
+    met = rows.join(held.hint("merge"), ["hi", "lo"]).groupBy("doc_id", "key").agg(F.sort_array(F.collect_set(F.struct("loc", "wloc", "first"))).alias("at"))
+    span = "struct<start:bigint,end:bigint,first_word:bigint,words:bigint>"
 
     def runs(at: str) -> F.Column:
-        """Touching chunks made one; runs with too few words dropped."""
+        """Passages that touch or overlap made one."""
         none = F.array().cast(f"array<{span}>")
         start = F.struct(none.alias("out"), F.lit(None).cast(span).alias("run"))
 
         def step(s, x):
-            begin, n, w = F.shiftright(x["loc"], 22), F.shiftright(x["loc"], 11).bitwiseAND(F.lit(2047)), x["loc"].bitwiseAND(F.lit(2047))
-            run, touches = s["run"], s["run"]["end"] == begin
-            one = F.struct(begin.alias("start"), (begin + n).alias("end"), w.alias("words"))
-            more = F.struct(run["start"].alias("start"), (begin + n).alias("end"), (run["words"] + w).alias("words"))
+            begin, n = F.shiftright(x["loc"], LENGTH_BITS), x["loc"].bitwiseAND(F.lit((1 << LENGTH_BITS) - 1))
+            word, w = F.shiftright(x["wloc"], WORD_BITS), x["wloc"].bitwiseAND(F.lit((1 << WORD_BITS) - 1))
+            run, touches = s["run"], s["run"]["end"] >= begin
+            one = F.struct(begin.alias("start"), (begin + n).alias("end"), word.alias("first_word"), w.alias("words"))
+            end = F.greatest(run["end"], begin + n)
+            more = F.struct(run["start"].alias("start"), end.alias("end"), run["first_word"].alias("first_word"), F.greatest(run["words"], word + w - run["first_word"]).alias("words"))
             done = F.when(touches | run.isNull(), s["out"]).otherwise(F.concat(s["out"], F.array(run)))
             return F.struct(done.alias("out"), F.when(touches, more).otherwise(one).alias("run"))
 
         end = lambda s: F.when(s["run"].isNull(), s["out"]).otherwise(F.concat(s["out"], F.array(s["run"])))
-        return F.filter(F.aggregate(at, start, step, end), lambda r: r["words"] >= min_words)
+        return F.transform(F.aggregate(at, start, step, end), lambda r: F.struct(r["start"].alias("start"), r["end"].alias("end"), r["words"].alias("words")))
 
     later = F.filter("at", lambda x: x["first"] < F.col("doc_id"))
-    spans = met.select("doc_id", "key", "at", runs("at").alias("shared"), runs(later).alias("removed")).where(F.size("shared") > 0)
-    inside = lambda x: F.exists("removed", lambda r: (F.shiftright(x["loc"], 22) >= r["start"]) & (F.shiftright(x["loc"], 22) < r["end"]))
-    firsts = F.array_distinct(F.transform(F.filter(later, inside), lambda x: F.nullif(x["first"], F.lit(NO_ID))))
+    spans = met.select("doc_id", "key", "at", runs("at").alias("shared"), runs(later).alias("removed"))
+    firsts = F.array_distinct(F.transform(later, lambda x: F.nullif(x["first"], F.lit(NO_ID))))
     found = spans.select(F.col("doc_id").alias("d"), F.col("key").alias("k"), "shared", "removed", firsts.alias("first_docs"))
     total = lambda a: F.coalesce(F.aggregate(a, F.lit(0).cast("long"), lambda s, r: s + r["words"]), F.lit(0).cast("long"))
     ids = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("doc_id", "text").alias("key"))

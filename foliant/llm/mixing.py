@@ -5,7 +5,7 @@ token targets; whole epochs of a source come first, and the rest of its target i
 smallest keys, along a prefix sum. The prefix sum is taken in two levels (key buckets, then inside a bucket), so a
 source with any share of all rows is spread over many tasks.
 
-Defined cases: a null text has size 0 and is never taken; a null source is a source of its own, last in order; rows with
+Defined cases: a text without words, null or not, has size 0 and is never taken, though ``mix`` counts its epochs; a null source is a source of its own, last in order; rows with
 equal keys are ordered by doc_id, repeated rows are interchangeable; an empty table gives no row; other columns are
 ignored by ``mix`` and carried by ``mixed_documents``.
 """
@@ -81,7 +81,7 @@ def mixed_documents(docs: DataFrame, seed: str = "mix") -> DataFrame:
 
     Rows of equal id, text and source share the copies of all of them: each has as many, the first ones one more.
     """
-    plan = mix(docs, seed).where("copies > 0").groupBy(F.col("tkey").alias("k"), F.col("doc_id").alias("d"), F.col("source").alias("s")).agg(F.sum("copies").alias("n"))
+    plan = mix(docs, seed).where("copies > 0 and size > 0").groupBy(F.col("tkey").alias("k"), F.col("doc_id").alias("d"), F.col("source").alias("s")).agg(F.sum("copies").alias("n"))
     own = docs.select(boxed(docs), F.xxhash64("doc_id", "text").alias("key"), F.col("doc_id").alias("id"), F.col("source").cast("string").alias("src"))
     same = (F.col("key") == F.col("k")) & F.col("id").eqNullSafe(F.col("d")) & F.col("src").eqNullSafe(F.col("s"))
     times = lambda rows, n: rows.select("doc", F.explode(F.sequence(F.lit(1), n.cast("int"))).alias("i")).select("doc.*")

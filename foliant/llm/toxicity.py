@@ -25,6 +25,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from foliant.functions.shared import stored
+
 HASH_BITS = 22
 STARTS = (4, 5, 6, 7)
 FEATURES = 2048
@@ -146,11 +148,15 @@ def train(docs: DataFrame, labels: DataFrame, most_rows: int = MOST_ROWS) -> byt
     known = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & ~held_out())
     known = known.groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg((F.max("toxic") > 0).cast("int").alias("y"))
     sample = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most_rows)
-    # at most most_rows rows of two numbers
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(sample), "doc_id")
-    rows = rows.where(F.octet_length("text") <= MOST_BYTES).groupBy("doc_id").agg(F.min("y").alias("y"), F.min_by("text", F.xxhash64("text")).alias("text"))
-    until = F.sum(F.octet_length("text")).over(Window.orderBy(F.xxhash64("doc_id"), "doc_id").rowsBetween(Window.unboundedPreceding, 0))
-    bounded = rows.select("doc_id", "text", "y", until.alias("until")).where(F.col("until") <= MOST_BYTES)  # one task: most_rows rows
+    # at most most_rows rows of two numbers; lengths and hashes are chosen among before any text moves
+    known_docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(sample), "doc_id")
+    sized = known_docs.select("doc_id", "y", F.struct(F.xxhash64("text").alias("hash"), F.octet_length("text").alias("size")).alias("t")).where(F.col("t.size") <= MOST_BYTES)
+    one = sized.groupBy("doc_id").agg(F.min("y").alias("y"), F.min("t").alias("t"))
+    order = (F.xxhash64("doc_id"), "doc_id")
+    until = F.sum("t.size").over(Window.orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))  # one task: most_rows rows of four numbers
+    chosen = stored(one.select("doc_id", "t.hash", until.alias("until")).where(F.col("until") <= MOST_BYTES).drop("until"), "sample")
+    picked = known_docs.withColumn("hash", F.xxhash64("text")).join(F.broadcast(chosen), ["doc_id", "hash"])
+    bounded = picked.groupBy("doc_id").agg(F.first("text").alias("text"), F.min("y").alias("y"))  # MOST_BYTES of text
 
     def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         terms, found, labelled = Terms(), [], []
@@ -162,7 +168,7 @@ def train(docs: DataFrame, labels: DataFrame, most_rows: int = MOST_ROWS) -> byt
         terms.clear()
         yield pa.RecordBatch.from_arrays([pa.array([fit(found, np.array(labelled, np.float32))], pa.binary())], ["model"])
 
-    trained = bounded.coalesce(1).mapInArrow(learn, "model binary").first()
+    trained = bounded.select("doc_id", "text", "y").repartition(1).sortWithinPartitions(*order).mapInArrow(learn, "model binary").first()
     return bytes(trained[0]) if trained else fit([], np.zeros(0, np.float32))
 
 

@@ -332,7 +332,7 @@ def test_mixing(docs, rows, none):
     again = Counter(tuple(r) for r in mixing.mix(docs.repartition(5)).collect())
     assert again == Counter(tuple(r) for r in got)
     out = mixing.mixed_documents(docs)
-    assert out.columns == docs.columns and out.count() == sum(r.copies for r in got)
+    assert out.columns == docs.columns and out.count() == sum(r.copies for r in got if r.size)  # texts without words are never taken
     assert mixing.mix(none).count() == 0 and mixing.mixed_documents(none).count() == 0
 
 
@@ -502,34 +502,79 @@ def test_passages_without_blanks_are_found(spark):
     assert len({x.doc_id: x.text for x in chunks.without_passages(docs).collect()}[2]) < 600
 
 
+def rows_of(docs):
+    return [(r.doc_id, r.text) for r in docs.select("doc_id", "text").collect()]
+
+
 def brute_passages(rows):
-    """(shared words, removed words) by row, from the chunks of all texts in one dictionary."""
+    """(doc_id, shared bytes, removed bytes) by row: every run of chunks with enough words is looked for in all texts."""
     texts = {}
     for i, t in rows:
         data = (t or "").encode()
         ends = chunks.cuts(data) if data else []
-        texts[(i, t)] = [(a, b, data[a:b], int(chunks.word_starts(data)[a:b].sum())) for a, b in zip([0, *ends], ends, strict=False)]
-    low = lambda i: -(2**63) if i is None else i
-    holders = {}
-    for (i, _), parts in texts.items():
-        for *_, piece, _ in parts:
-            holders.setdefault(piece, set()).add(low(i))
+        total = np.append(0, np.cumsum(chunks.word_starts(data))) if data else [0]
+        found = []
+        for k, a in enumerate([0, *ends[:-1]] if ends else []):
+            b = next((e for e in ends[k:] if total[e] - total[a] >= chunks.MIN_WORDS), None)
+            if b:
+                found.append((a, b))
+        texts[(i, t)] = (data, found)
+    whole = {}
+    for (i, _), (data, found) in texts.items():
+        for a, b in found:
+            whole.setdefault(data[a:b], set()).add(i)
 
-    def runs(parts, good):
-        total, run, last = 0, 0, None
-        for a, b, piece, n in [*parts, (-1, -1, None, 0)]:
-            if piece is not None and good(piece):
-                total, run = (total, run + n) if last == a else (total + (run if run >= chunks.MIN_WORDS else 0), n)
-                last = b
-        return total + (run if run >= chunks.MIN_WORDS else 0)
+    def covered(data, found, keep):
+        at = set()
+        for a, b in found:
+            if keep(whole[data[a:b]]):
+                at |= set(range(a, b))
+        return len(at)
 
-    return Counter((i, runs(texts[i, t], lambda x: len(holders[x]) > 1), runs(texts[i, t], lambda x, i=i: len(holders[x]) > 1 and min(holders[x]) < low(i))) for i, t in rows)
+    spans = {(i, t): (covered(d, f, lambda docs: len(docs) > 1), covered(d, f, lambda docs, i=i: min(docs) < i)) for (i, t), (d, f) in texts.items()}
+    return Counter((i, *spans[(i, t)]) for i, t in rows)
+
+
+def span_bytes(spans):
+    return sum(x.end - x.start for x in spans or [])
 
 
 def test_passages_against_brute_force(spark, docs, rows, sf):
-    for table in (docs, spark.read.parquet(f"{sf}/documents.parquet")):
-        data = [(r.doc_id, r.text) for r in table.select("doc_id", "text").collect()]
-        assert Counter((r.doc_id, r.n_shared_words, r.n_removed_words) for r in chunks.shared_passages(table).collect()) == brute_passages(data)
+    given = [(r.doc_id, r.text) for r in spark.read.parquet(f"{sf}/documents.parquet").collect()]
+    for data, table in ((rows_of(docs), docs), (given, spark.read.parquet(f"{sf}/documents.parquet"))):
+        assert Counter((r.doc_id, span_bytes(r.shared), span_bytes(r.removed)) for r in chunks.shared_passages(table).collect()) == brute_passages(data)
+
+
+def test_words_of_spans(spark, sf):
+    """Removed words are counted right, and every removed span's words stand in an earlier document in runs of MIN_WORDS."""
+    table = spark.read.parquet(f"{sf}/documents.parquet")
+    text = {r.doc_id: r.text for r in table.collect()}
+    seen = 0
+    for r in chunks.shared_passages(table).collect():
+        data = (text[r.doc_id] or "").encode()
+        total = np.append(0, np.cumsum(chunks.word_starts(data))) if data else None
+        for x in r.removed or []:
+            seen += 1
+            assert x.words == total[x.end] - total[x.start] >= chunks.MIN_WORDS
+            earlier = "\n".join(t for i, t in text.items() if i < r.doc_id and t)
+            ws = data[x.start : x.end].decode().split(" ")
+            assert " ".join(ws[: chunks.MIN_WORDS // 2]) in earlier
+    assert seen
+
+
+def test_chunks_of_many_documents_make_no_passage(spark):
+    """One short run of chunks from each of eleven documents is no passage; nor is one repeated word that stands elsewhere fewer times."""
+    others = [" ".join(words(60, 400 + s, 5000)) for s in range(11)]
+    parts = []
+    for t in others:
+        ends = chunks.cuts(t.encode())
+        inner = [(a, b) for a, b in zip(ends, ends[1:], strict=False) if 3 <= len(t.encode()[a:b].split()) <= 14]
+        parts.append(t.encode()[inner[0][0] : inner[0][1]].decode())
+    stitched = "".join(parts)
+    rows = [*enumerate(others), (50, stitched), (60, "ist " * 12 + "und so weiter"), (61, "ist " * 15), (62, "wort " + "ist " * 90), (63, "the licence of this file is free and it may be copied " + others[0][:40])]
+    got = {r.doc_id: r for r in chunks.shared_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert len(stitched.split()) > 30
+    assert all(got[i].n_shared_words == 0 for i, _ in rows)
 
 
 def test_recall_of_51_word_passages():
