@@ -18,6 +18,7 @@ from __future__ import annotations
 import html as entities
 import re
 import zlib
+from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
 from itertools import chain
@@ -41,9 +42,12 @@ PARTING = frozenset(
 )
 IN_HEAD = frozenset("head meta link base title style script noscript template".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
+# Quotes count right behind an equals sign only, and only if they close; a tag ends at the next < or the end of the page if
+# nothing else ends it. So every character is looked at a few times at most, and no part of a tag becomes text.
+INSIDE = r"(?>[^<>=]+|=\s*(?:\"[^\"]*\"|'[^']*')|=)*+"
 TOKEN = re.compile(
-    rf"<!--.*?(?:-->|\Z)|<(?P<skip>{UNSEEN.replace('|head', '')})\b(?>[^>\"']+|\"[^\"]*\"|'[^']*')*+>.*?(?:</(?P=skip)\s*>|\Z)"
-    r"|<(?P<close>/?)(?P<tag>[a-zA-Z][\w:-]*)(?P<attrs>(?>[^>\"']+|\"[^\"]*\"|'[^']*')*+)>|<[!?/][^>]*+>?|(?P<text>[^<]+)|<",
+    rf"<!--.*?(?:-->|\Z)|<(?P<skip>{UNSEEN.replace('|head', '')})\b{INSIDE}(?:>|(?=<)|\Z).*?(?:</(?P=skip)\s*>|\Z)"
+    rf"|<(?P<close>/?)(?P<tag>[a-zA-Z][\w:-]*)(?P<attrs>{INSIDE})(?:>|(?=<)|\Z)|<[!?/][^>]*+>?|(?P<text>[^<]+)|<",
     re.DOTALL | re.IGNORECASE,
 )
 ATTRIBUTE = re.compile(r"\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.IGNORECASE)
@@ -77,6 +81,9 @@ def blocks(html: str) -> list[Block]:
     """The leaf blocks of a page in order."""
     out: list[Block] = []
     stack: list[tuple[str, tuple[int, ...], bool]] = []
+    names: Counter[str] = Counter()  # of what is on the stack, so that no block or closing tag looks through it
+    features: Counter[int] = Counter()
+    marks = 0
     parts: list[str] = []
     linked, in_link, hidden = 0, 0, 0
 
@@ -86,10 +93,20 @@ def blocks(html: str) -> list[Block]:
             text = " ".join("".join(parts).split())
             parts.clear()
             if text:
-                path = {f for _, fs, _ in stack for f in fs}
-                out.append(Block(text, sorted(path), min(1.0, linked / len(text)), stack[-1][0] if stack else "", any(m for *_, m in stack)))
+                out.append(Block(text, sorted(features), min(1.0, linked / len(text)), stack[-1][0] if stack else "", marks > 0))
             linked = 0
 
+    def leave() -> str:
+        nonlocal marks
+        name, own, marked = stack.pop()
+        names[name] -= 1
+        marks -= marked
+        for f in own:
+            features[f] -= 1
+            if not features[f]:
+                del features[f]
+        return name
+
     for m in TOKEN.finditer(html):
         text = m["text"]
         if text is None and m[0] == "<":
@@ -116,14 +133,17 @@ def blocks(html: str) -> list[Block]:
             continue
         end()
         if m["close"]:
-            at = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == tag), None)
-            if at is not None:
-                del stack[at:]
+            if names[tag]:
+                while leave() != tag:
+                    pass
         elif tag not in VOID:
             if stack and (stack[-1][0] == "p" or (stack[-1][0] == tag and tag in ("li", "dt", "dd", "option", "tr", "td", "th"))):
-                stack.pop()
+                leave()
             attrs = m["attrs"]
             stack.append((tag, _features(tag, attrs), 'data-main="1"' in attrs))
+            names[tag] += 1
+            features.update(stack[-1][1])
+            marks += stack[-1][2]
     end()
     return out
 

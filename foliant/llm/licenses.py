@@ -1,7 +1,8 @@
 """License scans: ordered signature rules behind a keyword prefilter, in DataFrame functions only.
 
 A text is scanned as its lower-case words joined by single blanks. A cheap gate on the raw text, made from the keywords
-of the rules, lets few documents through, and all that a rule can match; of the rules (each license name in each kind of notice), only those whose keyword occurs are matched. Of
+of the rules, lets few documents through, and all that a rule can match; of the rules (sentences of license texts, headers and notices, and each license
+name in each kind of notice), only those whose keyword occurs are matched. Of
 overlapping detections the longer encloses the shorter, equal ones are settled by priority, and of two that overlap in
 part the one of higher priority stays.
 
@@ -12,6 +13,7 @@ row; other columns are ignored.
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -62,6 +64,8 @@ _CC = {
     "by-nc-sa": "by nc sa|attribution non ?commercial share ?alike",
     "by-nc-nd": "by nc nd|attribution non ?commercial no ?deriv(?:ative)?s",
 }
+SENTENCE_PRIORITY, SENTENCE_CONFIDENCE = 10, 0.99
+BLOCK = 256
 # Kinds of notices: (pattern with the name at {}, priority, confidence).
 _NOTICES = (
     ("spdx licen[sc]e identifier {}", 9, 1.0),
@@ -73,6 +77,85 @@ _NOTICES = (
 )
 
 
+# Sentences of license texts, headers and notices, as lower-case words: (label, a word of it that the prefilter looks for, pattern).
+_SENTENCES = (
+    ("mit", "hereby", "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files"),
+    ("mit", "sublicense", "to use copy modify merge publish distribute sublicense and or sell copies of the software"),
+    ("mit", "substantial", "the above copyright notice and this permission notice (?:including the next paragraph )?shall be included in all copies or substantial portions of the software"),
+    ("mit", "warranty", "the software is provided as is without warranty of any kind express or implied"),
+    ("mit", "opensource", "opensource org licen[sc]es? mit"),
+    ("isc", "hereby", "permission to use copy modify and (?:or )?distribute this software for any purpose with or without fee is hereby granted"),
+    ("isc", "opensource", "opensource org licen[sc]es? isc"),
+    ("bsd", "redistribution", "redistribution and use in source and binary forms with or without modification are permitted"),
+    ("bsd", "warranties", "this software is provided by (?:the )?(?:[^ ]+ ){1,10}as is and any express or implied warranties"),
+    ("bsd-2-clause", "redistributions", "redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer"),
+    ("bsd-2-clause", "redistributions", "redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer"),
+    ("bsd-2-clause", "opensource", "opensource org licen[sc]es? bsd 2 clause"),
+    ("bsd-3-clause", "endorse", "neither the names? of (?:[^ ]+ ){1,10}nor the names of (?:its|their|any) contributors may be used to endorse or promote products"),
+    ("bsd-3-clause", "opensource", "opensource org licen[sc]es? bsd 3 clause"),
+    ("bsd-4-clause", "advertising", "all advertising materials mentioning features or use of this software must display the following acknowledge?ment"),
+    ("gpl", "redistribute", "this (?:program|file|software) is free software you can redistribute it and or modify it under the terms of the gnu general public licen[sc]e"),
+    ("gpl", "warranty", "(?:this program )?is distributed in the hope that it will be useful but without any warranty"),
+    ("gpl", "gnu", "you should have received a copy of the gnu general public licen[sc]e"),
+    ("lgpl", "redistribute", "this (?:library|program|software) is free software you can redistribute it and or modify it under the terms of the gnu (?:lesser|library) general public licen[sc]e"),
+    ("lgpl", "gnu", "you should have received a copy of the gnu (?:lesser|library) general public licen[sc]e"),
+    ("agpl", "redistribute", "this (?:program|software) is free software you can redistribute it and or modify it under the terms of the gnu affero general public licen[sc]e"),
+    ("agpl", "gnu", "you should have received a copy of the gnu affero general public licen[sc]e"),
+    ("apache-2", "apache", "licen[sc]ed under the apache licen[sc]e version 2(?: 0)? the licen[sc]e you may not use this file except in compliance with the licen[sc]e"),
+    ("apache-2", "apache", "(?:http|https) www apache org licen[sc]es licen[sc]e 2 0"),
+    ("apache-2", "compliance", "you may not use this file except in compliance with the licen[sc]e"),
+    ("apache-2", "applicable", "unless required by applicable law or agreed to in writing software distributed under the licen[sc]e is distributed on an as is basis"),
+    ("apache-2", "warranties", "without warranties or conditions of any kind either express or implied"),
+    ("apache-2", "perpetual", "each contributor hereby grants to you a perpetual worldwide non exclusive no charge royalty free irrevocable"),
+    ("apache-1.1", "developed", "this product includes software developed by the apache software foundation"),
+    ("mpl-2", "mozilla", "this source code form is subject to the terms of the mozilla public licen[sc]e v(?:ersion)? ?2 0"),
+    ("mpl-2", "mpl", "if a copy of the mpl was not distributed with this file you can obtain one at"),
+    ("mpl-1.1", "mozilla", "the contents of this file are subject to the mozilla public licen[sc]e version 1 1"),
+    ("epl-1", "eclipse", "(?:this program and the accompanying materials )?(?:are|is) made available under the terms of the eclipse public licen[sc]e v(?:ersion)? ?1 0"),
+    ("epl-2", "eclipse", "(?:this program and the accompanying materials )?(?:are|is) made available under the terms of the eclipse public licen[sc]e (?:v(?:ersion)? ?)?2 0"),
+    ("cddl-1", "distribution", "the contents of this file are subject to the terms of the common development and distribution licen[sc]e"),
+    ("boost-1.0", "hereby", "permission is hereby granted free of charge to any person or organi[sz]ation obtaining a copy of the software and accompanying documentation covered by this licen[sc]e"),
+    ("boost-1.0", "boost", "distributed under the boost software licen[sc]e version 1 0"),
+    ("zlib", "liable", "in no event will the authors be held liable for any damages arising from the use of this software"),
+    ("zlib", "anyone", "permission is granted to anyone to use this software for any purpose including commercial applications"),
+    ("zlib", "misrepresented", "the origin of this software must not be misrepresented"),
+    ("zlib", "altered", "altered source versions must be plainly marked as such and must not be misrepresented"),
+    ("unlicense", "unencumbered", "this is free and unencumbered software released into the public domain"),
+    ("unlicense", "compile", "anyone is free to copy modify publish use compile sell or distribute this software"),
+    ("unlicense", "relinquishment", "an overt act of relinquishment in perpetuity of all present and future rights"),
+    ("wtfpl", "fuck", "do what the fuck you want to(?: public licen[sc]e)?"),
+    ("cc0-1.0", "waived", "to the extent possible under law (?:[^ ]+ ){1,10}waived all copyright and related or neighbou?ring rights"),
+    ("cc0-1.0", "dedicated", "has dedicated the work to the public domain by waiving all of"),
+    ("cc0-1.0", "creativecommons", "creativecommons org publicdomain zero 1 0"),
+    ("openssl", "openssl", "this product includes software developed by the openssl project"),
+    ("postgresql", "hereby", "permission to use copy modify and distribute this software and its documentation for any purpose without fee and without a written agreement is hereby granted"),
+    ("ms-pl", "patent", "each contributor grants you a non exclusive worldwide royalty free (?:copyright|patent) licen[sc]e"),
+    ("ofl-1.1", "font", "this font software is licen[sc]ed under the sil open font licen[sc]e version 1 1"),
+    ("ofl-1.1", "reserved", "no modified version of the font software may use the reserved font name"),
+    ("artistic-2", "artistic", "you may distribute (?:this|it) under the terms of (?:either )?the artistic licen[sc]e 2 0"),
+    ("artistic-1", "perl", "under the same terms as perl itself"),
+    ("odbl", "database", "this (?:[^ ]+ ){1,6}is made available under the open database licen[sc]e"),
+    ("proprietary", "confidential", "this (?:document|file|software) (?:is|contains) (?:the )?confidential and proprietary"),
+    ("proprietary", "reproduced", "may not be (?:copied|reproduced)(?: or| and)?(?: [^ ]+){0,4} without (?:the )?(?:express |prior )?written (?:permission|consent)"),
+)
+
+
+def _sentences() -> list[tuple[str, str, str]]:
+    """(label, keyword, pattern) of the sentences, the notices of the Free Software Foundation and the addresses of licenses."""
+    out = list(_SENTENCES)
+    for family, middle in (("gpl", ""), ("lgpl", "(?:lesser|library) "), ("agpl", "affero ")):
+        for v in _VERSIONED[family][-1]:
+            number = rf"{v}(?: 0)?" if " " not in v else v
+            name = f"gnu {middle}general public licen[sc]e"
+            out.append((f"{family}-{v.replace(' ', '.')}", "gnu", f"(?:under the terms of )?the {name} as published by the free software foundation (?:either )?version {number}(?: of the licen[sc]e)?(?: only| or (?:at your option )?any later version)?"))
+            out.append((f"{family}-{v.replace(' ', '.')}", "gnu", f"gnu org licen[sc]es (?:old licen[sc]es )?{family} {number}"))
+    for kind in _CC:
+        for v in ("1", "2", "2 5", "3", "4"):
+            number = v if " " in v else f"{v} 0"
+            out.append((f"cc-{kind}-{number.replace(' ', '.')}", "creativecommons", f"creativecommons org licen[sc]es {kind.replace('-', ' ')} {number}"))
+    return out
+
+
 def _names() -> list[tuple[str, str, str]]:
     """(label, keyword, pattern) of every license name."""
     out = []
@@ -95,7 +178,7 @@ def _names() -> list[tuple[str, str, str]]:
 def rules() -> list[tuple[str, str, str, int, float]]:
     """All rules in order: (label, keyword, pattern, priority, confidence). A bare word is no notice without the word licence."""
     plain = {label for label in _PLAIN if label not in ("unlicense", "wtfpl", "cc0-1.0", "odbl", "public-domain")}
-    out = []
+    out = [(label, keyword, f"(?<= ){sentence}(?= )", SENTENCE_PRIORITY, SENTENCE_CONFIDENCE) for label, keyword, sentence in _sentences()]
     for notice, priority, confidence in _NOTICES:
         for label, keyword, name in _names():
             if notice == "{}" and label in plain:
@@ -110,12 +193,15 @@ def gate(text: Column) -> Column:
     A pattern needs "licen[sc]" or its keyword; with the keyword it needs "under", or all of itself if it has no variants.
     """
     alone, under = set(BASE_KEYWORDS), set()
-    for _, keyword, pattern, *_ in rules():
+    for _, keyword, pattern, priority, _ in rules():
         body = needed = pattern.removeprefix("(?<= )").removesuffix("(?= )")
         while (shorter := re.sub(r"\(\?:[^()]*\)\?", "", needed)) != needed:
             needed = shorter
         if "licen[sc]" in needed:
             continue
+        if priority == SENTENCE_PRIORITY:
+            alone.add(keyword)
+            continue
         if "under " in needed:
             under.add(keyword)
         else:
@@ -137,12 +223,22 @@ def _field(line: Column, mark: str, n: int) -> Column:
     return F.split_part(line, F.lit(mark), F.lit(n))
 
 
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def _blocks(values: Column) -> tuple[Column, Callable[[Column], Column]]:
+    """Numbers of the blocks of an array, and what gives a block. A list that an aggregation grows is copied at every step,
+    so it must not hold more than a block."""
+    return F.sequence(F.lit(0), F.greatest(F.ceil(F.size(values) / BLOCK).cast("int") - 1, F.lit(0))), lambda b: F.slice(values, b * BLOCK + 1, F.lit(BLOCK))
+
+
 def _places(text: Column, pattern: Column) -> Column:
     """(start, end) in words, end exclusive, of every match; the blanks before a match count the words before it."""
     blanks = lambda x: F.length(x) - F.length(F.replace(x, F.lit(" "), F.lit("")))
-    found = F.transform(F.regexp_extract_all(text, pattern, F.lit(0)), lambda m: F.struct(blanks(m).alias("m")))
-    gaps = F.transform(F.split(text, pattern, -1), lambda g: F.struct(blanks(g).alias("g")))
-    pairs = F.zip_with(F.slice(gaps, F.lit(1), F.size(found)), found, lambda g, m: F.struct(g["g"].alias("g"), m["m"].alias("m")))
+    matches, gaps = F.transform(F.regexp_extract_all(text, pattern, F.lit(0)), blanks), F.transform(F.split(text, pattern, -1), blanks)
+    pairs = F.filter(F.zip_with(gaps, matches, lambda g, m: F.struct(g.alias("g"), m.alias("m"))), lambda p: p["m"].isNotNull())
     none = F.array().cast("array<struct<start:int,end:int>>")
 
     def step(s: Column, x: Column) -> Column:
@@ -150,23 +246,41 @@ def _places(text: Column, pattern: Column) -> Column:
         place = F.struct((start - 1).alias("start"), (start + x["m"]).alias("end"))
         return F.struct((start + x["m"]).alias("at"), F.concat(s["out"], F.array(place)).alias("out"))
 
-    return F.aggregate(pairs, F.struct(F.lit(0).alias("at"), none.alias("out")), step, lambda s: s["out"])
+    def inside(pairs: Column) -> Column:
+        numbers, block = _blocks(pairs)
+        return F.transform(numbers, lambda b: F.aggregate(block(b), F.struct(F.lit(0).alias("at"), none.alias("out")), step))
+
+    def moved(parts: Column) -> Column:
+        zero = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("out"))
+        before = F.aggregate(parts, zero, lambda s, p: F.struct((s["at"] + p["at"]).alias("at"), F.concat(s["out"], F.array(s["at"])).alias("out")), lambda s: s["out"])
+        return F.flatten(F.zip_with(parts, before, lambda p, n: F.transform(p["out"], lambda x: F.struct((x["start"] + n).alias("start"), (x["end"] + n).alias("end")))))
+
+    return _let(_let(pairs, inside), moved)
 
 
 def _settled(found: Column) -> Column:
-    """Detections in order of start, longest first, then priority: what lies inside the last one kept is dropped."""
+    """Detections in order of start, longest first, then priority: what lies inside the last one kept is dropped.
+
+    Block by block: first what is last at the beginning of each, then what each keeps.
+    """
     kind = "struct<start:int,less:int,low:int,label:string,confidence:double>"
-    start = F.struct(F.array().cast(f"array<{kind}>").alias("out"), F.lit(None).cast(kind).alias("last"))
+    none, empty = F.lit(None).cast(kind), F.array().cast(f"array<{kind}>")
+    apart = lambda last, d: last.isNull() | (d["start"] >= -last["less"])
+    after = lambda last, d: F.when(apart(last, d) | ((-d["less"] > -last["less"]) & (d["low"] < last["low"])), d).otherwise(last)
 
     def step(s: Column, d: Column) -> Column:
         last = s["last"]
-        apart = last.isNull() | (d["start"] >= -last["less"])
-        wins = (-d["less"] > -last["less"]) & (d["low"] < last["low"])
-        out = F.when(apart & last.isNotNull(), F.concat(s["out"], F.array(last))).otherwise(s["out"])
-        return F.struct(out.alias("out"), F.when(apart | wins, d).otherwise(last).alias("last"))
+        out = F.when(apart(last, d) & last.isNotNull(), F.concat(s["out"], F.array(last))).otherwise(s["out"])
+        return F.struct(out.alias("out"), after(last, d).alias("last"))
+
+    def kept(every: Column) -> Column:
+        numbers, block = _blocks(every)
+        begin = F.struct(empty.alias("first"), none.alias("last"))
+        carried = F.aggregate(numbers, begin, lambda s, b: F.struct(F.concat(s["first"], F.array(s["last"])).alias("first"), F.aggregate(block(b), s["last"], after).alias("last")))
+        parts = lambda c: F.zip_with(numbers, c["first"], lambda b, last: F.aggregate(block(b), F.struct(empty.alias("out"), last.alias("last")), step, lambda s: s["out"]))
+        return _let(carried, lambda c: F.concat(F.flatten(parts(c)), F.when(c["last"].isNotNull(), F.array(c["last"])).otherwise(empty)))
 
-    end = lambda s: F.when(s["last"].isNull(), s["out"]).otherwise(F.concat(s["out"], F.array(s["last"])))
-    return F.aggregate(F.sort_array(found), start, step, end)
+    return _let(F.sort_array(found), kept)
 
 
 def scan_licenses(docs: DataFrame) -> DataFrame:
