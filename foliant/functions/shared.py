@@ -29,6 +29,15 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Deals out the rows of a scan that has fewer partitions than the cluster has cores, before costly work on each row.
+
+    Larger tables have enough partitions by themselves and are not moved.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() * 2 <= cores else df
+
+
 def boxed(df: DataFrame) -> Column:
     """All columns of a table as one struct, so that columns of any name can stand beside it (``select("doc.*")`` opens it)."""
     return F.struct(*[F.col("`" + c.replace("`", "``") + "`") for c in df.columns]).alias("doc")

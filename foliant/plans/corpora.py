@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from foliant.functions.shared import spread
+
 LEGAL = """
 select o_orderkey as doc_no, concat('room-', o_custkey % 4) as store, concat('order_', o_orderkey, '.txt') as source,
   concat('THIS SERVICES AGREEMENT ("Agreement") is made between ',
@@ -53,12 +55,17 @@ from nation
 TABLES = {"legal": LEGAL, "messages": MESSAGES, "graph_rows": GRAPH, "files": FILES, "run_log": RUN_LOG, "checklist": CHECKLIST}
 INPUTS = {"legal": "orders", "messages": "conversations", "graph_rows": "lineitem", "files": "documents", "run_log": "events", "checklist": "nation"}
 
+TEXTS = {"documents", "conversations", "orders"}  # tables whose rows cost much
+
 
 def corpus(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A derived table by name, or a given one."""
+    given = INPUTS.get(name, name)
+    rows = spark.read.parquet(f"{sf_dir}/{given}.parquet")
+    rows = spread(rows) if given in TEXTS else rows
     if name not in TABLES:
-        return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-    return spark.sql(TABLES[name].replace(f"from {INPUTS[name]}", f"from {{{INPUTS[name]}}}"), **{INPUTS[name]: spark.read.parquet(f"{sf_dir}/{INPUTS[name]}.parquet")})
+        return rows
+    return spark.sql(TABLES[name].replace(f"from {given}", f"from {{{given}}}"), **{given: rows})
 
 
 def with_corpora(sql: str) -> str:
