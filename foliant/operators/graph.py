@@ -211,7 +211,7 @@ def semantic_paths(ranked: DataFrame, edges: DataFrame, query_key: str, first: i
     top = ranked.where(F.col("rank") <= pool)
     a = top.where(F.col("rank") <= first).select(query_key, F.col("id").alias("start"), F.col("rank").alias("ra"), F.col("score").alias("sa"))
     b = top.select(query_key, F.col("id").alias("goal"), F.col("rank").alias("rb"), F.col("score").alias("sb"))
-    pairs = a.join(b, query_key).where("ra < rb")
+    pairs = a.join(b.hint("merge"), query_key).where("ra < rb")
     paths = find_paths(edges, pairs.select("start", "goal").distinct(), per_pair=per_pair)
     return pairs.join(paths.hint("merge"), ["start", "goal"]).select(query_key, "start", "goal", "length", "path", F.round((F.col("sa") + F.col("sb")) / 2, 6).alias("score"))
 

@@ -10,44 +10,67 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-QUERY_BLOCK = 2048
-
-
-def _query_blocks(queries: DataFrame, key: str, vec: str) -> Iterator[tuple[list, np.ndarray]]:
-    """The query table in blocks of ``QUERY_BLOCK`` rows, each sent to the tasks that scan the vectors."""
-    ids, rows = [], []
-    for r in queries.select(key, F.col(vec).cast("array<double>").alias("v")).where(F.col(vec).isNotNull()).toLocalIterator():
-        ids.append(r[0])
-        rows.append(r[1])
-        if len(ids) == QUERY_BLOCK:
-            yield ids, np.array(rows)
-            ids, rows = [], []
-    if ids:
-        yield ids, np.array(rows)
+QUERY_BLOCK = 2048  # queries that a task holds
+GROUP = 1 << 17  # vectors that stream by a block of queries
 
 
 def _scan(vectors: DataFrame, key: str, vec: str, queries: DataFrame, query_key: str, query_vec: str, name: str, pick: Callable[[np.ndarray, np.ndarray, np.ndarray], list[np.ndarray]]) -> DataFrame:
-    """Runs every block of queries over the vectors; ``pick`` gives, per query, the positions to keep and their scores."""
+    """Runs all queries over the vectors; ``pick`` gives, for queries, vectors and keys, the pairs to keep and their scores.
+
+    Up to ``QUERY_BLOCK`` queries are handed to the tasks that scan the vectors. More are cut into blocks that meet groups of
+    vectors: a task holds a block of queries while the vectors of a group stream by, so nothing passes through the driver.
+    """
     types = {**dict(vectors.dtypes), **{f"?{k}": v for k, v in queries.dtypes}}
     schema = f"{query_key} {types[f'?{query_key}']}, {key} {types[key]}, {name} double"
-    rows = vectors.where(F.col(vec).isNotNull()).select(key, F.col(vec).cast("array<double>").alias("v"))
-    kinds = {"int": pa.int32(), "bigint": pa.int64(), "string": pa.string()}
-    kind, query_kind = kinds[types[key]], kinds[types[f"?{query_key}"]]
-    out = None
-    for ids, q in _query_blocks(queries, query_key, query_vec):
-
-        def scan(batches: Iterator[pa.RecordBatch], ids: list = ids, q: np.ndarray = q) -> Iterator[pa.RecordBatch]:
+    rows = vectors.where(F.col(vec).isNotNull()).select(F.col(key).alias("k"), F.col(vec).cast("array<double>").alias("v"))
+    asked = queries.where(F.col(query_vec).isNotNull()).select(F.col(query_key).alias("q"), F.col(query_vec).cast("array<double>").alias("v"))
+    first = asked.limit(QUERY_BLOCK + 1).collect()  # a block and a row more
+    matrix = lambda column: np.array(column.to_pylist(), float)
+
+    def met(ids: np.ndarray, q: np.ndarray, keys: pa.Array, x: np.ndarray) -> pa.RecordBatch:
+        at, found, score = pick(q, x, keys.to_numpy(zero_copy_only=False))
+        return pa.RecordBatch.from_arrays([ids.take(pa.array(at)), keys.take(pa.array(found)), pa.array(score)], [query_key, key, name])
+
+    if not first:
+        return vectors.sparkSession.createDataFrame([], schema)
+    if len(first) <= QUERY_BLOCK:
+        held, block = [r[0] for r in first], np.array([r[1] for r in first], float)
+        kind = {"int": pa.int32(), "bigint": pa.int64(), "string": pa.string()}[types[f"?{query_key}"]]
+
+        def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            ids = pa.array(held, kind)
             for b in batches:
-                if not b.num_rows:
-                    continue
-                x = np.stack(b.column(1).to_numpy(zero_copy_only=False))
-                keys = b.column(0).to_numpy(zero_copy_only=False)
-                at, found, score = pick(q, x, keys)
-                yield pa.RecordBatch.from_arrays([pa.array(np.array(ids)[at], query_kind), pa.array(keys[found], kind), pa.array(score)], [query_key, key, name])
-
-        part = rows.mapInArrow(scan, schema)
-        out = part if out is None else out.unionAll(part)
-    return vectors.sparkSession.createDataFrame([], schema) if out is None else out
+                if b.num_rows:
+                    yield met(ids, block, b.column(0), matrix(b.column(1)))
+
+        return rows.mapInArrow(scan, schema)
+    blocks, groups = (df.agg(F.greatest(F.ceil(F.count("*") / n), F.lit(1)).alias(c)) for df, n, c in ((asked, QUERY_BLOCK, "n_blocks"), (rows, GROUP, "n_groups")))
+    sizes = F.broadcast(blocks.crossJoin(groups))  # one row
+    number = lambda column, n: F.pmod(F.xxhash64(column), F.col(n))
+    every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
+    holds = asked.crossJoin(sizes).select(number("q", "n_blocks").alias("block"), every("n_groups").alias("group"), F.lit(False).alias("passing"), "q", F.lit(None).cast(types[key]).alias("k"), "v")
+    passes = rows.crossJoin(sizes).select(every("n_blocks").alias("block"), number("k", "n_groups").alias("group"), F.lit(True).alias("passing"), F.lit(None).cast(types[f"?{query_key}"]).alias("q"), "k", "v")
+    placed = holds.unionAll(passes).repartition("block", "group").sortWithinPartitions("block", "group", "passing")
+
+    def stream(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        place, ids, parts, block = None, [], [], None
+        for b in batches:
+            if not b.num_rows:
+                continue
+            mark = np.stack([b.column(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in range(3)])
+            bounds = [0, *(np.flatnonzero((mark[:, 1:] != mark[:, :-1]).any(axis=0)) + 1).tolist(), b.num_rows]
+            for i, j in zip(bounds, bounds[1:], strict=False):
+                if tuple(mark[:2, i]) != place:
+                    place, ids, parts, block = tuple(mark[:2, i]), [], [], None
+                part = b.slice(i, j - i)
+                if not mark[2, i]:
+                    ids.append(part.column(3))
+                    parts.append(matrix(part.column(5)))
+                elif ids:
+                    block = np.concatenate(parts) if block is None else block
+                    yield met(pa.concat_arrays(ids), block, part.column(4), matrix(part.column(5)))
+
+    return placed.mapInArrow(stream, schema)
 
 
 def _distances(q: np.ndarray, x: np.ndarray) -> np.ndarray:
@@ -115,6 +138,14 @@ def search_documents(vectors: DataFrame | None, queries: DataFrame, rescore: Cal
     return near.select(query_key, key, (1 - F.col("dist")).alias("similarity"), F.col("dist").alias("score"), rank.alias("rank")).where(F.col("rank") <= top_k)
 
 
+def type_vectors(rows: DataFrame, type_column: str, embed: Callable[[DataFrame, str, str], DataFrame]) -> DataFrame:
+    """The rows with ``type_key`` (normalised) and its ``embedding``; each distinct type is embedded once, ``not classified`` not at all."""
+    from foliant.operators.text import normalise_key
+
+    keyed = rows.withColumn("type_key", normalise_key(F.col(type_column))).where("type_key <> 'not classified'")
+    return keyed.join(embed(keyed.select("type_key").distinct(), "type_key", "embedding").hint("merge"), "type_key")
+
+
 def multi_query_search(vectors: DataFrame, variants: DataFrame, texts: DataFrame, k: int, limit: float, key: str = "vec_id", focus: str = "focus_id") -> DataFrame:
     """Several vectors per focus: k nearest each within the limit, one row per focus and text (the nearest), by distance."""
     asked = variants.withColumn("query_id", F.concat_ws("#", focus, "variant"))
@@ -153,7 +184,7 @@ def claim_support(claims: DataFrame, found: DataFrame, focus: str = "focus_id")
     n = found.groupBy(focus).agg(F.count("*").alias("n_sources"))
     count = F.coalesce("n_sources", F.lit(0))
     status = F.when(count >= 2, "SUPPORTED").when(count == 1, "PARTIALLY SUPPORTED").otherwise("UNSUPPORTED")
-    return claims.select(focus).distinct().join(n, focus, "left").select(focus, count.alias("n_sources"), status.alias("status"))
+    return claims.select(focus).distinct().join(n.hint("merge"), focus, "left").select(focus, count.alias("n_sources"), status.alias("status"))
 
 
 def hybrid_search(sparse: DataFrame, dense: DataFrame, key: str, query_key: str, top_k: int = 10, sparse_weight: float = 0.3, dense_weight: float = 0.7) -> DataFrame:

@@ -112,13 +112,32 @@ def document_entities(spark: SparkSession, sf: str) -> DataFrame:
     return entities.document_entities(chunks(spark, sf))
 
 
-@query("""with n as (select c_name as name from customer union all select s_name from supplier union all select p_name from part union all select split_part(text, ' ', 1) || ' ' || split_part(text, ' ', 2) from documents)
+@query("""with n as (select c_name as name from customer union all select s_name from supplier union all select p_name from part union all select unnest(string_split(text, chr(10))) from documents)
 select name, length(name) >= 3 and regexp_matches(name, '[A-Z]') and not regexp_matches(name, '^\\d') and lower(name) not in ('agreement', 'company', 'the company', 'party') as company,
   len(string_split_regex(trim(name), '\\s+')) between 2 and 4 and len(list_filter(string_split_regex(trim(name), '\\s+'), lambda p: not regexp_matches(p, '^[A-Z][a-z]*\\.?$'))) = 0 as person from n""")
 def valid_names(spark: SparkSession, sf: str) -> DataFrame:
+    """Given names, and every line of every text."""
     n = corpus(spark, sf, "customer").select(F.col("c_name").alias("name")).union(corpus(spark, sf, "supplier").select("s_name")).union(corpus(spark, sf, "part").select("p_name"))
-    d = corpus(spark, sf, "documents").select(F.concat_ws(" ", F.split_part("text", F.lit(" "), F.lit(1)), F.split_part("text", F.lit(" "), F.lit(2))))
-    return n.union(d).select("name", entities.valid_company(F.col("name")).alias("company"), entities.valid_person(F.col("name")).alias("person"))
+    lines = corpus(spark, sf, "documents").select(F.explode(F.split("text", "\n", -1)))
+    return n.union(lines).select("name", entities.valid_company(F.col("name")).alias("company"), entities.valid_person(F.col("name")).alias("person"))
+
+
+@query(f"""with {CHUNKS}, w as (select source, unnest(list_distinct(regexp_extract_all(substr(text, 1, 2000), '[A-Z][a-z]{{5,}}'))) as word from chunks where length(text) >= 10),
+g as (select source, word as name, case when length(word) % 2 = 0 then 'companies' else 'people' end as entity_type, round(least(length(word), 10) / 10.0, 6)::double as confidence from w)
+select * from g where confidence >= 0.7""")
+def ner_entities(spark: SparkSession, sf: str) -> DataFrame:
+    """A caller's tagger: capitalised words, by their length."""
+
+    def tagger():
+        import re
+
+        def tag(texts: list[str]) -> list[list[tuple[str, str, float]]]:
+            found = [dict.fromkeys(re.findall("[A-Z][a-z]{5,}", t)) for t in texts]
+            return [[(w, "PER" if len(w) % 2 else "ORG", min(len(w), 10) / 10) for w in ws] for ws in found]
+
+        return tag
+
+    return entities.ner_entities(chunks(spark, sf), tagger)
 
 
 ANY_VERB = "(?i)\\s(?:" + "|".join(entities.RELATIONS.values()) + ")\\s"

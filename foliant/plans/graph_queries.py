@@ -68,10 +68,11 @@ def search_entities_of_type(spark: SparkSession, sf: str) -> DataFrame:
     return graph.search_entities(graph.nodes_of(edges(spark, sf)), q, types=["supp"])
 
 
-@query(f"with {EDGES} select src as id, dst as other, relationship, 'outgoing' as direction from g union all select dst, src, relationship, 'incoming' from g")
+@query("""with g as (select src, dst, relationship, substr(min(context), 1, 200) as context from graph_rows group by all)
+select src as id, dst as other, relationship, 'outgoing' as direction, context from g union all select dst, src, relationship, 'incoming', context from g""")
 def entity_relationships(spark: SparkSession, sf: str) -> DataFrame:
     e = edges(spark, sf)
-    return graph.entity_relationships(e, graph.nodes_of(e)).drop("context")
+    return graph.entity_relationships(e, graph.nodes_of(e))
 
 
 @query(f"with {EDGES} select id, relationship, count(*) as n from (select src as id, relationship from g union all select dst, relationship from g) group by all")
@@ -162,22 +163,37 @@ def semantic_entities(spark: SparkSession, sf: str) -> DataFrame:
     return _near_entities(spark, sf)
 
 
-@query()
+@query(f"""with {EDGES}, {NEAR.replace("where r <= 20)", "where r <= 500)")}, top as (select * from ranked where rank <= 10), pairs as (select distinct src, dst from g),
+asked as (select a.query_id, a.id as start, b.id as goal, a.score as sa, b.score as sb from top a join top b on a.query_id = b.query_id and a.rank < b.rank and a.rank <= 5),
+p as (select start, goal, start || ' > ' || a.dst || ' > ' || goal as path from (select distinct start, goal from asked) join pairs a on a.src = start join pairs b on b.src = goal and b.dst = a.dst),
+best as (select *, row_number() over (partition by start, goal order by path) as r from p)
+select query_id, start, goal, 2 as length, path, round((sa + sb) / 2, 6) as score from asked join best using (start, goal) where r <= 2""")
 def semantic_paths(spark: SparkSession, sf: str) -> DataFrame:
+    """Parts near a query that share suppliers: of this graph's two sides, parts are two edges apart."""
     e = edges(spark, sf)
     return graph.semantic_paths(_near_entities(spark, sf, 500), e.select("src", "dst").unionAll(e.select("dst", "src")), "query_id")
 
 
-@query(f"with {EDGES} select count(*) as num_nodes, (select count(*) from g) as num_edges from nodes")
+CENTRAL = "central as (select id from (select src as id from g union all select dst from g) group by id order by count(*) desc, id limit 1)"
+
+
+@query(f"""with recursive {EDGES}, {COMP}, {CENTRAL}
+select count(*) as num_nodes, (select count(*) from g) as num_edges, count(*) filter (type = 'part') as parts, count(*) filter (type = 'supp') as suppliers, (select id from central) as most_central,
+  (select count(distinct component) = 1 from comp)::varchar as is_connected from nodes""")
 def graph_metadata(spark: SparkSession, sf: str) -> DataFrame:
+    """The JSON row, read field by field."""
     e = edges(spark, sf)
-    return graph.graph_metadata(graph.nodes_of(e), e).select("num_nodes", "num_edges")
+    row = graph.graph_metadata(graph.nodes_of(e), e)
+    field = lambda path: F.get_json_object("metadata", path)
+    return row.select("num_nodes", "num_edges", field("$.entities.part").cast("long").alias("parts"), field("$.entities.supp").cast("long").alias("suppliers"), field("$.top_central[0]").alias("most_central"), field("$.is_connected").alias("is_connected"))
 
 
-@query(f"with {EDGES} select 'node' as kind, count(*) as n from nodes union all select 'edge', count(*) from g")
+@query(f"with {EDGES} select 'node' as kind, id as a, name as b, type as c from nodes union all select 'edge', src, dst, relationship from g")
 def export_graph(spark: SparkSession, sf: str) -> DataFrame:
+    """The JSON rows for a viewer, read field by field."""
     e = edges(spark, sf)
-    return graph.export_graph(graph.nodes_of(e), e).groupBy("kind").agg(F.count("*").alias("n"))
+    field = lambda *names: F.coalesce(*[F.get_json_object("row", f"$.{n}") for n in names])
+    return graph.export_graph(graph.nodes_of(e), e).select("kind", field("id", "src").alias("a"), field("name", "dst").alias("b"), field("type", "relationship").alias("c"))
 
 
 @query("select distinct room as store from files")
@@ -306,13 +322,14 @@ def related_by_context(spark: SparkSession, sf: str) -> DataFrame:
     return graph.related_by_context(near, nodes, q.select("query_id", F.concat(F.lit("part:"), F.col("query_id") * 10).alias("id")), "query_id", limit=100)
 
 
-@query(f"with {EDGES} select 'nodes' as part, count(*) as n from nodes union all select 'edges', count(*) from g union all select 'metadata', 1")
+@query(f"with {EDGES} select 'nodes' as part, id as a, name as b from nodes union all select 'edges', src, dst from g union all select 'metadata', (select count(*) from nodes)::varchar, (select count(*) from g)::varchar")
 def save_graph(spark: SparkSession, sf: str) -> DataFrame:
-    """Writes nodes, edges and metadata and counts what reading them gives."""
+    """Writes nodes, edges and metadata and gives what reading them gives."""
     e, path = edges(spark, sf), scratch_dir(spark, "graph")
     nodes = graph.nodes_of(e)
     rooms.save_graph(nodes, e, graph.graph_metadata(nodes, e), path)
-    parts = [spark.read.parquet(f"{path}/{p}").agg(F.lit(p).alias("part"), F.count("*").alias("n")) for p in ("nodes", "edges", "metadata")]
+    fields = {"nodes": ("id", "name"), "edges": ("src", "dst"), "metadata": ("num_nodes", "num_edges")}
+    parts = [spark.read.parquet(f"{path}/{p}").select(F.lit(p).alias("part"), F.col(a).cast("string").alias("a"), F.col(b).cast("string").alias("b")) for p, (a, b) in fields.items()]
     return parts[0].unionAll(parts[1]).unionAll(parts[2])
 
 

@@ -155,14 +155,13 @@ def search_documents(spark: SparkSession, sf: str) -> DataFrame:
     return vectors.search_documents(corpus(spark, sf, "embeddings"), q, rescore, score_mode="distance").unionByName(none)
 
 
-@query("select count(*) as n, count(distinct label) as n_types from embeddings where 'type ' || label <> 'not classified'")
+@query("select 'type ' || label as type_key, count(*) as n, true as same from embeddings where label <> 3 group by label")
 def type_vectors(spark: SparkSession, sf: str) -> DataFrame:
-    """Each distinct normalised document type is embedded once."""
-    from foliant.operators.text import normalise_key
-
-    types = corpus(spark, sf, "embeddings").select("vec_id", normalise_key(F.concat(F.lit("Type "), "label")).alias("type_key")).where("type_key <> 'not classified'")
-    embedded = vectors.embed_texts(types.select("type_key").distinct(), "type_key", vectors.hashed_embedder())
-    return types.join(embedded.hint("merge"), "type_key").agg(F.count("*").alias("n"), F.count_distinct("type_key").alias("n_types"))
+    """Each distinct normalised document type is embedded once; rows of a type have its vector."""
+    label = F.when(F.col("label") == 3, " Not Classified").otherwise(F.concat(F.lit("Type "), "label"))
+    types = corpus(spark, sf, "embeddings").select("vec_id", label.alias("type"))
+    found = vectors.type_vectors(types, "type", lambda df, text, out: vectors.embed_texts(df, text, vectors.hashed_embedder(), out))
+    return found.groupBy("type_key").agg(F.count("*").alias("n"), (F.count_distinct("embedding") == 1).alias("same"))
 
 
 # checklists
@@ -246,35 +245,33 @@ def distinct_keys_to_embed(spark: SparkSession, sf: str) -> DataFrame:
     return ck.distinct_keys(docs, "source", docs.where("doc_id % 20 < 3").select(F.lower("source").alias("key")).distinct())
 
 
-MARKDOWN = """'## ' || substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ', (s % 26)::int + 1, 1) || '. Section ' || s || chr(10) || chr(9) || '1. ' || a || chr(10) || '2. SHORT' || chr(10) || '- ' || b || chr(10)"""
-PAGES = """
-w as (select doc_id, string_split(replace(text, chr(10), ' '), ' ') as w from documents),
-md as (select doc_id as file, 1 as n, doc_id as s, array_to_string(w[1:5], ' ') as a, array_to_string(w[6:9], ' ') as b from w)
+BLANKS = "chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
+PAGES = f"""
+ls as (select doc_id, string_split(text, chr(10)) as ls from documents),
+md as (select doc_id as file, substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ', (doc_id % 26)::int + 1, 1) as letter, i + 1 as n, i % 3 = 2 as bullet, trim(ls[i + 1], {BLANKS}) as t, ls[i + 1] as l from (select doc_id, ls, unnest(range(0, len(ls))) as i from ls)),
+items as (select *, row_number() over (partition by file order by n) as item_no, replace(translate(t, '‘’“”', chr(39) || chr(39) || chr(34) || chr(34)), '\\&', '&') as clean from md where not bullet and t <> '')
 """
 
 
 def _markdown(spark: SparkSession, sf: str) -> DataFrame:
-    """A small markdown checklist per document, from the document's own words."""
-    w = F.split(F.replace("text", F.lit("\n"), F.lit(" ")), " ")
+    """Every document as a markdown checklist: a lettered heading, and each line of the text as a numbered item or a bullet."""
     letter = F.substring(F.lit("ABCDEFGHIJKLMNOPQRSTUVWXYZ"), (F.col("doc_id") % 26 + 1).cast("int"), F.lit(1))
-    part = lambda i, n: F.array_join(F.slice(w, i, n), " ")
-    lines = [F.concat(F.lit("## "), letter, F.lit(". Section "), "doc_id"), F.concat(F.lit("\t1. "), part(1, 5)), F.lit("2. SHORT"), F.concat(F.lit("- "), part(6, 4)), F.lit("")]
-    return corpus(spark, sf, "documents").select(F.col("doc_id").alias("file"), F.concat_ws("\n", *lines).alias("text"))
+    item = lambda line, i: F.when(i % 3 == 2, F.concat(F.lit("- "), line)).otherwise(F.concat(F.lit("\t"), i + 1, F.lit(". "), line))
+    body = F.array_join(F.transform(F.split("text", "\n", -1), item), "\n")
+    return corpus(spark, sf, "documents").select(F.col("doc_id").alias("file"), F.concat(F.lit("## "), letter, F.lit(". Section "), "doc_id", F.lit("\n"), body).alias("text"))
 
 
-@query(f"with {PAGES} select file, 1::int as line_no, trim(a) as text from md where length(trim(a)) > 10 and not (a = upper(a) and a <> lower(a))")
+@query(f"with {PAGES} select file, n::int as line_no, t as text from items where length(t) > 10 and not (t = upper(t) and t <> lower(t))")
 def parse_numbered_items(spark: SparkSession, sf: str) -> DataFrame:
     return ck.parse_numbered_items(_markdown(spark, sf))
 
 
-@query(f"""with {PAGES}, i as (select file, 1::int as line_no, trim(a) as text from md union all select file, 3::int, trim(b) from md)
-select * from i where length(text) > 10 and not (text = upper(text) and text <> lower(text))""")
+@query(f"with {PAGES} select file, n::int as line_no, t as text from md where length(t) > 10 and not (t = upper(t) and t <> lower(t))")
 def parse_list_items(spark: SparkSession, sf: str) -> DataFrame:
     return ck.parse_list_items(_markdown(spark, sf))
 
 
-@query(f"""with {PAGES}, i as (select file, s, trim(a) as text, 1::int as item_no from md where trim(a) <> '' union all select file, s, 'SHORT', case when trim(a) <> '' then 2 else 1 end::int from md)
-select file, substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ', (s % 26)::int + 1, 1) || '.' || item_no as id, 'Section ' || s as category, text as question from i""")
+@query(f"with {PAGES} select file, letter || '.' || item_no as id, 'Section ' || file as category, clean as question from items")
 def parse_questions(spark: SparkSession, sf: str) -> DataFrame:
     return ck.parse_questions(_markdown(spark, sf))
 
@@ -286,7 +283,7 @@ def _hits(spark: SparkSession, sf: str) -> DataFrame:
     near = vectors.knn_l2(corpus(spark, sf, "embeddings"), _queries(spark, sf), 8)
     score = vectors.distance_to_similarity(F.col("dist"))
     texts = corpus(spark, sf, "documents").select(F.col("doc_id").alias("vec_id"), "text")
-    return near.join(texts, "vec_id", "left").select("query_id", "rank", F.concat(F.lit("doc_"), "vec_id", F.lit(".txt")).alias("name"), score.alias("score"), F.coalesce("text", F.lit("")).alias("text"))
+    return near.join(texts.hint("merge"), "vec_id", "left").select("query_id", "rank", F.concat(F.lit("doc_"), "vec_id", F.lit(".txt")).alias("name"), score.alias("score"), F.coalesce("text", F.lit("")).alias("text"))
 
 
 @query(f"""with {HITS}, s as (select query_id, string_agg(name, '; ' order by rank) as sources, count(*) as n_sources from hits where rank <= 5 and score >= 0.3 group by query_id)
@@ -361,7 +358,6 @@ def analysis_search(spark: SparkSession, sf: str) -> DataFrame:
     return vectors.analysis_search(rows, _queries(spark, sf))
 
 
-@query(f"""with {PAGES}, i as (select file, s, trim(a) as text, 1::int as item_no, '1. ' || trim(a) as original from md where trim(a) <> '' union all select file, s, 'SHORT', case when trim(a) <> '' then 2 else 1 end::int, '2. SHORT' from md)
-select file, substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ', (s % 26)::int + 1, 1) as letter, 'Section ' || s as category, item_no, text, original from i""")
+@query(f"with {PAGES} select file, letter, 'Section ' || file as category, item_no::int as item_no, clean as text, trim(n || '. ' || l, {BLANKS}) as original from items")
 def parse_checklist(spark: SparkSession, sf: str) -> DataFrame:
     return ck.parse_checklist(_markdown(spark, sf))

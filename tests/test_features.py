@@ -300,3 +300,30 @@ def test_search_of_one_type(spark):
     q = spark.createDataFrame([("acme",)], "query string")
     assert [r.id for r in graph.search_entities(nodes, q, types=["p"]).collect()] == ["p:Acme Ann"]
     assert graph.search_entities(nodes, q).count() == 3 and graph.search_entities(nodes, q, types=[]).count() == 0
+
+
+def test_citation_ids(spark):
+    import xxhash
+
+    paths = ["/rooms/a.txt", "", "é", "x" * 100]
+    got = {r[0]: r[1] for r in spark.createDataFrame([(p,) for p in paths], "p string").select("p", reports.citation_id(F.col("p"))).collect()}
+    for p in paths:
+        h = xxhash.xxh64(p.encode(), seed=42).intdigest()
+        assert got[p] == (h - (1 << 64) if h >> 63 else h) % 10_000
+
+
+@pytest.mark.parametrize("block", [2048, 7])
+def test_many_queries_meet_all_vectors(spark, monkeypatch, block):
+    """Blocks of queries against groups of vectors give what one block gives."""
+    monkeypatch.setattr(vectors, "QUERY_BLOCK", block)
+    monkeypatch.setattr(vectors, "GROUP", 40)
+    rng = np.random.default_rng(11)
+    x, q = rng.normal(size=(150, 5)).round(2), rng.normal(size=(30, 5)).round(2)
+    v = spark.createDataFrame([(i, r.tolist()) for i, r in enumerate(x)] + [(999, None)], "vec_id long, embedding array<double>")
+    a = spark.createDataFrame([(f"q{i}", r.tolist()) for i, r in enumerate(q)] + [("none", None)], "query_id string, query_vec array<double>")
+    d = np.round(((q[:, None, :] - x[None, :, :]) ** 2).sum(axis=2), 6)
+    want = {(f"q{i}", int(k), r) for i in range(30) for r, k in enumerate(sorted(range(150), key=lambda k: (d[i, k], k))[:4], 1)}
+    assert {(r.query_id, r.vec_id, r["rank"]) for r in vectors.knn_l2(v, a, 4).collect()} == want
+    c = (q @ x.T) / np.linalg.norm(q, axis=1)[:, None] / np.linalg.norm(x, axis=1)[None, :]
+    found = vectors.cosine_matrix(v, a, least=0.5).collect()
+    assert {(r.query_id, r.vec_id) for r in found} == {(f"q{i}", int(k)) for i, k in zip(*np.nonzero(np.round(c, 6) >= 0.5), strict=True)}
