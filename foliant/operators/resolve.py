@@ -54,6 +54,8 @@ def _pivots(rows: DataFrame, sizes: DataFrame) -> dict[str, np.ndarray]:
 
     Taken by hash; all blocks together have ``MOST_PIVOTS`` at most, which the driver passes to the tasks.
     """
+    if sizes.where(F.col("n") > PIVOTED).isEmpty():
+        return {}
     wanted = F.ceil(F.sqrt("n") / 4)
     large = stored(sizes.where(F.col("n") > PIVOTED).select(F.col("block").alias("b"), "n", wanted.alias("k")), "large")
     total = large.agg(F.sum("k")).first()[0] or 0
@@ -113,8 +115,11 @@ def placed_rows(entities: DataFrame, blocks: list[str], threshold: Column) -> Da
             passing = np.arange(len(row)) >= batch.num_rows
             yield pa.RecordBatch.from_arrays([batch.column(0).take(row), batch.column(2).take(row), pa.array(np.concatenate([home, *tos])), pa.array(passing)], ["id", "block", "cell", "passing"])
 
-    asked = rows.join(sizes.hint("merge"), "block").select("id", "vec", "block", "least")
-    cells = stored(asked.mapInArrow(place, f"id {kind}, block string, cell long, passing boolean"), "cells")
+    if pivots:
+        asked = rows.join(sizes.hint("merge"), "block").select("id", "vec", "block", "least")
+        cells = stored(asked.mapInArrow(place, f"id {kind}, block string, cell long, passing boolean"), "cells")
+    else:
+        cells = rows.select("id", "block", F.lit(0).cast("long").alias("cell"), F.lit(False).alias("passing"))
     n_parts, n_streams = F.ceil(F.count_if(~F.col("passing")) / CELL), F.ceil(F.count("*") / PASSING)
     plan = cells.groupBy("block", "cell").agg(n_parts.cast("int").alias("n_parts"), n_streams.cast("int").alias("n_streams")).where("n_parts > 0")
     met = cells.join(plan.hint("merge"), ["block", "cell"]).join(rows.select("id", "vec", "t").hint("merge"), "id")

@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 from foliant.functions.shared import stored
 
 K1, B, EPSILON = 1.5, 0.75, 0.25
+MOST_TERMS = 200_000  # that are broadcast
+SEED = 50  # documents for each wanted one, of a query's rarest terms
 
 
 def legal_tokenize(text: Column) -> Column:
@@ -46,15 +48,50 @@ def term_stats(index: DataFrame, stats: DataFrame) -> DataFrame:
     return weighed_terms(index.groupBy("term").agg(F.count("*").alias("df")), stats)
 
 
-def score_postings(
-    index: DataFrame, terms: DataFrame, stats: DataFrame, queries: DataFrame, key: str, query_key: str, query_text: str = "text", top_k: int = 10, tokenize: Callable[[Column], Column] = legal_tokenize
-) -> DataFrame:
-    """(query_key, key, score, rank) from postings, weighed terms and a row with avgdl: scores above 0, the best ``top_k``."""
-    asked = queries.select(query_key, F.explode(tokenize(F.col(query_text))).alias("term")).groupBy(query_key, "term").agg(F.count("*").alias("times"))
-    weighed = stored(asked.join(terms.hint("merge"), "term"), "weighed")
-    met = index.join(weighed.hint("merge"), "term").crossJoin(F.broadcast(stats.select("avgdl")))
-    gain = F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
-    scored = met.groupBy(query_key, key).agg(F.round(F.sum(F.col("times") * gain), 6).alias("score")).where("score > 0")
+def vocabulary(asked: DataFrame) -> DataFrame:
+    """The distinct terms of (query, term) rows, to be joined with postings: broadcast up to ``MOST_TERMS``."""
+    terms = stored(asked.select("term").distinct(), "vocabulary")
+    return F.broadcast(terms) if terms.count() <= MOST_TERMS else terms.hint("merge")
+
+
+def asked_terms(queries: DataFrame, query_key: str, query_text: str, tokenize: Callable[[Column], Column]) -> DataFrame:
+    """(query_key, term, times), stored."""
+    return stored(queries.select(query_key, F.explode(tokenize(F.col(query_text))).alias("term")).groupBy(query_key, "term").agg(F.count("*").alias("times")), "asked")
+
+
+def score_postings(index: DataFrame, terms: DataFrame, stats: DataFrame, asked: DataFrame, key: str, query_key: str, top_k: int = 10) -> DataFrame:
+    """(query_key, key, score, rank) from the postings of the asked terms, weighed terms and a row with avgdl: scores above 0,
+    the best ``top_k``.
+
+    Frequent terms are left out where they cannot matter. A query's rarest terms give each of some documents a least score;
+    the ``top_k``-th of these is a bound that the result must reach. The terms that together stay below it cannot bring a
+    document in, so only postings of the others are joined with the query, and what was left out is looked up for those
+    documents alone that may still reach the bound. The result is that of scoring every posting.
+    """
+    gain = F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
+    matched = stored(index.crossJoin(F.broadcast(stats.select("avgdl"))).select(key, "term", gain.alias("gain")), "matched")
+    tops = matched.groupBy("term").agg(F.max("gain").alias("top"))
+    weighed = asked.join(terms.hint("merge"), "term").join(tops.hint("merge"), "term").select(query_key, "term", "df", (F.col("times") * F.col("idf")).alias("w"), "top")
+    low, high = (f(F.col("w") * F.col("top"), F.lit(0.0)) for f in (F.least, F.greatest))  # what a term may add; an idf can be negative
+    upto = lambda *order: Window.partitionBy(query_key).orderBy(*order, "term").rowsBetween(Window.unboundedPreceding, 0)
+    placed = weighed.select("*", (F.sum("df").over(upto("df")) - F.col("df") < SEED * top_k).alias("seed"), F.sum(high).over(upto(high)).alias("below"), high.alias("high"), low.alias("low"))
+    weights = stored(placed, "weights")
+
+    def summed(rows: DataFrame, name: str) -> DataFrame:
+        met = matched.join(rows.select(query_key, "term", "w").hint("merge"), "term")
+        return met.groupBy(query_key, key).agg(F.sum(F.col("w") * F.col("gain")).alias(name))
+
+    best = F.row_number().over(Window.partitionBy(query_key).orderBy(F.desc("least")))
+    reached = summed(weights.where("seed"), "least").withColumn("r", best).where(F.col("r") == top_k).select(query_key, "least")
+    minus = weights.where("not seed").groupBy(query_key).agg(F.sum("low").alias("minus"))
+    bounds = reached.join(minus.hint("merge"), query_key, "left").select(query_key, (F.col("least") + F.coalesce("minus", F.lit(0.0)) - 2e-6).alias("bound"))
+    split = stored(weights.join(bounds.hint("merge"), query_key, "left").withColumn("needed", F.coalesce(F.col("below") >= F.col("bound"), F.lit(True))), "split")
+    rest = split.groupBy(query_key).agg(F.sum(F.when(~F.col("needed"), F.col("high")).otherwise(0.0)).alias("rest"), F.max("bound").alias("bound"))
+    part = summed(split.where("needed"), "part").join(rest.hint("merge"), query_key).where(F.col("bound").isNull() | (F.col("part") + F.col("rest") >= F.col("bound")))
+    part = stored(part.select(query_key, key, "part"), "part")
+    due = part.select(query_key, key).join(split.where("not needed").select(query_key, "term", "w").hint("merge"), query_key)
+    more = due.join(matched.hint("merge"), [key, "term"]).groupBy(query_key, key).agg(F.sum(F.col("w") * F.col("gain")).alias("more"))
+    scored = part.join(more.hint("merge"), [query_key, key], "left").select(query_key, key, F.round(F.col("part") + F.coalesce("more", F.lit(0.0)), 6).alias("score")).where("score > 0")
     rank = F.row_number().over(Window.partitionBy(query_key).orderBy(F.desc("score"), key))
     return scored.withColumn("rank", rank).where(F.col("rank") <= top_k)
 
@@ -64,9 +101,12 @@ def bm25_search(
 ) -> DataFrame:
     """(query_key, key, score, rank): scores above 0, the best ``top_k`` per query; repeated query words count again.
 
-    The documents are tokenised once, into a stored index.
+    The documents are tokenised once; all their terms are counted, but only postings of asked terms are made.
     """
-    index = stored(postings(docs, key, text, tokenize), "postings")
-    known = docs.agg(F.count("*").alias("n_docs"), F.count(text).alias("n_texts"))
-    stats = known.crossJoin(index.agg(F.sum("tf").alias("total"))).select("n_docs", (F.col("total") / F.col("n_texts")).alias("avgdl"))  # one row each
-    return score_postings(index, term_stats(index, stats), stats, queries, key, query_key, query_text, top_k, tokenize)
+    asked = asked_terms(queries, query_key, query_text, tokenize)
+    words = stored(docs.select(key, tokenize(F.col(text)).alias("words")), "words")
+    stats = words.agg(F.count("*").alias("n_docs"), F.avg(F.size("words")).alias("avgdl"))  # one row
+    counts = words.select(F.explode(F.array_distinct("words")).alias("term")).groupBy("term").agg(F.count("*").alias("df"))
+    found = words.select(key, F.size("words").alias("dl"), F.explode("words").alias("term")).join(vocabulary(asked), "term", "left_semi")
+    index = found.groupBy(key, "term").agg(F.count("*").alias("tf"), F.first("dl").alias("dl"))
+    return score_postings(index, weighed_terms(counts, stats), stats, asked, key, query_key, top_k)

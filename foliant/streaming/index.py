@@ -74,8 +74,9 @@ class SparseIndex:
 
     def search(self, queries: DataFrame, query_key: str, query_text: str = "text", top_k: int = 10, tokenize: Callable[[Column], Column] = sparse.legal_tokenize) -> DataFrame:
         """BM25 over the live documents: query_key, key, score, rank."""
-        terms = sparse.weighed_terms(self.term_counts(), self.totals())
-        return sparse.score_postings(self.live("postings").drop("batch"), terms, self.totals(), queries, self.key, query_key, query_text, top_k, tokenize)
+        asked = sparse.asked_terms(queries, query_key, query_text, tokenize)
+        found = self.live("postings").join(sparse.vocabulary(asked), "term", "left_semi")
+        return sparse.score_postings(found, sparse.weighed_terms(self.term_counts(), self.totals()), self.totals(), asked, self.key, query_key, top_k)
 
     def _write(self, df: DataFrame, name: str, number: int) -> None:
         df.write.mode("overwrite").parquet(f"{self.path}/{name}/batch={number}")

@@ -9,7 +9,7 @@ import pytest
 from pyspark.ml.feature import HashingTF
 from pyspark.sql import functions as F
 
-from foliant.operators import checklist, classify, entities, features, graph, legal, reports, resolve, text, vectors
+from foliant.operators import checklist, classify, entities, features, graph, legal, reports, resolve, sparse, text, vectors
 from foliant.sources import files
 
 
@@ -327,3 +327,33 @@ def test_many_queries_meet_all_vectors(spark, monkeypatch, block):
     c = (q @ x.T) / np.linalg.norm(q, axis=1)[:, None] / np.linalg.norm(x, axis=1)[None, :]
     found = vectors.cosine_matrix(v, a, least=0.5).collect()
     assert {(r.query_id, r.vec_id) for r in found} == {(f"q{i}", int(k)) for i, k in zip(*np.nonzero(np.round(c, 6) >= 0.5), strict=True)}
+
+
+@pytest.mark.parametrize(("seed", "n"), [(1, 40), (1, 400), (50, 400), (0, 300)])
+def test_pruned_bm25_against_every_posting(spark, monkeypatch, seed, n):
+    """Terms are left out, yet hits and scores are those of a plain loop."""
+    monkeypatch.setattr(sparse, "SEED", seed)
+    rng = np.random.default_rng(n + seed)
+    vocab = [f"w{i}" for i in range(60)]
+    p = 1 / np.arange(1, 61) ** 1.1
+    p /= p.sum()
+    docs = [(i, " ".join(rng.choice(vocab, int(rng.integers(0, 60)), p=p))) for i in range(n)] + [(n, None), (n + 1, ""), (n + 2, "w3 w3 w3")]
+    queries = [(q, " ".join(rng.choice(vocab, 12, p=p))) for q in range(12)] + [(90, "unknown words"), (91, None), (92, "w1 w1 w59")]
+    toks = {i: words(t) for i, t in docs}
+    known = [t for i, t in docs if t is not None]
+    avgdl = sum(len(words(t)) for t in known) / len(known)
+    df = Counter(w for ws in toks.values() for w in set(ws))
+    raw = {w: math.log(len(docs) - d + 0.5) - math.log(d + 0.5) for w, d in df.items()}
+    floor = 0.25 * sum(raw.values()) / len(raw)
+    idf = {w: floor if r < 0 else r for w, r in raw.items()}
+    want = set()
+    for q, t in queries:
+        scores = {}
+        for i, ws in toks.items():
+            tf = Counter(ws)
+            s = sum(idf[w] * tf[w] * 2.5 / (tf[w] + 1.5 * (0.25 + 0.75 * len(ws) / avgdl)) for w in words(t) if w in tf)
+            if round(s, 6) > 0:
+                scores[i] = round(s, 6)
+        want |= {(q, i, r) for r, i in enumerate(sorted(scores, key=lambda i: (-scores[i], i))[:5], 1)}
+    d, a = spark.createDataFrame(docs, "id long, text string"), spark.createDataFrame(queries, "q long, text string")
+    assert {(r.q, r.id, r["rank"]) for r in sparse.bm25_search(d, a, "id", "q", top_k=5).collect()} == want
