@@ -76,7 +76,14 @@ def money_mentions(spark: SparkSession, sf: str) -> DataFrame:
     return entities.money_mentions(chunks(spark, sf))
 
 
-@query()
+LONG_CHUNKS = CHUNKS.replace("chunks as (", "chunks as (select * from (", 1) + " where length(trim(text)) >= 20)"
+RICH = f"""{LONG_CHUNKS}{(COMPANIES + ", " + PEOPLE + ", " + MONEYS).replace(CHUNKS, "").replace(", ,", ",")},
+rich as (select 'companies' as entity_type, name, source, start, context, 0.85::double as confidence from comp
+  union all select 'people', name, source, start, context, 0.8 from people
+  union all select 'financial_metrics', match, source, start, {CONTEXT.format(n=100)}, 0.9 from money)"""
+
+
+@query(f"with {RICH} select *, 'rich_pattern' as extraction_method from rich")
 def extract_rich_entities(spark: SparkSession, sf: str) -> DataFrame:
     return entities.extract_rich_entities(chunks(spark, sf))
 
