@@ -1,14 +1,16 @@
 """Substring deduplication by content-defined chunking with a gear rolling hash.
 
-The rolling hash runs over the bytes of a text and depends on the last 16; a chunk ends at white space where the hash
-says so, and in stretches of over ``MOST`` bytes without such a place at the end of any character where a stricter
-condition on the hash holds, so the cuts follow the content and come back into step soon after an insertion. From every
-chunk on, the shortest run of chunks with at least ``min_words`` words is keyed by a 128-bit digest of its text; such a run
+The rolling hash runs over the bytes of a text and depends on the last 16. A chunk ends behind a word whose hash is the
+smallest (of equal ones the first) among some ``NEAR`` words that follow each other, and in stretches of over ``MOST`` bytes
+without such a place at the end of any character where a condition on the hash holds, so the cuts follow the content and
+come back into step soon after an insertion. From every chunk on, the shortest run of chunks with at least ``min_words`` words is keyed by a 128-bit digest of its text; such a run
 that two documents hold is a repeated passage, so chunks from several other documents never make one. The document with the
 smallest id keeps a passage, the others lose it; passages that touch or overlap are one span.
 
-Of passages of 51 words, about 0.98 keep 20 words in whole chunks, longer ones more; repeats of fewer words than that
-never count, nor do fewer words than that in 256 KiB. Words stand between white space; in a longer word every further ``LONG_STEP`` bytes behind the first ``LONG_WORD`` count as one, so text
+Every shared passage of 51 words is found: the hash of all but its first 8 words at most depends on the passage alone, of
+any ``NEAR`` of the others one ends a chunk, so the first such end stands at word 14 or before, the last at word 46 or after,
+and ``MIN_WORDS`` words stand in whole chunks between them. Repeats of fewer words than that never count, nor do so few
+words that fill 256 KiB. Words stand between white space; in a longer word every further ``LONG_STEP`` bytes behind the first ``LONG_WORD`` count as one, so text
 without blanks has words too.
 
 Defined cases: null and empty texts have no chunk; a null doc_id is kept and comes first; rows with equal id and text are
@@ -26,11 +28,11 @@ from pyspark.sql import functions as F
 
 from foliant.functions.shared import boxed, stored
 
-LEAST, MOST = 16, 512
-CUT = 4  # of 16 values of the hash's top bits
+MOST = 512
+NEAR = 6
 INNER_CUT = 2048  # of 65,536 values of the hash, away from white space
 LONG_WORD, LONG_STEP = 64, 8
-MIN_WORDS = 20
+MIN_WORDS = 32
 NO_ID = -(2**63)
 LENGTH_BITS, WORD_BITS = 18, 12
 SCHEMA = "hi long, lo long, doc_id long, key long, loc long, wloc long"
@@ -57,7 +59,16 @@ def cuts(data: bytes) -> list[int]:
     for s in (1, 2, 4, 8):  # sum of the last 2, 4, 8, 16 table values, each shifted by its age
         h[s:] = h[s:] + (h[:-s] << np.uint16(s))
     ends, last, n = [], 0, len(b)
-    wanted = (np.flatnonzero(_spaces(b) & (h < CUT << 12)) + 1).tolist() + [n]
+    space = np.append(_spaces(b), True)
+    words = np.flatnonzero(~space[:-1] & space[1:]) + 1
+    if len(words) >= NEAR:
+        lowest = np.lib.stride_tricks.sliding_window_view(h[words - 1], NEAR).argmin(axis=1)
+        words = words[np.unique(lowest + np.arange(len(lowest)))]
+    else:
+        words = words[:0]
+    wanted = words.tolist()
+    if wanted[-1:] != [n]:
+        wanted.append(n)
     gaps = np.diff(wanted, prepend=0)
     if gaps.max(initial=0) > MOST:
         final = np.append((b[1:] & 0xC0) != 0x80, True)  # the last byte of a character
@@ -72,9 +83,8 @@ def cuts(data: bytes) -> list[int]:
                 cut -= 1
             ends.append(cut)
             last = cut
-        if e - last >= LEAST or e == n:
-            if e > last:
-                ends.append(e)
+        if e > last:
+            ends.append(e)
             last = e
     return ends
 

@@ -577,19 +577,35 @@ def test_chunks_of_many_documents_make_no_passage(spark):
     assert all(got[i].n_shared_words == 0 for i, _ in rows)
 
 
-def test_recall_of_51_word_passages():
-    """Whole chunks inside a shared passage of 51 words cover MIN_WORDS words nearly always."""
-    hit = 0
+def shared_words(data, other):
+    """The most words of a run of chunks that both texts have."""
+    found = []
+    for d in (data, other):
+        ends = chunks.cuts(d)
+        total = np.append(0, np.cumsum(chunks.word_starts(d)))
+        runs = [(a, next((e for e in ends[k:] if total[e] - total[a] >= chunks.MIN_WORDS), None)) for k, a in enumerate([0, *ends[:-1]])]
+        found.append({d[a:b] for a, b in runs if b})
+    return max((len(x.split()) for x in found[0] & found[1]), default=0)
+
+
+@hypothesis.given(
+    hypothesis.strategies.lists(hypothesis.strategies.text(alphabet="aé漢zq.", min_size=1, max_size=30), min_size=51, max_size=51),
+    hypothesis.strategies.lists(hypothesis.strategies.text(alphabet="abc漢 \n", max_size=40), min_size=4, max_size=4),
+)
+@hypothesis.settings(max_examples=300, deadline=None)
+def test_every_passage_of_51_words_is_found(passage, around):
+    """Whatever the words of a shared passage and what stands beside it."""
+    one, two = ((f"{a} " + " ".join(passage) + f"\n{b}").encode() for a, b in (around[:2], around[2:]))
+    assert shared_words(one, two) >= chunks.MIN_WORDS
+
+
+@pytest.mark.parametrize("vocabulary", [1, 5, 300, 5000])
+def test_recall_of_51_word_passages(vocabulary):
+    """All of 300 passages, of one-letter words too, are found in unlike surroundings."""
     for s in range(300):
-        passage = " ".join(words(51, s, 5000))
-        found = []
-        for k in (1, 2):
-            data = (" ".join(words(40, 1000 * k + s, 5000)) + " " + passage + " " + " ".join(words(40, 3000 * k + s, 5000))).encode()
-            ends = chunks.cuts(data)
-            found.append([data[a:b] for a, b in zip([0, *ends], ends, strict=False)])
-        both = set(found[0]) & set(found[1])
-        hit += sum(len(c.split()) for c in both) >= chunks.MIN_WORDS
-    assert hit >= 0.97 * 300
+        passage = " ".join(words(51, s, vocabulary)) if vocabulary > 5 else " ".join(random.Random(s).choices("abcde"[:vocabulary], k=51))
+        one, two = ((" ".join(words(40, 1000 * k + s, 5000)) + " " + passage + " " + " ".join(words(40, 3000 * k + s, 5000))).encode() for k in (1, 2))
+        assert shared_words(one, two) >= chunks.MIN_WORDS
 
 
 def test_clashing_column_names(spark, docs):
