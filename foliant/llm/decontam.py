@@ -8,7 +8,8 @@
    the matched run around it. Runs as long as a window are exact phrase matches. Windows all of whose words stand within
    ``REACH`` places of a posting of their rarest word, in any order, are proximity matches.
 
-Benchmark words and anchors are broadcast in blocks of ``BLOCK`` rows, so a benchmark of any size is met in blocks.
+Benchmark words and anchors are broadcast in blocks of about ``BLOCK_BYTES`` bytes in memory, so a benchmark of any size is
+met in blocks.
 A document is hit by the union of its runs, so results do not depend on how often a passage occurs elsewhere.
 
 Defined cases: a null or empty text has no words; items without words are never found; repeated rows get equal results;
@@ -28,7 +29,7 @@ WORD_ANY_CASE = r"[a-zA-Z0-9\x80-\x{10FFFF}]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 WINDOW = 13
 REACH = WINDOW - 1 + 8  # places on each side of a rarest word
-BLOCK = 200_000
+BLOCK_BYTES = 64 << 20
 
 
 def words_of(text: str | Column) -> Column:
@@ -45,10 +46,24 @@ def document_key() -> Column:
     return F.xxhash64("doc_id", "text")
 
 
+def _held_bytes(table: DataFrame) -> Column:
+    """At least what a row of words, and of (nested) arrays of words, takes in memory."""
+    held = F.lit(64).cast("long")
+    for field in table.schema:
+        kind, column = field.dataType.simpleString(), F.col(field.name)
+        if kind == "array<array<string>>":
+            held, column, kind = held + 32 * F.size(column), F.flatten(column), "array<string>"
+        if kind == "array<string>":
+            held += F.aggregate(column, F.lit(32).cast("long"), lambda n, w: n + 16 + F.octet_length(w))
+        else:
+            held += 16 + F.coalesce(F.octet_length(column.cast("string")), F.lit(0))
+    return held
+
+
 def _blocks(table: DataFrame) -> list[DataFrame]:
-    """The table in parts that may be broadcast: at most about ``BLOCK`` rows each."""
-    n = max(1, -(-table.count() // BLOCK))
-    return [table if n == 1 else table.where(F.pmod(F.xxhash64("word"), F.lit(n)) == i) for i in range(n)]
+    """A stored table in parts that may be broadcast: about ``BLOCK_BYTES`` each, dealt by the hash of the whole row."""
+    n = max(1, -(-(table.agg(F.sum(_held_bytes(table))).first()[0] or 0) // BLOCK_BYTES))
+    return [table if n == 1 else table.where(F.pmod(F.xxhash64(*table.columns), F.lit(n)) == i) for i in range(n)]
 
 
 def _union(parts: list[DataFrame]) -> DataFrame:

@@ -362,6 +362,18 @@ def brute_decontamination(rows, items, n=13):
     return out
 
 
+def test_decontamination_in_blocks(spark, docs, rows, monkeypatch):
+    """Blocks are bounded in bytes, a row stands in one of them, and results do not depend on them."""
+    items = [(1, rows[0][1]), (2, " ".join(words(60, 2)[10:30])), (3, "one two"), (4, rows[7][1][:4000]), (5, None), (6, "")]
+    benchmark = spark.createDataFrame(items, "item_id long, text string")
+    monkeypatch.setattr(decontam, "BLOCK_BYTES", 50_000)
+    anchors = decontam.item_anchors(docs, benchmark)
+    parts = [b.collect() for b in decontam._blocks(anchors)]
+    assert len(parts) > 3 and max(map(len, parts)) < anchors.count() / 2 and sorted(sum(parts, [])) == sorted(anchors.collect())
+    got = Counter((r.doc_id, r.n_words, r.n_hit, r.n_items, r.items_sha256, r.contaminated) for r in decontam.decontaminate(docs, benchmark).collect())
+    assert got == brute_decontamination([(r[0], r[1]) for r in rows], items)
+
+
 def test_decontamination(spark, docs, rows, none):
     items = [(1, rows[0][1][:300]), (2, "Two, Words"), (10, None), (11, "..."), (3, " ".join(words(60, 2))), (3, "one TWO"), (4, " ".join(words(13, 77)))]
     benchmark = spark.createDataFrame(items, "item_id long, text string")
