@@ -3,13 +3,14 @@
 The rolling hash runs over the bytes of a text and depends on the last 16. A chunk ends behind a word whose hash is the
 smallest (of equal ones the first) among some ``NEAR`` words that follow each other, and in stretches of over ``MOST`` bytes
 without such a place at the end of any character where a condition on the hash holds, so the cuts follow the content and
-come back into step soon after an insertion. From every chunk on, the shortest run of chunks with at least ``min_words`` words is keyed by a 128-bit digest of its text; such a run
-that two documents hold is a repeated passage, so chunks from several other documents never make one. The document with the
-smallest id keeps a passage, the others lose it; passages that touch or overlap are one span.
-
-Every shared passage of 51 words is found: the hash of all but its first 8 words at most depends on the passage alone, of
-any ``NEAR`` of the others one ends a chunk, so the first such end stands at word 14 or before, the last at word 46 or after,
-and ``MIN_WORDS`` words stand in whole chunks between them. Repeats of fewer words than that never count, nor do so few
+come back into step soon after an insertion. From every chunk on that follows the smallest hash among some ``FAR`` words, or
+a place inside a stretch, the shortest run of chunks with at least ``min_words`` words is keyed by a 128-bit digest of its
+text, as is the last such run of a text, up to its end; such a run that two documents hold is a repeated passage, so chunks from several other documents never make one. The
+document with the smallest id keeps a passage, the others lose it; passages that touch or overlap are one span.
+
+Every shared passage of 51 words is found: the hash of all but its first 8 words at most depends on the passage alone, so
+by word 8 + ``FAR`` a run begins, and at most ``NEAR`` - 1 words behind its ``MIN_WORDS`` words it ends, at word 50 or before.
+Repeats of fewer words than that never count, nor do so few
 words that fill 256 KiB. Words stand between white space; in a longer word every further ``LONG_STEP`` bytes behind the first ``LONG_WORD`` count as one, so text
 without blanks has words too.
 
@@ -29,10 +30,10 @@ from pyspark.sql import functions as F
 from foliant.functions.shared import boxed, stored
 
 MOST = 512
-NEAR = 6
+NEAR, FAR = 3, 12
 INNER_CUT = 2048  # of 65,536 values of the hash, away from white space
 LONG_WORD, LONG_STEP = 64, 8
-MIN_WORDS = 32
+MIN_WORDS = 28
 NO_ID = -(2**63)
 LENGTH_BITS, WORD_BITS = 18, 12
 SCHEMA = "hi long, lo long, doc_id long, key long, loc long, wloc long"
@@ -52,41 +53,43 @@ def _spaces(b: np.ndarray) -> np.ndarray:
     return (b == 32) | ((b >= 9) & (b <= 13))
 
 
-def cuts(data: bytes) -> list[int]:
-    """Ends of the chunks of a text's bytes."""
+def _lowest(h: np.ndarray, ends: np.ndarray, near: int) -> np.ndarray:
+    """The ends of words whose hash is the smallest of some ``near`` that follow each other."""
+    if len(ends) < near:
+        return ends[:0]
+    at = np.lib.stride_tricks.sliding_window_view(h[ends - 1], near).argmin(axis=1)
+    return ends[np.unique(at + np.arange(len(at)))]
+
+
+def cuts(data: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """Ends of the chunks of a text's bytes, and for each chunk whether passages are keyed from it on."""
     b = np.frombuffer(data, np.uint8)
     h = GEAR[b]
     for s in (1, 2, 4, 8):  # sum of the last 2, 4, 8, 16 table values, each shifted by its age
         h[s:] = h[s:] + (h[:-s] << np.uint16(s))
-    ends, last, n = [], 0, len(b)
+    n = len(b)
     space = np.append(_spaces(b), True)
     words = np.flatnonzero(~space[:-1] & space[1:]) + 1
-    if len(words) >= NEAR:
-        lowest = np.lib.stride_tricks.sliding_window_view(h[words - 1], NEAR).argmin(axis=1)
-        words = words[np.unique(lowest + np.arange(len(lowest)))]
-    else:
-        words = words[:0]
-    wanted = words.tolist()
-    if wanted[-1:] != [n]:
-        wanted.append(n)
-    gaps = np.diff(wanted, prepend=0)
-    if gaps.max(initial=0) > MOST:
+    by_word = _lowest(h, words, NEAR)
+    ends = by_word if n in by_word[-1:] else np.append(by_word, n)
+    gaps = np.diff(ends, prepend=0)
+    if gaps.max() > MOST:
         final = np.append((b[1:] & 0xC0) != 0x80, True)  # the last byte of a character
         inner = np.flatnonzero(final & (h < INNER_CUT)) + 1
-        for i in np.flatnonzero(gaps > MOST):
-            wanted += inner[slice(*np.searchsorted(inner, [wanted[i] - gaps[i] + 1, wanted[i]]))].tolist()
-        wanted.sort()
-    for e in wanted:
-        while e - last > MOST:
-            cut = last + MOST
-            while (b[cut] & 0xC0) == 0x80:  # not inside a character
-                cut -= 1
-            ends.append(cut)
-            last = cut
-        if e > last:
-            ends.append(e)
+        wanted = [inner[slice(*np.searchsorted(inner, [ends[i] - gaps[i] + 1, ends[i]]))] for i in np.flatnonzero(gaps > MOST)]
+        last, parts = 0, []
+        for e in np.sort(np.concatenate([ends, *wanted])).tolist():
+            while e - last > MOST:
+                cut = last + MOST
+                while (b[cut] & 0xC0) == 0x80:  # not inside a character
+                    cut -= 1
+                parts.append(cut)
+                last = cut
+            parts.append(e)
             last = e
-    return ends
+        ends = np.array(parts, np.int64)
+    passed = np.isin(ends[:-1], by_word) & ~np.isin(ends[:-1], _lowest(h, words, FAR))
+    return ends, np.append(True, ~passed)
 
 
 def word_starts(data: bytes) -> np.ndarray:
@@ -101,7 +104,7 @@ def word_starts(data: bytes) -> np.ndarray:
 
 
 def passage_rows(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
-    """(hi, lo, doc_id, key, loc, wloc): the shortest run of chunks with ``min_words`` words from every chunk on, by digest.
+    """(hi, lo, doc_id, key, loc, wloc): the shortest run of chunks with ``min_words`` words from every keyed chunk on, by digest.
 
     loc packs the start byte and the length (18 bits), wloc the first word's number and the words (12 bits).
     """
@@ -125,15 +128,17 @@ def passage_rows(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
                 data = (t or "").encode("utf-8", "surrogatepass")
                 if not data:
                     continue
-                e = np.array(cuts(data), np.int64)
+                e, keyed = cuts(data)
                 s = np.append(0, e[:-1])
                 total = np.append(0, np.cumsum(word_starts(data)))
                 last = np.searchsorted(total[e], total[s] + min_words)
                 fits = np.flatnonzero(last < len(e))
-                fits = fits[e[last[fits]] - s[fits] < 1 << LENGTH_BITS]
                 if not len(fits):
                     continue
-                begin, end = s[fits], e[last[fits]]
+                own = fits[keyed[fits]]
+                begin, end = np.append(s[own], s[fits[-1]]), np.append(e[last[own]], e[-1])  # the last run goes on to the end
+                short = end - begin < 1 << LENGTH_BITS
+                begin, end = begin[short], end[short]
                 digests += [xxhash.xxh3_128_digest(data[a:b]) for a, b in zip(begin.tolist(), end.tolist(), strict=True)]
                 words = np.minimum(total[end] - total[begin], (1 << WORD_BITS) - 1)
                 found = (np.full(len(begin), NO_ID if i is None else i, np.int64), np.full(len(begin), k, np.int64), (begin << LENGTH_BITS) | (end - begin), (total[begin] << WORD_BITS) | words)

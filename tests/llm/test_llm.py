@@ -481,12 +481,12 @@ def test_repeated_passages(spark, docs, rows, none):
 
 def test_chunks_cover_and_resist_insertions():
     text = " ".join(words(2000, 8)).encode() + "ß漢".encode() * 600
-    ends = chunks.cuts(text)
+    ends = chunks.cuts(text)[0].tolist()
     assert ends[-1] == len(text) and all(b - a <= chunks.MOST for a, b in zip([0, *ends], ends, strict=False))
     parts = [text[a:b] for a, b in zip([0, *ends], ends, strict=False)]
     assert all(p.decode() for p in parts)
     moved = b"inserted words here " + text
-    e2 = chunks.cuts(moved)
+    e2 = chunks.cuts(moved)[0].tolist()
     other = {moved[a:b] for a, b in zip([0, *e2], e2, strict=False)}
     assert sum(p in other for p in parts) >= len(parts) - 5
 
@@ -498,7 +498,7 @@ def test_chunks_of_text_without_blanks_resist_insertions(letters):
     parts = []
     for t in (text, letters[:2] + text):
         data = t.encode()
-        ends = chunks.cuts(data)
+        ends = chunks.cuts(data)[0].tolist()
         parts.append([data[a:b] for a, b in zip([0, *ends], ends, strict=False)])
         assert all(p.decode() and len(p) <= chunks.MOST for p in parts[-1])
     assert len(parts[0]) > 20 and sum(p in set(parts[1]) for p in parts[0]) >= 0.9 * len(parts[0])
@@ -523,13 +523,15 @@ def brute_passages(rows):
     texts = {}
     for i, t in rows:
         data = (t or "").encode()
-        ends = chunks.cuts(data) if data else []
+        ends, keyed = (x.tolist() for x in chunks.cuts(data)) if data else ([], [])
         total = np.append(0, np.cumsum(chunks.word_starts(data))) if data else [0]
         found = []
         for k, a in enumerate([0, *ends[:-1]] if ends else []):
             b = next((e for e in ends[k:] if total[e] - total[a] >= chunks.MIN_WORDS), None)
-            if b:
+            if b and keyed[k]:
                 found.append((a, b))
+            if b and total[-1] - total[ends[k]] < chunks.MIN_WORDS:
+                found.append((a, len(data)))
         texts[(i, t)] = (data, found)
     whole = {}
     for (i, _), (data, found) in texts.items():
@@ -579,7 +581,7 @@ def test_chunks_of_many_documents_make_no_passage(spark):
     others = [" ".join(words(60, 400 + s, 5000)) for s in range(11)]
     parts = []
     for t in others:
-        ends = chunks.cuts(t.encode())
+        ends = chunks.cuts(t.encode())[0].tolist()
         inner = [(a, b) for a, b in zip(ends, ends[1:], strict=False) if 3 <= len(t.encode()[a:b].split()) <= 14]
         parts.append(t.encode()[inner[0][0] : inner[0][1]].decode())
     stitched = "".join(parts)
@@ -593,9 +595,9 @@ def shared_words(data, other):
     """The most words of a run of chunks that both texts have."""
     found = []
     for d in (data, other):
-        ends = chunks.cuts(d)
+        ends, keyed = (x.tolist() for x in chunks.cuts(d))
         total = np.append(0, np.cumsum(chunks.word_starts(d)))
-        runs = [(a, next((e for e in ends[k:] if total[e] - total[a] >= chunks.MIN_WORDS), None)) for k, a in enumerate([0, *ends[:-1]])]
+        runs = [(a, next((e for e in ends[k:] if total[e] - total[a] >= chunks.MIN_WORDS), None)) for k, a in enumerate([0, *ends[:-1]]) if keyed[k]]
         found.append({d[a:b] for a, b in runs if b})
     return max((len(x.split()) for x in found[0] & found[1]), default=0)
 
