@@ -4,7 +4,7 @@ The rolling hash runs over the bytes of a text and depends on the last 16. A chu
 smallest (of equal ones the first) among some ``NEAR`` words that follow each other, and in stretches of over ``MOST`` bytes
 without such a place at the end of any character where a condition on the hash holds, so the cuts follow the content and
 come back into step soon after an insertion. From every chunk on that follows the smallest hash among some ``FAR`` words, or
-a place inside a stretch, the shortest run of chunks with at least ``min_words`` words is keyed by a 128-bit digest of its
+a place inside a stretch, the shortest run of chunks with at least ``min_words`` words is keyed by a 96-bit digest of its
 text, as is the last such run of a text, up to its end; such a run that two documents hold is a repeated passage, so chunks from several other documents never make one. The
 document with the smallest id keeps a passage, the others lose it; passages that touch or overlap are one span.
 
@@ -36,7 +36,7 @@ LONG_WORD, LONG_STEP = 64, 8
 MIN_WORDS = 28
 NO_ID = -(2**63)
 LENGTH_BITS, WORD_BITS = 18, 12
-SCHEMA = "hi long, lo long, doc_id long, key long, loc long, wloc long"
+SCHEMA = "hi long, lo int, doc_id long, key long, loc long, wloc long"
 
 
 def gear_table() -> np.ndarray:
@@ -118,7 +118,7 @@ def passage_rows(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
 
             def flush() -> pa.RecordBatch:
                 d = np.frombuffer(b"".join(digests), ">i8").reshape(-1, 2).astype(np.int64)
-                out = [np.ascontiguousarray(d[:, 0]), np.ascontiguousarray(d[:, 1]), *[np.concatenate(x) for x in columns]]
+                out = [np.ascontiguousarray(d[:, 0]), (d[:, 1] >> 32).astype(np.int32), *[np.concatenate(x) for x in columns]]
                 digests.clear()
                 for x in columns:
                     x.clear()
