@@ -110,21 +110,9 @@ def relation_distribution(edges: DataFrame, chosen: DataFrame) -> DataFrame:
 def find_paths(edges: DataFrame, pairs: DataFrame, max_length: int = 3, per_pair: int | None = 5, total: int | None = None, multi: bool = False) -> DataFrame:
     """Simple paths of at most ``max_length`` edges between pairs (start, goal): start, goal, length, path.
 
-    Paths grow an edge per join from the starts of the pairs; parallel edges count once unless ``multi``.
+    Parallel edges count once unless ``multi``; repeated pairs count once.
     """
-    step = edges.select(F.col("src").alias("at"), F.col("dst").alias("to"))
-    step = step if multi else step.distinct()
-    now = pairs.select("start", "goal", F.array("start").alias("nodes"))
-    found = None
-    end = F.element_at("nodes", -1)
-    for length in range(1, max_length + 1):
-        # the edge to the goal is looked up, only the others grow
-        done = now.join(step.hint("merge"), (end == F.col("at")) & (F.col("goal") == F.col("to"))).where(~F.array_contains("nodes", F.col("to")))
-        done = done.select("start", "goal", F.array_append("nodes", F.col("to")).alias("nodes"))
-        found = done if found is None else found.unionAll(done)
-        if length < max_length:
-            now = now.join(step.hint("merge"), end == F.col("at")).where((F.col("to") != F.col("goal")) & ~F.array_contains("nodes", F.col("to")))
-            now = now.select("start", "goal", F.array_append("nodes", F.col("to")).alias("nodes"))
+    found = meeting_paths(edges, pairs, max_length, multi)
     out = found.select("start", "goal", (F.size("nodes") - 1).alias("length"), F.array_join("nodes", " > ").alias("path"))
     if per_pair is not None:
         w = Window.partitionBy("start", "goal").orderBy("length", "path")
@@ -132,27 +120,32 @@ def find_paths(edges: DataFrame, pairs: DataFrame, max_length: int = 3, per_pair
     return out if total is None else out.orderBy("length", "path").limit(total)
 
 
-def meeting_paths(edges: DataFrame, pairs: DataFrame, max_length: int = 3) -> DataFrame:
+def meeting_paths(edges: DataFrame, pairs: DataFrame, max_length: int = 3, multi: bool = False) -> DataFrame:
     """All simple paths of at most ``max_length`` edges between pairs (start, goal): start, goal, nodes.
 
-    Frontiers grow from the starts and, against the edges, from the goals, each half as far, and meet in the middle; a hub
-    behind the middle is only met where the other frontier reached it. Parallel edges count once.
+    Frontiers grow from the distinct starts and, against the edges, from the distinct goals, until an edge is left between
+    them. Only edges from a tip of one frontier to a tip of the other stand in the middle, so no hub is opened towards
+    nodes that lead to no goal. Parallel edges count once unless ``multi``.
     """
-    step = stored(edges.select(F.col("src").alias("at"), F.col("dst").alias("to")).where("at is not null and to is not null and at <> to").distinct(), "steps")
-    ahead = [pairs.select("start", F.array("start").alias("nodes")).distinct()]
-    behind = [pairs.select("goal", F.array("goal").alias("tail")).distinct()]
-    for _ in range((max_length + 1) // 2):
-        grown = ahead[-1].join(step.hint("merge"), F.element_at("nodes", -1) == F.col("at")).where(~F.array_contains("nodes", F.col("to")))
-        ahead.append(stored(grown.select("start", F.array_append("nodes", F.col("to")).alias("nodes")), "ahead"))
+    ends = edges.select(F.col("src").alias("at"), F.col("dst").alias("to")).where("at is not null and to is not null and at <> to")
+    step = stored(ends if multi else ends.distinct(), "steps")
+    asked = stored(pairs.select("start", "goal").distinct(), "asked")
+    ahead = [asked.select("start", F.array("start").alias("nodes"), F.col("start").alias("tip")).distinct()]
+    behind = [asked.select("goal", F.array("goal").alias("tail"), F.col("goal").alias("first")).distinct()]
     for _ in range(max_length // 2):
-        grown = behind[-1].join(step.hint("merge"), F.get("tail", F.lit(0)) == F.col("to")).where(~F.array_contains("tail", F.col("at")))
-        behind.append(stored(grown.select("goal", F.array_prepend("tail", F.col("at")).alias("tail")), "behind"))
+        grown = ahead[-1].join(step.hint("merge"), F.col("tip") == F.col("at")).where(~F.array_contains("nodes", F.col("to")))
+        ahead.append(stored(grown.select("start", F.array_append("nodes", F.col("to")).alias("nodes"), F.col("to").alias("tip")), "ahead"))
+    for _ in range((max_length - 1) // 2):
+        grown = behind[-1].join(step.hint("merge"), F.col("first") == F.col("to")).where(~F.array_contains("tail", F.col("at")))
+        behind.append(stored(grown.select("goal", F.array_prepend("tail", F.col("at")).alias("tail"), F.col("at").alias("first")), "behind"))
     out = None
     for length in range(1, max_length + 1):
-        a, b = ahead[(length + 1) // 2], behind[length // 2]
-        asked = pairs.select("start", "goal").distinct().join(a.hint("merge"), "start").select("*", F.element_at("nodes", -1).alias("mid"))
-        met = asked.join(b.select("goal", "tail", F.get("tail", F.lit(0)).alias("mid")).hint("merge"), ["goal", "mid"]).where(F.size(F.array_intersect("nodes", "tail")) == 1)
-        found = met.select("start", "goal", F.concat("nodes", F.slice("tail", F.lit(2), F.size("tail"))).alias("nodes"))
+        a, b = ahead[length // 2], behind[(length - 1) // 2]
+        tips = a.select(F.col("tip").alias("at")).distinct()
+        middle = step.join(tips.hint("merge"), "at", "left_semi")
+        closing = middle.join(b.hint("merge"), F.col("to") == F.col("first")).select("at", "goal", "tail")
+        met = a.join(closing.hint("merge"), F.col("tip") == F.col("at")).where(~F.arrays_overlap("nodes", "tail"))
+        found = met.select("start", "goal", F.concat("nodes", "tail").alias("nodes")).join(asked.hint("merge"), ["start", "goal"], "left_semi")
         out = found if out is None else out.unionAll(found)
     return out
 

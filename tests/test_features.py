@@ -225,6 +225,15 @@ def test_meeting_paths_against_brute_force(spark, most):
     assert rows_of(got) == sorted((a, b, p) for a, b in set(pairs) for p in brute_paths(edges, a, b, most))
 
 
+def test_paths_do_not_open_a_hub_towards_dead_ends(spark, monkeypatch):
+    edges = [("a", "hub"), ("hub", "m"), ("m", "z"), *[("hub", f"dead{i}") for i in range(500)]]
+    kept, stored = {}, graph.stored
+    monkeypatch.setattr(graph, "stored", lambda df, name: kept.setdefault((name, len(kept)), stored(df, name)))
+    df, pairs = spark.createDataFrame(edges, "src string, dst string"), spark.createDataFrame([("a", "z")], "start string, goal string")
+    assert [(r.length, r.path) for r in graph.find_paths(df, pairs).collect()] == [(3, "a > hub > m > z")]
+    assert sum(t.count() for (name, _), t in kept.items() if name in ("ahead", "behind")) == 2
+
+
 def test_named_paths_have_limits(spark):
     edges = [("a", f"m{i}") for i in range(8)] + [(f"m{i}", "z") for i in range(8)] + [("a2", f"m{i}") for i in range(8)]
     nodes = [("a", "Acme One"), ("a2", "Acme Two"), ("z", "Zeta"), *[(f"m{i}", f"Mid {i}") for i in range(8)]]
