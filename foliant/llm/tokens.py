@@ -33,7 +33,7 @@ END_ID = 0
 BLOCK_IDS = 4096
 IDS_PER_FILE = 4_000_000
 REMEMBERED = 300_000  # pieces in each of two generations that a worker keeps
-BATCH_BYTES = 12 << 20  # of texts that are encoded together
+BATCH_BYTES = 6 << 20  # of texts that are encoded together
 # Fixed values of the coding: how many ids a word holds, and their bits, by selector.
 COUNTS = (60, 30, 20, 15, 12, 10, 8, 7, 6, 5, 4, 3, 2, 1)
 WIDTHS = (1, 2, 3, 4, 5, 6, 7, 8, 10, 12, 15, 20, 30, 60)
