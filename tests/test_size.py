@@ -52,3 +52,10 @@ def test_cues_leave_no_attribute_out(spark):
         plain, cued = rows.select(entities.first_attribute(F.col("t"), patterns), entities.first_attribute(F.col("t"), patterns, F.lower("t"), entities.CUES["company"][name])).toPandas().T.values
         assert list(plain) == list(cued)
         assert any(plain)
+
+
+def test_a_common_relation_is_not_gathered(agreements):
+    said = agreements.withColumn("text", F.lit("It is known to all that Granite Holdings acquired Harbor Foods, and so on."))
+    found = entities.dedup_relations(entities.extract_relations(said))
+    assert "Window" not in plan(found)
+    assert [(r.source, r.source_entity, r.target_entity, r.relationship_type) for r in found.collect()] == [("0.txt", "It is known to all that Granite Holdings", "Harbor Foods", "ACQUIRED")]
