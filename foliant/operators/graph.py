@@ -210,7 +210,7 @@ def semantic_paths(ranked: DataFrame, edges: DataFrame, query_key: str, first: i
 
 
 def graph_metadata(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """One JSON row: metrics, counts by type and the most central nodes."""
+    """One JSON row: metrics, counts by type and the most central nodes. Nodes and edges are read several times, so they are best stored."""
     types = nodes.groupBy("type").count().agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("type", "count")))).alias("entities"))
     central = degree_centrality(nodes, edges).agg(F.transform(F.array_sort(F.collect_list(F.struct((-F.col("centrality")).alias("c"), "id"))), lambda x: x["id"]).alias("top_central"))
     whole = graph_metrics(nodes, edges).crossJoin(types).crossJoin(central)  # one row each

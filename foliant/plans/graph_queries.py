@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foliant.functions.shared import scratch_dir
+from foliant.functions.shared import scratch_dir, stored
 from foliant.operators import graph, reports, vectors
 from foliant.plans.corpora import corpus
 from foliant.plans.registry import query
@@ -182,7 +182,7 @@ select count(*) as num_nodes, (select count(*) from g) as num_edges, count(*) fi
   (select count(distinct component) = 1 from comp)::varchar as is_connected from nodes""")
 def graph_metadata(spark: SparkSession, sf: str) -> DataFrame:
     """The JSON row, read field by field."""
-    e = edges(spark, sf)
+    e = stored(edges(spark, sf).select("src", "dst"), "edges")
     row = graph.graph_metadata(graph.nodes_of(e), e)
     field = lambda path: F.get_json_object("metadata", path)
     return row.select("num_nodes", "num_edges", field("$.entities.part").cast("long").alias("parts"), field("$.entities.supp").cast("long").alias("suppliers"), field("$.top_central[0]").alias("most_central"), field("$.is_connected").alias("is_connected"))
@@ -325,7 +325,7 @@ def related_by_context(spark: SparkSession, sf: str) -> DataFrame:
 @query(f"with {EDGES} select 'nodes' as part, id as a, name as b from nodes union all select 'edges', src, dst from g union all select 'metadata', (select count(*) from nodes)::varchar, (select count(*) from g)::varchar")
 def save_graph(spark: SparkSession, sf: str) -> DataFrame:
     """Writes nodes, edges and metadata and gives what reading them gives."""
-    e, path = edges(spark, sf), scratch_dir(spark, "graph")
+    e, path = stored(edges(spark, sf), "edges"), scratch_dir(spark, "graph")
     nodes = graph.nodes_of(e)
     rooms.save_graph(nodes, e, graph.graph_metadata(nodes, e), path)
     fields = {"nodes": ("id", "name"), "edges": ("src", "dst"), "metadata": ("num_nodes", "num_edges")}

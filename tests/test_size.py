@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from foliant.functions import shared
 from foliant.operators import entities, legal
-from foliant.plans import corpora
+from foliant.plans import corpora, graph_queries
 
 
 def plan(df):
@@ -59,3 +59,12 @@ def test_a_common_relation_is_not_gathered(agreements):
     found = entities.dedup_relations(entities.extract_relations(said))
     assert "Window" not in plan(found)
     assert [(r.source, r.source_entity, r.target_entity, r.relationship_type) for r in found.collect()] == [("0.txt", "It is known to all that Granite Holdings", "Harbor Foods", "ACQUIRED")]
+
+
+def test_edges_are_worked_out_once(spark, sf, monkeypatch):
+    seen = []
+    monkeypatch.setattr(graph_queries.graph, "graph_metadata", lambda nodes, edges: seen.append((nodes, edges)) or nodes.selectExpr("id as num_nodes", "name as num_edges", "'{}' as metadata"))
+    graph_queries.graph_metadata(spark, sf)
+    graph_queries.save_graph(spark, sf)
+    assert len(seen) == 2
+    assert not any("l_partkey" in plan(df) for pair in seen for df in pair)
