@@ -1,10 +1,11 @@
 """How the work of queries grows: tasks by rows, each step worked out once."""
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from foliant.functions import shared
-from foliant.operators import entities, legal
+from foliant.operators import entities, legal, vectors
 from foliant.plans import corpora, graph_queries
 
 
@@ -68,3 +69,18 @@ def test_edges_are_worked_out_once(spark, sf, monkeypatch):
     graph_queries.save_graph(spark, sf)
     assert len(seen) == 2
     assert not any("l_partkey" in plan(df) for pair in seen for df in pair)
+
+
+@pytest.mark.parametrize("block", [2048, 50])
+def test_pairs_worked_on_at_once(spark, monkeypatch, block):
+    monkeypatch.setattr(vectors, "QUERY_BLOCK", block)
+    monkeypatch.setattr(vectors, "CELLS", 600)
+    rows = spark.range(200).select(F.col("id").alias("vec_id"), F.array(F.col("id").cast("double"), F.lit(1.0)).alias("embedding"))
+
+    def pick(q, x, keys):
+        assert len(q) * len(x) <= 600
+        at, found = np.nonzero(q[:, :1] == x[None, :, 0])
+        return [at, found, keys[found].astype(float)]
+
+    met = vectors._scan(rows, "vec_id", "embedding", rows.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query_vec")), "query_id", "query_vec", "score", pick).collect()
+    assert sorted(met) == [(i, i, float(i)) for i in range(200)]
