@@ -5,8 +5,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from foliant.functions import shared
-from foliant.operators import entities, legal, vectors
+from foliant.operators import entities, legal, sparse, vectors
 from foliant.plans import corpora, graph_queries
+from tests import test_features
 
 
 def plan(df):
@@ -84,3 +85,37 @@ def test_pairs_worked_on_at_once(spark, monkeypatch, block):
 
     met = vectors._scan(rows, "vec_id", "embedding", rows.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query_vec")), "query_id", "query_vec", "score", pick).collect()
     assert sorted(met) == [(i, i, float(i)) for i in range(200)]
+
+
+def test_terms_of_a_document_are_counted_in_its_row(spark):
+    rows = [(1, "b a b _b c"), (2, ""), (3, None), (4, "aa"), (5, "zz zz"), (6, "ÄÄ ää bb aa bb")]
+    found = sparse.document_terms(spark.createDataFrame(rows, "id long, t string"), "id", F.filter(F.split("t", " "), lambda w: w != ""))
+    assert "Aggregate" not in plan(sparse.each_term(found, "id"))
+    have = {r.id: (r.dl, None if r.terms is None else dict(zip(r.terms, r.tfs, strict=True))) for r in found.collect()}
+    assert have == {1: (5, {"a": 1, "b": 2, "_b": 1, "c": 1}), 2: (0, {}), 3: (None, None), 4: (1, {"aa": 1}), 5: (2, {"zz": 2}), 6: (5, {"ÄÄ": 1, "ää": 1, "bb": 2, "aa": 1})}
+
+
+@pytest.mark.parametrize(("steps", "cells"), [(1 << 20, 1 << 21), (7, 60)])
+def test_documents_meet_queries_within_a_task(spark, monkeypatch, steps, cells):
+    """No pair of a query and a document is joined or grouped, and what joining the postings gives comes out."""
+    monkeypatch.setattr(sparse, "STEPS", steps)
+    monkeypatch.setattr(sparse, "CELLS", cells)
+    rng = np.random.default_rng(3)
+    vocab = [f"w{i}" for i in range(25)]
+    text = lambda n: " ".join(rng.choice(vocab, n, p=np.arange(25, 0, -1) / 325))
+    docs = [(f"d{i}", text(int(rng.integers(0, 40)))) for i in range(150)] + [(f"copy{i}", "w20 w21 w22 w22") for i in range(60)] + [("none", None), ("Ω", "w24"), ("z", "w24")]
+    asked = [(f"q{i}", text(6)) for i in range(20)] + [("copies", "w20 w21 w22"), ("rare", "w24 w24"), ("unknown", "other"), ("none", None)]
+    d, a = spark.createDataFrame(docs, "doc string, text string").repartition(3), spark.createDataFrame(asked, "q string, text string")
+    found = sparse.bm25_search(d, a, "doc", "q", top_k=4)
+    assert "Join" not in plan(found) and "Aggregate" not in plan(found)
+    monkeypatch.setattr(sparse, "HELD", 0)
+    joined = sparse.bm25_search(d, a, "doc", "q", top_k=4)
+    assert "Join" in plan(joined)
+    assert sorted(found.collect()) == sorted(joined.collect())
+    assert [r.doc for r in found.where("q = 'copies'").sort("rank").collect()] == ["copy0", "copy1", "copy10", "copy11"]
+
+
+@pytest.mark.parametrize(("seed", "n"), [(1, 40), (1, 400), (50, 400), (0, 300)])
+def test_pruned_bm25_with_queries_that_no_task_holds(spark, monkeypatch, seed, n):
+    monkeypatch.setattr(sparse, "HELD", 0)
+    test_features.test_pruned_bm25_against_every_posting(spark, monkeypatch, seed, n)
