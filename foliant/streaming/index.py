@@ -1,8 +1,8 @@
 """A BM25 index that a file stream keeps up to date: new, changed, repeated and deleted documents.
 
 Every batch adds one segment and touches nothing older. A segment has the batch's documents (key, content hash, length),
-their postings, the rows of older segments that they replace, and what the batch changes in document frequencies and
-totals. Frequencies and mean length are sums over those changes, so no run counts the corpus again; the postings of a
+their terms, the rows of older segments that they replace, and what the batch changes in document frequencies and
+totals. Frequencies and mean length are sums over those changes, so no run counts the corpus again; the terms of a
 replaced document are read once, to take them out of the frequencies. A batch that runs again after a failure writes over
 its own segment and reads only older ones; readers see batches whose last table, ``commits``, is written.
 
@@ -19,13 +19,12 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from foliant.functions.shared import stored
 from foliant.operators import sparse
 
 DELETED = "deleted"
 SCHEMAS = {
     "docs": "{key} {kind}, content_hash string, dl long",
-    "postings": "{key} {kind}, term string, tf long, dl long",
+    "words": "{key} {kind}, content_hash string, in_batch long, old_dl long, dl long, terms array<string>, tfs array<long>",
     "replaced": "{key} {kind}, in_batch long",
     "terms": "term string, df long",
     "totals": "n_docs long, n_tokens long",
@@ -58,9 +57,13 @@ class SparseIndex:
         return 0 if last is None else last + 1
 
     def live(self, name: str, before: int | None = None) -> DataFrame:
-        """Rows of ``docs`` or ``postings`` that no later batch has replaced."""
+        """Rows of ``docs`` or ``words`` that no later batch has replaced, or the ``postings`` of the latter."""
+        if name == "postings":
+            return sparse.each_term(self.live("words", before), self.key)
         old = self.table("replaced", before).select(F.col(self.key).alias("__k"), "in_batch")
         rows = self.table(name, before)
+        if name == "words":  # as many rows as documents, so their terms pass the join once
+            rows = rows.where(F.col("content_hash") != DELETED).select(self.key, "batch", "dl", "terms", "tfs")
         return rows.join(old, (rows[self.key] == old["__k"]) & (rows["batch"] == old["in_batch"]), "left_anti")
 
     def term_counts(self) -> DataFrame:
@@ -75,8 +78,7 @@ class SparseIndex:
     def search(self, queries: DataFrame, query_key: str, query_text: str = "text", top_k: int = 10, tokenize: Callable[[Column], Column] = sparse.legal_tokenize) -> DataFrame:
         """BM25 over the live documents: query_key, key, score, rank."""
         asked = sparse.asked_terms(queries, query_key, query_text, tokenize)
-        found = self.live("postings").join(sparse.vocabulary(asked), "term", "left_semi")
-        return sparse.score_postings(found, sparse.weighed_terms(self.term_counts(), self.totals()), self.totals(), asked, self.key, query_key, top_k)
+        return sparse.score_documents(self.live("words"), sparse.weighed_terms(self.term_counts(), self.totals()), self.totals(), asked, self.key, query_key, top_k)
 
     def _write(self, df: DataFrame, name: str, number: int) -> None:
         df.write.mode("overwrite").parquet(f"{self.path}/{name}/batch={number}")
@@ -89,21 +91,20 @@ class SparseIndex:
         hashed = newest.select(key, "text", F.coalesce(F.sha2("text", 256), F.lit(DELETED)).alias("content_hash"))
         before = self.live("docs", number).select(F.col(key).alias("__k"), F.col("content_hash").alias("__h"), F.col("dl").alias("__dl"), F.col("batch").alias("in_batch"))
         met = hashed.join(before, F.col(key) == F.col("__k"), "left").where(~F.col("content_hash").eqNullSafe(F.col("__h")) & ~((F.col("content_hash") == DELETED) & F.col("__k").isNull()))
-        words = tokenize(F.col("text"))
-        changed = stored(met.select(key, "content_hash", F.col("in_batch"), "__dl", words.alias("words")), "changed")
-        now = changed.where(F.col("content_hash") != DELETED).select(key, "content_hash", F.size("words").cast("long").alias("dl"), "words")
-        self._write(now.drop("words"), "docs", number)
-        self._write(sparse.word_postings(now.select(key, "dl", "words"), key), "postings", number)
-        self._write(changed.where("in_batch is not null").select(key, "in_batch"), "replaced", number)
-        gone = changed.where("in_batch is not null").select(F.col(key).alias("__k"), F.col("in_batch").alias("__b"))
-        old = self.table("postings", number)
-        old = old.join(gone, (old[key] == gone["__k"]) & (old["batch"] == gone["__b"]), "left_semi")
-        new = self.spark.read.schema(SCHEMAS["postings"].format(key=key, kind=self.kind)).parquet(f"{self.path}/postings/batch={number}")
-        steps = new.select("term", F.lit(1).cast("long").alias("n")).unionAll(old.select("term", F.lit(-1).cast("long")))
+        made = sparse.document_terms(met.select(F.struct(key, "content_hash", "in_batch", F.col("__dl").alias("old_dl")).alias("row"), "text"), "row", tokenize(F.col("text")))
+        self._write(made.select("row.*", "dl", "terms", "tfs"), "words", number)
+        changed = self.spark.read.schema(SCHEMAS["words"].format(key=key, kind=self.kind)).parquet(f"{self.path}/words/batch={number}")
+        self._write(changed.where(F.col("content_hash") != DELETED).select(key, "content_hash", "dl"), "docs", number)
+        gone = changed.where("in_batch is not null").select(key, "in_batch")
+        self._write(gone, "replaced", number)
+        old = self.table("words", number).select(key, "batch", "terms")
+        old = old.join(gone.toDF("__k", "__b"), (F.col(key) == F.col("__k")) & (F.col("batch") == F.col("__b")), "left_semi")
+        each = lambda rows, n: rows.select(F.explode("terms").alias("term"), F.lit(n).cast("long").alias("n"))
+        steps = each(changed, 1).unionAll(each(old, -1))
         self._write(steps.groupBy("term").agg(F.sum("n").alias("df")).where("df <> 0"), "terms", number)
         more = changed.select(
             (F.when(F.col("content_hash") != DELETED, 1).otherwise(0) - F.when(F.col("in_batch").isNotNull(), 1).otherwise(0)).alias("d"),
-            (F.coalesce(F.size("words"), F.lit(0)) - F.coalesce("__dl", F.lit(0))).alias("t"),
+            (F.coalesce("dl", F.lit(0)) - F.coalesce("old_dl", F.lit(0))).alias("t"),
         )
         totals = more.agg(F.coalesce(F.sum("d"), F.lit(0)).cast("long").alias("n_docs"), F.coalesce(F.sum("t"), F.lit(0)).cast("long").alias("n_tokens"))
         self._write(totals, "totals", number)

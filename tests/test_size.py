@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from foliant.functions import shared
 from foliant.operators import entities, legal, sparse, vectors
 from foliant.plans import corpora, graph_queries
+from foliant.streaming.index import SparseIndex
 from tests import test_features
 
 
@@ -119,3 +120,13 @@ def test_documents_meet_queries_within_a_task(spark, monkeypatch, steps, cells):
 def test_pruned_bm25_with_queries_that_no_task_holds(spark, monkeypatch, seed, n):
     monkeypatch.setattr(sparse, "HELD", 0)
     test_features.test_pruned_bm25_against_every_posting(spark, monkeypatch, seed, n)
+
+
+def test_old_postings_are_not_joined(spark, tmp_path):
+    """An index keeps one row of terms for a document, so a changed one costs a row and not a row for every term."""
+    index = SparseIndex(spark, str(tmp_path / "index"))
+    index.add(spark.createDataFrame([(1, "alpha beta beta", 1), (2, "gamma", 1), (3, "alpha", 1)], "doc_id long, text string, version int"), 0)
+    index.add(spark.createDataFrame([(1, "alpha", 2), (2, None, 2)], "doc_id long, text string, version int"), 1)
+    assert sorted((r.doc_id, r.batch, r.terms, r.tfs) for r in index.live("words").collect()) == [(1, 1, ["alpha"], [1]), (3, 0, ["alpha"], [1])]
+    assert index.table("words").count() == 5
+    assert sorted(map(tuple, index.term_counts().collect())) == [("alpha", 2)]
