@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from foliant.functions import shared
 from foliant.operators import entities, legal, sparse, vectors
-from foliant.plans import corpora, graph_queries
+from foliant.plans import corpora, graph_queries, search_queries
 from foliant.streaming.index import SparseIndex
 from tests import test_features
 
@@ -116,6 +116,15 @@ def test_documents_meet_queries_within_a_task(spark, monkeypatch, steps, cells):
     assert [r.doc for r in found.where("q = 'copies'").sort("rank").collect()] == ["copy0", "copy1", "copy10", "copy11"]
 
 
+@pytest.mark.parametrize("most", [200_000, 0])
+def test_only_texts_of_hits_are_moved(spark, sf, monkeypatch, most):
+    monkeypatch.setattr(shared, "SENT", most)
+    found = search_queries.rerank(spark, sf)
+    scan = next(line for line in plan(found).split("\n") if "Join" in line and "doc_id" in line)
+    assert ("broadcast" in scan) == (most > 0)
+    assert found.count() == 10 * spark.read.parquet(f"{sf}/benchmark.parquet").count()
+
+
 @pytest.mark.parametrize(("seed", "n"), [(1, 40), (1, 400), (50, 400), (0, 300)])
 def test_pruned_bm25_with_queries_that_no_task_holds(spark, monkeypatch, seed, n):
     monkeypatch.setattr(sparse, "HELD", 0)
