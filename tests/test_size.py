@@ -139,3 +139,15 @@ def test_old_postings_are_not_joined(spark, tmp_path):
     assert sorted((r.doc_id, r.batch, r.terms, r.tfs) for r in index.live("words").collect()) == [(1, 1, ["alpha"], [1]), (3, 0, ["alpha"], [1])]
     assert index.table("words").count() == 5
     assert sorted(map(tuple, index.term_counts().collect())) == [("alpha", 2)]
+
+
+@pytest.mark.parametrize("block", [2048, 20])
+def test_a_matrix_is_moved_and_written_in_few_bytes(spark, monkeypatch, block):
+    """Vectors stay as narrow as they came, and a vector's scores stand together."""
+    monkeypatch.setattr(vectors, "QUERY_BLOCK", block)
+    x = spark.range(90).coalesce(1).select(F.col("id").alias("vec_id"), F.array(F.col("id").cast("float"), F.lit(1.0).cast("float")).alias("embedding"))
+    found = vectors.cosine_matrix(x, x.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query_vec")))
+    assert "array<double>" not in plan(found)
+    runs = found.rdd.mapPartitions(lambda rows: [[r.vec_id for r in rows]]).collect()
+    assert sum(a != b for part in runs for a, b in zip(part, part[1:], strict=False)) < 600
+    assert len({(r.query_id, r.vec_id) for r in found.collect()}) == found.count() == 8100
