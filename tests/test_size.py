@@ -1,14 +1,17 @@
 """How the work of queries grows: tasks by rows, each step worked out once."""
 
+import duckdb
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
 from foliant.functions import shared
 from foliant.operators import entities, legal, sparse, vectors
-from foliant.plans import corpora, graph_queries, search_queries
+from foliant.plans import corpora, graph_queries, registry, search_queries
 from foliant.streaming.index import SparseIndex
 from tests import test_features
+from tests.test_oracle import canonical
 
 
 def plan(df):
@@ -125,6 +128,30 @@ def test_only_texts_of_hits_are_moved(spark, sf, monkeypatch, most):
     assert found.count() == 10 * spark.read.parquet(f"{sf}/benchmark.parquet").count()
 
 
+def test_hybrid_search_keeps_no_row_per_pair(spark, tmp_path, monkeypatch):
+    """What is stored has a row per document or per word of an item, and only the hits of both sides are joined."""
+    words = lambda i, n: " ".join(f"w{j}" for j in range(n) if (i + j) % 3 == 0)
+    docs = [(i, f"{words(i, 12)} {'pad ' * (i % 5)}{words(i % 2, 6)}") for i in range(290)] + [(290, None), (291, ""), *((i, "w1 w2 w2") for i in range(292, 300))]
+    asked = [(3 * i, " ".join(f"w{j}" for j in range(12) if (i + j) % 4)) for i in range(30)] + [(1, "unknown"), (2, None), (4, ""), (999, "w1 w2")]
+    base = np.random.default_rng(3).normal(size=(40, 8)).astype(np.float32)
+    base /= np.linalg.norm(base, axis=1)[:, None]
+    tables = {
+        "documents": pd.DataFrame(docs, columns=["doc_id", "text"]),
+        "benchmark": pd.DataFrame(asked, columns=["item_id", "text"]),
+        "embeddings": pd.DataFrame({"vec_id": range(300), "embedding": [base[i % 40] for i in range(300)]}),
+    }
+    con = duckdb.connect()
+    for name, rows in tables.items():
+        rows.to_parquet(tmp_path / f"{name}.parquet")
+        con.sql(f"create view {name} as select * from '{tmp_path}/{name}.parquet'")
+    kept, put = [], sparse.stored
+    monkeypatch.setattr(sparse, "stored", lambda df, name: kept.append(put(df, name)) or kept[-1])
+    found = search_queries.hybrid_search(spark, str(tmp_path))
+    assert max(df.count() for df in kept) == 300
+    assert plan(found).count("Join") == 1 and "Aggregate" not in plan(found)
+    pd.testing.assert_frame_equal(canonical(found.toPandas()), canonical(con.sql(registry.ORACLES["hybrid_search"]).df()), check_dtype=False)
+
+
 @pytest.mark.parametrize(("seed", "n"), [(1, 40), (1, 400), (50, 400), (0, 300)])
 def test_pruned_bm25_with_queries_that_no_task_holds(spark, monkeypatch, seed, n):
     monkeypatch.setattr(sparse, "HELD", 0)
