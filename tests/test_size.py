@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from foliant.functions import shared
-from foliant.operators import entities, legal, sparse, vectors
+from foliant.operators import entities, legal, sparse, text, vectors
 from foliant.plans import corpora, graph_queries, registry, search_queries
 from foliant.streaming.index import SparseIndex
 from tests import test_features
@@ -48,6 +48,29 @@ def test_names_are_followed_back_once(agreements):
     assert plan(entities.extract_companies(agreements)).count(entities.LAST_RUN) == 1
 
 
+ODD = ["é Inc Inc1 cInc äInc Inc, Co", "Inc\u0301 Ltd\u20ac LLC\u00a0Corp \U0001d400Inc \U0001f600 Inc", "§Inc§ Co\x01\x02Co", "_Inc Co_ \n Company\r\nLtd.", "none", "", None, "Inc"]
+
+
+@pytest.mark.parametrize("at_once", [1024, 3])
+def test_arrow_finds_the_same_places(spark, monkeypatch, at_once):
+    monkeypatch.setattr(text, "TEXTS_AT_ONCE", at_once)
+    rows = spark.createDataFrame(list(enumerate(ODD * 3)), "id int, t string")
+    for pattern in (entities.CLOSING, legal.ANCHOR, "I"):
+        assert sorted(text.arrow_spans(rows, "t", pattern).collect()) == sorted(text.regex_spans(rows, "t", pattern).collect())
+    assert text.arrow_spans(rows.where("false"), "t", "I").count() == 0
+
+
+def test_companies_are_read_by_arrow(spark, agreements):
+    """No pattern of an attribute or a closing word is tried by the JVM, and what its patterns give comes out."""
+    found = entities.extract_companies(agreements)
+    assert all(word not in plan(found) for word in ("headquartered", "Technologies", "regexp_extract_all"))
+    odd = spark.createDataFrame([("s", f"Granite Inc{t} Revenue was $5 million, based in Rom\u00e9, state: Ohio; 30 staff, a Delaware corporation (the \"Buyer\") a@b.com") for t in (".", "\u00e4", " \u20ac", "\n", "")], "source string, text string")
+    for rows in (found, entities.extract_companies(odd)):
+        attributes = entities.ATTRIBUTES["company"]
+        plain = rows.select(*[entities.first_attribute(F.col("context"), p).alias(a) for a, p in attributes.items()])
+        assert rows.count() and sorted(rows.select(*attributes).collect(), key=str) == sorted(plain.collect(), key=str)
+
+
 def test_cues_leave_no_attribute_out(spark):
     texts = [
         "Industry: Marine. REVENUE of $5 million, 40 staff, state: Delaware", "Specializes in boats; yearly sales: none, $3m yearly", "a leader in ropes, Nevada corp with 20-30 people",
