@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from foliant.functions import shared
 from foliant.operators import entities, legal, sparse, text, vectors
-from foliant.plans import corpora, graph_queries, registry, search_queries
+from foliant.plans import corpora, entity_queries, graph_queries, registry, search_queries  # noqa: F401
 from foliant.streaming.index import SparseIndex
 from tests import test_features
 from tests.test_oracle import canonical
@@ -44,6 +44,30 @@ def test_bracket_over_two_lines(spark):
     assert [(r.keyword, r.canonical_name) for r in legal.all_definitions(c).collect()] == [("client", "Summit Marine Inc")]
 
 
+DEFINING = [
+    'Granite Inc, an Ohio company ("Buyer"), and\nHarbor Ltd, a  Nevada\tcorporation (the "Seller"). THIS LEASE ("Lease") between Anna and Karl',
+    'x, " (a ) , a ("One"); (the "Two") () , an ("Three") "" ("Four")', "THE NEXT\n(\"Five\") THIS\nDEED OF\n(\"Six\")",
+    '"Term" shall mean the day; The Fee refers to a sum, the FULL FEE means all of it. the A B includes more than one of it. Term\nmeans this Deed (x and y).',
+    "As used herein, The Goods means what is sold. For purposes of this Lease, Rent Due refers to a sum:", "Title Of (as defined in Section 1.2) shall refer to none, and Other (as\ndefined in Section 9)",
+    'Caf\u00e9 R\u00f4ti ("Caf\u00e9 \u20ac"), "Z\u00fcrich" means \u00e9t\u00e9, for purposes of this. \U0001f600 Nordic A&B ("N") ("NN")', 'the ("Any") such ("The") Fir_m Name9 & Co ("Co Name...")', "", None, "nothing",
+]
+
+
+def test_definitions_are_read_by_arrow(spark, sf, agreements, tmp_path):
+    """No pattern is tried by the JVM, and what the SQL gives comes out."""
+    found = legal.all_definitions(agreements)
+    assert "regexp" not in plan(found) and "RLIKE" not in plan(found)
+    con = duckdb.connect()
+    pd.DataFrame({"doc_id": range(len(DEFINING)), "text": DEFINING, "lang": "en", "source": "web", "n_chars": 0}).to_parquet(tmp_path / "documents.parquet")
+    pd.read_parquet(f"{sf}/orders.parquet").head(9).to_parquet(tmp_path / "orders.parquet")
+    for t in ("documents", "orders"):
+        con.sql(f"create view {t} as select * from '{tmp_path}/{t}.parquet'")
+    for name in ("all_definitions", "extract_definitions"):
+        a, b = canonical(registry.QUERIES[name](spark, str(tmp_path)).toPandas()), canonical(con.sql(registry.ORACLES[name]).df())
+        assert a.source.str.startswith("note").sum() >= 18
+        pd.testing.assert_frame_equal(a, b, check_dtype=False)
+
+
 def test_names_are_followed_back_once(agreements):
     assert plan(entities.extract_companies(agreements)).count(entities.LAST_RUN) == 1
 
