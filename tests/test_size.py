@@ -39,6 +39,17 @@ def test_definitions_are_read_once(agreements):
     assert both.groupBy("kind", "type").count().sort("kind", "type").collect() == [("entity", "legal_keywords", 120), ("relation", "defined_in", 120), ("relation", "refers_to", 40)]
 
 
+def test_terms_are_replaced_once(spark, agreements, monkeypatch):
+    """Tasks grow with the texts, a text is put together once, and it is not carried to its places."""
+    monkeypatch.setattr(shared, "TEXTS_OF_TASK", 4)
+    done = legal.process_chunks(agreements)
+    assert done.rdd.getNumPartitions() == 10
+    assert plan(done).count("zip_with") == 1
+    assert {(r.replaced, r.text) for r in done.collect()} == {(True, agreements.first().text.replace('"Client"', '"Summit Marine Inc"'))}
+    found = legal.arrow_spans(agreements.select("source", "text"), "text", legal.ANCHOR, 5, 5)
+    assert found.columns == ["source", "match", "start", "end", "before", "behind"]
+
+
 def test_bracket_over_two_lines(spark):
     c = spark.createDataFrame([("s", 'Summit Marine Inc (the\n"Client") pays')], "source string, text string")
     assert [(r.keyword, r.canonical_name) for r in legal.all_definitions(c).collect()] == [("client", "Summit Marine Inc")]
@@ -80,8 +91,11 @@ def test_arrow_finds_the_same_places(spark, monkeypatch, at_once):
     monkeypatch.setattr(text, "TEXTS_AT_ONCE", at_once)
     rows = spark.createDataFrame(list(enumerate(ODD * 3)), "id int, t string")
     for pattern in (entities.CLOSING, legal.ANCHOR, "I"):
-        assert sorted(text.arrow_spans(rows, "t", pattern).collect()) == sorted(text.regex_spans(rows, "t", pattern).collect())
-    assert text.arrow_spans(rows.where("false"), "t", "I").count() == 0
+        found = text.arrow_spans(rows, "t", pattern, 3, 4).collect()
+        assert sorted((r.id, r.match, r.start, r.end) for r in found) == sorted((r.id, r.match, r.start, r.end) for r in text.regex_spans(rows, "t", pattern).collect())
+        texts = dict(enumerate(ODD * 3))
+        assert all((r.before, r.behind) == (texts[r.id][max(0, r.start - 3) : r.start], texts[r.id][r.end : r.end + 4]) for r in found)
+    assert text.arrow_spans(rows.where("false"), "t", "I", 3, 4).count() == 0
 
 
 def test_companies_are_read_by_arrow(spark, agreements):
