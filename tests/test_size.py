@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from foliant.functions import shared
-from foliant.operators import entities, legal, sparse, text, vectors
+from foliant.operators import entities, legal, resolve, sparse, text, vectors
 from foliant.plans import corpora, entity_queries, graph_queries, registry, search_queries  # noqa: F401
 from foliant.streaming.index import SparseIndex
 from tests import test_features
@@ -239,3 +239,62 @@ def test_a_matrix_is_moved_and_written_in_few_bytes(spark, monkeypatch, block):
     runs = found.rdd.mapPartitions(lambda rows: [[r.vec_id for r in rows]]).collect()
     assert sum(a != b for part in runs for a, b in zip(part, part[1:], strict=False)) < 600
     assert len({(r.query_id, r.vec_id) for r in found.collect()}) == found.count() == 8100
+
+
+def plain_linkage(x, threshold):
+    """Average linkage that looks at all distances for every merge, the first smallest one on ties."""
+    unit = resolve.unit_rows(x)
+    d = np.round(1 - unit @ unit.T, 9)
+    np.fill_diagonal(d, np.inf)
+    size, label = np.ones(len(x)), np.arange(len(x))
+    for _ in range(len(x) - 1):
+        i, j = sorted(divmod(int(d.argmin()), len(d)))
+        if not d[i, j] < threshold:
+            break
+        row = (size[i] * d[i] + size[j] * d[j]) / (size[i] + size[j])
+        row[[i, j]] = np.inf
+        d[i], d[:, i] = row, row
+        d[j], d[:, j] = np.inf, np.inf
+        size[i] += size[j]
+        label[label == j] = i
+    return label
+
+
+@pytest.mark.parametrize("n", [1, 2, 3, 30, 150])
+def test_linkage_keeps_ties(n):
+    rng = np.random.default_rng(n)
+    for x in (rng.normal(size=(n, 3)), rng.integers(0, 3, (n, 3)).astype(float), np.ones((n, 2)), np.repeat(rng.normal(size=(n, 4)), 2, axis=0)[:n], np.zeros((n, 2))):
+        for threshold in (0.1, 0.5, 1.5):
+            assert resolve.average_linkage(x, threshold).tolist() == plain_linkage(x, threshold).tolist()
+
+
+def test_a_large_component_is_clustered(spark):
+    """Over 5000 rows in one component; links grow with rows and not with pairs."""
+    angle = np.concatenate([np.linspace(0, 0.3, 5200), [1.0, 1.01, 2.5]])
+    df = spark.createDataFrame([(i, "t", [float(np.cos(a)), float(np.sin(a))]) for i, a in enumerate(angle)], "id long, entity_type string, vec array<double>").repartition(3)
+    links = resolve.similar_links(df, ["entity_type"], F.lit(0.95))
+    assert links.count() < 3 * len(angle)
+    got = {r.id: r.cluster for r in resolve.cluster_entities(df, links, F.lit(0.95)).collect()}
+    assert got == {i: 0 for i in range(5200)} | {5200: 5200, 5201: 5200, 5202: 5202}
+
+
+@pytest.mark.parametrize(("batch", "cell", "product"), [(10_000, 1 << 15, 1 << 22), (3, 7, 20)])
+def test_links_connect_what_pairs_do(spark, monkeypatch, batch, cell, product):
+    for name, value in (("PIVOTED", cell), ("CELL", cell), ("PASSING", 40), ("PRODUCT", product)):
+        monkeypatch.setattr(resolve, name, value)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", batch)
+    try:
+        rng = np.random.default_rng(5)
+        x = np.concatenate([rng.normal(size=(30, 8))[rng.integers(0, 30, 90)] + 0.1 * rng.normal(size=(90, 8)), np.ones((60, 8)) + 0.02 * rng.normal(size=(60, 8))])
+        df = spark.createDataFrame([(f"e{i}", "ab"[i % 2], v.tolist()) for i, v in enumerate(x)], "id string, entity_type string, vec array<double>")
+        limit = F.when(F.col("entity_type") == "a", 0.8).otherwise(0.9)
+        pairs, links = ({(r.a, r.b): r.score for r in f(df, ["entity_type"], limit).collect()} for f in (resolve.similar_pairs, resolve.similar_links))
+        assert links.items() <= pairs.items() and len(links) < len(pairs) / 2
+        clusters = [sorted(resolve.cluster_entities(df, spark.createDataFrame(list(edges), "a string, b string"), limit).collect()) for edges in (pairs, links)]
+        assert clusters[0] == clusters[1] and len(clusters[0]) == 150
+        of = {}
+        for i in range(150):
+            of.setdefault(next((c for n, c in clusters[0] if n == f"e{i}")), set()).add(i)
+        assert max(map(len, of.values())) >= 30
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
