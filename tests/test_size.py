@@ -298,3 +298,13 @@ def test_links_connect_what_pairs_do(spark, monkeypatch, batch, cell, product):
         assert max(map(len, of.values())) >= 30
     finally:
         spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
+def test_entities_are_resolved_by_links(spark, monkeypatch):
+    """A large group of copies goes into the components with a link for a row."""
+    seen = []
+    monkeypatch.setattr(resolve, "connected_components", lambda edges, whole=resolve.connected_components: seen.append(edges.count()) or whole(edges))
+    rows = spark.range(300).select("id", F.lit("people").alias("entity_type"), F.concat(F.lit("Name "), "id").alias("name"), F.lit("a.txt").alias("source"), F.lit("c").alias("context"), F.lit(0.5).alias("confidence"), F.lit("ner").alias("extraction_method"), F.array(F.lit(1.0), F.col("id") / 3000).alias("vec"))
+    found = resolve.resolve_entities(rows).collect()
+    assert [(r.cluster, r.cluster_size, r.name) for r in found] == [(0, 300, "Name 299")]
+    assert seen and max(seen) < 300
